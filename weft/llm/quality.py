@@ -16,7 +16,7 @@ BUCKETS = 1 << 14
 #: Trusted documents are a sample of labelled rows of at most this size (by the smallest hash of the id).
 TARGET_DOCS = 20_000
 #: Mean log ratio (nats an n-gram) from which a document is kept.
-THRESHOLD = -0.35
+THRESHOLD = -0.12
 SPACES = " \t\n\x0b\x0c\r"
 
 
