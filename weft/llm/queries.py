@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import language, near_join, packing, quality, secrets, token_files
+from weft.llm import decontaminate, language, licences, near_join, packing, quality, repeats, secrets, threads, token_files
 from weft.llm.common import documents, shared_dir
 
 
@@ -18,6 +18,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digest(packing.pack_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json")))
 
@@ -28,6 +32,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(token_files.read_token_files(spark, path))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_units(documents(spark, sf_dir))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     ratios = quality.log_ratios(docs, quality.trusted(spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -38,10 +46,19 @@ def op6_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return decontaminate.matches(docs, decontaminate.build(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir)))
 
 
+def op9_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threads.link(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = language.identify(docs.select("doc_id", "text"), language.fit(docs))
@@ -49,6 +66,6 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op3_token_files, op5_quality, op6_near_join, op8_secrets, op10_language)
+    f.__name__: f for f in (op1_licences, op2_packing, op3_token_files, op4_repeats, op5_quality, op6_near_join, op7_decontaminate, op8_secrets, op9_threads, op10_language)
 }
 ORACLES: dict[str, str] = {}
