@@ -9,9 +9,10 @@ A document is the set of its word shingles, as 64-bit hashes. Equal sets form on
    has so many blocks that each set has more than its t = n/4 occupied ones (by seven standard deviations of their number; small
    sets use a block a shingle), so some occupied word agrees. Words meet in hash buckets; a set also joins the
    bands below that reach up to its size.
-3. Groups. All pairs of a small group are candidates. A word that more than SMALL classes hold is dropped where a set has more
-   agreeing words to spare than such hot words: some other word then agrees. The rest of the large groups are joined with one hub each, and
-   after the components of the verified pairs are known, what lies outside a group's largest component is compared with all others of it.
+3. Groups. All pairs of a small group are candidates. Words that more than SMALL classes hold are hot: as a set has more occupied words
+   than can differ, it drops its most frequent hot words, as many as it has to spare (prefix filter in the order of rarity). What is left of
+   the large groups is joined with one hub each, and after the components of the verified pairs are known, the classes outside
+   a group's largest component are compared with all others of it, in chunks, by size and sketch.
 4. Verify. Candidates that pass size and sketch are compared by their whole shingle sets.
 
 Copies in one task count once before anything is shuffled. No all-pairs of a large group, no cap on partners.
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weft.llm.common import partitions, prepare, written
@@ -36,6 +38,10 @@ WORDS = 5
 SMALL = 24
 BAND_RATIO = 1.6
 SKETCH_BITS = 512
+#: Members of a large group that are compared at a time.
+CHUNK = 256
+#: Classes to compare whose ids (16 bytes each) are broadcast to find their texts; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Entries a task gathers before it hands them on (14 bytes each).
 FLUSH = 3_000_000
 _WORDS: dict[bytes, int] = {}
@@ -256,11 +262,12 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.filter(5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")).filter(9 * far <= F.col("n_a") + F.col("n_b")).select("a", "b")
 
 
-def _verified(pairs: DataFrame, df: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int, parts: int) -> DataFrame:
+def _verified(pairs: DataFrame, df: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """Pairs with 100 * intersection >= 80 * union of their whole sets."""
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = asked.join(classes.select("node", "first"), "node")
-    rows = df.select(F.col(id_col).cast("long").alias("first"), F.col(text_col).alias("text")).join(wanted, "first").select("node", "text")
+    wanted = written(asked.join(classes.select("node", "first"), "node"), "wanted")
+    few = wanted.count() <= BROADCAST_ROWS  # 16 bytes each; beyond that the texts are dealt by id
+    rows = df.select(F.col(id_col).cast("long").alias("first"), F.col(text_col).alias("text")).join(F.broadcast(wanted) if few else wanted, "first").select("node", "text")
     schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,29 +282,70 @@ def _verified(pairs: DataFrame, df: DataFrame, classes: DataFrame, id_col: str,
                     yield pa.record_batch([pa.array([k[0] for k in kept]), pa.array([k[1] for k in kept], pa.binary())], schema=schema)
 
     held = rows.mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"])
-    dealt = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("shares")), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"))
-    members = dealt.join(held.withColumnRenamed("node", "b"), "b").select("a", "share", "b", "hashes")
-    hubs = dealt.select("a", "share").distinct().join(held.withColumnRenamed("node", "a"), "a").select("a", "share", F.lit(None).cast("long").alias("b"), "hashes")
+    side = lambda c: held.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "of_a", "of_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, key = np.empty(0, np.uint64), None
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for a, share, b, hashes in zip(*batch.columns):
-                own = np.frombuffer(hashes.as_buffer(), np.uint64)
-                if not b.is_valid:
-                    hub, key = own.copy(), (a.as_py(), share.as_py())
-                    continue
-                assert key == (a.as_py(), share.as_py()), "a hub comes before its members"
-                small, large = (own, hub) if len(own) < len(hub) else (hub, own)
+            for a, b, of_a, of_b in zip(*batch.columns):
+                one, two = np.frombuffer(of_a.as_buffer(), np.uint64), np.frombuffer(of_b.as_buffer(), np.uint64)
+                small, large = (one, two) if len(one) < len(two) else (two, one)
                 same = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-                if 100 * same >= 80 * (len(own) + len(hub) - same):
-                    found.append((key[0], b.as_py()))
+                if 100 * same >= 80 * (len(one) + len(two) - same):
+                    found.append((a.as_py(), b.as_py()))
             if found:
                 yield pa.record_batch([pa.array([x for x, _ in found]), pa.array([y for _, y in found])], names=["a", "b"])
 
-    laid = members.unionByName(hubs).repartition(parts, "a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
-    return laid.mapInArrow(compare, "a long, b long")
+    return both.mapInArrow(compare, "a long, b long")
+
+
+def _across(rooted: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
+    """Plausible pairs (a, b) of one word and different roots (word, node, guest, root).
+
+    A word's classes are dealt to chunks; those outside its largest root visit every chunk, which holds a bounded number.
+    """
+    roots = rooted.groupBy("word", "root").agg(F.count("*").alias("n"))
+    most = roots.groupBy("word").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots"), F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
+    open_ = rooted.join(most.filter("roots > 1"), "word").join(classes.select("node", "n", "sketch"), "node")
+    columns = ("word", "chunk", "probe", "node", "guest", "root", "n", "sketch")
+    targets = open_.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("probe", F.lit(0)).select(*columns)
+    probes = open_.filter(F.col("root") != F.col("m.root")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("probe", F.lit(1)).select(*columns)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, target, probe = None, [], []
+        found: set[tuple[int, int]] = set()
+
+        def meet() -> None:
+            node, guest, root, n, sketch = (np.array(x) for x in zip(*target))
+            node2, guest2, root2, n2, sketch2 = (np.array(x) for x in zip(*probe))
+            use = (root[:, None] != root2) & ((guest[:, None] & guest2) == 0) & (5 * np.minimum(n[:, None], n2) >= 4 * np.maximum(n[:, None], n2))
+            i, j = np.nonzero(use)
+            far = np.bitwise_count(sketch.view(np.uint64)[i] ^ sketch2.view(np.uint64)[j]).sum(axis=1, dtype=np.int64)
+            near = 9 * far <= n[i] + n2[j]
+            found.update((min(a, b), max(a, b)) for a, b in zip(node[i[near]].tolist(), node2[j[near]].tolist()))
+
+        for batch in batches:
+            for word, chunk, is_probe, *member in zip(*(c.to_pylist() for c in batch.columns)):
+                if (word, chunk) != key:
+                    if target and probe:
+                        meet()
+                    key, target, probe = (word, chunk), [], []
+                (probe if is_probe else target).append(member)
+                if len(probe) >= CHUNK:
+                    if target:
+                        meet()
+                    probe = []
+            if len(found) > 20_000:
+                yield pa.record_batch([pa.array([x for x, _ in found]), pa.array([y for _, y in found])], names=["a", "b"])
+                found.clear()
+        if target and probe:
+            meet()
+        if found:
+            yield pa.record_batch([pa.array([x for x, _ in found]), pa.array([y for _, y in found])], names=["a", "b"])
+
+    laid = targets.unionByName(probes).repartition(parts, "word", "chunk").sortWithinPartitions("word", "chunk", "probe")
+    return laid.mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS) -> DataFrame:
@@ -319,27 +367,33 @@ def near_join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     grouped = written(_grouped(_bucketed(df, text_col, size, parts), parts), "groups")
     near = grouped.filter("word is null").select("a", "b").distinct()
     hot = grouped.filter("word is not null").select("word", F.col("a").alias("node"), F.col("b").alias("guest"))
-    # a class drops its hot words in a band (own or guest) if it has more to spare than them
+    # In the order of rarity, the rarest word that two similar sets share is not among the `spare` most frequent ones of either
+    sizes = hot.groupBy("word").agg(F.count("*").alias("size"))
+    room = classes.select("node", F.explode(F.array(F.struct(F.lit(0).alias("guest"), F.get("spare", F.lit(1)).alias("spare")), F.struct(F.lit(1).alias("guest"), F.get("spare", F.lit(3)).alias("spare")))).alias("s")).select("node", "s.guest", F.coalesce("s.spare", F.lit(0)).alias("spare"))
     counts = hot.groupBy("node", "guest").agg(F.count("*").alias("hot"))
-    room = classes.select("node", F.explode(F.array(F.struct(F.lit(0).alias("guest"), F.get("spare", F.lit(1)).alias("spare")), F.struct(F.lit(1).alias("guest"), F.get("spare", F.lit(3)).alias("spare")))).alias("s")).select("node", "s.guest", "s.spare")
-    keep = counts.join(room, ["node", "guest"], "left").filter("spare is null or hot > spare").select("node", "guest")
-    held = written(hot.join(keep, ["node", "guest"]), "hot")
+    keep = counts.join(room, ["node", "guest"]).filter("hot > spare").select("node", "guest", "spare")
+    ranked = hot.join(keep, ["node", "guest"]).join(sizes, "word").withColumn("rank", F.row_number().over(W.partitionBy("node", "guest").orderBy(F.desc("size"), "word")))
+    held = written(ranked.filter("rank > spare").select("word", "node", "guest"), "hot")
     hubs = held.groupBy("word").agg(F.min(F.struct("guest", "node")).alias("h")).select("word", F.col("h.node").alias("hub"))
     stars = held.join(hubs, "word").filter("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
     first = written(_plausible(near.unionByName(stars).distinct(), classes), "pairs")
-    links = written(_verified(first, df, classes, id_col, text_col, size, parts), "links")
+    verified = lambda pairs: _verified(pairs, df, classes, id_col, text_col, size)
+    # one pair a class first; a pair inside a component that these make needs no comparison
+    tree = first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = written(verified(tree), "links")
     joined = components(links)
+    root = lambda c: joined.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = first.join(tree, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left").filter("coalesce(root_a, a) <> coalesce(root_b, b)")
+    apart = written(apart.select("a", "b"), "apart")
+    if not apart.isEmpty():
+        links = written(links.unionByName(verified(apart)), "links")
+        joined = components(links)
     if not held.isEmpty():
         rooted = written(held.join(joined, "node", "left").select("word", "node", "guest", F.coalesce("root", "node").alias("root")), "rooted")
-        sizes = rooted.groupBy("word", "root").agg(F.count("*").alias("n"))
-        most = sizes.groupBy("word").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1").select("word", F.col("m.root").alias("main"))
-        open_ = rooted.join(most, "word")
-        few = open_.filter("root <> main").select("word", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("guest").alias("gx"))
-        cross = few.join(rooted.select("word", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("guest").alias("gy")), "word").filter("rx <> ry and (gx = 0 or gy = 0)")
-        second = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-        second = written(_plausible(second, classes), "pairs")
+        second = _across(rooted, classes, parts).join(first, ["a", "b"], "left_anti")
+        second = written(second, "pairs")
         if not second.isEmpty():
-            joined = components(links.unionByName(_verified(second, df, classes, id_col, text_col, size, parts)))
+            joined = components(links.unionByName(verified(second)))
     lowest = joined.join(smallest, "node").groupBy("root").agg(F.min("first").alias("lowest"))
     named = smallest.join(joined.join(lowest, "root").select("node", "lowest"), "node", "left").select("node", F.coalesce("lowest", "first").alias("component_id"))
     linked = filled.select("doc_id", "n", "node").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "node")
