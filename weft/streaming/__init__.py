@@ -1,0 +1 @@
+"""Streams: the reference operators are bounded; only row-wise merge shapes would carry over, and none is offered yet."""
