@@ -24,10 +24,10 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
 
 
-def _buckets(hashes: Column, buckets: int) -> Column:
-    """Bucket of each word and of each pair of neighbours."""
+def _grams(hashes: Column) -> Column:
+    """Hash of each word and of each pair of neighbours. hashes must be a column made before, or it is computed for every use."""
     pairs = F.zip_with(F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0))), F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    return F.transform(F.concat(hashes, pairs), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+    return F.concat(hashes, pairs)
 
 
 def _hashes(text: Column) -> Column:
@@ -47,9 +47,10 @@ def log_ratios(df: DataFrame, target_ids: DataFrame, *, id_col: str = "doc_id",
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     flagged = rows.join(F.broadcast(target_ids), F.col("id") == F.col("trusted_id"), "left").select(
-        F.col("trusted_id").isNotNull().cast("long").alias("good"), _buckets(_hashes(F.col("text")), buckets).alias("b")
+        F.col("trusted_id").isNotNull().cast("long").alias("good"), _hashes(F.col("text")).alias("h")
     )
-    counts = flagged.select("good", F.explode("b").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target")).collect()  # one row a bucket
+    grams = flagged.select("good", F.explode(_grams(F.col("h"))).alias("x")).select("good", F.pmod("x", F.lit(buckets)).cast("int").alias("bucket"))
+    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target")).collect()  # one row a bucket
     raw, target = [1] * buckets, [1] * buckets
     for row in counts:
         raw[row.bucket] += row.raw
@@ -105,7 +106,7 @@ def quality(
         "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         windows.alias("w"),
-        _buckets(F.col("hashes"), buckets).alias("b"),
+        F.transform(_grams(F.col("hashes")), lambda h: F.pmod(h, F.lit(buckets)).cast("int")).alias("b"),
     ).select(
         "*",
         (F.aggregate("b", F.lit(0.0), lambda a, x: a + F.get(table, x)) / F.greatest(F.size("b"), F.lit(1))).alias("score"),
