@@ -40,24 +40,43 @@ BENCHMARK_BYTES = 64_000_000
 SEED = 7
 
 _WORD = re.compile(r"[^\W_]+")
-_IDS: dict[str, int] = {}
+#: Entries of each of a worker table's two generations.
+CACHE_ENTRIES = 300_000
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+def _plain(token: str) -> str:
+    return "".join(_WORD.findall(token))
+
+
+class _Buckets(dict):
+    """Bucket of a lower-case token by its letters and digits; -1 for a token without any."""
 
+    old: dict[str, int] = {}
 
-def _id(word: str) -> int:
-    value = _IDS.get(word)
-    if value is None:
-        if len(_IDS) > 400_000:
-            _IDS.clear()
-        value = _IDS[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % BUCKETS
-    return value
+    def __missing__(self, token: str) -> int:
+        value = self.old.get(token)
+        if value is None:
+            word = _plain(token)
+            value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % BUCKETS if word else -1
+        if len(token) <= 64:
+            if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
+                self.clear()
+            self[token] = value
+        return value
 
 
-def _ids(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_id, words), np.uint16, len(words))
+_IDS = _Buckets()
+
+
+def words_of(text: str | None) -> list[str]:
+    return [w for w in map(_plain, (text or "").lower().split()) if w]
+
+
+def _ids(tokens: list[str]) -> np.ndarray:
+    """Buckets of the tokens that are words."""
+    ids = np.fromiter(map(_IDS.__getitem__, tokens), np.int32, len(tokens))
+    return ids[ids >= 0].astype(np.uint16)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int, step: int, most: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -65,7 +84,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int, step: int, most: int
     ids, first, n = [], [], 0
     for batch in batches:
         for text in batch.column(column).to_pylist():
-            got = _ids(words_of(text))
+            got = _ids((text or "").lower().split())
             if len(got):
                 ids.append(got)
                 first.append(n + np.arange(0, len(got), step))
@@ -172,20 +191,22 @@ def answer_of(text: str | None) -> list[str]:
 
 @dataclass(frozen=True)
 class Index:
-    """What a search needs: projection of each bucket, projected items, their words, answers and distinct words."""
+    """What a search needs: projection of each bucket, projected items, their words, answers and distinct buckets."""
 
     projection: np.ndarray
-    items: tuple[tuple[int | None, tuple[str, ...], tuple[str, ...], frozenset[str]], ...]
+    items: tuple[tuple[int | None, tuple[str, ...], tuple[str, ...], frozenset[int]], ...]
     vectors: np.ndarray
     #: (blocks of a window, places of the items looked for in such windows)
     sizes: tuple[tuple[int, tuple[int, ...]], ...]
 
     def search(self, text: str | None) -> list[tuple[int | None, float, int, int, int]]:
         """(item, cosine, common words, first and last word of the window) of each item found, by its best window."""
-        words = words_of(text)
-        if not words or not self.items:
+        ids = _ids((text or "").lower().split())
+        if not len(ids) or not self.items:
             return []
-        sums = np.add.reduceat(self.projection[_ids(words)], np.arange(0, len(words), STEP))
+        words: list[str] = []
+        buckets = ids.tolist()
+        sums = np.add.reduceat(self.projection[ids], np.arange(0, len(ids), STEP))
         total = np.cumsum(np.concatenate([np.zeros((1, sums.shape[1]), np.float32), sums]), axis=0, dtype=np.float64)
         best: dict[int, tuple] = {}
         for blocks, members in self.sizes:
@@ -197,8 +218,11 @@ class Index:
                 k = members[m]
                 item, own, answer, distinct = self.items[k]
                 reach = max(0, len(own) - blocks * STEP) + STEP // 2
-                lo, hi = max(0, w * STEP - reach), min(len(words), (w + blocks) * STEP + reach)
-                if len(distinct.intersection(words[lo:hi])) < PARAPHRASE * len(distinct) or common(own, words[lo:hi]) < PARAPHRASE * len(own):
+                lo, hi = max(0, w * STEP - reach), min(len(buckets), (w + blocks) * STEP + reach)
+                if len(distinct.intersection(buckets[lo:hi])) < 0.8 * PARAPHRASE * len(distinct):
+                    continue
+                words = words or words_of(text)
+                if common(own, words[lo:hi]) < PARAPHRASE * len(own):
                     continue
                 size = int(SPREAD * len(own)) + 1
                 for start in range(lo, max(lo + 1, hi - size + max(1, len(own) // 8)), max(1, len(own) // 8)):
@@ -230,7 +254,7 @@ def build(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item
     sizes: dict[int, list[int]] = {}
     for k, (_, words, _) in enumerate(items):
         sizes.setdefault(min(MOST_BLOCKS, -(-len(words) // STEP) + 1), []).append(k)
-    return Index(projection, tuple((i, tuple(w), tuple(a), frozenset(w)) for i, w, a in items), of, tuple((b, tuple(m)) for b, m in sorted(sizes.items())))
+    return Index(projection, tuple((i, tuple(w), tuple(a), frozenset(_ids(w).tolist())) for i, w, a in items), of, tuple((b, tuple(m)) for b, m in sorted(sizes.items())))
 
 
 def matches(docs: DataFrame, index: Index, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
