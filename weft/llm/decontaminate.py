@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages (blocks of PASSAGE words of documents, and benchmark items) are TF-IDF vectors over hashed words. One pass counts in how many passages each
-bucket occurs; a second one multiplies the passages' Gram matrix with a random matrix, task by task, and a Nystroem
+Passages (blocks of PASSAGE words of documents, and benchmark items) are TF-IDF vectors over hashed words. One pass writes the
+words' buckets and counts in how many passages each occurs; a second one, over the buckets, multiplies the passages' Gram matrix with a random matrix, task by task, and a Nystroem
 step turns that product into the leading right singular vectors. Documents' windows and benchmark items are projected onto them; windows whose
 cosine with an item is high enough are candidates. A candidate counts if the longest common subsequence of words holds most of the
 item, or, for paraphrases, a good part of it and of the item's answer (the part after its last question, or else its last sentence).
@@ -10,6 +10,8 @@ Matrices have a fixed size; the benchmark is the query set and must be small eno
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import partitions, prepare
+from weft.llm.common import partitions, prepare, written
 
 BUCKETS = 1 << 14
 RANK = 32
@@ -31,6 +33,11 @@ STEP, MOST_BLOCKS = 16, 12
 COSINE = 0.62
 #: Share of an item's words in the longest common subsequence; for paraphrases, and of the answer's words then.
 SAME, PARAPHRASE, ANSWER = 0.75, 0.6, 0.9
+#: Share of an item's distinct words' buckets that a candidate window must show before words are compared.
+SHOWN = 0.8 * PARAPHRASE
+#: Cells of a matrix that a search holds at a time, and words of texts that are searched together.
+CELLS = 1_000_000
+WORDS_AT_ONCE = 100_000
 #: A match's words lie within so many times the item's length.
 SPREAD = 1.4
 #: Shortest item or answer, in words, that is looked for.
@@ -96,49 +103,65 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int, step: int, most: int
         yield np.concatenate(ids), np.concatenate(first)
 
 
-def passage_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Passages that hold each bucket, and passages in all, over every text of the one column."""
-    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
+def tokenised(texts: DataFrame) -> DataFrame:
+    """Every text of the one column once: rows (bucket, n), passages that hold it (bucket BUCKETS: passages in all), and rows (ids, first) of words and blocks."""
+    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("ids", pa.binary()), ("first", pa.binary())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, passages = np.zeros(BUCKETS, np.int64), 0
         for ids, first in _chunks(batches, 0, PASSAGE):
-            passage = np.zeros(len(ids), np.int64)
-            passage[first[1:]] = 1
-            pairs = np.unique(np.cumsum(passage) * BUCKETS + ids)
-            total += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
+            order = np.argsort(ids, kind="stable")
+            of, passage = ids[order], _passages(len(ids), first)[order]
+            fresh = np.concatenate([[True], (of[1:] != of[:-1]) | (passage[1:] != passage[:-1])])
+            total += np.bincount(of[fresh], minlength=BUCKETS)
             passages += len(first)
-        yield pa.record_batch([pa.array([*range(BUCKETS), BUCKETS], pa.int32()), pa.array([*total.tolist(), passages], pa.int64())], schema=schema)
+            yield pa.record_batch([pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([first.astype("<i8").tobytes()], pa.binary())], schema=schema)
+        if passages:
+            held = [*np.flatnonzero(total).tolist(), BUCKETS]
+            yield pa.record_batch([pa.array(held, pa.int32()), pa.array([*total[held[:-1]].tolist(), passages], pa.int64()), pa.nulls(len(held), pa.binary()), pa.nulls(len(held), pa.binary())], schema=schema)
 
-    rows = texts.mapInArrow(task, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # one row a bucket
+    return texts.mapInArrow(task, "bucket int, n long, ids binary, first binary")
+
+
+def _passages(n: int, first: np.ndarray) -> np.ndarray:
+    """Number of the passage of each of n words."""
+    out = np.zeros(n, np.int32)
+    out[first[1:]] = 1
+    return np.cumsum(out, dtype=np.int32)
+
+
+def passage_counts(tokens: DataFrame) -> tuple[np.ndarray, int]:
+    """Passages that hold each bucket, and passages in all."""
+    rows = tokens.filter("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # one row a bucket
     counts = np.zeros(BUCKETS + 1, np.int64)
     for row in rows:
         counts[row.bucket] = row.n
     return counts[:BUCKETS], int(counts[BUCKETS])
 
 
-def _gram(ids: np.ndarray, first: np.ndarray, weights: np.ndarray, random: np.ndarray, out: np.ndarray) -> None:
-    """out += A' A random for the passages' unit rows A."""
+def _gram(ids: np.ndarray, first: np.ndarray, weights: np.ndarray, weighted: np.ndarray, out: np.ndarray) -> None:
+    """out += A' A random for the passages' unit rows A; weighted: the random matrix, each row by its bucket's weight."""
     w = weights[ids]
-    rows = np.add.reduceat(random[ids] * w[:, None], first)
-    length = np.diff(np.append(first, len(ids)))
-    norm = np.maximum(np.add.reduceat(w * w, first), 1e-9)
+    rows = np.add.reduceat(weighted[ids], first)
+    rows /= np.maximum(np.add.reduceat(w * w, first), 1e-9)[:, None]
     order = np.argsort(ids, kind="stable")
-    spread = np.repeat(rows / norm[:, None], length, axis=0)[order] * w[order][:, None]
-    there = np.flatnonzero(np.concatenate([[True], ids[order][1:] != ids[order][:-1]]))
-    out[ids[order][there]] += np.add.reduceat(spread, there)
+    of = ids[order]
+    there = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    out[of[there]] += np.add.reduceat(rows[_passages(len(ids), first)[order]], there) * weights[of[there]][:, None]
 
 
-def singular_vectors(texts: DataFrame, items: list[list[str]], weights: np.ndarray, passages: int, *, rank: int = RANK, seed: int = SEED) -> np.ndarray:
+def singular_vectors(tokens: DataFrame, items: list[list[str]], weights: np.ndarray, passages: int, *, rank: int = RANK, seed: int = SEED) -> np.ndarray:
     """Leading right singular vectors (buckets x rank) of all passages, documents and benchmark weighing alike in sum."""
     random = np.random.default_rng(seed).standard_normal((BUCKETS, rank)).astype(np.float32)
     schema = pa.schema([("part", pa.int32()), ("data", pa.binary())])
     size = 512
+    weighted = random * weights[:, None]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((BUCKETS, rank), np.float32)
-        for ids, first in _chunks(batches, 0, PASSAGE):
-            _gram(ids, first, weights, random, out)
+        for batch in batches:
+            for ids, first in zip(*batch.columns):
+                _gram(np.frombuffer(ids.as_buffer(), "<u2"), np.frombuffer(first.as_buffer(), "<i8"), weights, weighted, out)
         parts = range(BUCKETS // size)
         yield pa.record_batch([pa.array(list(parts), pa.int32()), pa.array([out[p * size : (p + 1) * size].tobytes() for p in parts], pa.binary())], schema=schema)
 
@@ -151,14 +174,15 @@ def singular_vectors(texts: DataFrame, items: list[list[str]], weights: np.ndarr
             yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], schema=schema)
 
     product = np.zeros((BUCKETS, rank))
-    summed = texts.mapInArrow(task, "part int, data binary").repartition(min(32, partitions(texts.sparkSession)), "part").mapInArrow(add, "part int, data binary")
+    chunks = tokens.filter("bucket is null").select("ids", "first")
+    summed = chunks.mapInArrow(task, "part int, data binary").repartition(min(32, partitions(tokens.sparkSession)), "part").mapInArrow(add, "part int, data binary")
     for row in summed.collect():  # the fixed size of one matrix
         product[row.part * size : (row.part + 1) * size] = np.frombuffer(row.data).reshape(size, rank)
     product /= max(1, passages)
     own = np.zeros((BUCKETS, rank), np.float32)
     for words in items:
         if words:
-            _gram(_ids(words), np.array([0]), weights, random, own)
+            _gram(_ids(words), np.array([0]), weights, weighted, own)
     product += own / max(1, len(items))
     shift = 1e-7 * np.linalg.norm(product) + 1e-12
     shifted = product + shift * random
@@ -198,41 +222,144 @@ class Index:
     vectors: np.ndarray
     #: (blocks of a window, places of the items looked for in such windows)
     sizes: tuple[tuple[int, tuple[int, ...]], ...]
+    #: For each bucket the range of its entries in holders (places of items) and bits (its bit among the item's first 64 distinct ones)
+    ranges: np.ndarray
+    holders: np.ndarray
+    bits: np.ndarray
+    #: Distinct buckets of an item that a candidate must show; 0 where they are more than 64
+    least: np.ndarray
 
     def search(self, text: str | None) -> list[tuple[int | None, float, int, int, int]]:
         """(item, cosine, common words, first and last word of the window) of each item found, by its best window."""
-        ids = _ids((text or "").lower().split())
-        if not len(ids) or not self.items:
+        return [x[1:] for x in self.search_all([text])]
+
+    def search_all(self, texts: list[str | None]) -> list[tuple]:
+        """The same for many texts, each row with its text's place in front. Many texts share the array work; a longer text is searched alone."""
+        out: list[tuple] = []
+        if not self.items:
+            return out
+        places, ids, n = [], [], 0
+        for k, text in enumerate(texts):
+            got = _ids((text or "").lower().split())
+            if len(got):
+                places.append(k)
+                ids.append(got)
+                n += len(got)
+            if n >= WORDS_AT_ONCE:
+                out += self._search(texts, places, ids)
+                places, ids, n = [], [], 0
+        return out + self._search(texts, places, ids) if n else out
+
+    def _search(self, texts: list[str | None], places: list[int], parts: list[np.ndarray]) -> list[tuple]:
+        ids = np.concatenate(parts)
+        lengths = np.array([len(x) for x in parts])
+        start = np.cumsum(lengths) - lengths  # first word of each text
+        blocks_of = -(-lengths // STEP)
+        begin = np.cumsum(blocks_of) - blocks_of  # its first block
+        doc = np.repeat(np.arange(len(parts)), blocks_of)
+        first = start[doc] + (np.arange(len(doc)) - begin[doc]) * STEP
+        item, block, span, cosine = self._candidates(ids, first, begin[doc] + blocks_of[doc], begin[doc])
+        if not len(item):
             return []
-        words: list[str] = []
-        buckets = ids.tolist()
-        sums = np.add.reduceat(self.projection[ids], np.arange(0, len(ids), STEP))
-        total = np.cumsum(np.concatenate([np.zeros((1, sums.shape[1]), np.float32), sums]), axis=0, dtype=np.float64)
-        best: dict[int, tuple] = {}
+        d = doc[block]
+        reach = np.maximum(0, self.lengths[item] - span * STEP) + STEP // 2
+        low = np.maximum(start[d], first[block] - reach)
+        high = np.minimum(start[d] + lengths[d], first[block] + span * STEP + reach)
+        shown = np.flatnonzero(self._shown(ids, first, item, begin[d] + (low - start[d]) // STEP, begin[d] - (start[d] - high) // STEP))
+        best: dict[tuple[int, int], tuple] = {}
+        tokens, word_at, of = [], [], -1
+        for k, d, lo, hi, near in zip(*(x[shown].tolist() for x in (item, d, low, high, cosine))):
+            _, own, answer, distinct = self.items[k]
+            if len(distinct.intersection(ids[lo:hi].tolist())) < SHOWN * len(distinct):
+                continue
+            if of != d:
+                tokens, of = (texts[places[d]] or "").lower().split(), d
+                word_at = [p for p, x in enumerate(map(_IDS.__getitem__, tokens)) if x >= 0]
+            at = int(start[d])
+            lo, hi = lo - at, hi - at
+            words = [_plain(tokens[p]) for p in word_at[lo:hi]]
+            if common(own, words) < PARAPHRASE * len(own):
+                continue
+            size = int(SPREAD * len(own)) + 1
+            for place in range(lo, max(lo + 1, hi - size + max(1, len(own) // 8)), max(1, len(own) // 8)):
+                part = words[place - lo : min(hi, place + size) - lo]
+                same = common(own, part)
+                if same >= SAME * len(own) or same >= PARAPHRASE * len(own) and len(answer) >= 3 and common(answer, part) >= ANSWER * len(answer):
+                    found = (same, near, -place, place + len(part))
+                    if (d, k) not in best or found > best[d, k]:
+                        best[d, k] = found
+        return [(places[d], self.items[k][0], c, same, -lo, hi) for (d, k), (same, c, lo, hi) in sorted(best.items())]
+
+    def _candidates(self, ids: np.ndarray, first: np.ndarray, end: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(item, first block, blocks, cosine) of windows close to an item. begin, end: of each block, the blocks of its text."""
+        sums = np.empty((len(first), self.projection.shape[1]), np.float32)
+        for at in range(0, len(first), 4096):
+            lo, hi = first[at], first[at + 4096] if at + 4096 < len(first) else len(ids)
+            sums[at : at + 4096] = np.add.reduceat(self.projection[ids[lo:hi]], first[at : at + 4096] - lo)
+        total = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
+        every = np.arange(len(first))
+        out = []
         for blocks, members in self.sizes:
-            starts = np.arange(max(1, len(sums) - blocks + 1))
-            windows = (total[np.minimum(starts + blocks, len(sums))] - total[starts]).astype(np.float32)
-            windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-9)
-            cosine = windows @ self.vectors[list(members)].T
-            for w, m in zip(*(x.tolist() for x in np.nonzero(cosine >= COSINE))):
-                k = members[m]
-                item, own, answer, distinct = self.items[k]
-                reach = max(0, len(own) - blocks * STEP) + STEP // 2
-                lo, hi = max(0, w * STEP - reach), min(len(buckets), (w + blocks) * STEP + reach)
-                if len(distinct.intersection(buckets[lo:hi])) < 0.8 * PARAPHRASE * len(distinct):
-                    continue
-                words = words or words_of(text)
-                if common(own, words[lo:hi]) < PARAPHRASE * len(own):
-                    continue
-                size = int(SPREAD * len(own)) + 1
-                for start in range(lo, max(lo + 1, hi - size + max(1, len(own) // 8)), max(1, len(own) // 8)):
-                    part = words[start : min(hi, start + size)]
-                    same = common(own, part)
-                    if same >= SAME * len(own) or same >= PARAPHRASE * len(own) and len(answer) >= 3 and common(answer, part) >= ANSWER * len(answer):
-                        found = (same, float(cosine[w, m]), -start, start + len(part))
-                        if k not in best or found > best[k]:
-                            best[k] = found
-        return [(self.items[k][0], c, same, -lo, hi) for k, (same, c, lo, hi) in sorted(best.items())]
+            starts = every[(every + blocks <= end) | (every == begin)]
+            places = np.array(members)
+            of = self.vectors[places].T
+            tile = max(64, CELLS // len(places))
+            for at in range(0, len(starts), tile):
+                here = starts[at : at + tile]
+                windows = (total[np.minimum(here + blocks, end[here])] - total[here]).astype(np.float32)
+                windows /= np.maximum(np.sqrt(np.einsum("ij,ij->i", windows, windows)), 1e-9)[:, None]
+                few = np.zeros((-(-len(here) // 64), 64, windows.shape[1]), np.float32)  # small products need no threads
+                few.reshape(-1, windows.shape[1])[: len(here)] = windows
+                cosine = few @ of
+                hit = np.flatnonzero(cosine >= COSINE)
+                w, m = np.divmod(hit, len(places))
+                out.append((places[m], here[w], np.full(len(w), blocks), cosine.reshape(-1)[hit]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def _shown(self, ids: np.ndarray, first: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether the blocks low to high (exclusive) hold enough distinct buckets of the item."""
+        out = self.least[item] == 0
+        rows = max(64, min(4096, CELLS // len(self.items)))
+        for at in range(0, len(first), rows):  # matrix of one tile and what windows that begin in it reach beyond
+            mine = np.flatnonzero((low >= at) & (low < at + rows) & ~out)
+            if not len(mine):
+                continue
+            end = int(high[mine].max())
+            seen = np.zeros((end - at, len(self.items)), np.uint64)
+            for b in range(at, end, 512):
+                lo, hi = first[b], first[min(b + 512, end)] if min(b + 512, end) < len(first) else len(ids)
+                words = ids[lo:hi].astype(np.int64)
+                count = self.ranges[words + 1] - self.ranges[words]
+                row = np.searchsorted(first[b : b + 512], np.arange(lo, hi), "right") - 1 + b - at
+                entry = np.arange(int(count.sum())) + np.repeat(self.ranges[words] - (np.cumsum(count) - count), count)
+                np.bitwise_or.at(seen.reshape(-1), np.repeat(row * len(self.items), count) + self.holders[entry], self.bits[entry])
+            a, b, c = low[mine] - at, high[mine] - at, item[mine]
+            mask = np.zeros(len(mine), np.uint64)
+            for k in range(int((b - a).max())):
+                mask |= seen[np.minimum(a + k, b - 1), c]
+            out[mine] = np.bitwise_count(mask) >= self.least[c]
+        return out
+
+    @functools.cached_property
+    def lengths(self) -> np.ndarray:
+        return np.array([len(own) for _, own, *_ in self.items])
+
+
+def make_index(items: list[tuple[int | None, list[str], list[str]]], projection: np.ndarray) -> Index:
+    """Index of items (id, words, words of the answer)."""
+    of = np.array([projection[_ids(x[1])].sum(axis=0) for x in items], np.float32).reshape(len(items), projection.shape[1])
+    of /= np.maximum(np.linalg.norm(of, axis=1, keepdims=True), 1e-9)
+    sizes: dict[int, list[int]] = {}
+    for k, (_, words, _) in enumerate(items):
+        sizes.setdefault(min(MOST_BLOCKS, -(-len(words) // STEP) + 1), []).append(k)
+    distinct = [np.unique(_ids(words)) for _, words, _ in items]
+    entries = [(np.concatenate(x) if items else np.empty(0, np.int64)) for x in ([d.astype(np.int64) for d in distinct], [np.full(len(d), k) for k, d in enumerate(distinct)], [np.arange(len(d)) for d in distinct])]
+    bucket, holders, bit = (x[entries[2] < 64] for x in entries)
+    order = np.argsort(bucket, kind="stable")
+    ranges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+    least = np.array([0 if len(d) > 64 else math.ceil(SHOWN * len(d)) for d in distinct], np.int64)
+    held = tuple((i, tuple(w), tuple(a), frozenset(d.tolist())) for (i, w, a), d in zip(items, distinct))
+    return Index(projection, held, of, tuple((b, tuple(m)) for b, m in sorted(sizes.items())), ranges, holders[order], np.uint64(1) << bit[order].astype(np.uint64), least)
 
 
 def build(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> Index:
@@ -244,17 +371,11 @@ def build(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item
         raise ValueError("the benchmark is too large to be sent to each task; pass it in parts")
     items = sorted(((r.item, words_of(r.text), answer_of(r.text)) for r in asked.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
     items = [x for x in items if len(x[1]) >= LEAST_WORDS]
-    texts = docs.select(F.col(text_col).alias("text"))
-    counts, passages = passage_counts(texts)
+    tokens = written(tokenised(docs.select(F.col(text_col).alias("text"))), "tokens")
+    counts, passages = passage_counts(tokens)
     weights = (np.log((1 + passages) / (1 + counts)) + 0.1).astype(np.float32)
-    vectors = singular_vectors(texts, [x[1] for x in items], weights, passages)
-    projection = vectors * weights[:, None]
-    of = np.array([projection[_ids(x[1])].sum(axis=0) for x in items], np.float32).reshape(len(items), vectors.shape[1])
-    of /= np.maximum(np.linalg.norm(of, axis=1, keepdims=True), 1e-9)
-    sizes: dict[int, list[int]] = {}
-    for k, (_, words, _) in enumerate(items):
-        sizes.setdefault(min(MOST_BLOCKS, -(-len(words) // STEP) + 1), []).append(k)
-    return Index(projection, tuple((i, tuple(w), tuple(a), frozenset(_ids(w).tolist())) for i, w, a in items), of, tuple((b, tuple(m)) for b, m in sorted(sizes.items())))
+    vectors = singular_vectors(tokens, [x[1] for x in items], weights, passages)
+    return make_index(items, vectors * weights[:, None])
 
 
 def matches(docs: DataFrame, index: Index, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,8 +394,9 @@ def matches(docs: DataFrame, index: Index, *, id_col: str = "doc_id", text_col:
         for batch in batches:
             rows = [
                 (doc_id, item, cosine, same, lengths[item], lo, hi)
-                for doc_id, text in zip(*(c.to_pylist() for c in batch.columns))
-                for item, cosine, same, lo, hi in held.value.search(text)
+                for ids, texts in [[c.to_pylist() for c in batch.columns]]
+                for k, item, cosine, same, lo, hi in held.value.search_all(texts)
+                for doc_id in [ids[k]]
             ]
             if rows:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -291,6 +413,9 @@ def clean(docs: DataFrame, index: Index, *, text_col: str = "text") -> DataFrame
     def leaks(texts):
         import pandas as pd
 
-        return pd.Series([isinstance(x, str) and bool(held.value.search(x)) for x in texts], dtype=bool)
+        out = [False] * len(texts)
+        for k, *_ in held.value.search_all([x if isinstance(x, str) else None for x in texts]):
+            out[k] = True
+        return pd.Series(out, dtype=bool)
 
     return docs.withColumn("__leaks", leaks(F.col(text_col))).filter("not __leaks").drop("__leaks")
