@@ -43,7 +43,7 @@ CHUNK = 256
 #: Classes to compare whose ids (16 bytes each) are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Entries a task gathers before it hands them on (14 bytes each).
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 _WORDS: dict[bytes, int] = {}
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 _S33, _S32 = np.uint64(33), np.uint64(32)
