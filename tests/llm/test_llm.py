@@ -227,6 +227,19 @@ def test_repeats(spark):
     assert left[1] == rows[0][1] and left[5] is None and left[3] == rows[2][1] and len(left[2]) < 0.6 * len(rows[1][1])
 
 
+def test_repeated_lines(spark):
+    lines = ["Home", "Share this page with your friends now", "First part here. Second part here.", "- An item. Two items! Three?"]
+    rows = [(1, "\n".join(lines) + "\nOnly one has this. Share it."), (2, "New text of two.\n" + "\n".join(x.upper() for x in lines)), (3, "First part here. But another end.\nhome\n\nhome"), (4, "Only one has this. Not here.\nShare it.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for floor, gone in ((1, {2: lines, 3: ["home", "home"], 4: ["Share it."]}), (3, {2: lines[1:]})):
+        got = repeats.repeated_units(df, line_words=floor)
+        left = {r.doc_id: r.text for r in repeats.remove(df, got).collect()}
+        for doc_id, text in rows:
+            kept = [x for x in text.split("\n") if x.lower() not in {y.lower() for y in gone.get(doc_id, [])}]
+            assert [x for x in left[doc_id].split("\n") if x.strip()] == [x for x in kept if x]
+        assert {(r.doc_id, r.unit) for r in got.filter("doc_id = 3").collect()} == ({(3, 2), (3, 3)} if floor == 1 else set())
+
+
 def test_decontaminate(spark):
     random.seed(4)
     pool = [f"{a}{b}" for a in ("tor", "mil", "gan", "fes", "ura", "pol") for b in ("an", "is", "or", "ude", "et", "ilo", "ak", "em")]

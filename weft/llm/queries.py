@@ -33,7 +33,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeated_units(documents(spark, sf_dir))
+    return repeats.repeated_units(documents(spark, sf_dir), line_words=1)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Texts are cut at line ends and after sentence marks. Units are normalised (ASCII case folded, white space as one blank,
 outer punctuation dropped) and hashed to 128 bits; digests are grouped over all documents. The occurrence of lowest rank (id, then place) stays, the
-others are repeats. Only runs of neighbouring repeats of at least MIN_WORDS words go, so that short common phrases stay.
+others are repeats. A line that repeats as a whole goes, all its units with it (and so does a paragraph, which is lines). Inside other lines
+only runs of neighbouring repeats of at least MIN_WORDS words go, so that short common phrases of sentences stay.
 Removed spans keep their offsets in the original text.
 """
 
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import prepare, written
 
-#: Words that a run of neighbouring repeats must have in all to be removed.
+#: Words that a run of neighbouring repeats must have in all to be removed where they are not whole lines.
 MIN_WORDS = 25
+#: Words that a whole line must have to be removed, if a caller does not choose; op4_repeats has no such floor.
+LINE_WORDS = 3
 _UNIT = re.compile(r"[^\n.!?]*[.!?]+(?=\s|\Z)[^\S\n]*|[^\n]+?(?:[.!?]+(?=\s)[^\S\n]*|(?=\n|\Z))")
 _EDGE = " \t\r\x0b\x0c|-*#>\"'.,;:!?()[]"
 
@@ -37,18 +40,39 @@ def units(text: str) -> list[tuple[int, int, int, str]]:
     return out
 
 
+def rows_of(text: str) -> list[tuple[int, int, int, int, int, str]]:
+    """(unit, units, start, end, words, normalised) of each unit, and of each line of several units by its first one.
+
+    units: how many make up the whole line; 0 for a unit that is only a part of its line. A line is normalised unit by unit, so where lines
+    are alike their units are.
+    """
+    out: list[tuple[int, int, int, int, int, str]] = []
+    line: list[tuple[int, int, int, str]] = []
+    found = units(text)
+    for k, unit in enumerate(found):
+        line.append(unit)
+        if k + 1 < len(found) and text.find("\n", unit[1], found[k + 1][0]) < 0:
+            continue
+        first = k + 1 - len(line)
+        if len(line) > 1:
+            out.append((first, len(line), line[0][0], unit[1], sum(u[2] for u in line), "\n".join(u[3] for u in line)))
+        out += [(first + j, int(len(line) == 1), *u) for j, u in enumerate(line)]
+        line = []
+    return out
+
+
 def unit_table(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, unit (number from 0), start, end, words, and the digest as two longs."""
+    """doc_id, unit (number from 0), units, start, end, words, and the digest as two longs; rows as of rows_of."""
     prepare(df.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("unit", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("unit", pa.int32()), ("units", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list] = [[] for _ in schema]
         for batch in batches:
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for k, (start, end, words, plain) in enumerate(units(text or "")):
+                for *place, plain in rows_of(text or ""):
                     digest = xxhash.xxh3_128_digest(plain.encode("utf-8", "surrogatepass"))
-                    for col, value in zip(cols, (doc_id, k, start, end, words, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True))):
+                    for col, value in zip(cols, (doc_id, *place, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True))):
                         col.append(value)
                 if len(cols[0]) >= 20_000:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
@@ -57,21 +81,25 @@ def unit_table(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(task, "doc_id long, unit int, start int, end int, words int, d1 long, d2 long")
+    return rows.mapInArrow(task, "doc_id long, unit int, units int, start int, end int, words int, d1 long, d2 long")
 
 
-def repeated_units(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_units(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
     """One row a removed unit: doc_id, unit, start_char, end_char, n_words, run_words, kept_doc_id, kept_start.
 
+    A unit is removed in a repeated line of line_words words or more, or in a run of min_words.
     Null, empty and wordless texts have no units. Ranks: lowest id first (null first), then place. Rows of one id and text that repeat are one
     document. Other columns are ignored; an empty table gives no rows.
     """
     table = written(unit_table(df, id_col=id_col, text_col=text_col), "units")
     firsts = table.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("kept")).filter("n > 1").select("d1", "d2", "kept")
     again = table.join(firsts, ["d1", "d2"]).filter(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("start") == F.col("kept.start")))).drop("d1", "d2").distinct()
-    placed = again.withColumn("run", F.col("unit") - F.row_number().over(W.partitionBy("doc_id").orderBy("unit", "start")))
+    # the end of the last repeated line that begins at or before a unit; lines come before their units
+    line = F.when((F.col("units") > 0) & (F.col("words") >= line_words), F.col("unit") + F.col("units"))
+    marked = again.withColumn("line", F.max(line).over(W.partitionBy("doc_id").orderBy("unit", F.desc("units"), "start").rowsBetween(W.unboundedPreceding, W.currentRow))).filter("units < 2")
+    placed = marked.withColumn("run", F.col("unit") - F.row_number().over(W.partitionBy("doc_id").orderBy("unit", "start")))
     summed = placed.withColumn("run_words", F.sum("words").over(W.partitionBy("doc_id", "run")))
-    return summed.filter(F.col("run_words") >= min_words).select(
+    return summed.filter((F.col("run_words") >= min_words) | (F.col("line") > F.col("unit"))).select(
         "doc_id", "unit", F.col("start").alias("start_char"), F.col("end").alias("end_char"), F.col("words").alias("n_words"), "run_words",
         F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"),
     )
