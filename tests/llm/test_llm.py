@@ -259,6 +259,24 @@ def test_decontaminate(spark):
     assert decontaminate.common(a, b) == 3
 
 
+def test_copies_need_no_cosine():
+    random.seed(6)
+    pool = [f"{a}{b}" for a in ("tor", "mil", "gan", "fes", "ura", "pol") for b in ("an", "is", "or", "ude", "et", "ilo", "ak", "em")]
+    make = lambda n: random.choices(pool, k=n)
+    items = [(k, make(random.randint(8, 220)), []) for k in range(150)]
+    index = decontaminate.make_index(items, np.zeros((decontaminate.BUCKETS, decontaminate.RANK), np.float32))
+    texts, planted = [], []
+    for k, words, _ in items:
+        lost = set(random.sample(range(len(words)), len(words) // 5))
+        for copy in (words, [w for j, w in enumerate(words) if j not in lost], ["other" if j in lost else w for j, w in enumerate(words)]):
+            for before, after in ((0, 0), (random.randint(1, 90), random.randint(0, 60))):
+                texts.append(" ".join(make(before) + copy + make(after)))
+                planted.append(k)
+    got = {(text, item) for text, item, *_ in index.search_all(texts)}
+    assert {(t, k) for t, k in enumerate(planted)} - got == set()
+    assert not [x for x in index.search_all([" ".join(make(60)) for _ in range(50)]) if len(items[x[1]][1]) > 20]
+
+
 def test_threads(spark):
     rows = [
         (1, 0, "user", "Hello there my friend.\n\nHow are you?"), (1, 1, "assistant", "I am fine."), (1, 2, "user", "On Monday Bob wrote:\n> Hello there  my FRIEND.\nThanks for that."),

@@ -3,7 +3,8 @@
 Passages (blocks of PASSAGE words of documents, and benchmark items) are TF-IDF vectors over hashed words. One pass writes the
 words' buckets and counts in how many passages each occurs; a second one, over the buckets, multiplies the passages' Gram matrix with a random matrix, task by task, and a Nystroem
 step turns that product into the leading right singular vectors. Documents' windows and benchmark items are projected onto them; windows whose
-cosine with an item is high enough are candidates. A candidate counts if the longest common subsequence of words holds most of the
+cosine with an item is high enough are candidates. So are, whatever their cosine, places where enough of an item's rarer pairs of neighbouring
+words stand together: a copy that lost or changed so few words that it still counts keeps more pairs than are needed. A candidate counts if the longest common subsequence of words holds most of the
 item, or, for paraphrases, a good part of it and of the item's answer (the part after its last question, or else its last sentence).
 Matrices have a fixed size; the benchmark is the query set and must be small enough to be held by each task (checked).
 """
@@ -228,6 +229,14 @@ class Index:
     bits: np.ndarray
     #: Distinct buckets of an item that a candidate must show; 0 where they are more than 64
     least: np.ndarray
+    #: Sorted pairs of neighbouring buckets that copies are found by; for each the range of its entries in pair_items and pair_offsets
+    pairs: np.ndarray
+    pair_ranges: np.ndarray
+    pair_items: np.ndarray
+    pair_offsets: np.ndarray
+    #: Whether some pair falls in a slot, and how many pairs of an item must stand together
+    slots: np.ndarray
+    need: np.ndarray
 
     def search(self, text: str | None) -> list[tuple[int | None, float, int, int, int]]:
         """(item, cosine, common words, first and last word of the window) of each item found, by its best window."""
@@ -258,7 +267,7 @@ class Index:
         begin = np.cumsum(blocks_of) - blocks_of  # its first block
         doc = np.repeat(np.arange(len(parts)), blocks_of)
         first = start[doc] + (np.arange(len(doc)) - begin[doc]) * STEP
-        item, block, span, cosine = self._candidates(ids, first, begin[doc] + blocks_of[doc], begin[doc])
+        item, block, span, cosine = self._candidates(ids, first, begin[doc] + blocks_of[doc], begin[doc], self._copies(ids, start, begin))
         if not len(item):
             return []
         d = doc[block]
@@ -290,8 +299,30 @@ class Index:
                         best[d, k] = found
         return [(places[d], self.items[k][0], c, same, -lo, hi) for (d, k), (same, c, lo, hi) in sorted(best.items())]
 
-    def _candidates(self, ids: np.ndarray, first: np.ndarray, end: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(item, first block, blocks, cosine) of windows close to an item. begin, end: of each block, the blocks of its text."""
+    def _copies(self, ids: np.ndarray, start: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, first block) of places that hold enough pairs of an item. start, begin: first word and block of each text."""
+        keys = _pairs(ids)
+        at = np.flatnonzero(self.slots[_slots(keys)])
+        at = at[np.searchsorted(start, at, "right") == np.searchsorted(start, at + 1, "right")]  # not over the end of a text
+        where = np.searchsorted(self.pairs, keys[at])
+        there = self.pairs[np.minimum(where, len(self.pairs) - 1)] == keys[at] if len(self.pairs) else np.zeros(len(at), bool)
+        at, where = at[there], where[there]
+        count = self.pair_ranges[where + 1] - self.pair_ranges[where]
+        entry = np.arange(int(count.sum())) + np.repeat(self.pair_ranges[where] - (np.cumsum(count) - count), count)
+        place, item = np.repeat(at, count), self.pair_items[entry]
+        order = np.lexsort((place, item))
+        place, item, offset = place[order], item[order], self.pair_offsets[entry][order]
+        text = np.searchsorted(start, place, "right") - 1
+        last = np.arange(len(item)) + self.need[item] - 1
+        found = np.flatnonzero(last < len(item))
+        last = last[found]
+        found = found[(item[last] == item[found]) & (text[last] == text[found]) & (place[last] - place[found] <= SPREAD * self.lengths[item[found]])]
+        ahead = np.maximum(0, place - offset - start[text])[found]
+        both = np.unique(np.stack([item[found], begin[text[found]] + ahead // STEP]), axis=1)
+        return both[0], both[1]
+
+    def _candidates(self, ids: np.ndarray, first: np.ndarray, end: np.ndarray, begin: np.ndarray, copies: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(item, first block, blocks, cosine) of windows close to an item, and of copies. begin, end: of each block, the blocks of its text."""
         sums = np.empty((len(first), self.projection.shape[1]), np.float32)
         for at in range(0, len(first), 4096):
             lo, hi = first[at], first[at + 4096] if at + 4096 < len(first) else len(ids)
@@ -314,6 +345,14 @@ class Index:
                 hit = np.flatnonzero(cosine >= COSINE)
                 w, m = np.divmod(hit, len(places))
                 out.append((places[m], here[w], np.full(len(w), blocks), cosine.reshape(-1)[hit]))
+        item, block = copies
+        have = np.concatenate([x[0] * len(first) + x[1] for x in out])
+        fresh = ~np.isin(item * len(first) + block, have)
+        item, block = item[fresh], block[fresh]
+        blocks = np.minimum(MOST_BLOCKS, -(-self.lengths[item] // STEP) + 1)
+        windows = total[np.minimum(block + blocks, end[block])] - total[block]
+        windows /= np.maximum(np.sqrt(np.einsum("ij,ij->i", windows, windows)), 1e-9)[:, None]
+        out.append((item, block, blocks, np.einsum("ij,ij->i", windows, self.vectors[item])))
         return tuple(np.concatenate(x) for x in zip(*out))
 
     def _shown(self, ids: np.ndarray, first: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -345,8 +384,45 @@ class Index:
         return np.array([len(own) for _, own, *_ in self.items])
 
 
-def make_index(items: list[tuple[int | None, list[str], list[str]]], projection: np.ndarray) -> Index:
-    """Index of items (id, words, words of the answer)."""
+def _pairs(ids: np.ndarray) -> np.ndarray:
+    """Each word's bucket with its next word's, as one number."""
+    return ids[:-1].astype(np.int64) * BUCKETS + ids[1:]
+
+
+def _slots(pairs: np.ndarray) -> np.ndarray:
+    return (pairs * 0x9E3779B1 & 0xFFFFFFFF) >> 12
+
+
+def _rare_pairs(items: list[list[str]], counts: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """The pair fields of an index. counts: passages that hold each bucket.
+
+    A copy of n words of which lost ones are gone or changed keeps n - 1 - 2 * lost pairs at least. A third of those is needed, so
+    the commonest pairs of an item, as many as the other two thirds, need not be looked for.
+    """
+    every = [_pairs(_ids(words)) for words in items]
+    distinct, inverse, times = np.unique(np.concatenate([np.empty(0, np.int64), *every]), return_inverse=True, return_counts=True)
+    common = times.astype(np.float64)
+    if counts is not None:
+        common *= (1.0 + counts[distinct // BUCKETS]) * (1.0 + counts[distinct % BUCKETS])
+    keys, holders, offsets, need, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [], 0
+    for k, (words, pairs) in enumerate(zip(items, every)):
+        sure = max(1, len(words) - 1 - 2 * (len(words) - math.ceil(SAME * len(words))))
+        need.append(max(1, sure // 3))
+        kept = np.argsort(common[inverse[at : at + len(pairs)]], kind="stable")[: max(0, len(pairs) - (sure - need[-1]))]
+        at += len(pairs)
+        keys.append(pairs[kept])
+        holders.append(np.full(len(kept), k))
+        offsets.append(kept)
+    key, holder, offset = (np.concatenate(x) for x in (keys, holders, offsets))
+    order = np.argsort(key, kind="stable")
+    held, begin = np.unique(key[order], return_index=True)
+    slots = np.zeros(1 << 20, bool)
+    slots[_slots(held)] = True
+    return held, np.append(begin, len(key)), holder[order], offset[order], slots, np.array(need, np.int64)
+
+
+def make_index(items: list[tuple[int | None, list[str], list[str]]], projection: np.ndarray, counts: np.ndarray | None = None) -> Index:
+    """Index of items (id, words, words of the answer). counts: passages that hold each bucket, to tell rare pairs of words."""
     of = np.array([projection[_ids(x[1])].sum(axis=0) for x in items], np.float32).reshape(len(items), projection.shape[1])
     of /= np.maximum(np.linalg.norm(of, axis=1, keepdims=True), 1e-9)
     sizes: dict[int, list[int]] = {}
@@ -359,7 +435,7 @@ def make_index(items: list[tuple[int | None, list[str], list[str]]], projection:
     ranges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
     least = np.array([0 if len(d) > 64 else math.ceil(SHOWN * len(d)) for d in distinct], np.int64)
     held = tuple((i, tuple(w), tuple(a), frozenset(d.tolist())) for (i, w, a), d in zip(items, distinct))
-    return Index(projection, held, of, tuple((b, tuple(m)) for b, m in sorted(sizes.items())), ranges, holders[order], np.uint64(1) << bit[order].astype(np.uint64), least)
+    return Index(projection, held, of, tuple((b, tuple(m)) for b, m in sorted(sizes.items())), ranges, holders[order], np.uint64(1) << bit[order].astype(np.uint64), least, *_rare_pairs([x[1] for x in items], counts))
 
 
 def build(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> Index:
@@ -375,7 +451,7 @@ def build(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item
     counts, passages = passage_counts(tokens)
     weights = (np.log((1 + passages) / (1 + counts)) + 0.1).astype(np.float32)
     vectors = singular_vectors(tokens, [x[1] for x in items], weights, passages)
-    return make_index(items, vectors * weights[:, None])
+    return make_index(items, vectors * weights[:, None], counts)
 
 
 def matches(docs: DataFrame, index: Index, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
