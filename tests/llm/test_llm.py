@@ -210,6 +210,63 @@ def test_licences(spark):
     assert rows[1][1][mit.start_char : mit.end_char] == "Released under the MIT License."
 
 
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+LGPL = GPL.replace("This program", "This library").replace("GNU General", "GNU Lesser General")
+NOTICES = {
+    "GPL-3.0": GPL,
+    "GPL-2.0": GPL.replace("software:", "software;").replace("Foundation,", "Foundation;").replace("version 3", "version 2"),
+    "AGPL-3.0": GPL.replace("GNU General", "GNU Affero General"),
+    "LGPL-3.0": LGPL,
+    "LGPL-2.1": LGPL.replace("version 3", "version 2.1"),
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.\n",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n",
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.\n",
+    "BSD-2-Clause": BSD,
+    "BSD-3-Clause": BSD + "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n",
+    "MIT": licences.SENTENCES["mit-grant"].replace(", to deal", ", to\ndeal").replace("and/or sell", "and/or\nsell") + "\n\n" + licences.SENTENCES["mit-notice"].replace("shall", "shall\n"),
+}
+
+
+@pytest.mark.parametrize("name", NOTICES)
+def test_published_notices(name):
+    table = licences.known(licences.SENTENCES)
+    lines = ["Copyright (c) 2020 A. Person", *NOTICES[name].split("\n")]
+    for mark in ("", "# ", " * ", "// ", ";; ", "    "):
+        text = "int x;\n" + "\n".join((mark + x).rstrip() for x in lines) + "\nint main() {}\n"
+        one_line = "\n".join(" ".join(p.split()) for p in NOTICES[name].split("\n\n"))
+        for t in (text, one_line):
+            found = licences.matches(t, table, licences.RULES, licences.GAP)
+            assert [x[0] for x in found] == [name], (mark, found)
+
+
+@pytest.mark.parametrize("rule", licences.RULES, ids=lambda r: ",".join(r[1]))
+def test_each_rule(rule):
+    table = licences.known(licences.SENTENCES)
+    for text in ("\n".join(licences.SENTENCES[x] for x in rule[1]), "\n".join("# " + licences.SENTENCES[x] for x in rule[1])):
+        for wrapped in (text, re.sub(r"((?:\S+\s+){8})(?=[a-z])", r"\1\n# ", text)):
+            found = licences.matches(wrapped, table, licences.RULES, licences.GAP)
+            assert [(x[0], x[4]) for x in found] == [(rule[0], ",".join(rule[1]))], wrapped
+
+
 def test_repeats(spark):
     random.seed(3)
     make = lambda n: " ".join(random.choice("abcdefghij") * random.randint(2, 9) + str(random.randint(0, 999)) for _ in range(n))

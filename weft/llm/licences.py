@@ -1,13 +1,15 @@
 """Licence scans by sentence rules.
 
 Texts are cut into sentences (at line ends, and over wrapped lines at sentence marks), which are normalised and looked up among
-known licence sentences. A licence rule is an ordered list of sentence ids; it matches where its ids follow each other
+known licence sentences; from every line start and sentence start known ones are also matched word by word, over wraps, comment
+marks and sentence marks inside them. A licence rule is an ordered list of sentence ids; it matches where its ids follow each other
 with at most GAP unknown sentences between two of them. The longest rule that starts at a sentence wins. One pass over the rows,
 without a shuffle.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -49,6 +51,20 @@ SENTENCES: dict[str, str] = {
     "cc0": "This work is dedicated to the public domain under CC0 1.0.",
     "rights": "All rights reserved.",
     "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "gpl2-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
+    "gpl2-only": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2 of the License.",
+    "gpl3-only": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License.",
+    "agpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-see": "See the GNU Affero General Public License for more details.",
+    "lgpl21-free": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-free": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl3-program": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl-see": "See the GNU Lesser General Public License for more details.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-grant-and": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "unlicense-free": "This is free and unencumbered software released into the public domain.",
+    "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
 #: (licence, ordered sentence ids); several rules may name one licence.
@@ -72,6 +88,17 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC0-1.0", ("cc0",)),
     ("MPL-2.0", ("mpl",)),
     ("all-rights-reserved", ("rights",)),
+    ("GPL-2.0", ("gpl2-free", "gpl-hope", "gpl-see")),
+    ("GPL-2.0", ("gpl2-only", "gpl-hope", "gpl-see")),
+    ("GPL-3.0", ("gpl3-only", "gpl-hope", "gpl-see")),
+    ("AGPL-3.0", ("agpl-free", "gpl-hope", "agpl-see")),
+    ("LGPL-2.1", ("lgpl21-free", "lgpl-hope", "lgpl-see")),
+    ("LGPL-3.0", ("lgpl3-free", "lgpl-hope", "lgpl-see")),
+    ("LGPL-3.0", ("lgpl3-program", "gpl-hope", "lgpl-see")),
+    ("ISC", ("isc-grant",)),
+    ("ISC", ("isc-grant-and",)),
+    ("Unlicense", ("unlicense-free",)),
+    ("Unlicense", ("unlicense-free", "unlicense-anyone")),
 )
 
 _PLAIN = re.compile(r"[^a-z0-9.]+")
@@ -90,6 +117,20 @@ def known(sentences: dict[str, str]) -> dict[str, str]:
     return out
 
 
+_FIRST = re.compile(r"[^a-zA-Z0-9\n]*([a-zA-Z0-9]+(?:\.[a-zA-Z0-9]+)*)")
+
+
+@functools.lru_cache(8)
+def _by_first_word(table: tuple[tuple[str, str], ...]) -> dict[str, list[tuple[re.Pattern, str]]]:
+    """(pattern, id) of the known sentences that begin with a word; a sentence ends where its line does or at a sentence mark."""
+    out: dict[str, list[tuple[re.Pattern, str]]] = {}
+    for sentence, name in table:
+        words = "[^a-zA-Z0-9]+".join(re.escape(w) for w in sentence.split())
+        pattern = re.compile(rf"[^a-zA-Z0-9\n]*?(?=[a-zA-Z0-9])({words})(?![a-zA-Z0-9]|\.[a-zA-Z0-9])(?:[^\sa-zA-Z0-9]*[.!?:;][^\sa-zA-Z0-9]*(?=\s|\Z)|[^\na-zA-Z0-9]*(?=\n|\Z))", re.IGNORECASE | re.ASCII)
+        out.setdefault(sentence.split()[0], []).append((pattern, name))
+    return out
+
+
 def sentence_ids(text: str, table: dict[str, str]) -> list[tuple[int, int, str | None]]:
     """(start, end, id or None) of the text's sentences in order; where line and wrapped reading overlap, known ones win."""
     longest = max((len(s) for s in table), default=0) * 2 + 200
@@ -104,8 +145,10 @@ def sentence_ids(text: str, table: dict[str, str]) -> list[tuple[int, int, str |
             found[start + lead] = (end, name)
         return name
 
+    starts: set[int] = set()
     for line in _LINE.finditer(text):
         at = line.start()
+        starts.add(at)
         if put(at, line.end()) is not None:
             plain.append((at, line.end()))
             continue
@@ -120,6 +163,15 @@ def sentence_ids(text: str, table: dict[str, str]) -> list[tuple[int, int, str |
         if "\n" in text[at:end]:
             put(at, end)
         at = stop.end() if stop else end
+        starts.add(at)
+    first_words = _by_first_word(tuple(table.items()))
+    for start in starts:
+        head = _FIRST.match(text, start)
+        for pattern, name in first_words.get(head[1].lower(), ()) if head else ():
+            if m := pattern.match(text, start):
+                begin = start + len(m[0]) - len(m[0].lstrip())
+                if found.get(begin, (0, ""))[0] < m.end():
+                    found[begin] = (m.start() + len(m[0].rstrip()), name)
     out: list[tuple[int, int, str | None]] = []
     covered = 0
     for start, end, name in sorted([(s, e, n) for s, (e, n) in found.items()] + [(s, e, None) for s, e in plain], key=lambda x: (x[0], x[2] is None, -x[1])):
