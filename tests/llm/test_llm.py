@@ -334,6 +334,17 @@ def test_copies_need_no_cosine():
     assert not [x for x in index.search_all([" ".join(make(60)) for _ in range(50)]) if len(items[x[1]][1]) > 20]
 
 
+def test_short_and_wordy_items():
+    none = np.zeros((decontaminate.BUCKETS, decontaminate.RANK), np.float32)
+    index = decontaminate.make_index([], none, None, ((1, ["blue", "whale"]), (2, ["seven"]), (3, ["blue", "whale"])))
+    assert sorted(index.search("A Blue, whale! blue whale")) == [(1, 1.0, 2, 1, 3), (3, 1.0, 2, 1, 3)]
+    assert index.search("blue big whale") == [] and index.search("at seven.") == [(2, 1.0, 1, 1, 2)] and index.search(None) == []
+    # 40 distinct words of 100; 75 common words show 15 of them
+    own = [w for k in range(15) for w in [f"often{k}"] * 5] + [f"once{k}" for k in range(25)]
+    index = decontaminate.make_index([(7, own, [])], none)
+    assert [(x[0], x[2]) for x in index.search(" ".join(own[:75] + ["other"] * 25))] == [(7, 75)]
+
+
 def test_threads(spark):
     rows = [
         (1, 0, "user", "Hello there my friend.\n\nHow are you?"), (1, 1, "assistant", "I am fine."), (1, 2, "user", "On Monday Bob wrote:\n> Hello there  my FRIEND.\nThanks for that."),

@@ -34,14 +34,12 @@ STEP, MOST_BLOCKS = 16, 12
 COSINE = 0.62
 #: Share of an item's words in the longest common subsequence; for paraphrases, and of the answer's words then.
 SAME, PARAPHRASE, ANSWER = 0.75, 0.6, 0.9
-#: Share of an item's distinct words' buckets that a candidate window must show before words are compared.
-SHOWN = 0.8 * PARAPHRASE
 #: Cells of a matrix that a search holds at a time, and words of texts that are searched together.
 CELLS = 1_000_000
 WORDS_AT_ONCE = 100_000
 #: A match's words lie within so many times the item's length.
 SPREAD = 1.4
-#: Shortest item or answer, in words, that is looked for.
+#: Shortest item, in words, that is looked for by similarity; a shorter one is looked up by its whole word sequence.
 LEAST_WORDS = 8
 #: The most benchmark bytes that are sent to each task.
 BENCHMARK_BYTES = 64_000_000
@@ -227,7 +225,8 @@ class Index:
     ranges: np.ndarray
     holders: np.ndarray
     bits: np.ndarray
-    #: Distinct buckets of an item that a candidate must show; 0 where they are more than 64
+    #: Distinct buckets of an item that a candidate must show: as few as hold PARAPHRASE of its words; in least 0 where the item has more than 64
+    fewest: np.ndarray
     least: np.ndarray
     #: Sorted pairs of neighbouring buckets that copies are found by; for each the range of its entries in pair_items and pair_offsets
     pairs: np.ndarray
@@ -237,6 +236,9 @@ class Index:
     #: Whether some pair falls in a slot, and how many pairs of an item must stand together
     slots: np.ndarray
     need: np.ndarray
+    #: Items of fewer than LEAST_WORDS words, by their words
+    short: dict[tuple[str, ...], tuple[int | None, ...]]
+    short_slots: np.ndarray
 
     def search(self, text: str | None) -> list[tuple[int | None, float, int, int, int]]:
         """(item, cosine, common words, first and last word of the window) of each item found, by its best window."""
@@ -245,12 +247,12 @@ class Index:
     def search_all(self, texts: list[str | None]) -> list[tuple]:
         """The same for many texts, each row with its text's place in front. Many texts share the array work; a longer text is searched alone."""
         out: list[tuple] = []
-        if not self.items:
-            return out
         places, ids, n = [], [], 0
         for k, text in enumerate(texts):
             got = _ids((text or "").lower().split())
-            if len(got):
+            if len(got) and self.short:
+                out += self._exact(k, text, got)
+            if len(got) and self.items:
                 places.append(k)
                 ids.append(got)
                 n += len(got)
@@ -259,6 +261,18 @@ class Index:
                 places, ids, n = [], [], 0
         return out + self._search(texts, places, ids) if n else out
 
+    def _exact(self, k: int, text: str | None, ids: np.ndarray) -> list[tuple]:
+        """Rows of the short items that stand word for word in a text, by their first place."""
+        at = np.flatnonzero(self.short_slots[ids]).tolist()
+        words = words_of(text) if at else []
+        found: dict[tuple[str, ...], int] = {}
+        for size in sorted({len(x) for x in self.short}):
+            for place in at:
+                own = tuple(words[place : place + size])
+                if own in self.short:
+                    found.setdefault(own, place)
+        return [(k, item, 1.0, len(own), place, place + len(own)) for own, place in found.items() for item in self.short[own]]
+
     def _search(self, texts: list[str | None], places: list[int], parts: list[np.ndarray]) -> list[tuple]:
         ids = np.concatenate(parts)
         lengths = np.array([len(x) for x in parts])
@@ -279,7 +293,7 @@ class Index:
         tokens, word_at, of = [], [], -1
         for k, d, lo, hi, near in zip(*(x[shown].tolist() for x in (item, d, low, high, cosine))):
             _, own, answer, distinct = self.items[k]
-            if len(distinct.intersection(ids[lo:hi].tolist())) < SHOWN * len(distinct):
+            if len(distinct.intersection(ids[lo:hi].tolist())) < self.fewest[k]:
                 continue
             if of != d:
                 tokens, of = (texts[places[d]] or "").lower().split(), d
@@ -421,8 +435,14 @@ def _rare_pairs(items: list[list[str]], counts: np.ndarray | None) -> tuple[np.n
     return held, np.append(begin, len(key)), holder[order], offset[order], slots, np.array(need, np.int64)
 
 
-def make_index(items: list[tuple[int | None, list[str], list[str]]], projection: np.ndarray, counts: np.ndarray | None = None) -> Index:
-    """Index of items (id, words, words of the answer). counts: passages that hold each bucket, to tell rare pairs of words."""
+def _fewest(ids: np.ndarray, words: float) -> int:
+    """The least number of distinct buckets that can hold so many of an item's words."""
+    held = np.cumsum(np.sort(np.unique(ids, return_counts=True)[1])[::-1])
+    return int(np.searchsorted(held, words - 1e-9) + 1) if len(held) else 0
+
+
+def make_index(items: list[tuple[int | None, list[str], list[str]]], projection: np.ndarray, counts: np.ndarray | None = None, short: tuple[tuple[int | None, list[str]], ...] = ()) -> Index:
+    """Index of items (id, words, words of the answer) and of short ones (id, words). counts: passages that hold each bucket, to tell rare pairs of words."""
     of = np.array([projection[_ids(x[1])].sum(axis=0) for x in items], np.float32).reshape(len(items), projection.shape[1])
     of /= np.maximum(np.linalg.norm(of, axis=1, keepdims=True), 1e-9)
     sizes: dict[int, list[int]] = {}
@@ -433,25 +453,32 @@ def make_index(items: list[tuple[int | None, list[str], list[str]]], projection:
     bucket, holders, bit = (x[entries[2] < 64] for x in entries)
     order = np.argsort(bucket, kind="stable")
     ranges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-    least = np.array([0 if len(d) > 64 else math.ceil(SHOWN * len(d)) for d in distinct], np.int64)
+    fewest = np.array([_fewest(_ids(words), PARAPHRASE * len(words)) for _, words, _ in items], np.int64)
+    least = np.array([0 if len(d) > 64 else f for d, f in zip(distinct, fewest)], np.int64)
+    few: dict[tuple[str, ...], tuple[int | None, ...]] = {}
+    for item, words in short:
+        few[tuple(words)] = (*few.get(tuple(words), ()), item)
+    short_slots = np.zeros(BUCKETS, bool)
+    short_slots[[int(_ids(list(w[:1]))[0]) for w in few]] = True
     held = tuple((i, tuple(w), tuple(a), frozenset(d.tolist())) for (i, w, a), d in zip(items, distinct))
-    return Index(projection, held, of, tuple((b, tuple(m)) for b, m in sorted(sizes.items())), ranges, holders[order], np.uint64(1) << bit[order].astype(np.uint64), least, *_rare_pairs([x[1] for x in items], counts))
+    return Index(projection, held, of, tuple((b, tuple(m)) for b, m in sorted(sizes.items())), ranges, holders[order], np.uint64(1) << bit[order].astype(np.uint64), fewest, least, *_rare_pairs([x[1] for x in items], counts), few, short_slots)
 
 
 def build(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> Index:
-    """Fit on all documents and items. Items under LEAST_WORDS words are left out; equal ids with different texts are items apart."""
+    """Fit on all documents and items. Items under LEAST_WORDS words are looked up word for word, wordless ones not at all; equal ids with different texts are items apart."""
     prepare(docs.sparkSession)
     asked = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).filter("text is not null").distinct()
     size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > BENCHMARK_BYTES:
         raise ValueError("the benchmark is too large to be sent to each task; pass it in parts")
     items = sorted(((r.item, words_of(r.text), answer_of(r.text)) for r in asked.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    short = tuple((x[0], x[1]) for x in items if 0 < len(x[1]) < LEAST_WORDS)
     items = [x for x in items if len(x[1]) >= LEAST_WORDS]
     tokens = written(tokenised(docs.select(F.col(text_col).alias("text"))), "tokens")
     counts, passages = passage_counts(tokens)
     weights = (np.log((1 + passages) / (1 + counts)) + 0.1).astype(np.float32)
     vectors = singular_vectors(tokens, [x[1] for x in items], weights, passages)
-    return make_index(items, vectors * weights[:, None], counts)
+    return make_index(items, vectors * weights[:, None], counts, short)
 
 
 def matches(docs: DataFrame, index: Index, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -462,7 +489,7 @@ def matches(docs: DataFrame, index: Index, *, id_col: str = "doc_id", text_col:
     prepare(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(index)
     lengths = {}
-    for item, own, *_ in index.items:
+    for item, own in [*((x[0], x[1]) for x in index.items), *((i, w) for w, held_by in index.short.items() for i in held_by)]:
         lengths.setdefault(item, len(own))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("common_words", pa.int32()), ("item_words", pa.int32()), ("first_word", pa.int32()), ("last_word", pa.int32())])
 
