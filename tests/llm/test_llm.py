@@ -103,8 +103,17 @@ def test_near_join(spark, docs, rows, monkeypatch):
         w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
         return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
-    numbered = [(k + 1, t) for k, (_, t) in enumerate(rows)]
-    sets = {k: shingle_set(t) for k, t in numbered}
+    random.seed(8)
+    base = [f"base{k}" for k in range(60)]
+    cluster = []
+    for k in range(40):
+        w = list(base)
+        for _ in range(random.randint(0, 4)):
+            w[random.randrange(60)] = f"other{random.randint(0, 9)}"
+        cluster.append((2000 - k, " ".join(w)))
+    lone = " ".join(f"lone{k}" for k in range(50))
+    numbered = [*rows, *cluster, (None, lone), (None, lone + " x"), (3000, lone + " x y"), (None, "all null ids"), (None, "all null ids")]
+    sets = dict(enumerate(shingle_set(t) for _, t in numbered))
     root = {k: k for k in sets}
 
     def find(x):
@@ -117,14 +126,39 @@ def test_near_join(spark, docs, rows, monkeypatch):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    want = {(k, len(sets[k]), find(k)) for k in sets}
-    for small in (near_join.SMALL, 2):
+    lowest = {}
+    for k, (d, _) in enumerate(numbered):
+        if d is not None:
+            lowest[find(k)] = min(d, lowest.get(find(k), d))
+    want = collections.Counter((numbered[k][0], len(sets[k]), lowest.get(find(k))) for k in sets)
+    frame = spark.createDataFrame(numbered, "doc_id long, text string").withColumn("node", F.lit("x"))
+    for small, chunk in ((near_join.SMALL, near_join.CHUNK), (2, 5)):
         monkeypatch.setattr(near_join, "SMALL", small)
-        out = near_join.near_join(spark.createDataFrame(numbered, "doc_id long, text string").withColumn("node", F.lit("x")))
-        assert {(r.doc_id, r.n_shingles, r.component_id) for r in out.collect()} == want
+        monkeypatch.setattr(near_join, "CHUNK", chunk)
+        monkeypatch.setattr(near_join, "FREQUENT", 32 if small > 2 else 3)
+        assert collections.Counter(tuple(r) for r in near_join.near_join(frame).select("doc_id", "n_shingles", "component_id").collect()) == want
     assert near_join.near_join(docs.limit(0)).count() == 0
 
 
+def test_shingles_of_long_texts():
+    random.seed(9)
+    texts = [None, "", " \n", "a", "A b", "a B c\td  e", "e\u0301 ß\xa0x y z w v", "w " * 100_000, "y" * 300_000, " ".join(str(k % 4001) for k in range(60_000)) + " " + "z" * 200_000]
+    texts += [" ".join(random.choice("abc") * random.randint(1, 3) for _ in range(random.randint(0, 200))) for _ in range(200)]
+    for text, got in zip(texts, near_join.shingle_sets(texts)):
+        w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        assert len(got) == (len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) if len(w) >= 5 else int(bool(w)))
+        assert (got[1:] > got[:-1]).all() and (near_join.shingles(text) == got).all()
+
+
+def test_sketches_bound_the_difference():
+    random.seed(10)
+    for _ in range(200):
+        a = {random.getrandbits(64) for _ in range(random.randint(1, 3000))}
+        b = set(random.sample(sorted(a), random.randint(1, len(a)))) | {random.getrandbits(64) for _ in range(random.randint(0, 600))}
+        x, y = (np.frombuffer(near_join.parity_sketch(np.array(sorted(s), np.uint64)), "<u8") for s in (a, b))
+        assert int(near_join._far(x, y)) <= len(a ^ b)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95)]
     got = {(r.node, r.root) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

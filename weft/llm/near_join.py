@@ -4,16 +4,17 @@ A document is the set of its word shingles, as 64-bit hashes. Equal sets form on
 
 1. Sketch. The shingles of a class are dealt by hash to blocks, and a block's word is the XOR of its shingles' hashes. A shingle
    that only one of two sets has changes one word, so the number of words that differ is a lower bound of the
-   symmetric difference, as is the Hamming distance of a 512-bit parity sketch (each shingle flips one bit).
-2. Pigeonhole. Sets with Jaccard similarity s >= 0.8, the smaller of size n, differ in at most n/4 shingles. A size band
-   has so many blocks that each set has more than its t = n/4 occupied ones (by seven standard deviations of their number; small
-   sets use a block a shingle), so some occupied word agrees. Words meet in hash buckets; a set also joins the
-   bands below that reach up to its size.
-3. Groups. All pairs of a small group are candidates. Words that more than SMALL classes hold are hot: as a set has more occupied words
-   than can differ, it drops its most frequent hot words, as many as it has to spare (prefix filter in the order of rarity). What is left of
-   the large groups is joined with one hub each, and after the components of the verified pairs are known, the classes outside
-   a group's largest component are compared with all others of it, in chunks, by size and sketch.
-4. Verify. Candidates that pass size and sketch are compared by their whole shingle sets.
+   symmetric difference, as is the Hamming distance of a parity sketch (each shingle flips one of two to four bits a shingle).
+2. Pigeonhole. Sets with Jaccard similarity s >= 0.8 differ in at most (sum of their sizes)/9 shingles, a quarter of a set's size n
+   at most. Sets of one size band have the same blocks. Of a set's occupied words at most t = n/4 are not those of a similar set, so in any
+   order of words its first t+1 hold the first word that both have (a prefix filter). Words go in order of rarity: those that are
+   found to be frequent in a pass over all classes come last. A set with no more than t occupied words also joins by single shingles.
+   A set also joins the band below, where that reaches up to its size.
+3. Groups. Words meet in hash buckets. All pairs of a small group are candidates. A large group makes a star: its hub is the member most of whose words are
+   frequent, so the text that the others are copies of. Candidates must pass size and sketch.
+4. Verify. Candidates are compared by their whole shingle sets, each class with its nearest candidate first, then what is not yet in one component.
+5. Stars. Two members of a large group have the same star. Members outside a star's largest component are compared with all others of it by size and
+   sketch, in chunks of bounded size; a chunk hands on a spanning forest of what may be similar, which is verified, until nothing is left.
 
 Copies in one task count once before anything is shuffled. No all-pairs of a large group, no cap on partners.
 """
@@ -27,26 +28,32 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weft.llm.common import partitions, prepare, written
+from weft.llm.common import discard, partitions, prepare, written
 from weft.llm.components import components
 
 WORDS = 5
 #: Largest group of a word whose pairs are all candidates.
 SMALL = 24
 BAND_RATIO = 1.6
-SKETCH_BITS = 512
-#: Members of a large group that are compared at a time.
-CHUNK = 256
-#: Classes to compare whose ids (16 bytes each) are broadcast to find their texts; more are joined by a shuffle.
+LEAST_BITS = 512
+#: Members of a star, and bytes of their sketches, that are compared at a time.
+CHUNK, CHUNK_BYTES = 1024, 4_000_000
+#: Rounds in which chunks hand on forests; then they hand on all pairs that are left.
+FORESTS = 3
+#: Classes to compare whose keys (24 bytes each) are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Entries a task gathers before it hands them on (14 bytes each).
-FLUSH = 1_000_000
-_WORDS: dict[bytes, int] = {}
+#: Entries a task gathers before it hands them on (about 10 bytes each), and words of a bucket that are grouped at a time.
+FLUSH, AT_ONCE = 1_000_000, 4_000_000
+#: Frequent words that order all others: held by so many classes as counted, and so many words at most (16 bytes each), the most frequent.
+#: They only order a set's words, so the bound changes no result.
+FREQUENT, FREQUENT_WORDS = 32, 1 << 18
+#: Bytes of texts that are hashed at a time.
+PIECE = 1 << 16
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
-_S33, _S32 = np.uint64(33), np.uint64(32)
+_S33, _S32, _S44 = np.uint64(33), np.uint64(32), np.uint64(44)
+_BLANK = b" \t\n\r\x0b\x0c"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -55,28 +62,94 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S33)
 
 
-def _word(word: bytes) -> int:
-    value = _WORDS.get(word)
-    if value is None:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 40:
-            if len(_WORDS) > 400_000:
-                _WORDS.clear()
-            _WORDS[word] = value
-    return value
+@functools.cache
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit value for each byte (0 for blanks), and whether it is one."""
+    blank = np.zeros(256, bool)
+    blank[list(_BLANK)] = True
+    value = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    value[blank] = 0
+    return value, blank
+
+
+@functools.lru_cache(maxsize=2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+    base = 0xD6E8FEB86659FD93
+    of = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, x, np.uint64)]))
+    return of(base), of(pow(base, -1, 1 << 64))
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of each word of data: a polynomial in its bytes' values, mixed."""
+    value, blank = _letters()
+    raw = np.frombuffer(data, np.uint8)
+    power, inverse = _powers(PIECE << max(0, (len(data) // PIECE).bit_length()))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(value[raw] * power[: len(raw)], out=total[1:])
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = ~blank[raw]
+    turn = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = turn[::2], turn[1::2]
+    return _mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)), start
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """Parts of a long text, cut where words end."""
+    at = 0
+    while len(data) - at > 2 * PIECE:
+        cut = min((x for x in (data.find(b, at + PIECE, at + 2 * PIECE) for b in (b" ", b"\n", b"\t")) if x >= 0), default=-1)
+        if cut < 0:
+            cut = next((k for k in range(at + PIECE, len(data)) if data[k] in _BLANK), len(data))
+        yield data[at:cut]
+        at = cut
+    yield data[at:]
+
+
+def _shingled(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of `size` words."""
+    factor = np.random.default_rng(13).integers(1, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    rolled = np.full(len(words) - size + 1, size, np.uint64)
+    for k in range(size):
+        rolled += words[k : k + len(rolled)] * factor[k]
+    return _mix(rolled)
+
+
+def _sorted_set(hashes: np.ndarray) -> np.ndarray:
+    hashes = np.sort(hashes)
+    return hashes if len(hashes) < 2 or (fresh := hashes[1:] != hashes[:-1]).all() else hashes[np.concatenate([[True], fresh])]
+
+
+def shingle_sets(texts: list[str | None], size: int = WORDS) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of all runs of `size` words; with fewer words one hash of them all; without words none."""
+
+    def of_words(words: np.ndarray) -> np.ndarray:
+        return _sorted_set(_shingled(words, min(size, len(words)))) if len(words) else words
+
+    def together(held: list[bytes]) -> Iterator[np.ndarray]:
+        words, at = _word_hashes(b"\n".join(held))
+        edges = np.searchsorted(at, np.cumsum([0, *[len(x) + 1 for x in held]])).tolist()
+        runs = _shingled(words, size) if len(words) >= size else words[:0]
+        for lo, hi in zip(edges, edges[1:]):
+            yield _sorted_set(runs[lo : hi - size + 1]) if hi - lo >= size else of_words(words[lo:hi])
+
+    held, n = [], 0
+    for text in texts:
+        data = (text or "").encode("utf-8", "surrogatepass").lower()  # ASCII case only, as are blanks
+        if n + len(data) > PIECE and held:
+            yield from together(held)
+            held, n = [], 0
+        if len(data) > 2 * PIECE:
+            yield of_words(np.concatenate([_word_hashes(x)[0] for x in _pieces(data)]))
+        else:
+            held.append(data)
+            n += len(data)
+    if held:
+        yield from together(held)
 
 
 def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of all runs of `size` words; with fewer words one hash of them all; without words none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII case and white space only
-    if not words:
-        return np.empty(0, np.uint64)
-    hashed = np.fromiter(map(_word, words), np.uint64, len(words))
-    width = min(size, len(words))
-    rolled = np.full(len(words) - width + 1, width, np.uint64)
-    for k in range(width):
-        rolled = _mix(rolled * _M3 + hashed[k : k + len(rolled)])
-    return np.unique(rolled)
+    return next(shingle_sets([text], size))
 
 
 def node_of(hashes: np.ndarray) -> int:
@@ -92,31 +165,6 @@ def band_starts() -> tuple[int, ...]:
     return tuple(out)
 
 
-@functools.cache
-def blocks(band: int) -> tuple[int, int]:
-    """(blocks, t) of a band; 0 blocks: one a shingle."""
-    low, high = band_starts()[band], band_starts()[band + 1]
-    t = (high - 1) // 4
-    for x in np.arange(0.45, 1.5, 0.05):
-        m = max(2, int(x * low))
-        empty, two = (1 - 1 / m) ** low, (1 - 2 / m) ** low
-        spread = max(0.0, m * (empty - empty**2) + m * (m - 1) * (two - empty**2)) ** 0.5
-        if m * (1 - empty) - 7 * spread >= t + 2:
-            return m, t
-    return 0, t
-
-
-def block_words(hashes: np.ndarray, band: int) -> np.ndarray:
-    """A 64-bit word for each occupied block, or each shingle."""
-    m, _ = blocks(band)
-    values = _mix(hashes ^ _M3)
-    if m:
-        block = ((hashes >> _S32) * np.uint64(m)) >> _S32  # hashes are sorted, and so blocks are
-        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        values = np.bitwise_xor.reduceat(values, first) ^ _mix(block[first] + np.uint64(1))
-    return _mix(values + np.uint64((band + 1) * int(_M3) % 2**64))
-
-
 def bands_of(n: int) -> list[int]:
     """Own band, then those below whose sets can be as little as 0.8 times as large."""
     starts = band_starts()
@@ -127,163 +175,319 @@ def bands_of(n: int) -> list[int]:
     return out
 
 
-def parity_sketch(hashes: np.ndarray) -> np.ndarray:
-    """Eight signed 64-bit words; each shingle flips one of 512 bits."""
-    odd = np.bincount((hashes & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+def differing(n: int, band: int) -> int:
+    """The most shingles in which a set of n differs from a similar one that meets it in the band."""
+    if n < band_starts()[band + 1]:
+        return n // 4  # the other has 5n/4 at most
+    return (n + band_starts()[band + 1] - 1) // 9  # a guest: the other is of the band
 
 
-def _features(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """doc_id, n, node, sketch and, for its bands, how many occupied words are to spare; node is null for empty sets."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sketch", pa.list_(pa.int64())), ("spare", pa.list_(pa.int64()))])
+def block_words(hashes: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit word for each occupied block (there are as many as the band's least size), and, only if they are too few for a join by them, one for each shingle."""
+    blocks = band_starts()[band]
+    values = _mix(hashes ^ _M3)
+    block = ((hashes >> _S32) * np.uint64(blocks)) >> _S32  # hashes are sorted, and so blocks are
+    first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    words = _mix((np.bitwise_xor.reduceat(values, first) ^ _mix(block[first] + np.uint64(1))) + np.uint64((band + 1) * int(_M3) % 2**64))
+    if len(words) > differing(len(hashes), band):
+        return words, words[:0]
+    return words, _mix(values ^ _mix(np.full(1, (band + 1) * int(_M2) % 2**64, np.uint64)))
+
+
+class Frequent:
+    """Frequent words, sorted, and how many classes hold each."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.counts = words[order], counts[order]
+        self.slots = np.zeros(1 << 20, bool)  # quickly tells most others
+        self.slots[words >> _S44] = True
+
+    def ranks(self, words: np.ndarray) -> np.ndarray:
+        """Counts of words; 0 of those that are not frequent."""
+        out = np.zeros(len(words), np.int64)
+        at = np.flatnonzero(self.slots[words >> _S44])
+        if len(at):
+            place = np.minimum(np.searchsorted(self.words, words[at]), len(self.words) - 1)
+            out[at] = np.where(self.words[place] == words[at], self.counts[place], 0)
+        return out
+
+
+def first_words(words: np.ndarray, number: int, frequent: Frequent) -> tuple[np.ndarray, float]:
+    """The first of the words in order of rarity, then of value, and the share of frequent ones among all."""
+    rank = frequent.ranks(words)
+    rare = rank == 0
+    first = np.sort(words[rare])[:number]
+    if len(first) < number:
+        rest, of = words[~rare], rank[~rare]
+        first = np.concatenate([first, rest[np.lexsort((rest, of))[: number - len(first)]]])
+    return first, 1 - float(rare.mean())
+
+
+def join_words(hashes: np.ndarray, band: int, frequent: Frequent) -> tuple[np.ndarray, float]:
+    """The words by which a set is joined in a band, and its share of frequent words."""
+    number = differing(len(hashes), band) + 1
+    words, single = block_words(hashes, band)
+    if not len(single):
+        return first_words(words, number, frequent)
+    # a similar set with enough blocks shares one of these; one with as few shares a shingle
+    few, share = first_words(single, number, frequent)
+    return np.concatenate([words, few]), share
+
+
+def parity_sketch(hashes: np.ndarray) -> bytes:
+    """Each shingle flips one of 2n to 4n bits (512 at least), a power of two; halves fold by XOR to the sketch of half the bits."""
+    bits = max(LEAST_BITS, 1 << (2 * len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _far(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Hamming distances of sketches (rows of 64-bit words), the wider folded."""
+    while one.shape[-1] > two.shape[-1]:
+        one = one[..., : one.shape[-1] // 2] ^ one[..., one.shape[-1] // 2 :]
+    while two.shape[-1] > one.shape[-1]:
+        two = two[..., : two.shape[-1] // 2] ^ two[..., two.shape[-1] // 2 :]
+    return np.bitwise_count(one ^ two).sum(axis=-1, dtype=np.int64)
+
+
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", F.xxhash64("text").alias("key"), "text")
+
+
+class _Seen:
+    """Classes that a task has had; forgets all now and then, which costs repeated work only."""
+
+    def __init__(self, most: int = 500_000):
+        self.nodes: set[int] = set()
+        self.most = most
+
+    def __call__(self, node: int) -> bool:
+        if node in self.nodes:
+            return True
+        if len(self.nodes) >= self.most:
+            self.nodes.clear()
+        self.nodes.add(node)
+        return False
+
+
+def _frequent(df: DataFrame, text_col: str, size: int) -> Frequent:
+    """The words that many classes hold. A task counts those that it meets more than once."""
+    schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            words = np.sort(np.concatenate(parts))
+            first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+            times = np.diff(np.append(first, len(words)))
+            first, times = first[times > 1], times[times > 1]
+            for k in range(0, len(first), 50_000):
+                yield pa.record_batch([pa.array(words[first[k : k + 50_000]].view(np.int64)), pa.array(times[k : k + 50_000].astype(np.int64))], schema=schema)
+
+        seen, parts, n = _Seen(), [], 0
         for batch in batches:
-            n, nodes, sketches, spare = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                h = shingles(text, size)
-                n.append(len(h))
-                nodes.append(node_of(h) if len(h) else None)
-                sketches.append(parity_sketch(h).tolist() if len(h) else [])
-                spare.append([x for b in (bands_of(len(h)) if len(h) else []) for x in (b, len(block_words(h, b)) - blocks(b)[1] - 1)])
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(spare, pa.list_(pa.int64()))], schema=schema)
+            for h in shingle_sets(batch.column(0).to_pylist(), size):
+                if not len(h) or seen(node_of(h)):
+                    continue
+                for band in bands_of(len(h)):
+                    parts += block_words(h, band)
+                    n += len(parts[-1]) + len(parts[-2])
+                if n >= 2 * FLUSH:
+                    yield from counted(parts)
+                    parts, n = [], 0
+        if parts:
+            yield from counted(parts)
+
+    counts = written(df.select(F.col(text_col).alias("text")).mapInArrow(task, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT), "frequent")
+    # by powers of two the least count that leaves few enough
+    sizes = sorted(((r.p, r.n) for r in counts.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, held = 1 << 62, 0
+    for p, n in sizes:
+        if held + n > FREQUENT_WORDS:
+            break
+        least, held = 1 << p, held + n
+    rows = counts.filter(F.col("n") >= least).toArrow()
+    discard(counts)
+    return Frequent(rows.column("word").to_numpy().astype(np.int64).view(np.uint64), rows.column("n").to_numpy())
+
+
+_DEALT = "bucket int, words binary, owners binary, sizes binary, scores binary, at binary, doc_id long, key long, node long, n long, sketch binary"
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(task, "doc_id long, n long, node long, sketch array<long>, spare array<long>")
 
+def _dealt(df: DataFrame, id_col: str, text_col: str, size: int, frequent: Frequent, buckets: int) -> DataFrame:
+    """Rows (bucket, words, owners, sizes, scores, at): words by hash bucket, each with the place of its class in owners. And a row for each row of df,
+    with a negative bucket: doc_id, key, node (null for empty sets), n and, where a task first meets a class, its sketch."""
+    held = df.sparkSession.sparkContext.broadcast(frequent)
+    schema = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("words", "owners", "sizes", "scores", "at")], ("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
 
-def _bucketed(df: DataFrame, text_col: str, size: int, buckets: int) -> DataFrame:
-    """(bucket, words, owners, at): block words by hash bucket, each with the place of its class in owners."""
-    schema = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("owners", pa.binary()), ("at", pa.binary())])
+    def batch_of(columns: dict[str, list], rows: int) -> pa.RecordBatch:
+        made = lambda x, kind: x if isinstance(x, pa.Array) else pa.array(x, kind)
+        return pa.record_batch([made(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
-    def flush(nodes: list[int], marks: list[int], parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def flush(owners: list[tuple[int, int, int]], parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         words = np.concatenate(parts)
+        node, n, score = (np.array(x, t) for x, t in zip(zip(*owners), ("<i8", "<u2", "u1")))
         owner = np.repeat(np.arange(len(parts), dtype=np.int64), [len(p) for p in parts])
         bucket = (((words & np.uint64(0xFFFFFFFF)) * np.uint64(buckets)) >> _S32).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        own = np.array(nodes, np.int64) | np.array(marks, np.int64)
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        out: list[list] = [[], [], [], []]
+        out: dict[str, list] = {c: [] for c in ("bucket", "words", "owners", "sizes", "scores", "at")}
         for b in np.flatnonzero(np.diff(edges)).tolist():
             pick = order[edges[b] : edges[b + 1]]
             there, at = np.unique(owner[pick], return_inverse=True)
-            for col, value in zip(out, (b, (words[pick] >> _S32).astype("<u4").tobytes(), own[there].tobytes(), at.astype("<u4" if len(there) > 0xFFFF else "<u2").tobytes())):
-                col.append(value)
-        for k in range(0, len(out[0]), 256):
-            yield pa.record_batch([pa.array(c[k : k + 256], f.type) for c, f in zip(out, schema)], schema=schema)
+            of = (b, (words[pick] >> _S32).astype("<u4").tobytes(), node[there].tobytes(), n[there].tobytes(), score[there].tobytes(), at.astype("<u4" if len(there) > 0xFFFF else "<u2").tobytes())
+            for column, value in zip(out.values(), of):
+                column.append(value)
+        for k in range(0, len(out["bucket"]), 256):
+            yield batch_of({c: v[k : k + 256] for c, v in out.items()}, len(out["bucket"][k : k + 256]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        nodes, marks, parts, n = [], [], [], 0
+        seen, owners, parts, n, dealt = _Seen(), [], [], 0, 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                h = shingles(text, size)
-                if not len(h) or (node := node_of(h)) in seen:
+            nodes, counts, sketches = [], [], []
+            for h in shingle_sets(batch.column(2).to_pylist(), size):
+                node = node_of(h) if len(h) else None
+                nodes.append(node)
+                counts.append(len(h))
+                if node is None or seen(node):
+                    sketches.append(None)
                     continue
-                seen.add(node)
+                sketches.append(parity_sketch(h))
                 for k, band in enumerate(bands_of(len(h))):
-                    parts.append(block_words(h, band))
-                    nodes.append(node)
-                    marks.append(int(k > 0))
-                    n += len(parts[-1])
+                    words, share = join_words(h, band, held.value)
+                    parts.append(words)
+                    owners.append((node | int(k > 0), round(2000 * np.log(len(h))), int(255 * share)))
+                    n += len(words)
                 if n >= FLUSH:
-                    yield from flush(nodes, marks, parts)
-                    nodes, marks, parts, n = [], [], [], 0
-                    if len(seen) > 1_000_000:
-                        seen.clear()
+                    yield from flush(owners, parts)
+                    owners, parts, n = [], [], 0
+            yield batch_of({"bucket": [-1 - (dealt + k) // 64 % buckets for k in range(len(nodes))], "doc_id": batch.column(0), "key": batch.column(1), "node": nodes, "n": counts, "sketch": sketches}, len(nodes))
+            dealt += len(nodes)
         if parts:
-            yield from flush(nodes, marks, parts)
+            yield from flush(owners, parts)
 
-    return df.select(F.col(text_col).alias("text")).mapInArrow(task, "bucket int, words binary, owners binary, at binary")
+    return _texts(df, id_col, text_col).mapInArrow(task, _DEALT)
 
 
-def _grouped(bucketed: DataFrame, parts: int) -> DataFrame:
-    """Candidate pairs (word null) of small groups, and members (word, a; b: 1 if from a larger band) of large ones."""
-    schema = pa.schema([("word", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+def _grouped(dealt: DataFrame, parts: int) -> DataFrame:
+    """kind 0: the rows of df. kind 1: candidate pairs (a, b) of small groups. kind 2: (a, b) hub and member of a large one. Sizes allow the similarity of kind 1."""
+    schema = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+    slack = 2000 * np.log(1.25) + 2
 
-    def groups(bucket: int, rows: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        words, owners = [], []
-        for w, o, at in rows:
-            words.append(np.frombuffer(w, "<u4"))
-            places = np.frombuffer(at, "<u2" if len(at) == len(w) // 2 else "<u4")
-            owners.append(np.frombuffer(o, np.int64)[places])
-        word, owner = np.concatenate(words), np.concatenate(owners)
+    def pairs_of(kind: int, found: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = np.unique(found, axis=1)
+        for k in range(0, found.shape[1], 50_000):
+            a, b = found[:, k : k + 50_000]
+            yield pa.record_batch([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), *[pa.nulls(len(a), f.type) for f in list(schema)[3:]]], schema=schema)
+
+    def groups(word: np.ndarray, owner: np.ndarray, size: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(word, kind="stable")
-        word, owner = word[order], owner[order]
-        twin = word[1:] == word[:-1]
-        shared = np.concatenate([[False], twin]) | np.concatenate([twin, [False]])
-        word, owner = word[shared], owner[shared]
-        order = np.lexsort((owner, word))
-        word, owner = word[order], owner[order]
-        if not len(word):
+        twin = word[order][1:] == word[order][:-1]
+        pick = order[np.concatenate([[False], twin]) | np.concatenate([twin, [False]])]
+        if not len(pick):
             return
+        pick = pick[np.lexsort((owner[pick], word[pick]))]
+        word, owner, size, score = word[pick], owner[pick], size[pick].astype(np.int64), score[pick]
         fresh = np.concatenate([[True], (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])])
-        word, owner = word[fresh], owner[fresh]
+        word, owner, size, score = word[fresh], owner[fresh], size[fresh], score[fresh]
         first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        size = np.diff(np.append(first, len(word)))
-        pairs = []
+        members = np.diff(np.append(first, len(word)))
+        near = [np.empty((2, 0), np.int64)]
         for k in range(2, SMALL + 1):
-            at = first[size == k]
-            if len(at):
+            at = first[members == k]
+            for lo in range(0, len(at), 4096):
+                here = at[lo : lo + 4096]
                 i, j = np.triu_indices(k, 1)
-                a, b = owner[at[:, None] + i].ravel(), owner[at[:, None] + j].ravel()
-                use = ((a & b & 1) == 0) & (a >> 1 != b >> 1)  # two guests of a lower band meet in their own
-                pairs.append(np.unique(np.stack([np.minimum(a[use] & ~1, b[use] & ~1), np.maximum(a[use] & ~1, b[use] & ~1)]), axis=1))
-        if pairs:
-            found = np.unique(np.concatenate(pairs, axis=1), axis=1)
-            for k in range(0, found.shape[1], 50_000):
-                part = found[:, k : k + 50_000]
-                yield pa.record_batch([pa.nulls(part.shape[1], pa.int64()), pa.array(part[0]), pa.array(part[1])], schema=schema)
-        hot = np.repeat(size > SMALL, size)
-        for k in range(0, int(hot.sum()), 50_000):
-            o, w = owner[hot][k : k + 50_000], word[hot][k : k + 50_000]
-            yield pa.record_batch([pa.array((np.int64(bucket) << 32) | w.astype(np.int64)), pa.array(o & ~1), pa.array(o & 1)], schema=schema)
+                x, y = (here[:, None] + i).ravel(), (here[:, None] + j).ravel()
+                use = ((owner[x] & owner[y] & 1) == 0) & (np.abs(size[x] - size[y]) <= slack)  # two guests of a lower band meet in their own
+                a, b = owner[x[use]] & ~1, owner[y[use]] & ~1
+                near.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1))
+        yield from pairs_of(1, np.concatenate(near, axis=1))
+        stars = [np.empty((2, 0), np.int64)]
+        for lo, k in zip(first[members > SMALL].tolist(), members[members > SMALL].tolist()):
+            node = owner[lo : lo + k] & ~1
+            hub = node[np.lexsort((node, -score[lo : lo + k].astype(np.int64)))[0]]
+            stars.append(np.stack([np.full(k, hub), node]))
+            if sum(x.shape[1] for x in stars) > AT_ONCE:
+                stars = [np.unique(np.concatenate(stars, axis=1), axis=1)]
+        yield from pairs_of(2, np.concatenate(stars, axis=1))
+
+    def bucket_of(rows: list[tuple[bytes, ...]]) -> Iterator[pa.RecordBatch]:
+        """A large bucket is grouped by ranges of its words."""
+        total = sum(len(r[0]) for r in rows) // 4
+        ranges = -(-total // AT_ONCE)
+        for k in range(ranges):
+            of: list[list[np.ndarray]] = [[], [], [], []]
+            for w, o, sizes, scores, at in rows:
+                word = np.frombuffer(w, "<u4")
+                place = np.frombuffer(at, "<u2" if len(at) == len(w) // 2 else "<u4")
+                if ranges > 1:
+                    mine = (word.astype(np.uint64) * np.uint64(ranges) >> _S32) == k
+                    word, place = word[mine], place[mine]
+                for column, value in zip(of, (word, np.frombuffer(o, "<i8")[place], np.frombuffer(sizes, "<u2")[place], np.frombuffer(scores, "u1")[place])):
+                    column.append(value)
+            yield from groups(*(np.concatenate(x) for x in of))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
-            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if bucket != now and rows:
-                    yield from groups(now, rows)
+            bucket = batch.column(0).to_numpy()
+            plain = int(np.searchsorted(bucket, 0))  # rows of df come first
+            if plain:
+                own = batch.slice(0, plain)
+                yield pa.record_batch([pa.array(np.zeros(plain, np.int8)), own.column(8), pa.nulls(plain, pa.int64()), own.column(6), own.column(7), own.column(9), own.column(10)], schema=schema)
+            for b, *row in zip(*(c.to_pylist() for c in batch.slice(plain).columns[:6])):
+                if b != now and rows:
+                    yield from bucket_of(rows)
                     rows = []
-                now = bucket
+                now = b
                 rows.append(row)
         if rows:
-            yield from groups(now, rows)
+            yield from bucket_of(rows)
 
-    return bucketed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(task, "word long, a long, b long")
+    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(task, "kind tinyint, a long, b long, doc_id long, key long, n long, sketch binary")
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose sizes and parity sketches allow the similarity: differences <= (sizes)/9."""
+    """(a, b, over) of the pairs whose sizes and parity sketches allow the similarity (differences <= (sizes)/9); over: the bound less the difference, negated."""
     side = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    far = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return both.filter(5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")).filter(9 * far <= F.col("n_a") + F.col("n_b")).select("a", "b")
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").filter("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n_a, n_b = (batch.column(k).to_numpy() for k in range(4))
+            far = np.fromiter((int(_far(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"))) for x, y in zip(batch.column(4), batch.column(5))), np.int64, len(a))
+            use = 9 * far <= n_a + n_b
+            if use.any():
+                yield pa.record_batch([pa.array(a[use]), pa.array(b[use]), pa.array((9 * far - n_a - n_b)[use] / (n_a + n_b)[use])], names=["a", "b", "over"])
 
-def _verified(pairs: DataFrame, df: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """Pairs with 100 * intersection >= 80 * union of their whole sets."""
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(asked.join(classes.select("node", "first"), "node"), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS  # 16 bytes each; beyond that the texts are dealt by id
-    rows = df.select(F.col(id_col).cast("long").alias("first"), F.col(text_col).alias("text")).join(F.broadcast(wanted) if few else wanted, "first").select("node", "text")
+    return both.mapInArrow(task, "a long, b long, over double")
+
+
+def _sets(nodes: DataFrame, df: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(node, hashes) of the classes, from the text of one row each."""
+    wanted = written(nodes.join(classes.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.key").alias("rep_key")), "node"), "wanted")
+    few = wanted.count() <= BROADCAST_ROWS  # beyond that the texts are dealt by key
+    rows = _texts(df, id_col, text_col)
+    rows = rows.join(F.broadcast(wanted) if few else wanted, (F.col("key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("node", "text")
     schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                kept = []
-                for node, text in zip(*(c.to_pylist() for c in batch.slice(at, 200).columns)):
-                    h = shingles(text, size)
-                    if len(h) and node_of(h) == node:  # an id may occur with several texts
-                        kept.append((node, h.tobytes()))
+            for at in range(0, batch.num_rows, 100):
+                node, text = (c.to_pylist() for c in batch.slice(at, 100).columns)
+                kept = [(k, h.tobytes()) for k, h in zip(node, shingle_sets(text, size)) if len(h) and node_of(h) == k and not seen(k)]
                 if kept:
-                    yield pa.record_batch([pa.array([k[0] for k in kept]), pa.array([k[1] for k in kept], pa.binary())], schema=schema)
+                    yield pa.record_batch([pa.array([k for k, _ in kept]), pa.array([h for _, h in kept], pa.binary())], schema=schema)
+
+    return rows.mapInArrow(task, "node long, hashes binary").dropDuplicates(["node"])
 
-    held = rows.mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"])
-    side = lambda c: held.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "of_a", "of_b")
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs with 100 * intersection >= 80 * union of their whole sets."""
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}"))
+    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "of_a", "of_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,102 +504,145 @@ def _verified(pairs: DataFrame, df: DataFrame, classes: DataFrame, id_col: str,
     return both.mapInArrow(compare, "a long, b long")
 
 
-def _across(rooted: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
-    """Plausible pairs (a, b) of one word and different roots (word, node, guest, root).
+def _across(rooted: DataFrame, classes: DataFrame, failed: DataFrame, parts: int, forest: bool) -> DataFrame:
+    """Plausible pairs (a, b) of one star and different roots, without those that failed. rooted: (hub, node, root).
 
-    A word's classes are dealt to chunks; those outside its largest root visit every chunk, which holds a bounded number.
+    A star's members are dealt to chunks; those outside its largest root visit every chunk, which holds a bounded number. forest: of the pairs that a chunk
+    finds only as many as join its roots, the most similar first.
     """
-    roots = rooted.groupBy("word", "root").agg(F.count("*").alias("n"))
-    most = roots.groupBy("word").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots"), F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
-    open_ = rooted.join(most.filter("roots > 1"), "word").join(classes.select("node", "n", "sketch"), "node")
-    columns = ("word", "chunk", "probe", "node", "guest", "root", "n", "sketch")
-    targets = open_.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("probe", F.lit(0)).select(*columns)
-    probes = open_.filter(F.col("root") != F.col("m.root")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("probe", F.lit(1)).select(*columns)
+    roots = rooted.groupBy("hub", "root").agg(F.count("*").alias("n"))
+    most = roots.groupBy("hub").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1").select("hub", F.col("m.root").alias("main"))
+    sized = written(rooted.join(most, "hub").join(classes.select("node", "n", "sketch"), "node"), "open")
+    chunks = sized.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum(F.octet_length("sketch")) / CHUNK_BYTES)).cast("int").alias("chunks"))
+    open_ = sized.join(chunks, "hub")
+    columns = ("hub", "chunk", "probe", "node", "root", "n", "sketch", "failed")
+    none = F.array().cast("array<bigint>")
+    targets = open_.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("probe", F.lit(0)).withColumn("failed", none).select(*columns)
+    tried = failed.select(F.col("a").alias("node"), F.col("b").alias("x")).unionByName(failed.select(F.col("b").alias("node"), F.col("a").alias("x"))).groupBy("node").agg(F.collect_set("x").alias("failed"))
+    probes = open_.filter("root <> main").join(tried, "node", "left").withColumn("failed", F.coalesce("failed", none)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("probe", F.lit(1)).select(*columns)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, target, probe = None, [], []
-        found: set[tuple[int, int]] = set()
-
-        def meet() -> None:
-            node, guest, root, n, sketch = (np.array(x) for x in zip(*target))
-            node2, guest2, root2, n2, sketch2 = (np.array(x) for x in zip(*probe))
-            use = (root[:, None] != root2) & ((guest[:, None] & guest2) == 0) & (5 * np.minimum(n[:, None], n2) >= 4 * np.maximum(n[:, None], n2))
-            i, j = np.nonzero(use)
-            far = np.bitwise_count(sketch.view(np.uint64)[i] ^ sketch2.view(np.uint64)[j]).sum(axis=1, dtype=np.int64)
-            near = 9 * far <= n[i] + n2[j]
-            found.update((min(a, b), max(a, b)) for a, b in zip(node[i[near]].tolist(), node2[j[near]].tolist()))
+        key, target, laid = None, [], None
+        found: list[tuple[float, int, int, int, int]] = []
+
+        def lay() -> dict[int, tuple]:
+            """Members by the width of their sketch, in order of size."""
+            by: dict[int, list] = {}
+            for m in sorted(target, key=lambda m: m[2]):
+                by.setdefault(len(m[3]) // 8, []).append(m)
+            return {w: (*(np.array(x, np.int64) for x in list(zip(*ms))[:3]), np.stack([np.frombuffer(m[3], "<u8") for m in ms])) for w, ms in by.items()}
+
+        def meet(node: int, root: int, n: int, sketch: bytes, without: list[int]) -> None:
+            own = np.frombuffer(sketch, "<u8")
+            for nodes, roots, ns, sketches in laid.values():
+                lo, hi = np.searchsorted(ns, -(-4 * n // 5)), np.searchsorted(ns, 5 * n // 4, "right")
+                pick = lo + np.flatnonzero(roots[lo:hi] != root)
+                for k in range(0, len(pick), 4096):
+                    part = pick[k : k + 4096]
+                    far = _far(sketches[part], own)
+                    near = np.flatnonzero(9 * far <= n + ns[part])
+                    for x in part[near][~np.isin(nodes[part[near]], without)].tolist() if len(near) else ():
+                        found.append(((9 * int(far[np.searchsorted(part, x)]) - n - int(ns[x])) / (n + int(ns[x])), min(node, int(nodes[x])), max(node, int(nodes[x])), root, int(roots[x])))
+
+        def pairs() -> list[tuple[int, int]]:
+            if not forest:
+                return list({(a, b) for _, a, b, _, _ in found})
+            up: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while up.get(x, x) != x:
+                    up[x] = up.get(up[x], up[x])
+                    x = up[x]
+                return x
+
+            out = []
+            for _, a, b, r, s in sorted(set(found)):
+                if (r := top(r)) != (s := top(s)):
+                    up[max(r, s)] = min(r, s)
+                    out.append((a, b))
+            return out
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            out = pairs()
+            found.clear()
+            if out:
+                yield pa.record_batch([pa.array([a for a, _ in out]), pa.array([b for _, b in out])], names=["a", "b"])
 
         for batch in batches:
-            for word, chunk, is_probe, *member in zip(*(c.to_pylist() for c in batch.columns)):
-                if (word, chunk) != key:
-                    if target and probe:
-                        meet()
-                    key, target, probe = (word, chunk), [], []
-                (probe if is_probe else target).append(member)
-                if len(probe) >= CHUNK:
-                    if target:
-                        meet()
-                    probe = []
-            if len(found) > 20_000:
-                yield pa.record_batch([pa.array([x for x, _ in found]), pa.array([y for _, y in found])], names=["a", "b"])
-                found.clear()
-        if target and probe:
-            meet()
-        if found:
-            yield pa.record_batch([pa.array([x for x, _ in found]), pa.array([y for _, y in found])], names=["a", "b"])
-
-    laid = targets.unionByName(probes).repartition(parts, "word", "chunk").sortWithinPartitions("word", "chunk", "probe")
+            for hub, chunk, probe, *member in zip(*(c.to_pylist() for c in batch.columns)):
+                if (hub, chunk) != key:
+                    yield from handed()
+                    key, target, laid = (hub, chunk), [], None
+                if probe:
+                    if laid is None:
+                        laid = lay() if target else {}
+                    meet(*member)
+                    if len(found) > 200_000:
+                        yield from handed()
+                else:
+                    target.append(member)
+        yield from handed()
+
+    laid = targets.unionByName(probes).repartition(parts, "hub", "chunk").sortWithinPartitions("hub", "chunk", "probe")
     return laid.mapInArrow(compare, "a long, b long").distinct()
 
 
-def near_join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS) -> DataFrame:
-    """One row a row of df: doc_id, n_shingles, component_id (smallest id reachable by links; itself where there are none).
+def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components; joined: (node, root)."""
+    root = lambda c: joined.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    return pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
 
-    Words are runs without ASCII white space, A-Z lower-cased. Null and wordless texts have no shingles and no links. Rows with equal ids
-    stay apart and may link. Null ids take part; a component of null ids alone has a null component_id. Other columns
-    are ignored; an empty table gives no rows. Sets compare by 64-bit shingle hashes and classes by a 63-bit digest.
-    """
+
+def linked_rows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS) -> DataFrame:
+    """One row a row of df: doc_id, key (xxhash64 of the text), n, node (class; null without shingles) and root (class that names the component)."""
     spark = df.sparkSession
     prepare(spark)
     parts = partitions(spark)
-    features = written(_features(df, id_col, text_col, size), "features")
-    filled = features.filter("node is not null")
-    smallest = filled.groupBy("node").agg(F.min("doc_id").alias("first"))
-    classes = written(
-        filled.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.min("sketch").alias("sketch"), F.min("spare").alias("spare")), "classes"
-    )
-    grouped = written(_grouped(_bucketed(df, text_col, size, parts), parts), "groups")
-    near = grouped.filter("word is null").select("a", "b").distinct()
-    hot = grouped.filter("word is not null").select("word", F.col("a").alias("node"), F.col("b").alias("guest"))
-    # In the order of rarity, the rarest word that two similar sets share is not among the `spare` most frequent ones of either
-    sizes = hot.groupBy("word").agg(F.count("*").alias("size"))
-    room = classes.select("node", F.explode(F.array(F.struct(F.lit(0).alias("guest"), F.get("spare", F.lit(1)).alias("spare")), F.struct(F.lit(1).alias("guest"), F.get("spare", F.lit(3)).alias("spare")))).alias("s")).select("node", "s.guest", F.coalesce("s.spare", F.lit(0)).alias("spare"))
-    counts = hot.groupBy("node", "guest").agg(F.count("*").alias("hot"))
-    keep = counts.join(room, ["node", "guest"]).filter("hot > spare").select("node", "guest", "spare")
-    ranked = hot.join(keep, ["node", "guest"]).join(sizes, "word").withColumn("rank", F.row_number().over(W.partitionBy("node", "guest").orderBy(F.desc("size"), "word")))
-    held = written(ranked.filter("rank > spare").select("word", "node", "guest"), "hot")
-    hubs = held.groupBy("word").agg(F.min(F.struct("guest", "node")).alias("h")).select("word", F.col("h.node").alias("hub"))
-    stars = held.join(hubs, "word").filter("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-    first = written(_plausible(near.unionByName(stars).distinct(), classes), "pairs")
-    verified = lambda pairs: _verified(pairs, df, classes, id_col, text_col, size)
-    # one pair a class first; a pair inside a component that these make needs no comparison
-    tree = first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = written(verified(tree), "links")
+    frequent = _frequent(df, text_col, size)
+    staged = written(_grouped(_dealt(df, id_col, text_col, size, frequent, parts), parts), "groups")
+    rows = staged.filter("kind = 0").select("doc_id", "key", "n", F.col("a").alias("node"))
+    of_class = staged.filter("kind = 0 and a is not null").groupBy(F.col("a").alias("node"))
+    stars = staged.filter("kind = 2").select(F.col("a").alias("hub"), F.col("b").alias("node")).distinct()
+    pairs = staged.filter("kind > 0 and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    classes = written(of_class.agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "classes")
+    first = written(_plausible(pairs, classes), "pairs")
+    ends = lambda x: x.select(F.col("a").alias("node")).unionByName(x.select(F.col("b").alias("node"))).distinct()
+    sets = written(_sets(ends(first), df, classes, id_col, text_col, size), "sets")
+    # each class with its nearest candidate first; a pair inside a component that these make needs no comparison
+    nearest = first.select(F.col("a").alias("x"), F.struct("over", F.col("b").alias("y")).alias("m")).unionByName(first.select(F.col("b").alias("x"), F.struct("over", F.col("a").alias("y")).alias("m"))).groupBy("x").agg(F.min("m").alias("m"))
+    nearest = nearest.select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct()
+    links = written(_verified(nearest, sets), "links")
     joined = components(links)
-    root = lambda c: joined.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    apart = first.join(tree, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left").filter("coalesce(root_a, a) <> coalesce(root_b, b)")
-    apart = written(apart.select("a", "b"), "apart")
+    apart = written(_apart(first.select("a", "b").join(nearest, ["a", "b"], "left_anti"), joined), "apart")
     if not apart.isEmpty():
-        links = written(links.unionByName(verified(apart)), "links")
+        links = written(links.unionByName(_verified(apart, sets)), "links")
         joined = components(links)
-    if not held.isEmpty():
-        rooted = written(held.join(joined, "node", "left").select("word", "node", "guest", F.coalesce("root", "node").alias("root")), "rooted")
-        second = _across(rooted, classes, parts).join(first, ["a", "b"], "left_anti")
-        second = written(second, "pairs")
-        if not second.isEmpty():
-            joined = components(links.unionByName(verified(second)))
-    lowest = joined.join(smallest, "node").groupBy("root").agg(F.min("first").alias("lowest"))
-    named = smallest.join(joined.join(lowest, "root").select("node", "lowest"), "node", "left").select("node", F.coalesce("lowest", "first").alias("component_id"))
-    linked = filled.select("doc_id", "n", "node").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "node")
-    empty = features.filter("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node")
-    return linked.unionByName(empty)
+    if not stars.isEmpty():
+        stars = written(stars.unionByName(stars.select("hub", F.col("hub").alias("node")).distinct()).distinct(), "stars")
+        tried = first.select("a", "b")
+        for turn in range(FORESTS + 1):
+            rooted = stars.join(joined, "node", "left").select("hub", "node", F.coalesce("root", "node").alias("root"))
+            failed = _apart(tried.join(links, ["a", "b"], "left_anti"), joined)
+            found = written(_across(rooted, classes, failed, parts, turn < FORESTS).join(tried, ["a", "b"], "left_anti"), "across")
+            if found.isEmpty():
+                break
+            more = ends(found).join(sets.select("node"), "node", "left_anti")
+            sets = written(sets.unionByName(_sets(more, df, classes, id_col, text_col, size)), "sets") if not more.isEmpty() else sets
+            links = written(links.unionByName(_verified(found, sets)), "links")
+            joined = components(links)
+            tried = written(tried.unionByName(found), "tried")
+    discard(sets)
+    return written(rows.join(joined, "node", "left").select("doc_id", "key", "n", "node", F.coalesce("root", "node").alias("root")), "linked")
+
+
+def near_join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS) -> DataFrame:
+    """One row a row of df: doc_id, n_shingles, component_id (smallest id reachable by links; itself where there are none).
+
+    Words are runs without ASCII white space, A-Z lower-cased. Null and wordless texts have no shingles and no links. Rows with equal ids
+    stay apart and may link. Null ids take part; a component of null ids alone has a null component_id. Other columns
+    are ignored; an empty table gives no rows. Sets compare by 64-bit shingle hashes and classes by a 63-bit digest.
+    """
+    rows = linked_rows(df, id_col=id_col, text_col=text_col, size=size)
+    lowest = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("lowest"))
+    named = rows.join(lowest, "root", "left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id"))
