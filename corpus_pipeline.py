@@ -12,7 +12,7 @@ from weft.llm import decontaminate, language, near_join, packing, secrets
 from weft.llm.common import documents, written
 from weft.llm.queries import vocabulary
 
-#: Ids of dropped documents that are broadcast at most (8 bytes each); more are joined by a shuffle.
+#: Rows whose keys (16 bytes each) are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 
@@ -23,14 +23,21 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents the one with the smallest id stays; rows without an id stay; equal rows count once."""
-    groups = written(near_join.near_join(docs).select("doc_id", "component_id"), "components")
-    gone = written(groups.filter("component_id < doc_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if twice.isEmpty():
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.filter("doc_id is null"))
+    """Of linked rows the one with the smallest id stays (null ids come last, then the text's hash decides); of equal rows one.
+
+    Rows are told apart by id and text, so of two texts under one id only the linked one goes. Wordless and null texts stay.
+    """
+    rows = near_join.linked_rows(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    kept = rows.filter("root is not null").groupBy("root").agg(F.min(place).alias("kept"))
+    linked = rows.filter("root is not null").groupBy("root", "doc_id", "key").agg(F.count("*").alias("n")).join(kept, "root")
+    marked = written(linked.select("doc_id", "key", "n", (F.col("key").eqNullSafe(F.col("kept.key")) & F.col("doc_id").eqNullSafe(F.col("kept.doc_id"))).alias("stays")).filter("n > 1 or not stays"), "marked")
+    few = marked.count() <= BROADCAST_ROWS
+    named = (F.broadcast(marked) if few else marked).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("stays").alias("__stays"))
+    found = docs.withColumn("__text", F.xxhash64("text")).join(named, (F.col("__text") == F.col("__key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
+    once = found.filter("__stays is null").select(*docs.columns)
+    again = found.filter("__stays").select(*docs.columns, F.col("__key"))
+    return once.unionByName(again.dropDuplicates(["doc_id", "__key"]).select(*docs.columns)) if not marked.filter("stays").isEmpty() else once
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
