@@ -161,8 +161,10 @@ def test_sketches_bound_the_difference():
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95)]
-    got = {(r.node, r.root) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {(i, 0) for i in range(41)} | {(90, 90), (95, 90), (100, 90)}
+    for most in (1000, 0):
+        got = [(r.node, r.root) for r in components(spark.createDataFrame(edges * 2, "a long, b long"), in_one_task=most).collect()]
+        assert len(got) == len(set(got)) and set(got) == {(i, 0) for i in range(41)} | {(90, 90), (95, 90), (100, 90)}
+        assert components(spark.createDataFrame([], "a long, b long"), in_one_task=most).count() == 0
 
 
 def test_secrets(docs, rows):

@@ -1,19 +1,51 @@
-"""Connected components of an edge table by alternating large and small stars; nothing is gathered anywhere."""
+"""Connected components of an edge table.
+
+Few edges are joined by one task's union-find (bounded); more by alternating large and small stars, where nothing is gathered anywhere.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import written
 
+#: The most edges (16 bytes each) that one task joins.
+IN_ONE_TASK = 250_000
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = y
+        return x
+
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            a, b = top(a), top(b)
+            up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    for k in range(0, len(nodes), 50_000):
+        part = nodes[k : k + 50_000]
+        yield pa.record_batch([pa.array(np.array(part, np.int64)), pa.array(np.array([top(x) for x in part], np.int64))], names=["node", "root"])
+
 
-def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, *, rounds: int = 60, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """(node, root) for every node of edges (a, b), both long; root is the smallest node of its component.
 
-    Each round needs two aggregations with partial sums and one join on the node, whose hot keys Spark can split.
+    By stars each round needs two aggregations with partial sums and one join on the node, whose hot keys Spark can split.
     """
-    e = written(edges.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).filter("x < y").distinct(), "edges")
+    e = written(edges.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).filter("x < y"), "edges")
+    if e.count() <= in_one_task:
+        return written(e.coalesce(1).mapInArrow(_found, "node long, root long"), "components")
+    e = e.distinct()
     before = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y")))

@@ -14,7 +14,7 @@ A document is the set of its word shingles, as 64-bit hashes. Equal sets form on
    frequent, so the text that the others are copies of. Candidates must pass size and sketch.
 4. Verify. Candidates are compared by their whole shingle sets, each class with its nearest candidate first, then what is not yet in one component.
 5. Stars. Two members of a large group have the same star. Members outside a star's largest component are compared with all others of it by size and
-   sketch, in chunks of bounded size; a chunk hands on a spanning forest of what may be similar, which is verified, until nothing is left.
+   sketch, in chunks of bounded size: first a chunk hands on a spanning forest of what may be similar, then, with the components that these links make, all that is left.
 
 Copies in one task count once before anything is shuffled. No all-pairs of a large group, no cap on partners.
 """
@@ -32,16 +32,17 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import discard, partitions, prepare, written
 from weft.llm.components import components
+from weft.llm.hashing import M2, M3, PIECE, S32, mix, odd_values, runs
 
 WORDS = 5
 #: Largest group of a word whose pairs are all candidates.
 SMALL = 24
 BAND_RATIO = 1.6
+#: Blocks of a band for each shingle of its least set: about twice as many as can differ, so that two shingles share a block and few unrelated sets a word.
+BLOCKS = 0.55
 LEAST_BITS = 512
 #: Members of a star, and bytes of their sketches, that are compared at a time.
 CHUNK, CHUNK_BYTES = 1024, 4_000_000
-#: Rounds in which chunks hand on forests; then they hand on all pairs that are left.
-FORESTS = 3
 #: Classes to compare whose keys (24 bytes each) are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Entries a task gathers before it hands them on (about 10 bytes each), and words of a bucket that are grouped at a time.
@@ -49,49 +50,26 @@ FLUSH, AT_ONCE = 1_000_000, 4_000_000
 #: Frequent words that order all others: held by so many classes as counted, and so many words at most (16 bytes each), the most frequent.
 #: They only order a set's words, so the bound changes no result.
 FREQUENT, FREQUENT_WORDS = 32, 1 << 18
-#: Bytes of texts that are hashed at a time.
-PIECE = 1 << 16
-_M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
-_S33, _S32, _S44 = np.uint64(33), np.uint64(32), np.uint64(44)
+_S44 = np.uint64(44)
 _BLANK = b" \t\n\r\x0b\x0c"
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _S33)) * _M1
-    x = (x ^ (x >> _S33)) * _M2
-    return x ^ (x >> _S33)
-
-
 @functools.cache
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit value for each byte (0 for blanks), and whether it is one."""
     blank = np.zeros(256, bool)
     blank[list(_BLANK)] = True
-    value = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    value[blank] = 0
-    return value, blank
-
-
-@functools.lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2^64."""
-    base = 0xD6E8FEB86659FD93
-    of = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, x, np.uint64)]))
-    return of(base), of(pow(base, -1, 1 << 64))
+    return np.where(blank, np.uint64(0), odd_values(256, 11)), blank
 
 
 def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first byte) of each word of data: a polynomial in its bytes' values, mixed."""
+    """(hash, first byte) of each word of data."""
     value, blank = _letters()
     raw = np.frombuffer(data, np.uint8)
-    power, inverse = _powers(PIECE << max(0, (len(data) // PIECE).bit_length()))
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(value[raw] * power[: len(raw)], out=total[1:])
     inside = np.zeros(len(raw) + 2, np.int8)
     inside[1:-1] = ~blank[raw]
     turn = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = turn[::2], turn[1::2]
-    return _mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)), start
+    return runs(value[raw], turn[::2], turn[1::2]), turn[::2]
 
 
 def _pieces(data: bytes) -> Iterator[bytes]:
@@ -108,11 +86,11 @@ def _pieces(data: bytes) -> Iterator[bytes]:
 
 def _shingled(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of `size` words."""
-    factor = np.random.default_rng(13).integers(1, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    factor = odd_values(size, 13)
     rolled = np.full(len(words) - size + 1, size, np.uint64)
     for k in range(size):
         rolled += words[k : k + len(rolled)] * factor[k]
-    return _mix(rolled)
+    return mix(rolled)
 
 
 def _sorted_set(hashes: np.ndarray) -> np.ndarray:
@@ -129,9 +107,9 @@ def shingle_sets(texts: list[str | None], size: int = WORDS) -> Iterator[np.ndar
     def together(held: list[bytes]) -> Iterator[np.ndarray]:
         words, at = _word_hashes(b"\n".join(held))
         edges = np.searchsorted(at, np.cumsum([0, *[len(x) + 1 for x in held]])).tolist()
-        runs = _shingled(words, size) if len(words) >= size else words[:0]
+        every = _shingled(words, size) if len(words) >= size else words[:0]
         for lo, hi in zip(edges, edges[1:]):
-            yield _sorted_set(runs[lo : hi - size + 1]) if hi - lo >= size else of_words(words[lo:hi])
+            yield _sorted_set(every[lo : hi - size + 1]) if hi - lo >= size else of_words(words[lo:hi])
 
     held, n = [], 0
     for text in texts:
@@ -183,15 +161,15 @@ def differing(n: int, band: int) -> int:
 
 
 def block_words(hashes: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit word for each occupied block (there are as many as the band's least size), and, only if they are too few for a join by them, one for each shingle."""
-    blocks = band_starts()[band]
-    values = _mix(hashes ^ _M3)
-    block = ((hashes >> _S32) * np.uint64(blocks)) >> _S32  # hashes are sorted, and so blocks are
+    """A 64-bit word for each occupied block (there are so many as the band's least size, times BLOCKS), and, only if they are too few for a join by them, one for each shingle."""
+    blocks = max(1, int(BLOCKS * band_starts()[band]))
+    values = mix(hashes ^ M3)
+    block = ((hashes >> S32) * np.uint64(blocks)) >> S32  # hashes are sorted, and so blocks are
     first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    words = _mix((np.bitwise_xor.reduceat(values, first) ^ _mix(block[first] + np.uint64(1))) + np.uint64((band + 1) * int(_M3) % 2**64))
+    words = mix((np.bitwise_xor.reduceat(values, first) ^ mix(block[first] + np.uint64(1))) + np.uint64((band + 1) * int(M3) % 2**64))
     if len(words) > differing(len(hashes), band):
         return words, words[:0]
-    return words, _mix(values ^ _mix(np.full(1, (band + 1) * int(_M2) % 2**64, np.uint64)))
+    return words, mix(values ^ mix(np.full(1, (band + 1) * int(M2) % 2**64, np.uint64)))
 
 
 class Frequent:
@@ -311,14 +289,14 @@ def _frequent(df: DataFrame, text_col: str, size: int) -> Frequent:
     return Frequent(rows.column("word").to_numpy().astype(np.int64).view(np.uint64), rows.column("n").to_numpy())
 
 
-_DEALT = "bucket int, words binary, owners binary, sizes binary, scores binary, at binary, doc_id long, key long, node long, n long, sketch binary"
+_DEALT = "bucket int, words binary, owners binary, sizes binary, scores binary, doc_id long, key long, node long, n long, sketch binary"
 
 
 def _dealt(df: DataFrame, id_col: str, text_col: str, size: int, frequent: Frequent, buckets: int) -> DataFrame:
-    """Rows (bucket, words, owners, sizes, scores, at): words by hash bucket, each with the place of its class in owners. And a row for each row of df,
-    with a negative bucket: doc_id, key, node (null for empty sets), n and, where a task first meets a class, its sketch."""
+    """Rows (bucket, words, owners, sizes, scores): words by hash bucket, each with its class, the class's size and its share of frequent words. And a row for
+    each row of df, with a negative bucket: doc_id, key, node (null for empty sets), n and, where a task first meets a class, its sketch."""
     held = df.sparkSession.sparkContext.broadcast(frequent)
-    schema = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("words", "owners", "sizes", "scores", "at")], ("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("words", "owners", "sizes", "scores")], ("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
 
     def batch_of(columns: dict[str, list], rows: int) -> pa.RecordBatch:
         made = lambda x, kind: x if isinstance(x, pa.Array) else pa.array(x, kind)
@@ -326,20 +304,15 @@ def _dealt(df: DataFrame, id_col: str, text_col: str, size: int, frequent: Frequ
 
     def flush(owners: list[tuple[int, int, int]], parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         words = np.concatenate(parts)
-        node, n, score = (np.array(x, t) for x, t in zip(zip(*owners), ("<i8", "<u2", "u1")))
-        owner = np.repeat(np.arange(len(parts), dtype=np.int64), [len(p) for p in parts])
-        bucket = (((words & np.uint64(0xFFFFFFFF)) * np.uint64(buckets)) >> _S32).astype(np.int64)
+        times = [len(p) for p in parts]
+        bucket = (((words & np.uint64(0xFFFFFFFF)) * np.uint64(buckets)) >> S32).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
+        columns = [(words >> S32).astype("<u4")[order], *(np.repeat(np.array(x, t), times)[order] for x, t in zip(zip(*owners), ("<i8", "<u2", "u1")))]
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        out: dict[str, list] = {c: [] for c in ("bucket", "words", "owners", "sizes", "scores", "at")}
-        for b in np.flatnonzero(np.diff(edges)).tolist():
-            pick = order[edges[b] : edges[b + 1]]
-            there, at = np.unique(owner[pick], return_inverse=True)
-            of = (b, (words[pick] >> _S32).astype("<u4").tobytes(), node[there].tobytes(), n[there].tobytes(), score[there].tobytes(), at.astype("<u4" if len(there) > 0xFFFF else "<u2").tobytes())
-            for column, value in zip(out.values(), of):
-                column.append(value)
-        for k in range(0, len(out["bucket"]), 256):
-            yield batch_of({c: v[k : k + 256] for c, v in out.items()}, len(out["bucket"][k : k + 256]))
+        there = np.flatnonzero(np.diff(edges)).tolist()
+        for k in range(0, len(there), 256):
+            out = {c: [x[edges[b] : edges[b + 1]].tobytes() for b in there[k : k + 256]] for c, x in zip(("words", "owners", "sizes", "scores"), columns)}
+            yield batch_of({"bucket": there[k : k + 256], **out}, len(there[k : k + 256]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, owners, parts, n, dealt = _Seen(), [], [], 0, 0
@@ -418,13 +391,12 @@ def _grouped(dealt: DataFrame, parts: int) -> DataFrame:
         ranges = -(-total // AT_ONCE)
         for k in range(ranges):
             of: list[list[np.ndarray]] = [[], [], [], []]
-            for w, o, sizes, scores, at in rows:
-                word = np.frombuffer(w, "<u4")
-                place = np.frombuffer(at, "<u2" if len(at) == len(w) // 2 else "<u4")
+            for row in rows:
+                arrays = [np.frombuffer(x, t) for x, t in zip(row, ("<u4", "<i8", "<u2", "u1"))]
                 if ranges > 1:
-                    mine = (word.astype(np.uint64) * np.uint64(ranges) >> _S32) == k
-                    word, place = word[mine], place[mine]
-                for column, value in zip(of, (word, np.frombuffer(o, "<i8")[place], np.frombuffer(sizes, "<u2")[place], np.frombuffer(scores, "u1")[place])):
+                    mine = (arrays[0].astype(np.uint64) * np.uint64(ranges) >> S32) == k
+                    arrays = [x[mine] for x in arrays]
+                for column, value in zip(of, arrays):
                     column.append(value)
             yield from groups(*(np.concatenate(x) for x in of))
 
@@ -435,8 +407,8 @@ def _grouped(dealt: DataFrame, parts: int) -> DataFrame:
             plain = int(np.searchsorted(bucket, 0))  # rows of df come first
             if plain:
                 own = batch.slice(0, plain)
-                yield pa.record_batch([pa.array(np.zeros(plain, np.int8)), own.column(8), pa.nulls(plain, pa.int64()), own.column(6), own.column(7), own.column(9), own.column(10)], schema=schema)
-            for b, *row in zip(*(c.to_pylist() for c in batch.slice(plain).columns[:6])):
+                yield pa.record_batch([pa.array(np.zeros(plain, np.int8)), own.column(7), pa.nulls(plain, pa.int64()), own.column(5), own.column(6), own.column(8), own.column(9)], schema=schema)
+            for b, *row in zip(*(c.to_pylist() for c in batch.slice(plain).columns[:5])):
                 if b != now and rows:
                     yield from bucket_of(rows)
                     rows = []
@@ -467,9 +439,8 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _sets(nodes: DataFrame, df: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(node, hashes) of the classes, from the text of one row each."""
     wanted = written(nodes.join(classes.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.key").alias("rep_key")), "node"), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS  # beyond that the texts are dealt by key
-    rows = _texts(df, id_col, text_col)
-    rows = rows.join(F.broadcast(wanted) if few else wanted, (F.col("key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("node", "text")
+    rows = _texts(df, id_col, text_col)  # dealt by key if many are wanted
+    rows = rows.join(_few(wanted), (F.col("key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("node", "text")
     schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -486,7 +457,7 @@ def _sets(nodes: DataFrame, df: DataFrame, classes: DataFrame, id_col: str, text
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs with 100 * intersection >= 80 * union of their whole sets."""
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}"))
+    side = lambda c: sets.join(_few(written(pairs.select(F.col(c).alias("node")).distinct(), "ends")), "node", "left_semi").select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}"))
     both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "of_a", "of_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -504,22 +475,28 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long")
 
 
-def _across(rooted: DataFrame, classes: DataFrame, failed: DataFrame, parts: int, forest: bool) -> DataFrame:
-    """Plausible pairs (a, b) of one star and different roots, without those that failed. rooted: (hub, node, root).
+def _few(df: DataFrame) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _across(rooted: DataFrame, classes: DataFrame, parts: int, forest: bool) -> DataFrame:
+    """Plausible pairs (a, b) of one star and different roots. rooted: (hub, node, root).
 
     A star's members are dealt to chunks; those outside its largest root visit every chunk, which holds a bounded number. forest: of the pairs that a chunk
     finds only as many as join its roots, the most similar first.
     """
     roots = rooted.groupBy("hub", "root").agg(F.count("*").alias("n"))
-    most = roots.groupBy("hub").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1").select("hub", F.col("m.root").alias("main"))
-    sized = written(rooted.join(most, "hub").join(classes.select("node", "n", "sketch"), "node"), "open")
-    chunks = sized.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum(F.octet_length("sketch")) / CHUNK_BYTES)).cast("int").alias("chunks"))
-    open_ = sized.join(chunks, "hub")
-    columns = ("hub", "chunk", "probe", "node", "root", "n", "sketch", "failed")
-    none = F.array().cast("array<bigint>")
-    targets = open_.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("probe", F.lit(0)).withColumn("failed", none).select(*columns)
-    tried = failed.select(F.col("a").alias("node"), F.col("b").alias("x")).unionByName(failed.select(F.col("b").alias("node"), F.col("a").alias("x"))).groupBy("node").agg(F.collect_set("x").alias("failed"))
-    probes = open_.filter("root <> main").join(tried, "node", "left").withColumn("failed", F.coalesce("failed", none)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("probe", F.lit(1)).select(*columns)
+    most = written(roots.groupBy("hub").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1").select("hub", F.col("m.root").alias("main")), "most")
+    members = written(rooted.join(_few(most), "hub"), "members")
+    nodes = written(members.select("node").distinct(), "nodes")
+    sized = members.join(classes.join(_few(nodes), "node", "left_semi").select("node", "n", "sketch"), "node")
+    sized = written(sized.select("hub", "node", "root", "main", "n", "sketch"), "open")
+    chunks = written(sized.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum(F.octet_length("sketch")) / CHUNK_BYTES)).cast("int").alias("chunks")), "chunks")
+    open_ = sized.join(_few(chunks), "hub")
+    columns = ("hub", "chunk", "probe", "node", "root", "n", "sketch")
+    targets = open_.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("probe", F.lit(0)).select(*columns)
+    probes = open_.filter("root <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("probe", F.lit(1)).select(*columns)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, target, laid = None, [], None
@@ -532,7 +509,7 @@ def _across(rooted: DataFrame, classes: DataFrame, failed: DataFrame, parts: int
                 by.setdefault(len(m[3]) // 8, []).append(m)
             return {w: (*(np.array(x, np.int64) for x in list(zip(*ms))[:3]), np.stack([np.frombuffer(m[3], "<u8") for m in ms])) for w, ms in by.items()}
 
-        def meet(node: int, root: int, n: int, sketch: bytes, without: list[int]) -> None:
+        def meet(node: int, root: int, n: int, sketch: bytes) -> None:
             own = np.frombuffer(sketch, "<u8")
             for nodes, roots, ns, sketches in laid.values():
                 lo, hi = np.searchsorted(ns, -(-4 * n // 5)), np.searchsorted(ns, 5 * n // 4, "right")
@@ -540,9 +517,9 @@ def _across(rooted: DataFrame, classes: DataFrame, failed: DataFrame, parts: int
                 for k in range(0, len(pick), 4096):
                     part = pick[k : k + 4096]
                     far = _far(sketches[part], own)
-                    near = np.flatnonzero(9 * far <= n + ns[part])
-                    for x in part[near][~np.isin(nodes[part[near]], without)].tolist() if len(near) else ():
-                        found.append(((9 * int(far[np.searchsorted(part, x)]) - n - int(ns[x])) / (n + int(ns[x])), min(node, int(nodes[x])), max(node, int(nodes[x])), root, int(roots[x])))
+                    for x in np.flatnonzero(9 * far <= n + ns[part]).tolist():
+                        other = int(part[x])
+                        found.append(((9 * int(far[x]) - n - int(ns[other])) / (n + int(ns[other])), min(node, int(nodes[other])), max(node, int(nodes[other])), root, int(roots[other])))
 
         def pairs() -> list[tuple[int, int]]:
             if not forest:
@@ -610,7 +587,7 @@ def linked_rows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     sets = written(_sets(ends(first), df, classes, id_col, text_col, size), "sets")
     # each class with its nearest candidate first; a pair inside a component that these make needs no comparison
     nearest = first.select(F.col("a").alias("x"), F.struct("over", F.col("b").alias("y")).alias("m")).unionByName(first.select(F.col("b").alias("x"), F.struct("over", F.col("a").alias("y")).alias("m"))).groupBy("x").agg(F.min("m").alias("m"))
-    nearest = nearest.select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct()
+    nearest = written(nearest.select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct(), "nearest")
     links = written(_verified(nearest, sets), "links")
     joined = components(links)
     apart = written(_apart(first.select("a", "b").join(nearest, ["a", "b"], "left_anti"), joined), "apart")
@@ -620,12 +597,11 @@ def linked_rows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     if not stars.isEmpty():
         stars = written(stars.unionByName(stars.select("hub", F.col("hub").alias("node")).distinct()).distinct(), "stars")
         tried = first.select("a", "b")
-        for turn in range(FORESTS + 1):
+        for forest in (True, False):
             rooted = stars.join(joined, "node", "left").select("hub", "node", F.coalesce("root", "node").alias("root"))
-            failed = _apart(tried.join(links, ["a", "b"], "left_anti"), joined)
-            found = written(_across(rooted, classes, failed, parts, turn < FORESTS).join(tried, ["a", "b"], "left_anti"), "across")
+            found = written(_across(rooted, classes, parts, forest).join(tried, ["a", "b"], "left_anti"), "across")
             if found.isEmpty():
-                break
+                continue
             more = ends(found).join(sets.select("node"), "node", "left_anti")
             sets = written(sets.unionByName(_sets(more, df, classes, id_col, text_col, size)), "sets") if not more.isEmpty() else sets
             links = written(links.unionByName(_verified(found, sets)), "links")
