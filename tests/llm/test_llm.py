@@ -348,6 +348,10 @@ def test_decontaminate(spark):
     assert got == {(100 + k, k) for k in range(8)} | {(200, 0), (201, 1)}
     assert {r.doc_id for r in decontaminate.clean(df, index).collect()} == {d for d, _ in docs} - {d for d, _ in got}
     assert decontaminate.matches(df, decontaminate.build(df, bench.limit(0))).count() == 0
+    odd = spark.createDataFrame([(None, items[2][1]), (7, items[2][1]), (7, items[2][1])], "doc_id long, text string")
+    two = spark.createDataFrame([(5, items[2][1]), (5, items[3][1] + " " + items[4][1])], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.item_id, r.common_words, r.item_words) for r in decontaminate.matches(odd, decontaminate.build(odd, two)).collect()) == [(0, 5, 50, 50), (7, 5, 50, 50), (7, 5, 50, 50)]
+    assert decontaminate.matches(odd.limit(0), decontaminate.build(odd.limit(0), bench)).count() == 0
     a, b = "the cat sat on the mat".split(), "a cat on a mat sat".split()
     assert decontaminate.common(a, b) == 3
 
@@ -370,11 +374,49 @@ def test_copies_need_no_cosine():
     assert not [x for x in index.search_all([" ".join(make(60)) for _ in range(50)]) if len(items[x[1]][1]) > 20]
 
 
+def brute_matches(text, items):
+    """All items with a place of the search's steps where enough words stand, without counts, bounds or cosines."""
+    d, words, out = decontaminate, decontaminate.words_of(text), set()
+    for k, own, answer in items:
+        size, step = int(d.SPREAD * len(own)) + 1, max(1, len(own) // 8)
+        for low in range(0, max(1, len(words)), d.STEP):
+            high = min(len(words), low + d.STEP + size)
+            for place in range(low, max(low + 1, high - size + step), step):
+                part = words[place : min(high, place + size)]
+                same = d.common(own, part)
+                if same >= d.SAME * len(own) or same >= d.PARAPHRASE * len(own) and len(answer) >= 3 and d.common(answer, part) >= d.ANSWER * len(answer):
+                    out.add(k)
+    return out
+
+
+def test_paraphrases_against_all_pairs(spark):
+    """Planted paraphrases of several strengths: the search without a cosine equals brute force, the search with it finds nearly all of that."""
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    index = decontaminate.build(docs, bench)
+    items = [(x.id, list(x.words), list(x.answer)) for x in index.items if len(x.answer) >= 3]
+    random.seed(12)
+    hosts = [w for w in (decontaminate.words_of(r.text) for r in docs.collect()) if 40 <= len(w) <= 200]
+    texts = []
+    for k, own, answer in items:
+        for lost in (0, 0.2, 0.3, 0.38):
+            host = random.choice(hosts)
+            body, end = own[: len(own) - len(answer)], own[len(own) - len(answer) :]
+            gone = set(random.sample(range(len(body)), min(len(body), int(lost * len(own)))))
+            copy = [random.choice(host) if j in gone else w for j, w in enumerate(body)] + end
+            at = random.randrange(len(host))
+            texts.append(" ".join(host[:at] + copy + host[at:]))
+    every = {(t, x) for t, x, *_ in index.search_all(texts, -2.0)}
+    sample = range(0, len(texts), 9)
+    assert {(t, x) for t in sample for x in brute_matches(texts[t], [(i.id, i.words, i.answer) for i in index.items])} == {p for p in every if p[0] in sample}
+    found = {(t, x) for t, x, *_ in index.search_all(texts)}
+    assert found <= every and len(found) >= 0.97 * len(every) and len(every) >= 0.9 * len(texts)
+
+
 def test_short_and_wordy_items():
     none = np.zeros((decontaminate.BUCKETS, decontaminate.RANK), np.float32)
     index = decontaminate.make_index([], none, None, ((1, ["blue", "whale"]), (2, ["seven"]), (3, ["blue", "whale"])))
-    assert sorted(index.search("A Blue, whale! blue whale")) == [(1, 1.0, 2, 1, 3), (3, 1.0, 2, 1, 3)]
-    assert index.search("blue big whale") == [] and index.search("at seven.") == [(2, 1.0, 1, 1, 2)] and index.search(None) == []
+    assert sorted(index.search("A Blue, whale! blue whale")) == [(1, 1.0, 2, 1, 3, 2), (3, 1.0, 2, 1, 3, 2)]
+    assert index.search("blue big whale") == [] and index.search("at seven.") == [(2, 1.0, 1, 1, 2, 1)] and index.search(None) == []
     # 40 distinct words of 100; 75 common words show 15 of them
     own = [w for k in range(15) for w in [f"often{k}"] * 5] + [f"once{k}" for k in range(25)]
     index = decontaminate.make_index([(7, own, [])], none)

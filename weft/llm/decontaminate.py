@@ -3,8 +3,8 @@
 Passages (blocks of PASSAGE words of documents, and benchmark items) are TF-IDF vectors over hashed words. One pass writes the
 words' buckets and counts in how many passages each occurs; a second one, over the buckets, multiplies the passages' Gram matrix with a random matrix, task by task, and a Nystroem
 step turns that product into the leading right singular vectors. Documents' windows and benchmark items are projected onto them; windows whose
-cosine with an item is high enough are candidates. So are, whatever their cosine, places where enough of an item's rarer pairs of neighbouring
-words stand together: a copy that lost or changed so few words that it still counts keeps more pairs than are needed. A candidate counts if the longest common subsequence of words holds most of the
+cosine with an item is high enough are candidates. Only windows that hold as many of an item's words as any match must are projected, which loses none; those that
+hold as many as a copy must are candidates whatever their cosine. A candidate counts if the longest common subsequence of words holds most of the
 item, or, for paraphrases, a good part of it and of the item's answer (the part after its last question, or else its last sentence).
 Matrices have a fixed size; the benchmark is the query set and must be small enough to be held by each task (checked).
 """
@@ -12,31 +12,29 @@ Matrices have a fixed size; the benchmark is the query set and must be small eno
 from __future__ import annotations
 
 import functools
-import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import partitions, prepare, written
+from weft.llm.common import discard, partitions, prepare, written
+from weft.llm.hashing import M3, PIECE, odd_values, runs
 
 BUCKETS = 1 << 14
 RANK = 32
 PASSAGE = 64
-#: A document has windows of several sizes at each block of STEP words; an item is looked for in windows
-#: of the first size that holds it wherever it starts, up to MOST_BLOCKS.
-STEP, MOST_BLOCKS = 16, 12
-COSINE = 0.62
+#: Windows begin at each block of STEP words; an item is looked for in windows of the first size that holds it wherever in the first block it starts.
+STEP = 16
+COSINE = 0.3
 #: Share of an item's words in the longest common subsequence; for paraphrases, and of the answer's words then.
 SAME, PARAPHRASE, ANSWER = 0.75, 0.6, 0.9
-#: Cells of a matrix that a search holds at a time, and words of texts that are searched together.
+#: Cells of a matrix that a search holds at a time, and characters of texts that are searched together.
 CELLS = 1_000_000
-WORDS_AT_ONCE = 100_000
+CHARACTERS_AT_ONCE = 500_000
 #: A match's words lie within so many times the item's length.
 SPREAD = 1.4
 #: Shortest item, in words, that is looked for by similarity; a shorter one is looked up by its whole word sequence.
@@ -46,60 +44,86 @@ BENCHMARK_BYTES = 64_000_000
 SEED = 7
 
 _WORD = re.compile(r"[^\W_]+")
-#: Entries of each of a worker table's two generations.
-CACHE_ENTRIES = 300_000
+_SPACE = re.compile(r"\s")
 
 
 def _plain(token: str) -> str:
     return "".join(_WORD.findall(token))
 
 
-class _Buckets(dict):
-    """Bucket of a lower-case token by its letters and digits; -1 for a token without any."""
-
-    old: dict[str, int] = {}
-
-    def __missing__(self, token: str) -> int:
-        value = self.old.get(token)
-        if value is None:
-            word = _plain(token)
-            value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % BUCKETS if word else -1
-        if len(token) <= 64:
-            if len(self) >= CACHE_ENTRIES:
-                self.old = dict(self)
-                self.clear()
-            self[token] = value
-        return value
-
-
-_IDS = _Buckets()
-
-
 def words_of(text: str | None) -> list[str]:
     return [w for w in map(_plain, (text or "").lower().split()) if w]
 
 
-def _ids(tokens: list[str]) -> np.ndarray:
-    """Buckets of the tokens that are words."""
-    ids = np.fromiter(map(_IDS.__getitem__, tokens), np.int32, len(tokens))
-    return ids[ids >= 0].astype(np.uint16)
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], column: int, step: int, most: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket of each word, first word of each block) of many texts at a time; a longer text is one chunk."""
-    ids, first, n = [], [], 0
+@functools.cache
+def _characters() -> np.ndarray:
+    """For each code point 1: of a word, 2: white space, 0: dropped."""
+    every = "".join(map(chr, range(0x110000)))
+    kind = np.zeros(len(every), np.uint8)
+    kind[[m.start() for m in re.finditer(r"[^\W_]", every)]] = 1
+    kind[[m.start() for m in re.finditer(r"\s", every)]] = 2
+    return kind
+
+
+def _piece(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, first code point) of each word of a lower-case text."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    kind = _characters()[codes]
+    at = np.flatnonzero(kind == 1)
+    if not len(at):
+        return np.empty(0, np.uint16), at
+    token = np.cumsum(kind == 2, dtype=np.int32)[at]
+    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    of = codes[at]
+    value = odd_values(1 << 16, 17)[of & np.uint32(0xFFFF)] + (of >> np.uint32(16)) * M3
+    return (runs(value, start, np.append(start[1:], len(at))) & np.uint64(BUCKETS - 1)).astype(np.uint16), at[start]
+
+
+def buckets_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of each word of all texts, number of words of each text). The words are those of words_of."""
+    ids, counts, held, n = [], [], [], 0
+
+    def together() -> None:
+        got, at = _piece("\n".join(held))
+        ids.append(got)
+        counts.append(np.diff(np.searchsorted(at, np.cumsum([0, *[len(x) + 1 for x in held]]))))
+
+    for text in texts:
+        low = (text or "").lower()
+        if n + len(low) > PIECE and held:
+            together()
+            held, n = [], 0
+        if len(low) <= 2 * PIECE:
+            held.append(low)
+            n += len(low)
+            continue
+        at, size = 0, 0
+        while at < len(low):
+            space = _SPACE.search(low, at + PIECE)
+            ids.append(_piece(low[at : space.start() if space else len(low)])[0])
+            size += len(ids[-1])
+            at = space.start() if space else len(low)
+        counts.append(np.array([size]))
+    if held:
+        together()
+    return np.concatenate([np.empty(0, np.uint16), *ids]), np.concatenate([np.empty(0, np.int64), *counts])
+
+
+def _ids(words: list[str]) -> np.ndarray:
+    return buckets_of([" ".join(words)])[0]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], step: int, most: int = 1000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket of each word, first word of each block) of many texts at a time."""
     for batch in batches:
-        for text in batch.column(column).to_pylist():
-            got = _ids((text or "").lower().split())
-            if len(got):
-                ids.append(got)
-                first.append(n + np.arange(0, len(got), step))
-                n += len(got)
-            if n >= most:
-                yield np.concatenate(ids), np.concatenate(first)
-                ids, first, n = [], [], 0
-    if n:
-        yield np.concatenate(ids), np.concatenate(first)
+        texts = batch.column(0).to_pylist()
+        for k in range(0, len(texts), most):
+            ids, counts = buckets_of(texts[k : k + most])
+            if len(ids):
+                counts = counts[counts > 0]
+                blocks = -(-counts // step)
+                place = np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                yield ids, np.repeat(np.cumsum(counts) - counts, blocks) + place * step
 
 
 def tokenised(texts: DataFrame) -> DataFrame:
@@ -108,13 +132,13 @@ def tokenised(texts: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, passages = np.zeros(BUCKETS, np.int64), 0
-        for ids, first in _chunks(batches, 0, PASSAGE):
+        for ids, first in _chunks(batches, PASSAGE):
             order = np.argsort(ids, kind="stable")
             of, passage = ids[order], _passages(len(ids), first)[order]
             fresh = np.concatenate([[True], (of[1:] != of[:-1]) | (passage[1:] != passage[:-1])])
             total += np.bincount(of[fresh], minlength=BUCKETS)
             passages += len(first)
-            yield pa.record_batch([pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([first.astype("<i8").tobytes()], pa.binary())], schema=schema)
+            yield pa.record_batch([pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([first.astype("<i4").tobytes()], pa.binary())], schema=schema)
         if passages:
             held = [*np.flatnonzero(total).tolist(), BUCKETS]
             yield pa.record_batch([pa.array(held, pa.int32()), pa.array([*total[held[:-1]].tolist(), passages], pa.int64()), pa.nulls(len(held), pa.binary()), pa.nulls(len(held), pa.binary())], schema=schema)
@@ -138,15 +162,34 @@ def passage_counts(tokens: DataFrame) -> tuple[np.ndarray, int]:
     return counts[:BUCKETS], int(counts[BUCKETS])
 
 
+def _with_none(rows: np.ndarray) -> np.ndarray:
+    """rows and one of zeros."""
+    return np.concatenate([rows, np.zeros((1, rows.shape[1]), np.float32)])
+
+
+def _sums(rows: np.ndarray, pick: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
+    """Sums of the picked rows over runs of the given lengths, by small products of `width` rows. The last of rows is zero."""
+    blocks = -(-lengths // width)
+    base = np.cumsum(blocks) - blocks
+    index = np.full(int(blocks.sum()) * width, len(rows) - 1, np.int32)
+    index[np.repeat(base * width - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(pick))] = pick
+    out = np.empty((len(index) // width, rows.shape[1]), np.float32)
+    ones, step = np.ones((1, width), np.float32), max(1, 32_768 // width)
+    for at in range(0, len(out), step):
+        held = rows.take(index[at * width : (at + step) * width], axis=0)
+        out[at : at + step] = np.matmul(ones, held.reshape(-1, width, rows.shape[1]))[:, 0]
+    return out if len(out) == len(lengths) else np.add.reduceat(out, base)
+
+
 def _gram(ids: np.ndarray, first: np.ndarray, weights: np.ndarray, weighted: np.ndarray, out: np.ndarray) -> None:
-    """out += A' A random for the passages' unit rows A; weighted: the random matrix, each row by its bucket's weight."""
+    """out += A' A random for the passages' unit rows A; weighted: the random matrix, each row by its bucket's weight, and a row of zeros."""
     w = weights[ids]
-    rows = np.add.reduceat(weighted[ids], first)
+    rows = _sums(weighted, ids, np.diff(np.append(first, len(ids))), PASSAGE)
     rows /= np.maximum(np.add.reduceat(w * w, first), 1e-9)[:, None]
     order = np.argsort(ids, kind="stable")
     of = ids[order]
     there = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-    out[of[there]] += np.add.reduceat(rows[_passages(len(ids), first)[order]], there) * weights[of[there]][:, None]
+    out[of[there]] += _sums(_with_none(rows), _passages(len(ids), first)[order], np.diff(np.append(there, len(of))), 8) * weights[of[there]][:, None]
 
 
 def singular_vectors(tokens: DataFrame, items: list[list[str]], weights: np.ndarray, passages: int, *, rank: int = RANK, seed: int = SEED) -> np.ndarray:
@@ -154,13 +197,13 @@ def singular_vectors(tokens: DataFrame, items: list[list[str]], weights: np.ndar
     random = np.random.default_rng(seed).standard_normal((BUCKETS, rank)).astype(np.float32)
     schema = pa.schema([("part", pa.int32()), ("data", pa.binary())])
     size = 512
-    weighted = random * weights[:, None]
+    weighted = _with_none(random * weights[:, None])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((BUCKETS, rank), np.float32)
         for batch in batches:
             for ids, first in zip(*batch.columns):
-                _gram(np.frombuffer(ids.as_buffer(), "<u2"), np.frombuffer(first.as_buffer(), "<i8"), weights, weighted, out)
+                _gram(np.frombuffer(ids.as_buffer(), "<u2"), np.frombuffer(first.as_buffer(), "<i4"), weights, weighted, out)
         parts = range(BUCKETS // size)
         yield pa.record_batch([pa.array(list(parts), pa.int32()), pa.array([out[p * size : (p + 1) * size].tobytes() for p in parts], pa.binary())], schema=schema)
 
@@ -191,9 +234,9 @@ def singular_vectors(tokens: DataFrame, items: list[list[str]], weights: np.ndar
     return np.linalg.svd(factor, full_matrices=False)[0].astype(np.float32)
 
 
-def common(one: list[str], two: list[str]) -> int:
+def common(one: Sequence, two: Sequence) -> int:
     """Length of the longest common subsequence, by bits of one."""
-    places: dict[str, int] = {}
+    places: dict = {}
     for k, word in enumerate(one):
         places[word] = places.get(word, 0) | 1 << k
     full = (1 << len(one)) - 1
@@ -212,227 +255,147 @@ def answer_of(text: str | None) -> list[str]:
     return words_of(" ".join(parts[asked[-1] + 1 :])) if asked and asked[-1] + 1 < len(parts) else words_of(parts[-1])
 
 
+@dataclass(frozen=True)
+class Item:
+    id: int | None
+    words: tuple[str, ...]
+    answer: tuple[str, ...]
+    #: Buckets of the words, the distinct ones, and how many of these a candidate must show: as few as hold PARAPHRASE of the words
+    buckets: tuple[int, ...]
+    distinct: frozenset[int]
+    fewest: int
+
+    @property
+    def size(self) -> int:
+        """Words within which a match lies."""
+        return int(SPREAD * len(self.words)) + 1
+
+
 @dataclass(frozen=True)
 class Index:
-    """What a search needs: projection of each bucket, projected items, their words, answers and distinct buckets."""
+    """What a search needs: projection of each bucket (and a row of zeros), the items and their projections."""
 
     projection: np.ndarray
-    items: tuple[tuple[int | None, tuple[str, ...], tuple[str, ...], frozenset[int]], ...]
+    items: tuple[Item, ...]
     vectors: np.ndarray
-    #: (blocks of a window, places of the items looked for in such windows)
-    sizes: tuple[tuple[int, tuple[int, ...]], ...]
-    #: For each bucket the range of its entries in holders (places of items) and bits (its bit among the item's first 64 distinct ones)
+    #: (blocks of a window, blocks that hold a match which begins in the first of them, places of the items for which this holds)
+    sizes: tuple[tuple[int, int, np.ndarray], ...]
+    #: For each bucket the range of its entries in holders (places of items that count it), and how many counted words a match and a copy hold at least
     ranges: np.ndarray
     holders: np.ndarray
-    bits: np.ndarray
-    #: Distinct buckets of an item that a candidate must show: as few as hold PARAPHRASE of its words; in least 0 where the item has more than 64
-    fewest: np.ndarray
     least: np.ndarray
-    #: Sorted pairs of neighbouring buckets that copies are found by; for each the range of its entries in pair_items and pair_offsets
-    pairs: np.ndarray
-    pair_ranges: np.ndarray
-    pair_items: np.ndarray
-    pair_offsets: np.ndarray
-    #: Whether some pair falls in a slot, and how many pairs of an item must stand together
-    slots: np.ndarray
-    need: np.ndarray
-    #: Items of fewer than LEAST_WORDS words, by their words
+    copies: np.ndarray
+    #: Items of fewer than LEAST_WORDS words, by their words, and the buckets of their first ones
     short: dict[tuple[str, ...], tuple[int | None, ...]]
     short_slots: np.ndarray
 
-    def search(self, text: str | None) -> list[tuple[int | None, float, int, int, int]]:
-        """(item, cosine, common words, first and last word of the window) of each item found, by its best window."""
+    def search(self, text: str | None) -> list[tuple[int | None, float, int, int, int, int]]:
+        """(item, cosine, common words, first and last word of the window, words of the item) of each item found, by its best window."""
         return [x[1:] for x in self.search_all([text])]
 
-    def search_all(self, texts: list[str | None]) -> list[tuple]:
+    def search_all(self, texts: list[str | None], cosine: float = COSINE) -> list[tuple]:
         """The same for many texts, each row with its text's place in front. Many texts share the array work; a longer text is searched alone."""
         out: list[tuple] = []
-        places, ids, n = [], [], 0
+        places, n = [], 0
         for k, text in enumerate(texts):
-            got = _ids((text or "").lower().split())
-            if len(got) and self.short:
-                out += self._exact(k, text, got)
-            if len(got) and self.items:
+            if text:
                 places.append(k)
-                ids.append(got)
-                n += len(got)
-            if n >= WORDS_AT_ONCE:
-                out += self._search(texts, places, ids)
-                places, ids, n = [], [], 0
-        return out + self._search(texts, places, ids) if n else out
-
-    def _exact(self, k: int, text: str | None, ids: np.ndarray) -> list[tuple]:
-        """Rows of the short items that stand word for word in a text, by their first place."""
-        at = np.flatnonzero(self.short_slots[ids]).tolist()
-        words = words_of(text) if at else []
+                n += len(text)
+            if n >= CHARACTERS_AT_ONCE:
+                out += self._together(texts, places, cosine)
+                places, n = [], 0
+        return out + self._together(texts, places, cosine) if places else out
+
+    def _together(self, texts: list[str | None], places: list[int], cosine: float) -> list[tuple]:
+        ids, counts = buckets_of([texts[k] for k in places])
+        held = np.flatnonzero(counts)
+        lengths, places = counts[held], [places[k] for k in held.tolist()]
+        out = []
+        if self.short and len(ids):
+            start = np.cumsum(lengths) - lengths
+            at = np.flatnonzero(self.short_slots[ids])
+            text = np.searchsorted(start, at, "right") - 1
+            for d in np.unique(text).tolist():
+                out += self._exact(places[d], texts[places[d]], (at[text == d] - start[d]).tolist())
+        return out + self._search(texts, places, ids, lengths, cosine) if len(ids) and self.items else out
+
+    def _exact(self, k: int, text: str | None, at: list[int]) -> list[tuple]:
+        """Rows of the short items that stand word for word in a text, by their first place. at: places of words that may begin one."""
+        words = words_of(text)
         found: dict[tuple[str, ...], int] = {}
         for size in sorted({len(x) for x in self.short}):
             for place in at:
                 own = tuple(words[place : place + size])
                 if own in self.short:
                     found.setdefault(own, place)
-        return [(k, item, 1.0, len(own), place, place + len(own)) for own, place in found.items() for item in self.short[own]]
+        return [(k, item, 1.0, len(own), place, place + len(own), len(own)) for own, place in found.items() for item in self.short[own]]
 
-    def _search(self, texts: list[str | None], places: list[int], parts: list[np.ndarray]) -> list[tuple]:
-        ids = np.concatenate(parts)
-        lengths = np.array([len(x) for x in parts])
+    def _search(self, texts: list[str | None], places: list[int], ids: np.ndarray, lengths: np.ndarray, least: float) -> list[tuple]:
         start = np.cumsum(lengths) - lengths  # first word of each text
         blocks_of = -(-lengths // STEP)
         begin = np.cumsum(blocks_of) - blocks_of  # its first block
-        doc = np.repeat(np.arange(len(parts)), blocks_of)
+        doc = np.repeat(np.arange(len(lengths)), blocks_of)
         first = start[doc] + (np.arange(len(doc)) - begin[doc]) * STEP
-        item, block, span, cosine = self._candidates(ids, first, begin[doc] + blocks_of[doc], begin[doc], self._copies(ids, start, begin))
-        if not len(item):
-            return []
-        d = doc[block]
-        reach = np.maximum(0, self.lengths[item] - span * STEP) + STEP // 2
-        low = np.maximum(start[d], first[block] - reach)
-        high = np.minimum(start[d] + lengths[d], first[block] + span * STEP + reach)
-        shown = np.flatnonzero(self._shown(ids, first, item, begin[d] + (low - start[d]) // STEP, begin[d] - (start[d] - high) // STEP))
         best: dict[tuple[int, int], tuple] = {}
-        tokens, word_at, of = [], [], -1
-        for k, d, lo, hi, near in zip(*(x[shown].tolist() for x in (item, d, low, high, cosine))):
-            _, own, answer, distinct = self.items[k]
-            if len(distinct.intersection(ids[lo:hi].tolist())) < self.fewest[k]:
+        text_words, of = [], -1
+        for k, d, low, near in zip(*(x.tolist() for x in self._candidates(ids, first, begin[doc] + blocks_of[doc], doc, least))):
+            item, at = self.items[k], int(start[d])
+            high = min(at + int(lengths[d]), low + STEP + item.size)
+            shown = ids[low:high].tolist()
+            if len(item.distinct.intersection(shown)) < item.fewest or common(item.buckets, shown) < PARAPHRASE * len(item.words):
                 continue
             if of != d:
-                tokens, of = (texts[places[d]] or "").lower().split(), d
-                word_at = [p for p, x in enumerate(map(_IDS.__getitem__, tokens)) if x >= 0]
-            at = int(start[d])
-            lo, hi = lo - at, hi - at
-            words = [_plain(tokens[p]) for p in word_at[lo:hi]]
-            if common(own, words) < PARAPHRASE * len(own):
-                continue
-            size = int(SPREAD * len(own)) + 1
-            for place in range(lo, max(lo + 1, hi - size + max(1, len(own) // 8)), max(1, len(own) // 8)):
-                part = words[place - lo : min(hi, place + size) - lo]
-                same = common(own, part)
-                if same >= SAME * len(own) or same >= PARAPHRASE * len(own) and len(answer) >= 3 and common(answer, part) >= ANSWER * len(answer):
+                text_words, of = words_of(texts[places[d]]), d
+            step = max(1, len(item.words) // 8)
+            for place in range(low - at, max(low - at + 1, high - at - item.size + step), step):
+                part = text_words[place : min(high - at, place + item.size)]
+                same = common(item.words, part)
+                if same >= SAME * len(item.words) or same >= PARAPHRASE * len(item.words) and len(item.answer) >= 3 and common(item.answer, part) >= ANSWER * len(item.answer):
                     found = (same, near, -place, place + len(part))
                     if (d, k) not in best or found > best[d, k]:
                         best[d, k] = found
-        return [(places[d], self.items[k][0], c, same, -lo, hi) for (d, k), (same, c, lo, hi) in sorted(best.items())]
-
-    def _copies(self, ids: np.ndarray, start: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, first block) of places that hold enough pairs of an item. start, begin: first word and block of each text."""
-        keys = _pairs(ids)
-        at = np.flatnonzero(self.slots[_slots(keys)])
-        at = at[np.searchsorted(start, at, "right") == np.searchsorted(start, at + 1, "right")]  # not over the end of a text
-        where = np.searchsorted(self.pairs, keys[at])
-        there = self.pairs[np.minimum(where, len(self.pairs) - 1)] == keys[at] if len(self.pairs) else np.zeros(len(at), bool)
-        at, where = at[there], where[there]
-        count = self.pair_ranges[where + 1] - self.pair_ranges[where]
-        entry = np.arange(int(count.sum())) + np.repeat(self.pair_ranges[where] - (np.cumsum(count) - count), count)
-        place, item = np.repeat(at, count), self.pair_items[entry]
-        order = np.lexsort((place, item))
-        place, item, offset = place[order], item[order], self.pair_offsets[entry][order]
-        text = np.searchsorted(start, place, "right") - 1
-        last = np.arange(len(item)) + self.need[item] - 1
-        found = np.flatnonzero(last < len(item))
-        last = last[found]
-        found = found[(item[last] == item[found]) & (text[last] == text[found]) & (place[last] - place[found] <= SPREAD * self.lengths[item[found]])]
-        ahead = np.maximum(0, place - offset - start[text])[found]
-        both = np.unique(np.stack([item[found], begin[text[found]] + ahead // STEP]), axis=1)
-        return both[0], both[1]
-
-    def _candidates(self, ids: np.ndarray, first: np.ndarray, end: np.ndarray, begin: np.ndarray, copies: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(item, first block, blocks, cosine) of windows close to an item, and of copies. begin, end: of each block, the blocks of its text."""
-        sums = np.empty((len(first), self.projection.shape[1]), np.float32)
-        for at in range(0, len(first), 4096):
-            lo, hi = first[at], first[at + 4096] if at + 4096 < len(first) else len(ids)
-            sums[at : at + 4096] = np.add.reduceat(self.projection[ids[lo:hi]], first[at : at + 4096] - lo)
-        total = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
-        every = np.arange(len(first))
-        out = []
-        for blocks, members in self.sizes:
-            starts = every[(every + blocks <= end) | (every == begin)]
-            places = np.array(members)
-            of = self.vectors[places].T
-            tile = max(64, CELLS // len(places))
-            for at in range(0, len(starts), tile):
-                here = starts[at : at + tile]
-                windows = (total[np.minimum(here + blocks, end[here])] - total[here]).astype(np.float32)
-                windows /= np.maximum(np.sqrt(np.einsum("ij,ij->i", windows, windows)), 1e-9)[:, None]
-                few = np.zeros((-(-len(here) // 64), 64, windows.shape[1]), np.float32)  # small products need no threads
-                few.reshape(-1, windows.shape[1])[: len(here)] = windows
-                cosine = few @ of
-                hit = np.flatnonzero(cosine >= COSINE)
-                w, m = np.divmod(hit, len(places))
-                out.append((places[m], here[w], np.full(len(w), blocks), cosine.reshape(-1)[hit]))
-        item, block = copies
-        have = np.concatenate([x[0] * len(first) + x[1] for x in out])
-        fresh = ~np.isin(item * len(first) + block, have)
-        item, block = item[fresh], block[fresh]
-        blocks = np.minimum(MOST_BLOCKS, -(-self.lengths[item] // STEP) + 1)
-        windows = total[np.minimum(block + blocks, end[block])] - total[block]
-        windows /= np.maximum(np.sqrt(np.einsum("ij,ij->i", windows, windows)), 1e-9)[:, None]
-        out.append((item, block, blocks, np.einsum("ij,ij->i", windows, self.vectors[item])))
-        return tuple(np.concatenate(x) for x in zip(*out))
-
-    def _shown(self, ids: np.ndarray, first: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Whether the blocks low to high (exclusive) hold enough distinct buckets of the item."""
-        out = self.least[item] == 0
-        rows = max(64, min(4096, CELLS // len(self.items)))
-        for at in range(0, len(first), rows):  # matrix of one tile and what windows that begin in it reach beyond
-            mine = np.flatnonzero((low >= at) & (low < at + rows) & ~out)
-            if not len(mine):
-                continue
-            end = int(high[mine].max())
-            seen = np.zeros((end - at, len(self.items)), np.uint64)
-            for b in range(at, end, 512):
-                lo, hi = first[b], first[min(b + 512, end)] if min(b + 512, end) < len(first) else len(ids)
+        return [(places[d], self.items[k].id, c, same, -lo, hi, len(self.items[k].words)) for (d, k), (same, c, lo, hi) in sorted(best.items())]
+
+    def _candidates(self, ids: np.ndarray, first: np.ndarray, end: np.ndarray, doc: np.ndarray, least: float) -> tuple[np.ndarray, ...]:
+        """(item, text, first word, cosine) of windows near an item. end, doc: of each block, the end of its text's blocks and the text.
+
+        A match keeps PARAPHRASE of an item's words, so a window must hold as many words that are the item's; of its commonest words, which are not
+        counted, all may be among them. That is told by counts, for all windows and items. Only windows that do are projected. They are candidates if close enough to the item, or if they hold so many of its words that
+        they may be a copy.
+        """
+        total = None
+        every = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        reach, rows, n = max(x[1] for x in self.sizes), max(64, min(4096, CELLS // len(self.items))), len(self.items)
+        for at in range(0, len(first), rows):
+            last = min(len(first), at + rows + reach)
+            cells = np.zeros((last - at + 1, n), np.int32)
+            for b in range(at, last, 512):
+                top = min(b + 512, last)
+                lo, hi = first[b], first[top] if top < len(first) else len(ids)
                 words = ids[lo:hi].astype(np.int64)
                 count = self.ranges[words + 1] - self.ranges[words]
-                row = np.searchsorted(first[b : b + 512], np.arange(lo, hi), "right") - 1 + b - at
                 entry = np.arange(int(count.sum())) + np.repeat(self.ranges[words] - (np.cumsum(count) - count), count)
-                np.bitwise_or.at(seen.reshape(-1), np.repeat(row * len(self.items), count) + self.holders[entry], self.bits[entry])
-            a, b, c = low[mine] - at, high[mine] - at, item[mine]
-            mask = np.zeros(len(mine), np.uint64)
-            for k in range(int((b - a).max())):
-                mask |= seen[np.minimum(a + k, b - 1), c]
-            out[mine] = np.bitwise_count(mask) >= self.least[c]
-        return out
-
-    @functools.cached_property
-    def lengths(self) -> np.ndarray:
-        return np.array([len(own) for _, own, *_ in self.items])
-
-
-def _pairs(ids: np.ndarray) -> np.ndarray:
-    """Each word's bucket with its next word's, as one number."""
-    return ids[:-1].astype(np.int64) * BUCKETS + ids[1:]
-
-
-def _slots(pairs: np.ndarray) -> np.ndarray:
-    return (pairs * 0x9E3779B1 & 0xFFFFFFFF) >> 12
-
-
-def _rare_pairs(items: list[list[str]], counts: np.ndarray | None) -> tuple[np.ndarray, ...]:
-    """The pair fields of an index. counts: passages that hold each bucket.
-
-    A copy of n words of which lost ones are gone or changed keeps n - 1 - 2 * lost pairs at least. A third of those is needed, so
-    the commonest pairs of an item, as many as the other two thirds, need not be looked for.
-    """
-    every = [_pairs(_ids(words)) for words in items]
-    distinct, inverse, times = np.unique(np.concatenate([np.empty(0, np.int64), *every]), return_inverse=True, return_counts=True)
-    common = times.astype(np.float64)
-    if counts is not None:
-        common *= (1.0 + counts[distinct // BUCKETS]) * (1.0 + counts[distinct % BUCKETS])
-    keys, holders, offsets, need, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [], 0
-    for k, (words, pairs) in enumerate(zip(items, every)):
-        sure = max(1, len(words) - 1 - 2 * (len(words) - math.ceil(SAME * len(words))))
-        need.append(max(1, sure // 3))
-        kept = np.argsort(common[inverse[at : at + len(pairs)]], kind="stable")[: max(0, len(pairs) - (sure - need[-1]))]
-        at += len(pairs)
-        keys.append(pairs[kept])
-        holders.append(np.full(len(kept), k))
-        offsets.append(kept)
-    key, holder, offset = (np.concatenate(x) for x in (keys, holders, offsets))
-    order = np.argsort(key, kind="stable")
-    held, begin = np.unique(key[order], return_index=True)
-    slots = np.zeros(1 << 20, bool)
-    slots[_slots(held)] = True
-    return held, np.append(begin, len(key)), holder[order], offset[order], slots, np.array(need, np.int64)
+                row = np.repeat(np.arange(top - b), np.diff(np.append(first[b:top], hi)))
+                cells[b - at + 1 : top - at + 1] = np.bincount(np.repeat(row * n, count) + self.holders[entry], minlength=(top - b) * n).reshape(-1, n)
+            np.cumsum(cells, axis=0, out=cells)
+            starts = np.arange(min(rows, len(first) - at))
+            for blocks, held, members in self.sizes:
+                shown = cells[np.minimum(starts + held, end[at + starts] - at)][:, members] - cells[starts][:, members]
+                w, m = np.nonzero(shown >= self.least[members])
+                if not len(w):
+                    continue
+                item, block = members[m], at + w
+                if total is None:
+                    sums = _sums(self.projection, ids, np.diff(np.append(first, len(ids))), STEP)
+                    total = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
+                windows = total[np.minimum(block + blocks, end[block])] - total[block]
+                windows /= np.maximum(np.sqrt(np.einsum("ij,ij->i", windows, windows)), 1e-9)[:, None]
+                cosine = np.einsum("ij,ij->i", windows, self.vectors[item])
+                use = (cosine >= least) | (shown[w, m] >= self.copies[item])
+                every.append((item[use], block[use], cosine[use]))
+        item, block, cosine = (np.concatenate(x) for x in zip(*every))
+        order = np.argsort(block, kind="stable")
+        return item[order], doc[block[order]], first[block[order]], cosine[order]
 
 
 def _fewest(ids: np.ndarray, words: float) -> int:
@@ -442,26 +405,33 @@ def _fewest(ids: np.ndarray, words: float) -> int:
 
 
 def make_index(items: list[tuple[int | None, list[str], list[str]]], projection: np.ndarray, counts: np.ndarray | None = None, short: tuple[tuple[int | None, list[str]], ...] = ()) -> Index:
-    """Index of items (id, words, words of the answer) and of short ones (id, words). counts: passages that hold each bucket, to tell rare pairs of words."""
-    of = np.array([projection[_ids(x[1])].sum(axis=0) for x in items], np.float32).reshape(len(items), projection.shape[1])
+    """Index of items (id, words, words of the answer) and of short ones (id, words). counts: passages that hold each bucket, to tell common words."""
+    ids = [_ids(words) for _, words, _ in items]
+    of = np.array([projection[x].sum(axis=0) for x in ids], np.float32).reshape(len(items), projection.shape[1])
     of /= np.maximum(np.linalg.norm(of, axis=1, keepdims=True), 1e-9)
-    sizes: dict[int, list[int]] = {}
-    for k, (_, words, _) in enumerate(items):
-        sizes.setdefault(min(MOST_BLOCKS, -(-len(words) // STEP) + 1), []).append(k)
-    distinct = [np.unique(_ids(words)) for _, words, _ in items]
-    entries = [(np.concatenate(x) if items else np.empty(0, np.int64)) for x in ([d.astype(np.int64) for d in distinct], [np.full(len(d), k) for k, d in enumerate(distinct)], [np.arange(len(d)) for d in distinct])]
-    bucket, holders, bit = (x[entries[2] < 64] for x in entries)
+    held = tuple(Item(i, tuple(w), tuple(a), tuple(x.tolist()), frozenset(x.tolist()), _fewest(x, PARAPHRASE * len(w))) for (i, w, a), x in zip(items, ids))
+    sizes: dict[tuple[int, int], list[int]] = {}
+    for k, item in enumerate(held):
+        sizes.setdefault((-(-len(item.words) // STEP) + 1, -(-item.size // STEP) + 1), []).append(k)
+    counted, left = [], []
+    for x in ids:
+        distinct, times = np.unique(x, return_counts=True)
+        common_first = np.argsort(-(times if counts is None else counts[distinct]), kind="stable")
+        most = 2 * int(np.ceil(PARAPHRASE * len(x) - 1e-9)) // 3  # so that a third of what a match must hold is counted
+        gone = int(np.searchsorted(np.cumsum(times[common_first]), most, "right"))
+        counted.append(distinct[common_first[gone:]].astype(np.int64))
+        left.append(int(times[common_first[:gone]].sum()))
+    bucket = np.concatenate([np.empty(0, np.int64), *counted])
     order = np.argsort(bucket, kind="stable")
-    ranges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-    fewest = np.array([_fewest(_ids(words), PARAPHRASE * len(words)) for _, words, _ in items], np.int64)
-    least = np.array([0 if len(d) > 64 else f for d, f in zip(distinct, fewest)], np.int64)
+    holders = np.repeat(np.arange(len(held)), [len(x) for x in counted])[order]
+    lengths = np.array([len(x) for x in ids], np.int64)
+    least, copies = (np.maximum(1, np.ceil(share * lengths - 1e-9).astype(np.int64) - np.array(left, np.int64)) for share in (PARAPHRASE, SAME))
     few: dict[tuple[str, ...], tuple[int | None, ...]] = {}
     for item, words in short:
         few[tuple(words)] = (*few.get(tuple(words), ()), item)
     short_slots = np.zeros(BUCKETS, bool)
     short_slots[[int(_ids(list(w[:1]))[0]) for w in few]] = True
-    held = tuple((i, tuple(w), tuple(a), frozenset(d.tolist())) for (i, w, a), d in zip(items, distinct))
-    return Index(projection, held, of, tuple((b, tuple(m)) for b, m in sorted(sizes.items())), ranges, holders[order], np.uint64(1) << bit[order].astype(np.uint64), fewest, least, *_rare_pairs([x[1] for x in items], counts), few, short_slots)
+    return Index(_with_none(projection), held, of, tuple((*k, np.array(m)) for k, m in sorted(sizes.items())), np.searchsorted(bucket[order], np.arange(BUCKETS + 1)), holders, least, copies, few, short_slots)
 
 
 def build(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> Index:
@@ -478,6 +448,7 @@ def build(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item
     counts, passages = passage_counts(tokens)
     weights = (np.log((1 + passages) / (1 + counts)) + 0.1).astype(np.float32)
     vectors = singular_vectors(tokens, [x[1] for x in items], weights, passages)
+    discard(tokens)
     return make_index(items, vectors * weights[:, None], counts, short)
 
 
@@ -488,17 +459,14 @@ def matches(docs: DataFrame, index: Index, *, id_col: str = "doc_id", text_col:
     """
     prepare(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(index)
-    lengths = {}
-    for item, own in [*((x[0], x[1]) for x in index.items), *((i, w) for w, held_by in index.short.items() for i in held_by)]:
-        lengths.setdefault(item, len(own))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("common_words", pa.int32()), ("item_words", pa.int32()), ("first_word", pa.int32()), ("last_word", pa.int32())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                (doc_id, item, cosine, same, lengths[item], lo, hi)
+                (doc_id, item, cosine, same, size, lo, hi)
                 for ids, texts in [[c.to_pylist() for c in batch.columns]]
-                for k, item, cosine, same, lo, hi in held.value.search_all(texts)
+                for k, item, cosine, same, lo, hi, size in held.value.search_all(texts)
                 for doc_id in [ids[k]]
             ]
             if rows:
