@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from weft.llm import decontaminate, language, licences, near_join, packing, quality, repeats, secrets, threads, token_files
 from weft.llm.components import components
@@ -49,8 +50,10 @@ def test_tokens_are_exact(name, blanks, rows):
     coder = PieceEncoder(vocabulary(name), blanks)
     random.seed(1)
     odd = ["".join(random.choices("aAéÉ .\n\t'sT1,ß\xa0\x1c-#🙂́", k=random.randint(1, 30))) for _ in range(1500)]
-    texts = [*odd, *[t or "" for _, t in rows], "it's <|endoftext|>", "H̱ x", "ΑΣ Σ.", "日本 語"]
-    want = coder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    texts = [*odd, *[t or "" for _, t in rows], "it's <|endoftext|>", "hello <|endoftext|> world", "a<|endoftext|>b", "A <|ENDOFTEXT|> b <|startoftext|>", "H̱ x", "ΑΣ Σ.", "日本 語"]
+    fresh = Tokenizer.from_file(vocabulary(name))
+    assert 49407 in fresh.encode(texts[-7], add_special_tokens=False).ids or 50256 in fresh.encode(texts[-7], add_special_tokens=False).ids
+    want = fresh.encode_batch_fast(texts, add_special_tokens=False)
     assert all(coder.encode(t) == array("I", e.ids).tobytes() for t, e in zip(texts, want))
 
 

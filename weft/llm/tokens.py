@@ -2,7 +2,7 @@
 
 Both vocabularies first split a text into short pieces and then merge inside each piece only, so the ids of a
 text are the joined ids of its blank-separated pieces. The tokenizers library is called once for each
-distinct piece a Python worker meets; texts with unusual white space are handed to it whole.
+distinct piece a Python worker meets; texts with unusual white space or with the string of a special token are handed to it whole.
 """
 
 from __future__ import annotations
@@ -53,7 +53,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings that stand for a special token wherever they occur; a text with one is encoded whole
+        self.marks = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.blanks, self.model = blanks, self.tokenizer.model
         self.letters = _byte_letters()
         self.runs = _Table(self._run)
@@ -81,6 +82,8 @@ class PieceEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(mark in text for mark in self.marks):
+            return self.whole(text)
         if not self.blanks:
             if text.isascii():
                 text = text.lower()
