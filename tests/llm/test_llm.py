@@ -336,6 +336,71 @@ def test_repeated_lines(spark):
         assert {(r.doc_id, r.unit) for r in got.filter("doc_id = 3").collect()} == ({(3, 2), (3, 3)} if floor == 1 else set())
 
 
+def brute_repeats(rows, min_words, line_words):
+    """{(doc_id, text): removed spans} by the rule, from the rows in order of rank."""
+    key = lambda t: xxhash.xxh64_intdigest(t.encode(), seed=42)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    docs = sorted({(d, t) for d, t in rows if t}, key=lambda x: (x[0] is not None, x[0] or 0, signed(key(x[1]))))
+    seen, out = set(), {}
+    for d, t in docs:
+        lines, at = [], 0
+        for line in t.split("\n"):
+            parts, begin = [], 0
+            for m in [*re.finditer(r"(?<![.!?])[.!?]+(?=\s|$)", line), None]:
+                end = m.end() if m else len(line)
+                part = line[begin:end]
+                plain = " ".join(part.split()).strip(repeats._EDGE).lower()
+                if plain:
+                    parts.append((at + begin + len(part) - len(part.lstrip()), at + begin + len(part.rstrip()), len(part.split()), plain))
+                begin = end
+            if parts:
+                lines.append(parts)
+            at += len(line) + 1
+        gone, again = set(), []
+        for parts in lines:
+            whole = "\n".join(p[3] for p in parts)
+            if len(parts) > 1 and whole in seen and sum(p[2] for p in parts) >= line_words:
+                gone |= set(parts)
+            seen.add(whole) if len(parts) > 1 else None
+            for p in parts:
+                again.append((p, p[3] in seen))
+                if len(parts) == 1 and p[3] in seen and p[2] >= line_words:
+                    gone.add(p)
+                seen.add(p[3])
+        run = []
+        for p, old in [*again, (None, False)]:
+            if old:
+                run.append(p)
+            else:
+                if sum(p[2] for p in run) >= min_words:
+                    gone |= set(run)
+                run = []
+        out[d, t] = sorted(p[:2] for p in gone)
+    return out
+
+
+def test_repeats_against_brute_force(spark, monkeypatch):
+    random.seed(14)
+    pieces = ["One here.", "two there", "Three, is it?", "four five six seven!", "The end...", "a", "Wait... what?!", "x.y z", "some more words here to make a run.", "-- --", ""]
+    rows = [(random.choice([None, *range(30)]), random.choice(["\n", "\n\n", " "]).join(random.choice(pieces) + random.choice(["", " " + random.choice(pieces)]) for _ in range(random.randint(1, 12)))) for _ in range(80)]
+    rows += [rows[0], rows[1], (3, None), (None, ""), (4, "." * 200_000 + "x"), (5, "word. " * 50_000), (5, "only here and\nnowhere else")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("x")).repartition(4)
+    for hot in (repeats.HOT, 3):
+        monkeypatch.setattr(repeats, "HOT", hot)
+        for floors in ((25, 1), (1, 1), (6, 3)):
+            want = {(d, t): spans for (d, t), spans in brute_repeats(rows, *floors).items() if spans}
+            of_key = {(d, spark_hash(t)): t for d, t in want}
+            got = collections.defaultdict(list)
+            removed = repeats.repeated_units(df, min_words=floors[0], line_words=floors[1])
+            for r in removed.collect():
+                got[r.doc_id, of_key[r.doc_id, r.text_key]].append((r.start_char, r.end_char))
+            assert {k: sorted(v) for k, v in got.items()} == want
+    left = repeats.remove(df, removed)
+    cut = lambda t, spans: "".join(t[a:b] for a, b in zip([0, *[e for _, e in spans]], [*[s for s, _ in spans], len(t)]))
+    assert collections.Counter((r.doc_id, r.text) for r in left.collect()) == collections.Counter((d, cut(t, want.get((d, t), [])) if t is not None else None) for d, t in rows)
+    assert left.columns == df.columns and repeats.repeated_units(df.limit(0)).count() == 0
+
+
 def test_decontaminate(spark):
     random.seed(4)
     pool = [f"{a}{b}" for a in ("tor", "mil", "gan", "fes", "ura", "pol") for b in ("an", "is", "or", "ude", "et", "ilo", "ak", "em")]
