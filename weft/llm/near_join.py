@@ -576,7 +576,7 @@ def linked_rows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     prepare(spark)
     parts = partitions(spark)
     frequent = _frequent(df, text_col, size)
-    staged = written(_grouped(_dealt(df, id_col, text_col, size, frequent, parts), parts), "groups")
+    staged = written(_grouped(_dealt(df, id_col, text_col, size, frequent, 4 * parts), parts), "groups")  # several buckets a partition are more even
     rows = staged.filter("kind = 0").select("doc_id", "key", "n", F.col("a").alias("node"))
     of_class = staged.filter("kind = 0 and a is not null").groupBy(F.col("a").alias("node"))
     stars = staged.filter("kind = 2").select(F.col("a").alias("hub"), F.col("b").alias("node")).distinct()
@@ -619,6 +619,6 @@ def near_join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     are ignored; an empty table gives no rows. Sets compare by 64-bit shingle hashes and classes by a 63-bit digest.
     """
     rows = linked_rows(df, id_col=id_col, text_col=text_col, size=size)
-    lowest = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("lowest"))
+    lowest = written(rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("lowest")), "lowest")  # so that the join deals both sides anew and can split a hot root
     named = rows.join(lowest, "root", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id"))
