@@ -29,8 +29,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     rows = near_join.linked_rows(docs)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
-    kept = rows.filter("root is not null").groupBy("root").agg(F.min(place).alias("kept"))
-    linked = rows.filter("root is not null").groupBy("root", "doc_id", "key").agg(F.count("*").alias("n")).join(kept, "root")
+    kept = written(rows.filter("root is not null").groupBy("root").agg(F.min(place).alias("kept")), "kept")
+    linked = written(rows.filter("root is not null").groupBy("root", "doc_id", "key").agg(F.count("*").alias("n")), "linked").join(kept, "root")
     marked = written(linked.select("doc_id", "key", "n", (F.col("key").eqNullSafe(F.col("kept.key")) & F.col("doc_id").eqNullSafe(F.col("kept.doc_id"))).alias("stays")).filter("n > 1 or not stays"), "marked")
     few = marked.count() <= BROADCAST_ROWS
     named = (F.broadcast(marked) if few else marked).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("stays").alias("__stays"))
