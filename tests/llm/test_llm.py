@@ -499,11 +499,115 @@ def test_threads(spark):
     got = threads.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("position", F.lit("x"))).collect()
     found = {(r.conv_id, r.turn): (r.text, r.parent_conv_id, r.parent_turn, r.link, r.position) for r in got}
     assert len(got) == len(rows)
+    # one thread: turns 1 and 2 both answer turn 0, turn 3 answers turn 2
     assert found[1, 2] == ("Thanks for that.", 1, 0, "quote", 2) and found[1, 3] == ("OK bye", 1, 2, "quote", 3)
     assert found[2, 0] == ("same here", 1, 1, "quote", 0) and found[2, 5] == ("", 2, 0, "order", 1)
     assert found[1, 0][3] == "root" and found[3, 1][2:] == (0, "order", 2) and found[None, 1][3] == "root"
 
 
+def brute_threads(rows):
+    """{(conv, turn): (own, parent conv, parent turn, link, level, thread, depth, position)} of rows with ids."""
+    normal = lambda t: " ".join(re.split(r"[\s\xa0]+", t.lower())).strip()
+    held, quotes, own = {}, {}, {}
+    for c, t, _, text in rows:
+        if c is None or t is None:
+            continue
+        text = text or ""
+        lines = []
+        for line in text.split("\n"):
+            m = re.match(r"[ \t>]*>[ \t]?", line)
+            lines.append((m[0].count(">"), line[m.end() :]) if m else (0, line))
+        quoted = any(x for x, _ in lines)
+        if quoted:
+            own_lines, passages, last = [], [], None
+            for k, (level, line) in enumerate(lines):
+                intro = level == 0 and re.search(r"^[ \t]*On\b.{0,200}wrote[ \t]*:[ \t]*$", line) and k + 1 < len(lines) and lines[k + 1][0] > 0
+                if level == 0 and not intro:
+                    own_lines.append(line)
+                if intro or not line.strip(" "):
+                    last = None
+                elif level == last:
+                    passages[-1][1].append(line)
+                else:
+                    passages.append((level, [line]))
+                    last = level
+            passages, own[c, t] = [(x, "\n".join(p)) for x, p in passages], "\n".join(own_lines).strip(" ")
+        else:
+            passages, own[c, t] = [(0, p) for p in re.split(r"\n[ \t]*\n", text) if p.strip(" ")], text
+        passages = [(x, n) for x, p in passages if (n := normal(p))]
+        for k, (level, p) in enumerate(passages):
+            for key, sure in ((p, 0), ((p, passages[k - 1][1]) if k and passages[k - 1][0] == level + 1 else None, 1)):
+                if key is not None and level == 0:
+                    held.setdefault(key, set()).add((c, t))
+                elif key is not None:
+                    quotes.setdefault((c, t), {}).setdefault((level, key, sure), k)
+    near, far = {}, {}
+    for (c, t), of in quotes.items():
+        for (level, key, sure), place in of.items():
+            if turns := [u for d, u in held.get(key, ()) if d == c and u < t]:
+                near.setdefault((c, t), []).append((level, 0, -sure, place, c, max(turns)))
+            else:
+                far.setdefault((c, t), []).append((level, key, sure, place))
+    busy = {c for (c, t), of in far.items() for _, key, *_ in of if any(d != c for d, _ in held.get(key, ()))}
+    for (c, t), of in far.items():
+        for level, key, sure, place in of:
+            places = sorted(held.get(key, ()))
+            if places and places[0][0] < c:
+                near.setdefault((c, t), []).append((level, 1, -sure, place, *places[0]))
+            elif free := [p for p in places if p[0] != c and p[0] not in busy]:
+                near.setdefault((c, t), []).append((level, 1, -sure, place, *free[0]))
+    out, up = {}, {}
+    for c in {c for c, _ in own}:
+        turns = sorted(t for d, t in own if d == c)
+        for k, t in enumerate(turns):
+            if (c, t) in near:
+                level, _, _, _, pc, pt = min(near[c, t])
+                out[c, t], up[c, t] = [own[c, t], pc, pt, "quote", level], pt if pc == c else None
+            else:
+                out[c, t], up[c, t] = [own[c, t], *((c, turns[k - 1], "order") if k else (None, None, "root")), 0], turns[k - 1] if k else None
+        place = {}
+        for t in turns:
+            root, depth = t, 0
+            while up[c, root] is not None:
+                root, depth = up[c, root], depth + 1
+            place[t] = (root, depth, t)
+        for t in turns:
+            ahead = sum(sum(1 for d, u, *_ in rows if (d, u) == (c, v)) for v in turns if place[v] < place[t])
+            out[c, t] = (*out[c, t], *place[t][:2], ahead)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_threads_against_brute_force(spark, seed, monkeypatch):
+    random.seed(seed)
+    monkeypatch.setattr(threads, "BLOCK", random.choice([2, 1000]))
+    said = [f"{random.choice(['Yes', 'No', 'Maybe'])} {w}" for w in ("apple.", "pear tree", "a > b", "plum\nand more")] + ["common"]
+    rows = []
+    for c in random.sample(range(50), 9):
+        for t in random.sample(range(12), random.randint(1, 7)):
+            lines = []
+            for _ in range(random.randint(1, 4)):
+                part, level = random.choice(said), random.choice([0, 0, 1, 1, 2, 3])
+                if level == 1 and random.random() < 0.3:
+                    lines.append("On Monday Ann wrote:")
+                lines += [random.choice(["> ", ">"]) * level + x for x in part.split("\n")] + [""] * random.randint(0, 1)
+            rows.append((c, t, "user", "\n".join(lines)))
+    rows += [rows[0], (None, 1, "user", "> common"), (60, None, "user", "x"), (61, 0, "user", None), (61, 3, "user", ""), (62, 0, "user", ">" * 100_000 + " deep"), (62, 1, "user", "\n".join(f"> line {k}" for k in range(10_000)))]
+    want = brute_threads(rows)
+    got = threads.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("key", F.lit("x")).repartition(4)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.conv_id is not None and r.turn is not None:
+            assert (r.text, r.parent_conv_id, r.parent_turn, r.link, r.quote_level, r.thread, r.depth, r.position) == want[r.conv_id, r.turn], (r, want[r.conv_id, r.turn])
+    at = {(r.conv_id, r.turn): r for r in got}
+    for r in got:  # no cycles
+        steps = 0
+        while r.parent_turn is not None:
+            r, steps = at[r.parent_conv_id, r.parent_turn], steps + 1
+            assert steps < 200
+    assert threads.link(spark.createDataFrame(rows[:1], "conv_id long, turn long, role string, text string").limit(0)).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
