@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -98,8 +99,37 @@ def _ordered(place: int, kind: T.DataType) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.when(F.coalesce(text, F.lit("")) != "", F.struct(TABLE, ROW, text.alias("v"))))), lambda x: x.v)
 
 
-def _aggregated(place: int, kind: T.DataType, operation: str, separator: str) -> Column:
+def _arrivals(place: int, kind: T.DataType) -> Column:
+    """All values of a group as text, empty ones too, in order of arrival."""
+    text = F.coalesce(as_text(F.col(f"c{place}"), kind), F.lit(""))
+    return F.transform(F.array_sort(F.collect_list(F.struct(TABLE, ROW, text.alias("v")))), lambda x: x.v)
+
+
+def _pairwise(place: int, kind: T.DataType, step) -> Column:
+    """The group's first value with each later one put to it by step(value so far, next one)."""
+    values = _arrivals(place, kind)
+    return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.get(values, F.lit(0)), step)
+
+
+def _plus(a: Column, b: Column) -> Column:
+    """Whole numbers exactly, others (and text, as 0) as doubles."""
+    whole = integer_of(a), integer_of(b)
+    rounded = as_text(F.coalesce(number_of(a), F.lit(0.0)) + F.coalesce(number_of(b), F.lit(0.0)), T.DoubleType())
+    return F.when(whole[0].isNotNull() & whole[1].isNotNull(), (whole[0] + whole[1]).cast("decimal(38,0)").cast("string")).otherwise(rounded)
+
+
+def _and_unique(separator: str):
+    """The parts so far, cut at the separator, and the next value unless it is one of them."""
+    parts = lambda a: F.filter(F.split(a, re.escape(separator)) if separator else F.split(a, ""), lambda x: x != "")
+    return lambda a, b: F.array_join(F.when((b == "") | F.array_contains(parts(a), b), parts(a)).otherwise(F.concat(parts(a), F.array(b))), separator)
+
+
+def _aggregated(place: int, kind: T.DataType, operation: str, separator: str, exact_fold: bool = False) -> Column:
     c = F.col(f"c{place}")
+    if exact_fold and operation == "UniqueJoin":
+        return _pairwise(place, kind, _and_unique(separator)).alias(f"c{place}")
+    if exact_fold and operation == "Sum" and isinstance(kind, T.StringType):
+        return _pairwise(place, kind, _plus).alias(f"c{place}")
     first = _first(place, kind)
     single = F.count("*") == 1
     if operation == "First":
@@ -109,7 +139,9 @@ def _aggregated(place: int, kind: T.DataType, operation: str, separator: str) ->
     elif operation == "UniqueJoin":
         out = F.when(single, F.first(as_text(c, kind))).otherwise(F.array_join(F.array_distinct(_ordered(place, kind)), separator))
     elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)):
-        out = F.when(single, F.first(c.cast("decimal(38,0)"))).otherwise(F.coalesce(F.sum(c.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")))
+        exact = T.DecimalType(38, kind.scale if isinstance(kind, T.DecimalType) else 0)  # the column's own scale; null beyond 38 digits
+        wide = c.cast(exact)
+        out = F.when(single, F.first(wide)).when(F.count(c) == 0, F.lit(0).cast(exact)).otherwise(F.try_sum(wide).cast(exact))
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
         out = F.when(single, F.first(c.cast("double"))).otherwise(F.coalesce(F.sum(c.cast("double")), F.lit(0.0)))
     else:
@@ -125,9 +157,23 @@ def _named(df: DataFrame, plan: OutputPlan) -> DataFrame:
     return df.select(*[F.col(f"c{k}").alias(h) for k, h in enumerate(plan.headers)])
 
 
-def merge(tables: list[SourceTable], options: MergeOptions, *, ordered: bool = False) -> DataFrame:
-    """The merged table. ordered: appended rows in order of arrival (consolidated and joined ones always come sorted by key)."""
+def by_workbook(tables: list[SourceTable]) -> list[SourceTable]:
+    """Sheets of one workbook together, where its first one stands."""
+    paths = list(dict.fromkeys(t.path for t in tables if t.kind == "Workbook"))
+    first = {p: next(k for k, t in enumerate(tables) if t.path == p) for p in paths}
+    return [t for _, t in sorted(enumerate(tables), key=lambda x: (first.get(x[1].path, x[0]) if x[1].kind == "Workbook" else x[0], x[0]))]
+
+
+def merge(tables: list[SourceTable], options: MergeOptions, *, ordered: bool | None = None, exact_fold: bool = False) -> DataFrame:
+    """The merged table.
+
+    ordered: appended rows in order of arrival, others sorted by key (None: only the others; False: none, which saves a global sort).
+    exact_fold: Sum of text and UniqueJoin value by value in order of arrival, as spreadsheets are added up by hand: doubles are rounded at each step, and a
+    value that holds the separator is cut. A group's values must then fit in a task.
+    """
     on = [t for t in tables if t.enabled]
+    if options.mode not in ("Consolidate", "Join"):
+        on = by_workbook(on)
     if not on:
         raise MergeError("no table is enabled")
     plan = output_plan(tables, options)
@@ -147,10 +193,11 @@ def merge(tables: list[SourceTable], options: MergeOptions, *, ordered: bool = F
     if options.mode == "Consolidate":
         rows = _filtered(reduce(DataFrame.unionByName, frames), plan, kinds, options).withColumn(KEY, _key(places, kinds))
         operations = aggregates_of(on, plan)
-        grouped = rows.groupBy(KEY).agg(*[_aggregated(p, k, op, options.text_join_separator) for p, (k, op) in enumerate(zip(kinds, operations))])
-        return _named(grouped.orderBy(KEY), plan)
+        grouped = rows.groupBy(KEY).agg(*[_aggregated(p, k, op, options.text_join_separator, exact_fold) for p, (k, op) in enumerate(zip(kinds, operations))])
+        return _named(grouped if ordered is False else grouped.orderBy(KEY), plan)
     joined = _joined(frames, plan, kinds, places, options.join_kind)
-    return _named(_filtered(joined, plan, kinds, options).orderBy(KEY), plan)
+    joined = _filtered(joined, plan, kinds, options)
+    return _named(joined if ordered is False else joined.orderBy(KEY), plan)
 
 
 def _deduplicated(rows: DataFrame, places: list[int], kinds: list[T.DataType]) -> DataFrame:
@@ -172,9 +219,20 @@ def _joined(frames: list[DataFrame], plan: OutputPlan, kinds: list[T.DataType],
     return out
 
 
-def preview(tables: list[SourceTable], options: MergeOptions, n: int = 30) -> DataFrame:
-    merged = merge(tables, options, ordered=True)
-    return merged.limit(n).select(*[as_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in merged.schema.fields])
+def preview(tables: list[SourceTable], options: MergeOptions, n: int = 30, *, faithful: bool = True) -> DataFrame:
+    """The first rows as text. faithful=False: quickly, of each table in turn, without transforms, filter, deduplication, aggregation or join; of several
+    sources of a column the last one counts, empty or not."""
+    if faithful:
+        merged = merge(tables, options, ordered=True)
+        return merged.limit(n).select(*[as_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in merged.schema.fields])
+    plan = output_plan(tables, options)
+    parts = []
+    for k, table in enumerate(t for t in tables if t.enabled):
+        kinds = {f.name: f.dataType for f in table.frame.schema.fields}
+        cells = {p: F.coalesce(as_text(F.col(f"`{table.headers[s[-1]]}`"), kinds[table.headers[s[-1]]]), F.lit("")) for p, s in sources_of(table, plan, options.mode).items()}
+        cells |= {p: F.lit(v) for p, v in ((plan.file_at, table.file_name), (plan.sheet_at, table.sheet_name)) if p is not None}
+        parts.append(table.frame.orderBy(ROW).limit(n).select(F.lit(k).alias(TABLE), ROW, *[cells.get(p, F.lit("")).alias(f"c{p}") for p in range(len(plan.headers))]))
+    return _named(reduce(DataFrame.unionByName, parts).orderBy(TABLE, ROW).limit(n), plan)
 
 
 def sheets(df: DataFrame, order: list[str], limit: int) -> DataFrame:
@@ -182,11 +240,12 @@ def sheets(df: DataFrame, order: list[str], limit: int) -> DataFrame:
 
     Rows are range-partitioned and numbered in their partition; the partitions' counts, one number each, give the offsets.
     """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33))
+    many = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that rows and counts are dealt alike
+    parts = df.repartitionByRange(many, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33))
     counts = parts.groupBy("__p").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__p", "__before")
     at = F.col("__before") + F.col("__i")
     return parts.join(F.broadcast(before), "__p").withColumns({"sheet": F.floor(at / limit) + 1, "row_in_sheet": at % limit + 1}).drop("__p", "__i", "__before")
 
 
-__all__ = ["MergeError", "SEPARATOR", "from_df", "merge", "preview", "sheets"]
+__all__ = ["MergeError", "SEPARATOR", "by_workbook", "from_df", "merge", "preview", "sheets"]

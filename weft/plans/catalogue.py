@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.functions.text import similarity
 from weft.model import SOURCE_FILE, SOURCE_SHEET, MergeOptions, SourceTable
 from weft.operators.merge import from_df, merge, preview, sheets
 from weft.operators.profile import cell_kinds
@@ -168,13 +167,14 @@ def consolidate_by_source(spark, sf_dir):
 
 
 def _join_tables(spark, sf_dir) -> list[SourceTable]:
-    n = table(spark, sf_dir, "nation").filter("n_nationkey < 20").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
-    c = table(spark, sf_dir, "customer").filter("c_nationkey >= 5").select(F.col("c_nationkey").alias("ID"), F.col("c_name").alias("who"), F.col("c_mktsegment").alias("segment"), "c_custkey")
-    return [from_df(n, "n.csv", order="id"), from_df(c, "c.csv", order="c_custkey", columns=["ID", "who", "segment"])]
+    """Whole tables whose keys meet in part: multiples of 2 and of 3."""
+    n = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("id"), F.col("c_name").alias("name"))
+    c = table(spark, sf_dir, "orders").select((F.col("o_custkey") * 3).alias("ID"), F.col("o_orderstatus").alias("who"), F.col("o_orderpriority").alias("segment"), "o_orderkey")
+    return [from_df(n, "n.csv", order="id"), from_df(c, "c.csv", order="o_orderkey", columns=["ID", "who", "segment"])]
 
 
-_N = "(SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey < 20) n"
-_C = "(SELECT c_nationkey AS id, arg_min(c_name, c_custkey) AS who, arg_min(c_mktsegment, c_custkey) AS segment FROM customer WHERE c_nationkey >= 5 GROUP BY c_nationkey) c"
+_N = "(SELECT c_custkey * 2 AS id, c_name AS name FROM customer) n"
+_C = "(SELECT o_custkey * 3 AS id, arg_min(o_orderstatus, o_orderkey) AS who, arg_min(o_orderpriority, o_orderkey) AS segment FROM orders GROUP BY o_custkey) c"
 
 
 def _join(kind: str):
@@ -190,15 +190,15 @@ for _kind in ("Left", "Inner", "Full"):
 
 
 @query(f"""SELECT coalesce(n.id, c.id, s.id) AS id, name, coalesce(c.who, s.who) AS who, segment FROM {_N} FULL JOIN {_C} ON n.id = c.id
-FULL JOIN (SELECT s_nationkey AS id, arg_min(s_name, s_suppkey) AS who FROM supplier GROUP BY s_nationkey) s ON s.id = coalesce(n.id, c.id)""")
+FULL JOIN (SELECT s_suppkey * 5 AS id, s_name AS who FROM supplier) s ON s.id = coalesce(n.id, c.id)""")
 def join_three_way_coalesce(spark, sf_dir):
-    s = from_df(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("id"), F.col("s_name").alias("who"), "s_suppkey"), "s.csv", order="s_suppkey", columns=["id", "who"])
+    s = from_df(table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 5).alias("id"), F.col("s_name").alias("who")), "s.csv", order="id")
     return merge([*_join_tables(spark, sf_dir), s], MergeOptions("Join", key_columns=("id",), join_kind="Full"))
 
 
-@query(f"SELECT n.id AS id, name, who, segment FROM {_N} LEFT JOIN {_C} ON n.id = c.id WHERE NOT contains(lower(coalesce(segment, '')), 'auto')")
+@query(f"SELECT n.id AS id, name, who, segment FROM {_N} LEFT JOIN {_C} ON n.id = c.id WHERE NOT contains(lower(coalesce(segment, '')), 'urgent')")
 def join_post_filter(spark, sf_dir):
-    return merge(_join_tables(spark, sf_dir), MergeOptions("Join", key_columns=("id",), filter_column="segment", filter_text="AUTO", filter_exclude=True))
+    return merge(_join_tables(spark, sf_dir), MergeOptions("Join", key_columns=("id",), filter_column="segment", filter_text="URGENT", filter_exclude=True))
 
 
 @query("SELECT min(o_orderkey) AS o_orderkey, o_custkey, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus, arg_min(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders GROUP BY o_custkey")
@@ -214,15 +214,6 @@ def key_text_sort(spark, sf_dir):
     return sheets(out.withColumn("k", F.concat_ws("\x1f", "n_nationkey", "n_regionkey")), ["k"], 1 << 40).select(F.col("row_in_sheet").cast("long").alias("place"), "n_nationkey", "n_regionkey")
 
 
-@query("""SELECT a.p_brand AS a, b.p_brand AS b, 1 - levenshtein(a.p_brand, b.p_brand) / greatest(length(a.p_brand), length(b.p_brand)) AS score
-FROM (SELECT DISTINCT p_brand FROM part) a JOIN (SELECT DISTINCT p_brand FROM part) b ON a.p_brand < b.p_brand WHERE score >= 0.72 AND score < 1""")
-def header_similarity(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select("p_brand").distinct()
-    score = similarity(F.col("a"), F.col("b"))
-    pairs = names.select(F.col("p_brand").alias("a")).join(names.select(F.col("p_brand").alias("b")), F.col("a") < F.col("b"))
-    return pairs.withColumn("score", score).filter("score >= 0.72 and score < 1")
-
-
 @query("""SELECT key, kind, count(*) AS n FROM (SELECT key, CASE WHEN regexp_full_match(v, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)') THEN '数字' ELSE '文本' END AS kind FROM
 (SELECT unnest(['event_id', 'user_id', 'event_type', 'props']) AS key, unnest([CAST(event_id AS VARCHAR), CAST(user_id AS VARCHAR), event_type, props]) AS v FROM (SELECT * FROM events ORDER BY event_id LIMIT 100))
 WHERE trim(coalesce(v, '')) <> '') GROUP BY key, kind""")
@@ -230,13 +221,6 @@ def column_type_profile(spark, sf_dir):
     return cell_kinds(_events(spark, sf_dir, "event_type", "props"))
 
 
-@query("SELECT 'text' AS key, count(*) FILTER (coalesce(trim(text), '') <> '') AS filled, count(*) AS n FROM documents UNION ALL SELECT 'lang', count(*) FILTER (coalesce(trim(lang), '') <> ''), count(*) FROM documents")
-def null_profile(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    cells = F.array(*[F.struct(F.lit(c).alias("key"), (F.coalesce(F.trim(c), F.lit("")) != "").alias("ok")) for c in ("text", "lang")])
-    return d.select(F.explode(cells).alias("x")).groupBy("x.key").agg(F.count_if("x.ok").alias("filled"), F.count("*").alias("n"))
-
-
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, o_orderpriority FROM orders ORDER BY orders.o_orderkey LIMIT 30")
 def preview_limit(spark, sf_dir):
     return preview([_orders(spark, sf_dir)], MergeOptions())
@@ -247,12 +231,10 @@ def sheet_split(spark, sf_dir):
     return sheets(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 4000)
 
 
-@query("SELECT count(*) AS n, CAST(greatest(1, ceil(count(*) / 1048575.0)) AS BIGINT) AS n_sheets FROM lineitem")
-def size_forecast(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").agg(F.count("*").alias("n"), F.greatest(F.lit(1), F.ceil(F.count("*") / 1048575)).cast("long").alias("n_sheets"))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sources consolidated by nation, with lineage and a filter."""
     tables = [t.with_mapping(t.headers[0], aggregate="Sum", target_name="Key") for t in (_customer(spark, sf_dir), _supplier(spark, sf_dir))]
     return merge(tables, MergeOptions("Consolidate", include_source_file=True, key_columns=("Nation",), filter_column=SOURCE_FILE, filter_text="c"))
+
+
+from weft.plans import catalogue_files  # noqa: E402, F401  registers its queries

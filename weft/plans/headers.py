@@ -33,28 +33,17 @@ def combine_header_rows(rows: list[list[str]]) -> list[str]:
 
 
 def recommend_header(rows: list[list[str]]) -> int:
-    """Index of the row that looks most like a header, among the first 20."""
+    """Index of the row that looks most like a header, among the first 20: full, distinct, with letters, as wide as the next one, and early."""
     rows = rows[:20]
-    filled = [[c.strip() for c in r if c.strip()] for r in rows]
-    widest = max((len(f) for f in filled), default=0)
-    best, best_score = 0, None
-    for k, cells in enumerate(filled):
-        if not cells:
-            continue
-        text = sum(not _numeric(c) for c in cells)
-        follows = len(cells) > 1 and k + 1 < len(filled) and len(filled[k + 1]) == len(cells)
-        score = len(cells) * 20 // max(1, widest) + len({header_key(c) for c in cells}) * 4 + text * 3 + 8 * follows - k
-        if best_score is None or score > best_score:
-            best, best_score = k, score
-    return best
-
-
-def _numeric(text: str) -> bool:
-    try:
-        float(text)
-    except ValueError:
-        return False
-    return "_" not in text
+    widest = max((len(r) for r in rows), default=0)
+
+    def score(k: int) -> int:
+        filled = [c.strip() for c in rows[k] if c.strip()]
+        letters = sum(any(ch.isalpha() for ch in c) for c in rows[k])
+        as_wide = len(rows[k]) > 1 and k + 1 < len(rows) and len(rows[k + 1]) == len(rows[k])
+        return len(filled) * 20 // max(1, widest) + 4 * len({c.lower() for c in filled}) + 3 * letters + 8 * as_wide - k
+
+    return max(range(len(rows)), key=score, default=0)
 
 
 def distinct_headers(names) -> list[str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,9 @@ EXACT_COUNT_BYTES, ESTIMATE_RECORDS = 64 * 1024 * 1024, 10_000
 DELIMITERS = (",", "\t", ";", "|")
 
 
+csv.field_size_limit(1 << 30)
+
+
 class ScanError(ValueError):
     pass
 
@@ -54,11 +58,12 @@ def detect_delimiter(path: str, data: bytes) -> str:
         return "\t"
     best, best_score = ",", None
     for delimiter in DELIMITERS:
-        widths = Counter(len(r) for r in records(data, delimiter, SAMPLE_RECORDS))
+        found = records(data, delimiter, SAMPLE_RECORDS)
+        widths = Counter(map(len, found))
         if not widths:
             continue
         most = max(widths.values())
-        width = max(w for w, n in widths.items() if n == most)
+        width = next(len(r) for r in reversed(found) if widths[len(r)] == most)  # of widths as frequent the one seen last
         score = most * 100 + width * 50 - sum(widths.values()) - (10_000 if width == 1 else 0)
         if best_score is None or score > best_score:
             best, best_score = delimiter, score
@@ -73,6 +78,9 @@ def scan(path: str, *, delimiter: str | None = None, header_row: int | None = No
     suggested = recommend_header(rows) + 1
     header_row, header_rows = max(1, header_row or suggested), min(3, max(1, header_rows))
     last = header_row + header_rows - 1
+    if last > len(rows):  # a header further down than the sample
+        with open(path, newline="", encoding="latin-1") as f:
+            rows = [[decode(c.encode("latin-1"))[0] for c in r] for r in itertools.islice((r for r in csv.reader(f, delimiter=delimiter) if r), last)]
     if len(rows) < last:
         raise ScanError(f"{path}: too few rows for its header")
     broken = any(decode(c)[1] for r in records(data, delimiter, QUALITY_RECORDS) for c in r)

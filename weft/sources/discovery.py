@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weft.functions.text import as_text
 from weft.model import SourceTable
+from weft.operators.merge import ROW
 from weft.sources import delimited, workbook
 
 EXTENSIONS = ("csv", "tsv", "xlsx", "xlsm", "xls", "xlsb", "ods")
 #: Of these the reader has no parser yet; scanning one gives a warning.
-UNREAD = ("xls", "xlsb", "ods")
+UNREAD = ("xls", "xlsb")
+#: Files scanned at a time.
+WORKERS = 4
 
 
 def supported(path: str) -> bool:
@@ -37,17 +43,19 @@ def scan_file(path: str, **header) -> tuple[list[SourceTable], list[str]]:
 
 def scan(paths: list[str]) -> tuple[list[SourceTable], list[str]]:
     """Tables in order of path and sheet, and warnings; a file that fails is a warning, unless nothing is left."""
-    tables, warnings = [], []
     chosen = sorted({p for p in paths if supported(p)})
     if not chosen:
         raise ValueError("no supported file")
-    for path in chosen:
+
+    def one(path: str) -> tuple[list[SourceTable], list[str]]:
         try:
-            found, said = scan_file(path)
-        except (OSError, ValueError, KeyError) as e:
-            found, said = [], [f"{path}: {e}"]
-        tables += found
-        warnings += said
+            return scan_file(path)
+        except Exception as e:  # whatever one file holds must not lose the others
+            return [], [f"{path}: {e}"]
+
+    with ThreadPoolExecutor(max(1, min(WORKERS, os.cpu_count() or 1, len(chosen)))) as pool:
+        found = list(pool.map(one, chosen))
+    tables, warnings = [t for ts, _ in found for t in ts], [w for _, ws in found for w in ws]
     if not tables and warnings:
         raise ValueError("; ".join(warnings))
     return sorted(tables, key=lambda t: (t.path.lower(), t.sheet_name.lower())), sorted(warnings)
@@ -75,6 +83,13 @@ def appended(existing: list[SourceTable], incoming: list[SourceTable]) -> list[S
     return sorted([*existing, *[t for t in incoming if (t.path, t.sheet_name) not in known]], key=lambda t: (t.path.lower(), t.sheet_name.lower()))
 
 
+def preview(spark: SparkSession, table: SourceTable, n: int = 30) -> DataFrame:
+    """The first rows of a source as text, before any mapping."""
+    frame = load(spark, table).frame
+    kinds = {f.name: f.dataType for f in frame.schema.fields}
+    return frame.orderBy(ROW).limit(n).select(*[as_text(F.col(f"`{h}`"), kinds[h]).alias(h) for h in table.headers])
+
+
 def search(tables: list[SourceTable], text: str) -> list[SourceTable]:
     return [t for t in tables if text.lower() in f"{t.path} {t.sheet_name}".lower()]
 

@@ -1,4 +1,4 @@
-"""XLSX workbooks with the standard library: a reader of cached values and a streaming writer."""
+"""Workbooks with the standard library: a reader of cached values (XLSX, and ODS by opendocument) and a streaming writer of XLSX."""
 
 from __future__ import annotations
 
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from weft.model import SourceTable
 from weft.operators.merge import ROW
 from weft.plans.headers import combine_header_rows, recommend_header
+from weft.sources.opendocument import OpenDocument
 
 MAX_ROWS = 1_048_575
 SHEET_NAME = "合并结果_{:03d}"
@@ -117,6 +118,10 @@ class Workbook:
         return [[rows.get(r, {}).get(k) for k in range(left, right + 1)] for r in range(min(rows), max(rows) + 1)]
 
 
+def opened(path: str) -> Workbook | OpenDocument:
+    return OpenDocument(path) if path.lower().endswith(".ods") else Workbook(path)
+
+
 def cell_text(value) -> str:
     if value is None:
         return ""
@@ -132,7 +137,7 @@ def cell_text(value) -> str:
 
 def scan(path: str, *, sheet: str | None = None, header_row: int | None = None, header_rows: int = 1) -> list[SourceTable]:
     """A table of each sheet that is not empty."""
-    book, out = Workbook(path), []
+    book, out = opened(path), []
     for name in [sheet] if sheet else book.paths:
         rows = book.sheet(name)
         if not rows:
@@ -161,7 +166,7 @@ def _kind(values: list) -> T.DataType:
 
 def read(spark: SparkSession, table: SourceTable) -> SourceTable:
     """The table with its rows. A column of one cell type keeps it; a mixed one becomes text. A sheet has at most 1,048,576 rows."""
-    rows = Workbook(table.path).sheet(table.sheet_name)[table.header_row + table.header_rows - 1 :]
+    rows = opened(table.path).sheet(table.sheet_name)[table.header_row + table.header_rows - 1 :]
     width = len(table.headers)
     rows = [(r + [None] * width)[:width] for r in rows]
     kinds = [_kind([r[k] for r in rows]) for k in range(width)]
