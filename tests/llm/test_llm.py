@@ -187,6 +187,73 @@ def test_secrets(docs, rows):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def a_match(pattern, rng):
+    """Some text that the pattern matches."""
+    import re._constants as op
+    import re._parser as parser
+
+    def make(nodes):
+        out = ""
+        for kind, what in nodes:
+            if kind is op.LITERAL:
+                out += chr(what)
+            elif kind is op.IN:
+                k, x = rng.choice(what)
+                out += chr(x) if k is op.LITERAL else chr(rng.randint(*x))
+            elif kind is op.SUBPATTERN:
+                part = make(what[3])
+                out += "".join(rng.choice([c.upper(), c.lower()]) for c in part) if what[1] else part
+            elif kind is op.BRANCH:
+                out += make(rng.choice(what[1]))
+            elif kind in (op.MAX_REPEAT, op.MIN_REPEAT):
+                out += "".join(make(what[2]) for _ in range(rng.randint(what[0], min(what[1], what[0] + 3))))
+            elif kind is not op.AT:
+                raise AssertionError(kind)
+        return out
+
+    return make(parser.parse(pattern))
+
+
+@pytest.mark.parametrize("pattern", [*[r.pattern for r in secrets.RULES], r"a(bc|de)?fgh", r"(?:abc|xyz)+q", r"x{3}y{2,3}z", r"[ab][cd][ef]gh", r"(foo|ba?r)baz$", r"\Aab.cde"])
+def test_trigram_queries_follow_from_the_pattern(pattern):
+    rng = random.Random(3)
+    options = secrets.trigrams(secrets.Rule("x", pattern))
+    for _ in range(300):
+        try:
+            text = a_match(pattern, rng)
+        except AssertionError:
+            break
+        assert re.search(pattern, text)
+        low = text.lower()
+        assert not options or any(all(t in low for t in o) for o in options), (text, options)
+
+
+def test_trigram_queries_are_not_empty():
+    of = {r.kind: secrets.trigrams(r) for r in secrets.RULES}
+    assert {k for k, v in of.items() if not v} == {"hex"}
+    assert len(of["assign"]) == 6 and len(of["github"]) == 5 and of["access"] == [frozenset({"aki", "kia"})]
+    assert len(of["private_key"]) == 1 and {"beg", "pri", "key"} <= of["private_key"][0]
+
+
+def test_all_secret_rules_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(120):
+        parts = [rng.choice(["text", "Token", "secret: x", "AKIA", "é🙂", "gh", "0123456789abcdef", "\n", "eyJ."]) for _ in range(rng.randint(0, 6))]
+        parts += [a_match(rng.choice(secrets.RULES).pattern, rng) for _ in range(rng.randint(0, 3))]
+        rng.shuffle(parts)
+        rows.append((rng.choice([None, k, k % 7]), rng.choice([" ", "", "\n"]).join(parts)))
+    rows += [rows[0], (None, None), (5, "")]
+
+    def brute(text):
+        found = [(m.start(), k, m.end(), m) for k, r in enumerate(secrets.RULES) for m in re.finditer(r.pattern, text or "") if len(m[r.group]) >= r.least]
+        return ",".join(f"{secrets.RULES[k].kind}:{a}:{b}" for a, k, b, _ in sorted(found, key=lambda x: x[:3]))
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__x", F.lit(1)).repartition(3)
+    got = collections.Counter((r.doc_id, r.spans) for r in secrets.digest(secrets.scan(df)).collect())
+    assert got == collections.Counter((d, brute(t)) for d, t in rows)
+
+
 def spark_hash(*values):
     """xxhash64 of strings or longs as Spark chains them."""
     seed = 42

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows handed to a Python worker at once; texts can be long, so far below Spark's 10,000.
 ARROW_ROWS = 1000
+#: Rows of a narrow table (some tens of bytes each) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +54,11 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has few."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import discard, partitions, prepare, written
+from weft.llm.common import discard, few, partitions, prepare, written
 from weft.llm.components import components
 from weft.llm.hashing import M2, M3, PIECE, S32, mix, odd_values, runs
 
@@ -43,8 +43,6 @@ BLOCKS = 0.55
 LEAST_BITS = 512
 #: Members of a star, and bytes of their sketches, that are compared at a time.
 CHUNK, CHUNK_BYTES = 1024, 4_000_000
-#: Classes to compare whose keys (24 bytes each) are broadcast to find their texts; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 #: Entries a task gathers before it hands them on (about 10 bytes each), and words of a bucket that are grouped at a time.
 FLUSH, AT_ONCE = 1_000_000, 4_000_000
 #: Frequent words that order all others: held by so many classes as counted, and so many words at most (16 bytes each), the most frequent.
@@ -440,7 +438,7 @@ def _sets(nodes: DataFrame, df: DataFrame, classes: DataFrame, id_col: str, text
     """(node, hashes) of the classes, from the text of one row each."""
     wanted = written(nodes.join(classes.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.key").alias("rep_key")), "node"), "wanted")
     rows = _texts(df, id_col, text_col)  # dealt by key if many are wanted
-    rows = rows.join(_few(wanted), (F.col("key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("node", "text")
+    rows = rows.join(few(wanted), (F.col("key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("node", "text")
     schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,7 +455,7 @@ def _sets(nodes: DataFrame, df: DataFrame, classes: DataFrame, id_col: str, text
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs with 100 * intersection >= 80 * union of their whole sets."""
-    side = lambda c: sets.join(_few(written(pairs.select(F.col(c).alias("node")).distinct(), "ends")), "node", "left_semi").select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}"))
+    side = lambda c: sets.join(few(written(pairs.select(F.col(c).alias("node")).distinct(), "ends")), "node", "left_semi").select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}"))
     both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "of_a", "of_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,11 +473,6 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long")
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """A written table of narrow rows, to be broadcast if it has few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _across(rooted: DataFrame, classes: DataFrame, parts: int, forest: bool) -> DataFrame:
     """Plausible pairs (a, b) of one star and different roots. rooted: (hub, node, root).
 
@@ -488,12 +481,12 @@ def _across(rooted: DataFrame, classes: DataFrame, parts: int, forest: bool) ->
     """
     roots = rooted.groupBy("hub", "root").agg(F.count("*").alias("n"))
     most = written(roots.groupBy("hub").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1").select("hub", F.col("m.root").alias("main")), "most")
-    members = written(rooted.join(_few(most), "hub"), "members")
+    members = written(rooted.join(few(most), "hub"), "members")
     nodes = written(members.select("node").distinct(), "nodes")
-    sized = members.join(classes.join(_few(nodes), "node", "left_semi").select("node", "n", "sketch"), "node")
+    sized = members.join(classes.join(few(nodes), "node", "left_semi").select("node", "n", "sketch"), "node")
     sized = written(sized.select("hub", "node", "root", "main", "n", "sketch"), "open")
     chunks = written(sized.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum(F.octet_length("sketch")) / CHUNK_BYTES)).cast("int").alias("chunks")), "chunks")
-    open_ = sized.join(_few(chunks), "hub")
+    open_ = sized.join(few(chunks), "hub")
     columns = ("hub", "chunk", "probe", "node", "root", "n", "sketch")
     targets = open_.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("probe", F.lit(0)).select(*columns)
     probes = open_.filter("root <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("probe", F.lit(1)).select(*columns)

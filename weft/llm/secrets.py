@@ -1,6 +1,7 @@
 """Secret scans with a trigram index. DataFrame functions only.
 
-Every rule's expression gives a Boolean query over the trigrams that a match must hold: alternatives (any) of sets (all).
+From every rule's expression follows a Boolean query over the trigrams that a match must hold: alternatives (any) of sets (all). The expression is
+parsed; what can only be one of a few texts in a row gives the trigrams of each, and what can be many things, or nothing, gives none.
 The index lists, for each trigram that some query needs, the documents that hold it (in lower case); a rule's candidates
 are those whose postings intersect for one alternative. Candidates are verified with the rule's expression; a rule without
 a mandatory trigram scans every text.
@@ -8,44 +9,106 @@ a mandatory trigram scans every text.
 
 from __future__ import annotations
 
+import re._constants as op
+import re._parser as parser
 from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.common import few, written
+
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern: regular expression of Java and Python alike. parts: what it holds for certain, as for trigrams():
-    a tuple of literals to choose from for each stretch. least: characters that the match, or its group, must have."""
+    """pattern: regular expression of Java and Python alike. least: characters that the match, or its group, must have."""
 
     kind: str
     pattern: str
-    parts: tuple[tuple[str, ...], ...] = ()
     group: int = 0
     least: int = 1
 
 
 #: In the order in which spans with one start are listed; the first three are the base kinds.
 RULES = (
-    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", (("password", "passwd", "secret", "token", "apikey", "api_key"),), 2, 8),
-    Rule("access", r"AKIA[A-Z0-9]{12,}", (("akia",),), 0, 16),
-    Rule("hex", r"[0-9a-f]{32,}", (), 0, 32),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----", (("-----begin ",), ("private key-----",))),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),)),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", (("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"),)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", (("eyj",), (".eyj",))),
-    Rule("google", r"AIza[A-Za-z0-9_-]{35}", (("aiza",),)),
-    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}", (("rk_live_", "sk_live_"),)),
+    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    Rule("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
+    Rule("hex", r"[0-9a-f]{32,}", 0, 32),
+    Rule("private_key", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
+    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
 )
 BASE = ("assign", "access", "hex")
 
 
+#: Texts that a stretch of an expression may be, and alternatives of a query, before it counts as anything.
+CHOICES = 64
+
+
+def _choices(nodes) -> list[list[str] | None]:
+    """An expression as stretches in a row: the few texts that one can be (lower case), or None for anything."""
+    out: list[list[str] | None] = []
+
+    def put(texts: list[str] | None) -> None:
+        if texts is not None and out and out[-1] is not None and len(out[-1]) * len(texts) <= CHOICES:
+            out[-1] = sorted({a + b for a in out[-1] for b in texts})
+        else:
+            out.append(texts)
+
+    for kind, what in nodes:
+        if kind is op.LITERAL:
+            put([chr(what).lower()])
+        elif kind is op.IN:
+            put(_members(what))
+        elif kind is op.SUBPATTERN:
+            for x in _choices(what[3]):
+                put(x)
+        elif kind is op.ATOMIC_GROUP:
+            for x in _choices(what):
+                put(x)
+        elif kind is op.BRANCH:
+            ways = [_choices(x) or [[""]] for x in what[1]]
+            put(sorted({t for w in ways for t in w[0]}) if all(len(w) == 1 and w[0] is not None for w in ways) else None)
+        elif kind in (op.MAX_REPEAT, op.MIN_REPEAT, op.POSSESSIVE_REPEAT):
+            least, most, inner = what
+            each = _choices(inner) or [[""]]
+            whole = each[0] if len(each) == 1 else None
+            if whole is not None and most <= 4 and len(whole) ** most <= CHOICES:
+                put(sorted({"".join(x) for n in range(least, most + 1) for x in product(whole, repeat=n)}))
+                continue
+            for _ in range(min(least, 4)):  # at least so often, then anything
+                for x in each:
+                    put(x)
+            put(None)
+        elif kind is not op.AT:  # a place takes up no text; all else may be anything
+            put(None)
+    return out
+
+
+def _members(items) -> list[str] | None:
+    found: set[str] = set()
+    for kind, what in items:
+        if kind is op.LITERAL:
+            found.add(chr(what).lower())
+        elif kind is op.RANGE and what[1] - what[0] < CHOICES:
+            found |= {chr(c).lower() for c in range(what[0], what[1] + 1)}
+        else:
+            return None
+    return sorted(found) if len(found) <= 8 else None
+
+
 def trigrams(rule: Rule) -> list[frozenset[str]]:
-    """Alternatives of trigram sets; an empty list if the rule has no mandatory trigram."""
-    options = {frozenset(s[i : i + 3] for s in chosen for i in range(len(s) - 2)) for chosen in product(*rule.parts)}
-    if not rule.parts or any(not o for o in options):
+    """Alternatives of trigram sets, derived from the pattern; an empty list if it has no mandatory trigram."""
+    options: set[frozenset[str]] = {frozenset()}
+    for texts in _choices(parser.parse(rule.pattern)):
+        grams = {frozenset(t[i : i + 3] for i in range(len(t) - 2)) for t in texts} if texts else {frozenset()}
+        more = {a | b for a in options for b in grams}
+        options = more if len(more) <= CHOICES else options
+    if frozenset() in options:
         return []
     return sorted((o for o in options if not any(p < o for p in options)), key=sorted)
 
@@ -89,17 +152,16 @@ def spans_of(text: Column, rule: Rule) -> Column:
     return F.when(F.regexp_like(text, F.lit(rule.pattern)), placed.out).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
-def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", by: str = "doc_id") -> DataFrame:
+def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text") -> DataFrame:
     """df with a column `secrets`: array of (kind, start, end) in order of start, then of the rules.
 
-    Null texts have none. Rows keep all their columns (a column called secrets is replaced). The index goes by the value of `by`;
-    rows that share it, repeated rows too, share the union of their candidates and are verified one by one. Null ids are looked up like
-    any other value. An empty table stays empty.
+    Null texts have none. Rows keep all their columns (a column called secrets is replaced). The index goes by the hash of the text, so that equal
+    texts share an entry and no id, null or not, matters; every row is verified by itself. An empty table stays empty.
     """
     key, found = "__key", "__kinds"
-    keyed = df.withColumn(key, F.coalesce(F.col(by).cast("string"), F.lit("\x00")))
-    met = candidates(index(keyed.select(key, text_col), rules, key=key, text_col=text_col), rules, key=key)
-    joined = keyed.join(met.withColumnRenamed("kinds", found), key, "left")
+    keyed = df.withColumn(key, F.xxhash64(text_col))
+    met = written(candidates(index(keyed.select(key, text_col), rules, key=key, text_col=text_col), rules, key=key), "candidates")
+    joined = keyed.join(few(met.withColumnRenamed("kinds", found)), key, "left")
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast("array<struct<start:int,end:int>>")
     for k, rule in enumerate(rules):
