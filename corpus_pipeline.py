@@ -9,12 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import decontaminate, language, near_join, packing, secrets
-from weft.llm.common import documents, written
+from weft.llm.common import documents, few, written
 from weft.llm.queries import vocabulary
 
-#: Rows whose keys (16 bytes each) are broadcast at most; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
-
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, which have no language, go."""
@@ -32,8 +29,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     kept = written(rows.filter("root is not null").groupBy("root").agg(F.min(place).alias("kept")), "kept")
     linked = written(rows.filter("root is not null").groupBy("root", "doc_id", "key").agg(F.count("*").alias("n")), "linked").join(kept, "root")
     marked = written(linked.select("doc_id", "key", "n", (F.col("key").eqNullSafe(F.col("kept.key")) & F.col("doc_id").eqNullSafe(F.col("kept.doc_id"))).alias("stays")).filter("n > 1 or not stays"), "marked")
-    few = marked.count() <= BROADCAST_ROWS
-    named = (F.broadcast(marked) if few else marked).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("stays").alias("__stays"))
+    named = few(marked).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("stays").alias("__stays"))
     found = docs.withColumn("__text", F.xxhash64("text")).join(named, (F.col("__text") == F.col("__key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
     once = found.filter("__stays is null").select(*docs.columns)
     again = found.filter("__stays").select(*docs.columns, F.col("__key"))
