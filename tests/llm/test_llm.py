@@ -364,6 +364,45 @@ def test_published_notices(name):
             assert [x[0] for x in found] == [name], (mark, found)
 
 
+def test_odd_texts_have_no_licence_and_take_little_time():
+    table = licences.known(licences.SENTENCES)
+    for text in ("\n" + " " * 300_000, ". " * 150_000, "." * 300_000, "# " * 150_000 + "\n", ("-" * 50 + "\n \n") * 5000, "a. " * 100_000):
+        assert licences.matches(text, table, licences.RULES, licences.GAP) == []
+    far = "Licensed under the MIT License" + " " * 5000 + ".\n"  # as long as it likes before it is normalised
+    assert [x[0] for x in licences.matches(far, table, licences.RULES, licences.GAP)] == ["MIT"]
+    assert [x[0] for x in licences.matches("// SPDX-License-Identifier: GPL-2.0-only\nint x;", table, licences.RULES, licences.GAP)] == ["GPL-2.0-only"]
+
+
+def test_rules_by_brute_force(spark):
+    """Texts of one sentence a line: rules matched anew from the list of ids, the longest rule from each place first."""
+    rng = random.Random(6)
+    names = ["mit-grant", "mit-notice", "bsd-redist", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-advert", "gpl-hope", "cc0", None, None]
+    rows, want = [], collections.Counter()
+    for k in range(150):
+        ids = [rng.choice(names) for _ in range(rng.randint(0, 12))]
+        rows.append((rng.choice([None, k]), "\n".join(licences.SENTENCES[x] if x else f"Some other line {rng.randint(0, 9)}" for x in ids)))
+        at = 0
+        while at < len(ids):
+            best = None
+            for licence, sequence in licences.RULES:
+                if ids[at] != sequence[0]:
+                    continue
+                last = at
+                for name in sequence[1:]:
+                    last = next((j for j in range(last + 1, min(len(ids), last + licences.GAP + 2)) if ids[j] == name), None)
+                    if last is None:
+                        break
+                if last is not None and (best is None or len(sequence) > len(best[1])):
+                    best = (licence, sequence, last)
+            if best:
+                want[rows[-1][0], best[0], ",".join(best[1])] += 1
+                at = best[2]
+            at += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rule", F.lit("x"))
+    assert collections.Counter((r.doc_id, r.licence, r.sentence_ids) for r in licences.scan(df).collect()) == want
+    assert licences.scan(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("rule", licences.RULES, ids=lambda r: ",".join(r[1]))
 def test_each_rule(rule):
     table = licences.known(licences.SENTENCES)

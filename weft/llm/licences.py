@@ -64,6 +64,28 @@ SENTENCES: dict[str, str] = {
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "isc-grant-and": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "unlicense-free": "This is free and unencumbered software released into the public domain.",
+    "epl2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "epl1": "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at",
+    "cddl": "The contents of this file are subject to the terms of the Common Development and Distribution License (the License).",
+    "zlib-asis": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "bsl": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "bsl-short": "Distributed under the Boost Software License, Version 1.0.",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "mit0-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.",
+    "postgresql-grant": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+    "wtfpl": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "ofl": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "artistic2": "This package is free software; you can redistribute it and/or modify it under the terms of the Artistic License (2.0).",
+    "mpl11": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License.",
+    "afl3": "Licensed under the Academic Free License version 3.0",
+    "eupl12": "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL (the \"Licence\");",
+    "gfdl13": "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation;",
+    "bsd-advert": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "cc-by-sa-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nd-work": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-sa-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-nd-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
     "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
@@ -99,11 +121,42 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("ISC", ("isc-grant-and",)),
     ("Unlicense", ("unlicense-free",)),
     ("Unlicense", ("unlicense-free", "unlicense-anyone")),
+    ("EPL-2.0", ("epl2",)),
+    ("EPL-1.0", ("epl1",)),
+    ("CDDL-1.0", ("cddl",)),
+    ("Zlib", ("zlib-asis", "zlib-grant")),
+    ("BSL-1.0", ("bsl",)),
+    ("BSL-1.0", ("bsl-short",)),
+    ("0BSD", ("0bsd-grant",)),
+    ("MIT-0", ("mit0-grant",)),
+    ("PostgreSQL", ("postgresql-grant",)),
+    ("WTFPL", ("wtfpl",)),
+    ("OFL-1.1", ("ofl",)),
+    ("Artistic-2.0", ("artistic2",)),
+    ("MPL-1.1", ("mpl11",)),
+    ("AFL-3.0", ("afl3",)),
+    ("EUPL-1.2", ("eupl12",)),
+    ("GFDL-1.3", ("gfdl13",)),
+    ("BSD-4-Clause", ("bsd-redist", "bsd-source", "bsd-binary", "bsd-advert")),
+    ("BSD-4-Clause", ("bsd-redist", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse")),
+    ("CC-BY-SA-4.0", ("cc-by-sa-work",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-work",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-work",)),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd-work",)),
 )
 
+#: Identifiers of the SPDX list that are known in tags (fixed values).
+SPDX = (
+    "0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC0-1.0 CDDL-1.0 "
+    "EPL-1.0 EPL-2.0 EUPL-1.2 GFDL-1.3 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later "
+    "MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL NCSA OFL-1.1 OpenSSL PostgreSQL Python-2.0 Ruby Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib"
+).split()
+SENTENCES |= {f"spdx-{x}": f"SPDX-License-Identifier: {x}" for x in SPDX}
+RULES += tuple((x, (f"spdx-{x}",)) for x in SPDX)
+
 _PLAIN = re.compile(r"[^a-z0-9.]+")
 _LINE = re.compile(r"[^\n]+")
-_STOP = re.compile(r"(?<=[.!?:])\s+|\n[^\S\n]*[#*/;-]*[^\S\n]*\n")
+_STOP = re.compile(r"(?<=[.!?:])\s++|\n[^\S\n]*+(?:[#*/;-]++[^\S\n]*+)?\n")
 
 
 def normalised(sentence: str) -> str:
@@ -117,7 +170,9 @@ def known(sentences: dict[str, str]) -> dict[str, str]:
     return out
 
 
-_FIRST = re.compile(r"[^a-zA-Z0-9\n]*([a-zA-Z0-9]+(?:\.[a-zA-Z0-9]+)*)")
+_GAP = re.compile(r"[^a-zA-Z0-9\n]*")
+_FIRST = re.compile(r"[a-zA-Z0-9]++(?:\.[a-zA-Z0-9]++)*+")
+_HEAD = re.compile(r"[^a-z0-9]*+([a-z0-9][a-z0-9.]*+)")
 
 
 @functools.lru_cache(8)
@@ -131,16 +186,23 @@ def _by_first_word(table: tuple[tuple[str, str], ...]) -> dict[str, list[tuple[r
     return out
 
 
+@functools.lru_cache(8)
+def _heads(sentences: tuple[str, ...]) -> frozenset[str]:
+    """First words of the known sentences."""
+    return frozenset(s.split()[0] for s in sentences)
+
+
 def sentence_ids(text: str, table: dict[str, str]) -> list[tuple[int, int, str | None]]:
     """(start, end, id or None) of the text's sentences in order; where line and wrapped reading overlap, known ones win."""
-    longest = max((len(s) for s in table), default=0) * 2 + 200
+    heads = _heads(tuple(table))
     found: dict[int, tuple[int, str]] = {}
     plain: list[tuple[int, int]] = []
 
     def put(start: int, end: int) -> str | None:
         part = text[start:end]
         lead = len(part) - len(part.lstrip())
-        name = table.get(normalised(part)) if end - start <= longest else None
+        head = _HEAD.match(part.lower())
+        name = table.get(normalised(part)) if head and head[1].rstrip(".") in heads else None
         if name is not None and found.get(start + lead, (0, ""))[0] < end:
             found[start + lead] = (end, name)
         return name
@@ -165,11 +227,15 @@ def sentence_ids(text: str, table: dict[str, str]) -> list[tuple[int, int, str |
         at = stop.end() if stop else end
         starts.add(at)
     first_words = _by_first_word(tuple(table.items()))
-    for start in starts:
-        head = _FIRST.match(text, start)
-        for pattern, name in first_words.get(head[1].lower(), ()) if head else ():
-            if m := pattern.match(text, start):
-                begin = start + len(m[0]) - len(m[0].lstrip())
+    reach = -1
+    for start in sorted(starts):
+        if start <= reach:
+            continue  # of starts before one word the first counts
+        reach = _GAP.match(text, start).end()
+        head = _FIRST.match(text, reach)
+        for pattern, name in first_words.get(head[0].lower(), ()) if head else ():
+            if m := pattern.match(text, reach):
+                begin = reach - len(text[start:reach].lstrip())
                 if found.get(begin, (0, ""))[0] < m.end():
                     found[begin] = (m.start() + len(m[0].rstrip()), name)
     out: list[tuple[int, int, str | None]] = []
