@@ -71,6 +71,7 @@ def test_packing(docs, rows, limits):
         assert sum(r.length for r in pieces) == sum(len(ids) // 4 * n for (x, ids), n in whole.items() if x == d)
         if sum(n for (x, _), n in whole.items() if x == d) == 1:
             assert b"".join(r.ids for r in sorted(pieces, key=lambda r: r.start)) == next(ids for x, ids in whole if x == d)
+    assert packing.pack_documents(docs.limit(0), vocabulary("word_bpe_49k.json")).count() == 0
     for pieces in sequences.values():
         pieces.sort(key=lambda r: r.offset)
         size = sum(r.length for r in pieces)
@@ -90,6 +91,14 @@ def test_token_files(spark, docs, rows):
         want.append((d, start, len(ids) // 4, zlib.crc32(ids)))
         start += len(ids) // 4
     assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids))) for r in got)
+    every = np.concatenate([np.frombuffer(r.ids, "<u4") for r in sorted(got, key=lambda r: r.start)])
+    for i in (0, 1, len(every) // 2, len(every) - 1, want[3][1]):
+        assert token_files.token(spark, path, i) == every[i]
+    for i in (-1, len(every)):
+        with pytest.raises(IndexError):
+            token_files.token(spark, path, i)
+    token_files.write_token_files(docs.limit(0), path + "0", vocabulary("byte_bpe_50k.json"))
+    assert token_files.read_token_files(spark, path + "0").count() == 0
 
 
 def test_shard_access():

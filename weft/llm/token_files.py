@@ -145,7 +145,8 @@ def write_token_files(
         if docs:
             yield closed()
 
-    ordered.mapInArrow(task, "part long, before long, n_docs long, n_tokens long, data binary").write.parquet(path)
+    # not compressed, so that a shard's bytes lie in the file as they are
+    ordered.mapInArrow(task, "part long, before long, n_docs long, n_tokens long, data binary").write.option("compression", "none").parquet(path)
 
 
 def shard_starts(spark: SparkSession, path: str) -> dict[int, int]:
@@ -157,6 +158,19 @@ def shard_starts(spark: SparkSession, path: str) -> dict[int, int]:
     return starts
 
 
+def token(spark: SparkSession, path: str, i: int) -> int:
+    """Token i of all, from the one shard that holds it; the others are skipped by their file statistics."""
+    starts = shard_starts(spark, path)
+    part = max((p for p, n in starts.items() if n <= i), key=lambda p: (starts[p], p), default=None)
+    if part is None or i < 0:
+        raise IndexError(i)
+    here = i - starts[part]
+    row = spark.read.parquet(path).filter((F.col("part") == part) & (F.col("before") <= here) & (F.col("before") + F.col("n_tokens") > here)).select("before", "data").first()
+    if row is None:
+        raise IndexError(i)
+    return Shard(bytes(row.data)).token(here - row.before)
+
+
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit) of each document."""
     starts = shard_starts(spark, path)
