@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -313,7 +314,8 @@ def _dealt(df: DataFrame, id_col: str, text_col: str, size: int, frequent: Frequ
             yield batch_of({"bucket": there[k : k + 256], **out}, len(there[k : k + 256]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, owners, parts, n, dealt = _Seen(), [], [], 0, 0
+        seen, owners, parts, n = _Seen(), [], [], 0
+        dealt = 64 * 31 * TaskContext.get().partitionId()  # each task begins with another bucket
         for batch in batches:
             nodes, counts, sketches = [], [], []
             for h in shingle_sets(batch.column(2).to_pylist(), size):
