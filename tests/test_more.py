@@ -50,6 +50,23 @@ def test_headers(tmp_path):
     assert delimited.detect_delimiter("x.csv", b"a,b,c\nd,e,f\ng,h\ni,j\n") == ","
 
 
+def test_large_files_are_split(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(delimited, "SPLIT_BYTES", 1000)
+    plain, quoted = tmp_path / "plain.csv", tmp_path / "quoted.csv"
+    plain.write_text("title\nk,v\n" + "".join(f'{k},"x ""{k}"" y"\n' for k in range(60_000)))
+    quoted.write_text("k,v\n" + "".join(f'{k},"x\n{k}"\n' for k in range(2_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        t = delimited.read(spark, delimited.scan(str(plain))[0])
+        rows = t.frame.orderBy("__r").collect()
+        assert t.frame.rdd.getNumPartitions() > 3 and [(r.k, r.v) for r in rows] == [(str(k), f'x "{k}" y') for k in range(60_000)]
+        t = delimited.read(spark, delimited.scan(str(quoted))[0])
+        assert [(r.k, r.v) for r in t.frame.orderBy("__r").collect()] == [(str(k), f"x\n{k}") for k in range(2_000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def _sum(spark, values, kind, **more):
     df = spark.createDataFrame([(1, k, v) for k, v in enumerate(values)], f"k int, o long, v {kind}")
     return merge([from_df(df, "x.csv", order="o", columns=["k", "v"]).with_mapping("v", aggregate="Sum")], MergeOptions("Consolidate", key_columns=("k",)), **more).first().v

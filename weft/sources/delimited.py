@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import itertools
+import os
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,8 @@ from weft.operators.merge import ROW
 from weft.plans.headers import combine_header_rows, recommend_header
 
 SAMPLE_BYTES, SAMPLE_RECORDS, HEADER_RECORDS, QUALITY_RECORDS = 256 * 1024, 30, 24, 50
+#: A smaller file is one task anyway.
+SPLIT_BYTES = 32 * 1024 * 1024
 EXACT_COUNT_BYTES, ESTIMATE_RECORDS = 64 * 1024 * 1024, 10_000
 DELIMITERS = (",", "\t", ";", "|")
 
@@ -96,8 +99,6 @@ def scan(path: str, *, delimiter: str | None = None, header_row: int | None = No
 
 def estimate_rows(path: str, delimiter: str, skipped: int) -> int:
     """Exact for small files; else in proportion to the bytes of the first records."""
-    import os
-
     size = os.path.getsize(path)
     with open(path, newline="", encoding="latin-1") as f:
         reader = csv.reader(f, delimiter=delimiter)
@@ -118,8 +119,18 @@ def _decoded(c: Column) -> Column:
     return F.when(F.is_valid_utf8(bare.cast("string")), bare.cast("string")).otherwise(F.decode(bare, "GBK"))
 
 
-def read(spark: SparkSession, table: SourceTable, *, multiline: bool = True) -> SourceTable:
-    """The table with its rows: text only, ragged rows filled up or cut. multiline=False lets Spark split large files that have no quoted line ends."""
+def has_quoted_line_ends(spark: SparkSession, path: str) -> bool:
+    """Whether some line has an odd number of quotes, so that a field may go on in the next one. Read by Spark in splits."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return not lines.filter((F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).isEmpty()
+
+
+def read(spark: SparkSession, table: SourceTable, *, multiline: bool | None = None) -> SourceTable:
+    """The table with its rows: text only, ragged rows filled up or cut. A file is read in splits unless it is small or holds quoted line ends
+    (multiline, where the caller knows)."""
+    if multiline is None:
+        multiline = os.path.getsize(table.path) <= SPLIT_BYTES if os.path.exists(table.path) else False
+        multiline = multiline or has_quoted_line_ends(spark, table.path)
     legacy = {"spark.sql.legacy.javaCharsets": "true", "spark.sql.legacy.codingErrorAction": "true"}
     before = {k: spark.conf.get(k, None) for k in legacy}
     for k, v in legacy.items():
