@@ -316,6 +316,36 @@ def test_language(spark):
     assert language.identify(df.limit(0), language.fit(df.limit(0))).count() == 0
 
 
+def test_language_by_definition(spark):
+    """Cosines of bundles made letter by letter; long texts, repeated rows and languages whose prototypes are the same."""
+    random.seed(15)
+    rows = [(k, " ".join(random.choice(["bla", "kra", "Ñu", "stΣ"]) for _ in range(30)), lang) for k in range(60) for lang in [("aa", "bb", "cc")[k % 3]]]
+    rows += [(100, "bla " * 50_000, None), (100, "bla " * 50_000, None), (101, "kra", "zz"), (102, "🙂 日本 𐐀", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = language.fit(df)
+
+    def bundle(text):
+        letters = [ord(c.lower()) if c.isalpha() else 0 for c in f" {text} "]
+        letters = [c for k, c in enumerate(letters) if k == 0 or c or letters[k - 1]]
+        vectors = language._vectors(language.DIMENSIONS, language.SEED)
+        out = np.zeros(language.DIMENSIONS)
+        for key, n in collections.Counter(zip(letters, letters[1:], letters[2:])).items():
+            a, b, c = (vectors.letter(x).astype(int) for x in key)
+            out += n * np.roll(a, 2) * np.roll(b, 1) * c
+        return out
+
+    trained = [(lang, t) for d, t, lang in rows if lang and zlib.crc32(str(d).encode()) % 3 != 1]
+    names = sorted({lang for lang, _ in trained})
+    prototypes = [sum(bundle(t) for x, t in trained if x == lang) for lang in names]
+    assert profiles.languages == tuple(names) and np.allclose(profiles.prototypes, prototypes)
+    for r in language.identify(df, profiles).collect():
+        own = bundle(r.text)
+        cosines = [own @ p / np.linalg.norm(own) / np.linalg.norm(p) for p in prototypes]
+        assert abs(r.lang_score - max(cosines)) < 1e-4 and cosines[names.index(r.lang_pred)] >= max(cosines) - 1e-6
+    same = language.Profiles(("aa", "bb"), np.stack([prototypes[0]] * 2))
+    assert same.predict(["bla"])[0] == ["aa"]
+
+
 def test_licences(spark):
     apache = '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n# Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an "AS IS" BASIS,\n# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n# See the License for the specific language governing permissions and\n# limitations under the License.\n'
     rows = [(1, f"Hi.\n{apache}\nint x;"), (2, "a b\nReleased under the MIT License.\nc"), (2, "a b\nReleased under the MIT License.\nc"), (3, None), (4, ""), (5, "We discuss the MIT License here."), (6, LONG)]
@@ -723,6 +753,82 @@ def test_threads_against_brute_force(spark, seed, monkeypatch):
     assert threads.link(spark.createDataFrame(rows[:1], "conv_id long, turn long, role string, text string").limit(0)).count() == 0
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage, row by row, on documents with copies, leaks, secrets, equal and null ids."""
+    import corpus_pipeline as p
+
+    rng = random.Random(16)
+    pool = [f"{a}{b}" for a in ("tor", "mil", "gan", "fes", "ura", "pol", "wen", "kai") for b in ("an", "is", "or", "ude", "et", "ilo", "ak", "em", "u", "ast")]
+    make = lambda n: " ".join(rng.choices(pool, k=n))
+    items = [(k, make(24) + ". " + make(8) + ".") for k in range(5)] + [(9, "quite short")]
+    rows = [(k, make(rng.randint(20, 120))) for k in range(40)]
+    for k in range(12):  # near copies, some of equal or null id
+        w = rows[k][1].split()
+        w[rng.randrange(len(w))] = "changed"
+        rows.append((rng.choice([None, k, 200 + k]), " ".join(w)))
+    rows += [rows[3], rows[3], (300, rows[4][1]), (3, make(50)), (None, make(30)), (400, None), (401, "123 456"), (402, "x")]
+    rows += [(500 + k, f"{make(30)} {t} {make(20)}") for k, t in items]
+    rows += [(600 + k, make(20) + f" password = '{make(3).replace(' ', '')}' AKIA{'ABCD' * 4} " + "0af3" * 9) for k in range(3)]
+    rng.shuffle(rows)
+    full = [(d, t, "aa", "s", len(t or "")) for d, t in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(full, schema).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    count = lambda df: collections.Counter((r.doc_id, r.text, r.n_chars) for r in df.collect())
+    plain = lambda ds: collections.Counter((d, t, len(t or "")) for d, t in ds)
+    docs, stages = spark.read.parquet(str(tmp_path / "documents.parquet")), dict(p.STAGES)
+
+    docs = stages["language"](spark, docs, str(tmp_path)).cache()
+    left = [(d, t) for d, t in rows if any(c.isalpha() for c in t or "")]
+    assert count(docs) == plain(left)
+
+    docs = stages["near copies"](spark, docs, str(tmp_path)).cache()
+    words = lambda t: WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (words(t) for _, t in left)]
+    root = list(range(len(left)))
+    for a in range(len(left)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                root = [root[b] if x == root[a] else x for x in root]
+    groups = collections.defaultdict(list)
+    for k, r in enumerate(root):
+        groups[r].append(left[k])
+    left = [min(g, key=lambda x: (x[0] is None, x[0] or 0, spark_hash(x[1]))) for g in groups.values()]
+    assert count(docs) == plain(left)
+
+    docs = stages["benchmark"](spark, docs, str(tmp_path)).cache()
+    known = [(k, decontaminate.words_of(t), decontaminate.answer_of(t)) for k, t in items[:5]]
+    short = lambda t: " quite short " in f" {' '.join(decontaminate.words_of(t))} "
+    left = [(d, t) for d, t in left if not brute_matches(t, known) and not short(t)]
+    assert count(docs) == plain(left) and not {d for d, _ in left} & set(range(500, 506))
+
+    docs = stages["secrets"](spark, docs, str(tmp_path)).cache()
+
+    def masked(t):
+        spans = sorted((m.start(), k, m.end()) for k, r in enumerate(secrets.RULES) for m in re.finditer(r.pattern, t) if len(m[r.group]) >= r.least)
+        out, at = "", 0
+        for a, _, b in spans:
+            if a >= at:
+                out += t[at:a] + "[secret]"
+            at = max(at, b)
+        return out + t[at:]
+
+    left = [(d, masked(t)) for d, t in left]
+    assert count(docs) == plain(left) and sum("[secret]" in t for _, t in left) == 3
+
+    pieces = stages["packing"](spark, docs, str(tmp_path)).collect()
+    coder = PieceEncoder(vocabulary("word_bpe_49k.json"), False)
+    whole = collections.Counter((d, len(coder.encode(t)) // 4 + 1) for d, t in left)
+    ends = collections.defaultdict(int)
+    for r in pieces:
+        ends[r.doc_id, r.doc_tokens] += r.length
+    assert ends == {k: k[1] * n for k, n in whole.items()}
+    assert collections.Counter((r.doc_id, r.start, r.length) for r in p.run(spark, str(tmp_path)).collect()).total() >= len(left)
+    empty = spark.createDataFrame([], schema)
+    for _, stage in p.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
