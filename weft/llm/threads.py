@@ -93,14 +93,18 @@ def _far(own: DataFrame, quotes: DataFrame) -> DataFrame:
 
 
 def _threads(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, root, depth): first message of the thread and steps to it. turns: conv_id, turn, up (the parent's turn, or null). By doubled steps."""
-    state = written(turns.select("conv_id", "turn", F.coalesce("up", "turn").alias("root"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")), "steps")
-    deepest = -1
-    while (now := state.agg(F.sum("depth")).first()[0] or 0) != deepest:
-        deepest = now
-        ahead = state.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        state = written(state.join(ahead, ["conv_id", "root"]).select("conv_id", "turn", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth")), "steps")
-    return state
+    """(conv_id, turn, root, depth): first message of the thread and steps to it. turns: conv_id, turn, up (the parent's turn, or null).
+
+    By doubled steps; a message that has come to its root takes no more.
+    """
+    begin = F.col("up").isNull()
+    state = written(turns.select("conv_id", "turn", F.coalesce("up", "turn").alias("root"), F.when(begin, 0).otherwise(1).cast("long").alias("depth"), begin.alias("there")), "steps")
+    while not state.filter("not there").isEmpty():
+        ahead = state.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"), F.col("there").alias("then"))
+        moved = state.filter("not there").drop("there").join(ahead, ["conv_id", "root"])
+        moved = moved.select("conv_id", "turn", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("then").alias("there"))
+        state = written(state.filter("there").unionByName(moved), "steps")
+    return state.drop("there")
 
 
 def _positions(threads: DataFrame) -> DataFrame:
