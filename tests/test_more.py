@@ -41,6 +41,23 @@ def test_one_bad_file_stops_nothing(tmp_path):
     assert [t.file_name for t in tables] == ["a.csv", "long.csv"] and len(warnings) == 2
 
 
+def test_scan_by_tasks(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.csv").write_text("k,v\n1,2\n")
+    (tmp_path / "~$b.csv").write_text("k,v\n1,2\n")
+    (tmp_path / "bad.xlsx").write_text("no workbook")
+    workbook.write(spark.createDataFrame([(3, "x")], "k int, v string"), str(tmp_path / "sub" / "b.xlsx"))
+    with zipfile.ZipFile(tmp_path / "sub" / "c.ODS", "w") as z:
+        z.writestr("content.xml", ODS)
+    tables, warnings = discovery.scan_stored(spark, f"file://{tmp_path}")
+    assert [(t.file_name, t.sheet_name, t.headers) for t in tables] == [("a.csv", "CSV", ("k", "v")), ("b.xlsx", "合并结果_001", ("k", "v")), ("c.ODS", "One", ("id", "when", "ok"))]
+    assert len(warnings) == 1 and warnings[0].startswith(f"file:{tmp_path}/bad.xlsx")
+    rows = merge([discovery.load(spark, t) for t in tables[:2]], MergeOptions()).collect()
+    assert sorted((r.k, r.v) for r in rows) == [("1", "2"), ("3", "x")]
+    with pytest.raises(ValueError):
+        discovery.scan_stored(spark, f"file://{tmp_path}", most_bytes=1)
+
+
 def test_headers(tmp_path):
     assert recommend_header([["a", "a2", ""], ["2024-01-01", "10:00", "x-1"]]) == 0 and recommend_header([]) == 0
     (tmp_path / "deep.csv").write_text("".join(f"r{k},v\n" for k in range(31)))

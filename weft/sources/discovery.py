@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.text import as_text
-from weft.model import SourceTable
+from weft.model import MergeOptions, SourceTable, load_scheme, save_scheme
 from weft.operators.merge import ROW
 from weft.sources import delimited, workbook
 
@@ -61,6 +62,38 @@ def scan(paths: list[str]) -> tuple[list[SourceTable], list[str]]:
     return sorted(tables, key=lambda t: (t.path.lower(), t.sheet_name.lower())), sorted(warnings)
 
 
+def scan_stored(spark: SparkSession, folder: str, most_bytes: int = 1 << 30) -> tuple[list[SourceTable], list[str]]:
+    """Like scan, of all files below a folder of any store that Spark reads; every file is scanned by a task. A larger file is a warning."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    chosen = files.filter(~name.startswith("~$") & F.lower(F.element_at(F.split(name, r"\."), -1)).isin(*EXTENSIONS) & F.contains(name, F.lit(".")))
+    small = chosen.filter(F.col("length") <= most_bytes)
+
+    def task(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                with tempfile.TemporaryDirectory() as own:  # the task's own copy of one file
+                    local = os.path.join(own, path.rsplit("/", 1)[-1])
+                    with open(local, "wb") as f:
+                        f.write(content.as_py())
+                    try:
+                        tables, warnings = scan_file(local)
+                    except Exception as e:  # whatever one file holds must not lose the others
+                        tables, warnings = [], [f"{local}: {e}"]
+                job = save_scheme("", [replace(t, path=path) for t in tables], MergeOptions())
+                yield pa.record_batch([pa.array([job]), pa.array([[w.replace(local, path) for w in warnings]], pa.list_(pa.string()))], names=["job", "warnings"])
+
+    rows = small.select("path", "content").repartition(max(1, min(chosen.count(), 1000))).mapInArrow(task, "job string, warnings array<string>").collect()  # a line a file
+    large = [f"{r.path}: larger than {most_bytes} bytes" for r in chosen.filter(F.col("length") > most_bytes).select("path").collect()]
+    tables = [t for r in rows for t in load_scheme(r.job)[1]]
+    warnings = sorted([*large, *[w for r in rows for w in r.warnings]])
+    if not tables:
+        raise ValueError("; ".join(warnings) or "no supported file")
+    return sorted(tables, key=lambda t: (t.path.lower(), t.sheet_name.lower())), warnings
+
+
 def load(spark: SparkSession, table: SourceTable) -> SourceTable:
     if table.frame is not None:
         return table

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import io
 import os
 import re
 import zipfile
@@ -118,8 +119,10 @@ class Workbook:
         return [[rows.get(r, {}).get(k) for k in range(left, right + 1)] for r in range(min(rows), max(rows) + 1)]
 
 
-def opened(path: str) -> Workbook | OpenDocument:
-    return OpenDocument(path) if path.lower().endswith(".ods") else Workbook(path)
+def opened(path: str, spark: SparkSession | None = None) -> Workbook | OpenDocument:
+    """spark: to fetch a file of another store than the local disk."""
+    source = io.BytesIO(spark.read.format("binaryFile").load(path).first().content) if spark and "://" in path or path.startswith("file:") and spark else path
+    return OpenDocument(source) if path.lower().endswith(".ods") else Workbook(source)
 
 
 def cell_text(value) -> str:
@@ -166,7 +169,7 @@ def _kind(values: list) -> T.DataType:
 
 def read(spark: SparkSession, table: SourceTable) -> SourceTable:
     """The table with its rows. A column of one cell type keeps it; a mixed one becomes text. A sheet has at most 1,048,576 rows."""
-    rows = opened(table.path).sheet(table.sheet_name)[table.header_row + table.header_rows - 1 :]
+    rows = opened(table.path, spark).sheet(table.sheet_name)[table.header_row + table.header_rows - 1 :]
     width = len(table.headers)
     rows = [(r + [None] * width)[:width] for r in rows]
     kinds = [_kind([r[k] for r in rows]) for k in range(width)]
