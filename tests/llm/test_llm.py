@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 from weft.llm import decontaminate, language, licences, near_join, packing, quality, repeats, secrets, threads, token_files
 from weft.llm.components import components
-from weft.llm.queries import vocabulary
+from weft.llm.queries import ORACLES, QUERIES, vocabulary
 from weft.llm.tokens import PieceEncoder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -753,6 +753,19 @@ def test_threads_against_brute_force(spark, seed, monkeypatch):
     assert threads.link(spark.createDataFrame(rows[:1], "conv_id long, turn long, role string, text string").limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_registered_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = con.execute(ORACLES[name])
+    names = [d[0] for d in want.description]
+    got = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sorted(got.columns) == sorted(names)
+    assert collections.Counter(map(tuple, got.select(*names).collect())) == collections.Counter(want.fetchall())
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     """Every stage, row by row, on documents with copies, leaks, secrets, equal and null ids."""
     import corpus_pipeline as p

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import decontaminate, language, licences, near_join, packing, quality, repeats, secrets, threads, token_files
+from weft.llm import decontaminate, language, licences, near_join, oracles, packing, quality, repeats, secrets, threads, token_files
 from weft.llm.common import documents, shared_dir
 
 
@@ -33,7 +33,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeated_units(documents(spark, sf_dir), line_words=1)
+    return repeats.repeated_units(documents(spark, sf_dir), line_words=1).drop("text_key", "kept_key")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +68,4 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_licences, op2_packing, op3_token_files, op4_repeats, op5_quality, op6_near_join, op7_decontaminate, op8_secrets, op9_threads, op10_language)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_repeats": oracles.REPEATS, "op6_near_join": oracles.NEAR_JOIN, "op8_secrets": oracles.SECRETS}
