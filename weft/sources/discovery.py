@@ -16,8 +16,6 @@ from weft.operators.merge import ROW
 from weft.sources import delimited, workbook
 
 EXTENSIONS = ("csv", "tsv", "xlsx", "xlsm", "xls", "xlsb", "ods")
-#: Of these the reader has no parser yet; scanning one gives a warning.
-UNREAD = ("xls", "xlsb")
 #: Files scanned at a time.
 WORKERS = 4
 
@@ -37,8 +35,6 @@ def scan_file(path: str, **header) -> tuple[list[SourceTable], list[str]]:
     if kind in ("csv", "tsv"):
         table, warnings = delimited.scan(path, **header)
         return [table], warnings
-    if kind in UNREAD:
-        return [], [f"{path}: .{kind} is not supported yet"]
     return workbook.scan(path, **header), []
 
 

@@ -7,6 +7,8 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
+from weft.sources.cells import rectangle
+
 _OFFICE = "{urn:oasis:names:tc:opendocument:xmlns:office:1.0}"
 _TABLE = "{urn:oasis:names:tc:opendocument:xmlns:table:1.0}"
 _TEXT = "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}"
@@ -42,10 +44,7 @@ class OpenDocument:
                 e.clear()
                 if limit and len(rows) >= limit:
                     break
-        if not rows:
-            return []
-        left, right = min(min(c) for c in rows.values()), max(max(c) for c in rows.values())
-        return [[rows.get(r, {}).get(k) for k in range(left, right + 1)] for r in range(min(rows), max(rows) + 1)]
+        return rectangle(rows)
 
     @staticmethod
     def _cells(row: ET.Element) -> dict[int, object]:

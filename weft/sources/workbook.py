@@ -1,4 +1,4 @@
-"""Workbooks with the standard library: a reader of cached values (XLSX, and ODS by opendocument) and a streaming writer of XLSX."""
+"""Workbooks with the standard library: a reader of cached values (XLSX here, ODS, XLSB and XLS by modules of their own) and a streaming writer of XLSX."""
 
 from __future__ import annotations
 
@@ -18,14 +18,14 @@ from pyspark.sql import types as T
 from weft.model import SourceTable
 from weft.operators.merge import ROW
 from weft.plans.headers import combine_header_rows, recommend_header
+from weft.sources.binary_workbooks import BinaryWorkbook, LegacyWorkbook
+from weft.sources.cells import date_of, rectangle, shows_date
 from weft.sources.opendocument import OpenDocument
 
 MAX_ROWS = 1_048_575
 SHEET_NAME = "合并结果_{:03d}"
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-#: Built-in number formats that show a date or time.
-DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
 
 
 class WorkbookError(ValueError):
@@ -50,11 +50,6 @@ def _letters(k: int) -> str:
     return out
 
 
-def _date(serial: float, late: bool) -> dt.datetime:
-    base = dt.datetime(1904, 1, 1) if late else dt.datetime(1899, 12, 30)
-    return base + dt.timedelta(seconds=int(round(serial * 86400)))
-
-
 class Workbook:
     """sheet(name) gives the used rows of a sheet as lists of None, str, int, float, bool or datetime."""
 
@@ -73,10 +68,10 @@ class Workbook:
         self.dates: list[bool] = []
         if "xl/styles.xml" in names:
             styles = ET.fromstring(self.zip.read("xl/styles.xml"))
-            own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", f.get("formatCode", "")) for f in styles.iterfind("m:numFmts/m:numFmt", _NS)}
+            own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in styles.iterfind("m:numFmts/m:numFmt", _NS)}
             for xf in styles.iterfind("m:cellXfs/m:xf", _NS):
                 k = int(xf.get("numFmtId", 0))
-                self.dates.append(k in DATE_FORMATS or bool(re.search("[ymdhs]", own.get(k, ""), re.I)))
+                self.dates.append(shows_date(k, own.get(k)))
 
     def _value(self, c: ET.Element):
         kind, v = c.get("t", "n"), c.find("m:v", _NS)
@@ -92,7 +87,7 @@ class Workbook:
             return v.text
         style = int(c.get("s", 0))
         if style < len(self.dates) and self.dates[style]:
-            return _date(float(v.text), self.late)
+            return date_of(float(v.text), self.late)
         return int(v.text) if re.fullmatch(r"-?\d+", v.text) else float(v.text)
 
     def sheet(self, name: str, limit: int | None = None) -> list[list]:
@@ -113,16 +108,17 @@ class Workbook:
                 row.clear()
                 if limit and len(rows) >= limit:
                     break
-        if not rows:
-            return []
-        left, right = min(min(c) for c in rows.values()), max(max(c) for c in rows.values())
-        return [[rows.get(r, {}).get(k) for k in range(left, right + 1)] for r in range(min(rows), max(rows) + 1)]
+        return rectangle(rows)
+
+
+#: Readers by extension.
+READERS = {"ods": OpenDocument, "xlsb": BinaryWorkbook, "xls": LegacyWorkbook}
 
 
-def opened(path: str, spark: SparkSession | None = None) -> Workbook | OpenDocument:
+def opened(path: str, spark: SparkSession | None = None) -> Workbook | OpenDocument | BinaryWorkbook | LegacyWorkbook:
     """spark: to fetch a file of another store than the local disk."""
     source = io.BytesIO(spark.read.format("binaryFile").load(path).first().content) if spark and "://" in path or path.startswith("file:") and spark else path
-    return OpenDocument(source) if path.lower().endswith(".ods") else Workbook(source)
+    return READERS.get(path.rpartition(".")[2].lower(), Workbook)(source)
 
 
 def cell_text(value) -> str:
