@@ -43,7 +43,7 @@ BAND_RATIO = 1.6
 BLOCKS = 0.55
 LEAST_BITS = 512
 #: Members of a star, and bytes of their sketches, that are compared at a time.
-CHUNK, CHUNK_BYTES = 1024, 4_000_000
+CHUNK, CHUNK_BYTES = 256, 4_000_000
 #: Entries a task gathers before it hands them on (about 10 bytes each), and words of a bucket that are grouped at a time.
 FLUSH, AT_ONCE = 1_000_000, 4_000_000
 #: Frequent words that order all others: held by so many classes as counted, and so many words at most (16 bytes each), the most frequent.
