@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +46,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(schema).parquet(path)
     back.written_to = path
+    if _SCOPES:
+        _SCOPES[-1].append(back)
     return back
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is written inside is deleted at the end, but for what goes through the function given: with scratch() as keep: out = keep(written(...))."""
+    made: list[DataFrame] = []
+    kept: set[int] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(id(df))
+        return df
+
+    _SCOPES.append(made)
+    try:
+        yield keep
+    finally:
+        _SCOPES.pop()
+        for df in made:
+            if id(df) not in kept:
+                discard(df)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what written() wrote for df, when no later plan reads it."""
     spark = df.sparkSession

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import discard, few, partitions, prepare, written
+from weft.llm.common import discard, few, partitions, prepare, scratch, written
 from weft.llm.components import components
 from weft.llm.hashing import M2, M3, PIECE, S32, mix, odd_values, runs
 
@@ -567,6 +567,11 @@ def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
 
 def linked_rows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS) -> DataFrame:
     """One row a row of df: doc_id, key (xxhash64 of the text), n, node (class; null without shingles) and root (class that names the component)."""
+    with scratch() as keep:
+        return keep(_linked_rows(df, id_col, text_col, size))
+
+
+def _linked_rows(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     spark = df.sparkSession
     prepare(spark)
     parts = partitions(spark)
@@ -602,7 +607,6 @@ def linked_rows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             links = written(links.unionByName(_verified(found, sets)), "links")
             joined = components(links)
             tried = written(tried.unionByName(found), "tried")
-    discard(sets)
     return written(rows.join(joined, "node", "left").select("doc_id", "key", "n", "node", F.coalesce("root", "node").alias("root")), "linked")
 
 
