@@ -111,10 +111,12 @@ class Shard:
 
 
 def write_token_files(
-    df: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, blanks: bool = True, widths: tuple[int, ...] = (8, 16)
+    df: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, blanks: bool = True, widths: tuple[int, ...] | None = None
 ) -> None:
     """Encode every text, add end_id, and write the shards in ascending document order (null ids first, equal ids by text).
 
+    widths: bits of the levels; by default two of 8 bits where the vocabulary's ids need no more, else one of 8 and one of 16.
+
     Null or empty texts are the end id alone; repeated rows stay; other columns are ignored; an empty table gives files without shards.
     """
     prepare(df.sparkSession)
@@ -126,11 +128,12 @@ def write_token_files(
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, before = encoder(tokenizer, blanks), TaskContext.get().partitionId(), 0
         end = int(end_id).to_bytes(4, "little")
+        levels = widths or ((8, 8) if max(end_id, coder.tokenizer.get_vocab_size() - 1, *coder.tokenizer.get_added_tokens_decoder()) < 1 << 16 else (8, 16))
         docs, counts, parts, size = [], [], [], 0
 
         def closed() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(parts), "<u4")
-            return pa.record_batch([[part], [before], [len(docs)], [len(ids)], pa.array([encode_shard(docs, counts, ids, widths)], pa.binary())], schema=schema)
+            return pa.record_batch([[part], [before], [len(docs)], [len(ids)], pa.array([encode_shard(docs, counts, ids, levels)], pa.binary())], schema=schema)
 
         for batch in batches:
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
