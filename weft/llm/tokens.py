@@ -68,9 +68,13 @@ class PieceEncoder:
         written = run.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
+    def _piece(self, piece: str) -> bytes | None:
+        """None where a text with this piece has white space that does not just part two words."""
         simple = _SIMPLE.fullmatch(piece)
         if not simple:
+            bare = piece[1:] if piece[:1] == "\n" else piece
+            if self.blanks and bare.split() != [bare]:
+                return None
             return self.whole(f" {piece}" if self.blanks and piece[:1] != "\n" else piece)
         line, word, marks = simple.groups()
         if self.blanks:
@@ -88,10 +92,11 @@ class PieceEncoder:
             if text.isascii():
                 text = text.lower()
             return b"".join(map(self.pieces.__getitem__, filter(None, text.replace("\n", " ").split(" "))))
-        if text.split() != text.replace("\n", " ").split(" "):
-            return self.whole(text)  # runs of blanks, blanks at an end, or other white space
         first, *rest = text.replace("\n", " \n").split(" ")
-        return self.pieces[f"\n{first}"][4:] + b"".join(map(self.pieces.__getitem__, rest))
+        try:
+            return self.pieces[f"\n{first}"][4:] + b"".join(map(self.pieces.__getitem__, rest))
+        except TypeError:  # a piece is None: runs of blanks, blanks at an end, or other white space
+            return self.whole(text)
 
 
 def encoder(path: str, blanks: bool) -> PieceEncoder:
