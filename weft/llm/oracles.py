@@ -54,3 +54,40 @@ runs AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit)
 summed AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, run) AS run_words FROM runs)
 SELECT doc_id, CAST(unit AS INTEGER) AS unit, CAST(s AS INTEGER) AS start_char, CAST(e AS INTEGER) AS end_char, CAST(words AS INTEGER) AS n_words, CAST(run_words AS BIGINT) AS run_words, kept_doc_id, CAST(kept_start AS INTEGER) AS kept_start
 FROM summed WHERE run_words >= {repeats.MIN_WORDS} OR line > unit"""
+
+
+#: Failures by their definition, and each of the 600 steps by a pass over the (part, failures) counts.
+FILTER_AUDIT = r"""WITH RECURSIVE texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+marks AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+firsts AS (SELECT t, min(doc_id) AS least FROM texts GROUP BY t),
+failing AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+ 100 * length(regexp_replace(texts.t, '[^A-Z]', '', 'g')) > 2 * length(texts.t) AS c, regexp_matches(texts.t, '[#$%&*|]') AS d, coalesce(texts.doc_id > least, least IS NOT NULL) AS e
+ FROM texts JOIN firsts ON firsts.t = texts.t LEFT JOIN marks ON marks.doc_id = texts.doc_id),
+masks AS (SELECT part, good, toxic, CAST(a AS INT) + 2 * CAST(b AS INT) + 4 * CAST(c AS INT) + 8 * CAST(d AS INT) + 16 * CAST(e AS INT) AS f, count(*) AS n FROM failing GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (SELECT '' AS o, 0 AS used UNION ALL SELECT o || x, used + bit FROM orders JOIN letters ON used & bit = 0 WHERE length(o) < 5),
+steps AS (SELECT o.o AS filter_order, CAST(length(p.o) + 1 AS INT) AS step, p.used AS applied, bit, x FROM orders o JOIN orders p ON length(o.o) = 5 AND length(p.o) < 5 AND starts_with(o.o, p.o) JOIN letters ON x = substr(o.o, length(p.o) + 1, 1)),
+told AS (SELECT part, filter_order, step, x, sum(CASE WHEN f & (applied | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN f & applied = 0 AND f & bit > 0 THEN n ELSE 0 END) AS removed,
+ sum(CASE WHEN f & applied > 0 AND f & bit > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN f = bit THEN n ELSE 0 END) AS unique_fails,
+ sum(CASE WHEN f & applied = 0 AND f & bit > 0 AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN f & applied = 0 AND f & bit > 0 AND toxic THEN n ELSE 0 END) AS toxic_lost
+ FROM masks CROSS JOIN steps GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM told"""
+
+#: CRC-32 by its table, byte by byte, for each distinct feature.
+RESAMPLING = r"""WITH tab AS (SELECT list(crc ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(CAST(i AS UBIGINT), list_transform(range(8), lambda k: CAST(0 AS UBIGINT))), lambda c, z: xor(c >> 1, (c & 1) * 3988292384)) AS crc FROM range(256) t(i))),
+texts AS (SELECT row_number() OVER () AS r, doc_id, 0 AS b, text FROM documents UNION ALL SELECT -row_number() OVER (), NULL, 1, text FROM benchmark),
+words AS (SELECT r, b, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+feats AS (SELECT r, b, unnest(list_concat(w, list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS x FROM words),
+seen AS (SELECT r, b, x, count(*) AS n FROM feats GROUP BY ALL),
+bytes AS (SELECT x, hex(encode(x)) AS h FROM (SELECT DISTINCT x FROM seen)),
+hashed AS (SELECT x, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(range(1, length(h), 2), lambda i: CAST(16 * (instr('0123456789ABCDEF', h[i]) - 1) + instr('0123456789ABCDEF', h[i + 1]) - 1 AS UBIGINT))),
+ lambda c, v: xor(c >> 8, tab[CAST(xor(c, v) & 255 AS INT) + 1])), CAST(4294967295 AS UBIGINT)) % 10000 AS INT) AS k FROM bytes, tab),
+counts AS (SELECT k, sum(CASE WHEN b = 0 THEN n ELSE 0 END) AS s, sum(CASE WHEN b = 1 THEN n ELSE 0 END) AS t FROM seen JOIN hashed USING (x) GROUP BY k),
+totals AS (SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM counts),
+gains AS (SELECT k, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(all_s + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(all_t + 10000 AS DOUBLE)))) AS BIGINT) AS g FROM counts, totals),
+sums AS (SELECT r, sum(n * g) AS weight FROM seen JOIN hashed USING (x) JOIN gains USING (k) WHERE b = 0 GROUP BY r),
+scored AS (SELECT doc_id, len(w) AS n_words, greatest(len(w), 0) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0) AS n_features, coalesce(weight, 0) AS weight,
+ coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS score FROM words LEFT JOIN sums USING (r) WHERE b = 0),
+placed AS (SELECT *, n_words >= 20 AS enough, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features DESC, weight DESC) AS i, count(*) OVER (PARTITION BY n_words >= 20) AS many FROM scored)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN enough AND i <= 5 * many // 100 THEN i END AS rank FROM placed"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import decontaminate, language, licences, near_join, oracles, packing, quality, repeats, secrets, threads, token_files
+from weft.llm import decontaminate, filter_audit, language, licences, near_join, oracles, packing, quality, repeats, resampling, secrets, simhash, threads, token_files
 from weft.llm.common import documents, shared_dir
 
 
@@ -65,7 +65,20 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licences, op2_packing, op3_token_files, op4_repeats, op5_quality, op6_near_join, op7_decontaminate, op8_secrets, op9_threads, op10_language)
+    f.__name__: f
+    for f in (op1_licences, op2_packing, op3_token_files, op4_repeats, op5_quality, op6_near_join, op7_decontaminate, op8_secrets, op9_threads, op10_language, op11_filter_audit, op12_resampling, op13_simhash)
 }
-ORACLES: dict[str, str] = {"op4_repeats": oracles.REPEATS, "op6_near_join": oracles.NEAR_JOIN, "op8_secrets": oracles.SECRETS}
+ORACLES: dict[str, str] = {"op4_repeats": oracles.REPEATS, "op6_near_join": oracles.NEAR_JOIN, "op8_secrets": oracles.SECRETS, "op11_filter_audit": oracles.FILTER_AUDIT, "op12_resampling": oracles.RESAMPLING}
