@@ -1,6 +1,8 @@
 """Edge cases of sources, aggregates and runs that the registered queries do not show."""
 
+import csv
 import decimal
+import random
 import zipfile
 
 import pytest
@@ -41,7 +43,7 @@ def test_one_bad_file_stops_nothing(tmp_path):
     assert [t.file_name for t in tables] == ["a.csv", "long.csv"] and len(warnings) == 2
 
 
-def test_scan_by_tasks(spark, tmp_path):
+def test_scan_by_tasks(spark, tmp_path, monkeypatch):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.csv").write_text("k,v\n1,2\n")
     (tmp_path / "~$b.csv").write_text("k,v\n1,2\n")
@@ -54,8 +56,10 @@ def test_scan_by_tasks(spark, tmp_path):
     assert len(warnings) == 1 and warnings[0].startswith(f"file:{tmp_path}/bad.xlsx")
     rows = merge([discovery.load(spark, t) for t in tables[:2]], MergeOptions()).collect()
     assert sorted((r.k, r.v) for r in rows) == [("1", "2"), ("3", "x")]
-    with pytest.raises(ValueError):
-        discovery.scan_stored(spark, f"file://{tmp_path}", most_bytes=1)
+    again = discovery.with_header(tables[0], 2)  # on a stored path
+    assert again.headers == ("1", "2") and discovery.with_header(tables[1], 1).headers == ("k", "v") and delimited.check_widths(again) is None
+    monkeypatch.setattr(delimited, "EXACT_COUNT_BYTES", 1)  # every delimited file counts as large
+    assert [t.file_name for t in discovery.scan_stored(spark, f"file://{tmp_path}")[0]] == ["a.csv", "b.xlsx", "c.ODS"]
 
 
 def test_headers(tmp_path):
@@ -67,21 +71,54 @@ def test_headers(tmp_path):
     assert delimited.detect_delimiter("x.csv", b"a,b,c\nd,e,f\ng,h\ni,j\n") == ","
 
 
-def test_large_files_are_split(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(delimited, "SPLIT_BYTES", 1000)
-    plain, quoted = tmp_path / "plain.csv", tmp_path / "quoted.csv"
-    plain.write_text("title\nk,v\n" + "".join(f'{k},"x ""{k}"" y"\n' for k in range(60_000)))
-    quoted.write_text("k,v\n" + "".join(f'{k},"x\n{k}"\n' for k in range(2_000)))
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
-    try:
-        t = delimited.read(spark, delimited.scan(str(plain))[0])
+@pytest.fixture
+def small_splits(spark, monkeypatch):
+    monkeypatch.setattr(delimited, "SPLIT_BYTES", 10)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    yield lambda size: spark.conf.set(key, size)
+    spark.conf.set(key, before)
+
+
+def test_large_files_are_split(spark, tmp_path, small_splits):
+    path = tmp_path / "plain.csv"
+    path.write_text("title\nk,v\n" + "".join(f'{k},"x ""{k}"" y"\n' for k in range(60_000)))
+    small_splits("100k")
+    t = delimited.read(spark, delimited.scan(str(path))[0])
+    rows = t.frame.orderBy("__r").collect()
+    assert t.frame.rdd.getNumPartitions() > 3 and [(r.k, r.v) for r in rows] == [(str(k), f'x "{k}" y') for k in range(60_000)]
+
+
+@pytest.mark.parametrize("size", ["1k", "3k", "50k"])
+@pytest.mark.parametrize("delimiter, end", [(",", "\n"), ("|", "\r\n")])
+def test_records_over_line_ends_are_read_in_splits(spark, tmp_path, small_splits, size, delimiter, end):
+    """Quotes that open, close, stand inside fields or never close; records over many splits; equal to csv.reader's."""
+    rng = random.Random(size + delimiter)
+    fields = ["x", "", '5" pipe', '"a"', '"a' + delimiter + 'b"', '"line' + end + 'two ""q""' + end + '"', '"' + end * 3 + '"', '"tail"more"x', 'é"', '"' + (("y" * 37 + "\n") * 200) + '"', '" ""' + end + '"" "', "lone\rturn"]
+    lines = [delimiter.join(rng.choices(fields, weights=[9, 3, 1, 3, 2, 2, 1, 1, 1, 0.3, 1, 0.2], k=rng.randint(1, 4))) for _ in range(700)]
+    for name, tail in (("closed.csv", ""), ("open.csv", 'z' + delimiter + '"never' + end + "closed" + end + "x")):
+        path = tmp_path / name
+        path.write_bytes(("k" + delimiter + "v" + delimiter + "w" + end + end.join(lines) + end + tail).encode())
+        want = [r for r in csv.reader(open(path, newline="", encoding="utf-8"), delimiter=delimiter) if r][1:]
+        small_splits(size)
+        t = delimited.read(spark, delimited.scan(str(path), delimiter=delimiter, header_row=1)[0])
+        assert len(t.headers) == 3 and t.frame.rdd.getNumPartitions() > 3
         rows = t.frame.orderBy("__r").collect()
-        assert t.frame.rdd.getNumPartitions() > 3 and [(r.k, r.v) for r in rows] == [(str(k), f'x "{k}" y') for k in range(60_000)]
-        t = delimited.read(spark, delimited.scan(str(quoted))[0])
-        assert [(r.k, r.v) for r in t.frame.orderBy("__r").collect()] == [(str(k), f"x\n{k}") for k in range(2_000)]
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert [tuple(r)[:3] for r in rows] == [tuple((r + [None] * 3)[:3]) for r in want]
+
+
+def test_estimate_of_rows(spark, tmp_path, monkeypatch):
+    """Rows whose length changes half-way, some over line ends, on a local path and a stored one."""
+    path = tmp_path / "big.csv"
+    with open(path, "w") as f:
+        f.write("k,v\n")
+        for k in range(90_000):
+            f.write(f'{k},"{"x" * 20}"\n' if k < 60_000 else f'{k},"{"long text " * 9}\nand ""more"""\n')
+    monkeypatch.setattr(delimited, "EXACT_COUNT_BYTES", 1000)
+    for where in (str(path), f"file:{path}"):
+        rows, error = delimited.estimate_rows(where, ",", 1)
+        assert abs(rows - 90_000) < 1_800 and error < 9_000
+        assert abs(delimited.scan(where)[0].estimated_rows - 90_000) < 1_800
 
 
 def _sum(spark, values, kind, **more):

@@ -16,16 +16,45 @@ def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _placed(text: Column) -> Column:
+    """A number's text (digits, point, perhaps an exponent) without exponent: its digits moved to their places."""
+    exponent = F.when(F.contains(text, F.lit("E")), F.substring_index(text, "E", -1).cast("int")).otherwise(0)
+    mantissa = F.ltrim(F.substring_index(text, "E", 1), F.lit("-"))
+    parts = F.struct(
+        F.when(F.startswith(text, F.lit("-")), "-").otherwise("").alias("sign"),
+        F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "(?<=.)0+$", "").alias("digits"),
+        (F.char_length(F.substring_index(mantissa, ".", 1)) + exponent).alias("point"),
+    )
+    return _let(
+        parts,
+        lambda x: F.concat(
+            x.sign,
+            F.when(x.point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -x.point), x.digits))
+            .when(x.point >= F.char_length(x.digits), F.rpad(x.digits, x.point, "0"))
+            .otherwise(F.concat(F.substr(x.digits, F.lit(1), x.point), F.lit("."), F.substr(x.digits, x.point + 1))),
+        ),
+    )
+
+
 def double_text(c: Column) -> Column:
-    """Plain digits, without exponent or trailing point."""
+    """The shortest digits that give the double back, without exponent or trailing point. Java 17 now and then writes more digits than are needed."""
     text = c.cast("string")
-    small = F.regexp_replace(F.regexp_replace(text.try_cast(T.DecimalType(38, 20)).cast("string"), "0+$", ""), r"\.$", "")
-    large = text.try_cast(T.DecimalType(38, 0)).cast("string")
+
+    def shortest(x: Column) -> Column:
+        shorter = [F.regexp_replace(F.format_string(f"%.{n}e", x), r"e\+?", "E") for n in (14, 15, 16)]
+        return F.coalesce(*[F.when(t.cast("double") == x, t) for t in shorter], x.cast("string"))
+
     return (
         F.when(F.isnan(c), "NaN")
         .when(F.abs(c) == float("inf"), F.when(c > 0, "inf").otherwise("-inf"))
-        .when(~F.contains(text, F.lit("E")), F.regexp_replace(text, r"\.0$", ""))
-        .otherwise(F.coalesce(F.when(F.abs(c) >= 1e15, large), small, text))
+        .when(F.char_length(text) >= 17, _let(_let(c, shortest), _placed))
+        .when(F.contains(text, F.lit("E")), _let(text, _placed))
+        .otherwise(F.regexp_replace(text, r"\.0$", ""))
     )
 
 
@@ -66,9 +95,3 @@ def number_of(c: Column) -> Column:
     """Thousands commas dropped; no trim."""
     text = F.replace(c, F.lit(","), F.lit(""))
     return F.when(F.regexp_like(text, F.lit(NUMBER)), text.try_cast(T.DoubleType()))
-
-
-def similarity(a: Column, b: Column) -> Column:
-    """1 - Levenshtein distance over the longer length; 1 for two empty texts."""
-    longest = F.greatest(F.char_length(a), F.char_length(b))
-    return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)

@@ -26,7 +26,7 @@ def from_df(df: DataFrame, name: str, sheet: str = "CSV", *, order: str | None =
     """A source of any DataFrame. order: a column of unique values that gives the rows' order (default: as they are read)."""
     columns = columns or [c for c in df.columns if not c.startswith("__")]
     ordinal = F.col(order) if order else F.monotonically_increasing_id()
-    return SourceTable(name, sheet, tuple(columns), kind="DataFrame", frame=df.select(*[F.col(f"`{c}`") for c in columns], ordinal.alias(ROW)))
+    return SourceTable(name, sheet, tuple(columns), kind="DataFrame", frame=df.select(*[F.col(f"`{c}`") for c in columns], ordinal.alias(ROW)), stable=order is not None)
 
 
 def _common_type(kinds: list[T.DataType]) -> T.DataType:

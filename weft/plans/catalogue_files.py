@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft import settings
-from weft.functions.text import integer_of, number_of
+from weft.functions.text import double_text, integer_of, number_of
 from weft.model import SOURCE_FILE, MergeOptions, SourceTable, load_scheme, save_scheme
 from weft.operators import profile
 from weft.operators.merge import by_workbook, from_df, merge, preview
 from weft.plans.catalogue import _BOTH, _customer, _events, _orders, _supplier, query, table
 from weft.plans.headers import combine_header_rows, common_keys, normalize_headers, output_plan, recommend_header, similar_pairs, suggest_mappings
-from weft.sources import catalog, delimited, discovery, workbook
+from weft.sources import catalog, delimited, discovery, stores, workbook
 
 
 def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -118,6 +118,30 @@ def text_of_doubles(spark, sf_dir):
     return merge([from_df(d, "l.csv").with_mapping("price", transform="Trim").with_mapping("quantity", transform="Trim")], MergeOptions())
 
 
+_DIGITS = """SELECT o_orderkey, CASE WHEN point <= 0 THEN '0.' || repeat('0', -point) || d WHEN point >= length(d) THEN rpad(d, CAST(point AS INT), '0') ELSE d[1:point] || '.' || d[point + 1:] END AS v
+FROM (SELECT o_orderkey, rtrim(w || f, '0') AS d, length(w) + e AS point FROM (SELECT o_orderkey, split_part(m, '.', 1) AS w, split_part(m, '.', 2) AS f, CAST(coalesce(nullif(split_part(x, 'e', 2), ''), '0') AS INT) AS e
+FROM (SELECT o_orderkey, x, split_part(x, 'e', 1) AS m FROM (SELECT o_orderkey, CAST(CAST((o_orderkey * 7919 + 1) || 'e' || (o_orderkey % 611 - 305 - length(CAST(o_orderkey * 7919 + 1 AS VARCHAR))) AS DOUBLE) AS VARCHAR) AS x FROM orders))))"""
+
+
+def _wide(spark, sf_dir) -> SourceTable:
+    """Doubles from 1e-306 to 1e305."""
+    digits = (F.col("o_orderkey") * 7919 + 1).cast("string")
+    number = F.concat(digits, F.lit("e"), (F.col("o_orderkey") % 611 - 305 - F.char_length(digits)).cast("string")).cast("double")
+    return from_df(table(spark, sf_dir, "orders").select("o_orderkey", number.alias("v")), "o.csv", order="o_orderkey")
+
+
+@query(_DIGITS)
+def text_of_wide_doubles(spark, sf_dir):
+    return merge([_wide(spark, sf_dir).with_mapping("v", transform="Trim")], MergeOptions())
+
+
+@query(f"SELECT v, count(DISTINCT o_orderkey) AS n FROM ({_DIGITS}) GROUP BY v")
+def consolidate_by_wide_doubles(spark, sf_dir):
+    one = _wide(spark, sf_dir).with_mapping("o_orderkey", aggregate="UniqueJoin")
+    out = merge([one], MergeOptions("Consolidate", key_columns=("v",), text_join_separator=","))
+    return out.select(double_text(F.col("v")).alias("v"), F.size(F.split("o_orderkey", ",")).cast("long").alias("n"))
+
+
 _TIME = "CASE WHEN strftime({0}, '%H:%M:%S') = '00:00:00' THEN strftime({0}, '%Y-%m-%d') ELSE strftime({0}, '%Y-%m-%d %H:%M:%S') END"
 
 
@@ -189,11 +213,22 @@ def plan_headers(spark, sf_dir):
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer")
 def csv_roundtrip(spark, sf_dir):
-    path = _csv(table(spark, sf_dir, "customer"), f"{tempfile.mkdtemp()}/customer.csv", sep=";")
-    tables, _ = discovery.scan([path])
+    path = stores.shared(spark, "customer")
+    table(spark, sf_dir, "customer").write.csv(path, sep=";", header=True, escape='"')
+    tables, _ = discovery.scan_stored(spark, path)
     return merge([discovery.load(spark, t) for t in tables], MergeOptions())
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(replace(text, chr(13), ''), '') AS text, source FROM documents")
+def csv_quoted_lines(spark, sf_dir):
+    """Whole texts with line ends in quoted fields; files of more than a megabyte are read in splits."""
+    path = stores.shared(spark, "documents")
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\r"), F.lit("")).alias("text"), "source")
+    texts.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    tables, _ = discovery.scan_stored(spark, path)
+    return merge([delimited.read(spark, t, split_bytes=1 << 20) for t in tables], MergeOptions())
+
+
 @query("SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part")
 def xlsx_roundtrip(spark, sf_dir):
     path = f"{tempfile.mkdtemp()}/part.xlsx"

@@ -3,22 +3,29 @@
 from __future__ import annotations
 
 import csv
+import functools
 import io
 import itertools
-import os
+import re
 from collections import Counter
+from collections.abc import Iterator, Sequence
+from dataclasses import replace
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.model import SourceTable
 from weft.operators.merge import ROW
 from weft.plans.headers import combine_header_rows, recommend_header
+from weft.sources import stores
 
 SAMPLE_BYTES, SAMPLE_RECORDS, HEADER_RECORDS, QUALITY_RECORDS = 256 * 1024, 30, 24, 50
 #: A smaller file is one task anyway.
 SPLIT_BYTES = 32 * 1024 * 1024
-EXACT_COUNT_BYTES, ESTIMATE_RECORDS = 64 * 1024 * 1024, 10_000
+#: Rows of larger files are estimated by the records in so many ranges of so many bytes, spread over the whole file.
+EXACT_COUNT_BYTES, RANGES, RANGE_BYTES = 64 * 1024 * 1024, 64, 64 * 1024
 DELIMITERS = (",", "\t", ";", "|")
 
 
@@ -41,10 +48,16 @@ def decode(field: bytes) -> tuple[str, bool]:
 
 
 def head(path: str, size: int = SAMPLE_BYTES) -> bytes:
-    with open(path, "rb") as f:
+    with stores.opened(path) as f:
         return f.read(size)
 
 
+def _reader(path: str, delimiter: str) -> Iterator[list[str]]:
+    """Records of a file, bytes as Latin-1."""
+    with stores.opened(path) as f:
+        yield from csv.reader(io.TextIOWrapper(f, encoding="latin-1", newline=""), delimiter=delimiter)
+
+
 def records(data: bytes, delimiter: str, limit: int) -> list[list[bytes]]:
     out = []
     for row in csv.reader(io.StringIO(data.decode("latin-1"), newline=""), delimiter=delimiter):
@@ -82,8 +95,7 @@ def scan(path: str, *, delimiter: str | None = None, header_row: int | None = No
     header_row, header_rows = max(1, header_row or suggested), min(3, max(1, header_rows))
     last = header_row + header_rows - 1
     if last > len(rows):  # a header further down than the sample
-        with open(path, newline="", encoding="latin-1") as f:
-            rows = [[decode(c.encode("latin-1"))[0] for c in r] for r in itertools.islice((r for r in csv.reader(f, delimiter=delimiter) if r), last)]
+        rows = [[decode(c.encode("latin-1"))[0] for c in r] for r in itertools.islice(filter(None, _reader(path, delimiter)), last)]
     if len(rows) < last:
         raise ScanError(f"{path}: too few rows for its header")
     broken = any(decode(c)[1] for r in records(data, delimiter, QUALITY_RECORDS) for c in r)
@@ -91,78 +103,201 @@ def scan(path: str, *, delimiter: str | None = None, header_row: int | None = No
     return (
         SourceTable(
             path, "CSV", tuple(combine_header_rows(rows[header_row - 1 : last])), kind={"Csv": {"delimiter": ord(delimiter)}}, header_row=header_row,
-            header_rows=header_rows, suggested_header_row=suggested, estimated_rows=estimate_rows(path, delimiter, last),
+            header_rows=header_rows, suggested_header_row=suggested, estimated_rows=estimate_rows(path, delimiter, last)[0],
         ),
         warnings,
     )
 
 
-def estimate_rows(path: str, delimiter: str, skipped: int) -> int:
-    """Exact for small files; else in proportion to the bytes of the first records."""
-    size = os.path.getsize(path)
-    with open(path, newline="", encoding="latin-1") as f:
-        reader = csv.reader(f, delimiter=delimiter)
-        n = read = 0
-        for row in reader:
-            if not row:
-                continue
-            n += 1
-            read += sum(map(len, row)) + len(row)
-            if size > EXACT_COUNT_BYTES and n >= ESTIMATE_RECORDS + skipped:
-                return int((n - skipped) * size / max(1, read))
-    return max(0, n - skipped)
-
-
-def _decoded(c: Column) -> Column:
-    raw = F.encode(c, "ISO-8859-1")
+def estimate_rows(path: str, delimiter: str, skipped: int) -> tuple[int, float]:
+    """(rows, standard error): exact for small files; else by the records a byte in ranges over the whole file, each with its own start state."""
+    size = stores.size(path)
+    if size <= EXACT_COUNT_BYTES:
+        return max(0, sum(1 for r in _reader(path, delimiter) if r) - skipped), 0.0
+    width = Counter(len(r) for r in records(head(path), delimiter, SAMPLE_RECORDS)).most_common(1)[0][0]
+    counted = []
+    with stores.opened(path) as f:
+        for k in range(RANGES):
+            start = max(0, size - RANGE_BYTES) * k // (RANGES - 1)
+            f.seek(start)
+            lines = f.read(RANGE_BYTES).split(b"\n")
+            counted.append(_records_in(lines[:-1] if start == 0 else lines[1:-1], delimiter, width, known=start == 0))
+    n, read = map(sum, zip(*counted))
+    rate = n / max(1, read)
+    spread = sum((r - rate * b) ** 2 for r, b in counted) / (RANGES * (RANGES - 1))
+    return max(0, round(size * rate) - skipped), size * spread**0.5 / max(1, read / RANGES)
+
+
+def _records_in(lines: Sequence[bytes], delimiter: str, width: int, known: bool) -> tuple[int, int]:
+    """(records, bytes) of whole lines from the middle of a file: whether they begin inside quotes is judged by how many records have the usual width."""
+    best = (-1, 0, 0)
+    for state in (0,) if known else (0, 1):
+        whole, held, usual, n, read, inside = [], [], 0, 0, 0, state == 1
+        for line in lines:
+            if b'"' in line:
+                state = 0 if _closing(delimiter)[state].fullmatch(line) else 1
+            held.append(line)
+            if state == 0:
+                if not inside:  # the first record of this state began before the range
+                    whole.append(b"\n".join(held))
+                    read += sum(map(len, held)) + len(held)
+                inside, held = False, []
+        for row in records(b"\n".join(whole), delimiter, 1 << 60):
+            n, usual = n + 1, usual + (len(row) == width)
+        best = max(best, (usual, n, read), key=lambda x: x[0])
+    return best[1:]
+
+
+def _decoded(raw: Column) -> Column:
+    """Text of a field's bytes."""
     bare = F.when(F.hex(F.substring(raw, 1, 3)) == "EFBBBF", F.substring(raw, 4, 2**31 - 1)).otherwise(raw)
     return F.when(F.is_valid_utf8(bare.cast("string")), bare.cast("string")).otherwise(F.decode(bare, "GBK"))
 
 
-def has_quoted_line_ends(spark: SparkSession, path: str) -> bool:
-    """Whether some line has an odd number of quotes, so that a field may go on in the next one. Read by Spark in splits."""
-    lines = spark.read.option("lineSep", "\n").text(path)
-    return not lines.filter((F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).isEmpty()
-
-
-def read(spark: SparkSession, table: SourceTable, *, multiline: bool | None = None) -> SourceTable:
-    """The table with its rows: text only, ragged rows filled up or cut. A file is read in splits unless it is small or holds quoted line ends
-    (multiline, where the caller knows)."""
-    if multiline is None:
-        multiline = os.path.getsize(table.path) <= SPLIT_BYTES if os.path.exists(table.path) else False
-        multiline = multiline or has_quoted_line_ends(spark, table.path)
+# Reading in splits. A line is a function from the state at its start (0: a record begins, 1: inside quotes) to that at its end, and so is a split of many lines.
+
+
+@functools.cache
+def _closing(delimiter: str) -> tuple[re.Pattern, re.Pattern]:
+    """Of lines (bytes) that end outside quotes: those that begin a record, and those that begin inside quotes."""
+    ends = re.escape(delimiter) + "\r"
+    field = rf'(?:"(?:[^"]++|"")*+"[^{ends}]*+|[^"{ends}][^{ends}]*+|)'
+    more = rf"(?:[{ends}]{field})*+"
+    return re.compile((field + more).encode("latin-1")), re.compile(rf'(?:[^"]++|"")*+"[^{ends}]*+{more}'.encode("latin-1"))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("lineSep", "\n").text(path)
+
+
+def _split_states(spark: SparkSession, path: str, delimiter: str) -> tuple[list[int], list[int], bool]:
+    """For each split the state at its start (and at last the one at the file's end) and the split in which the record open there began; and whether any record goes over a line's end.
+
+    Every split is read for both states at once; one small row a split comes to the driver, which puts the functions together in order.
+    """
+    schema = pa.schema([("split", pa.int32()), *[(f"{c}{k}", pa.int32()) for k in (0, 1) for c in ("end", "wraps", "closes")]])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, wraps, closes = [0, 1], [0, 1], [1, 0]
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                for k in (0, 1):
+                    state[k] = 0 if _closing(delimiter)[state[k]].fullmatch(line) else 1
+                    wraps[k] |= state[k]
+                    closes[k] |= 1 - state[k]
+        found = {"split": TaskContext.get().partitionId()} | {f"{c}{k}": x[k] for k in (0, 1) for c, x in (("end", state), ("wraps", wraps), ("closes", closes))}
+        yield pa.record_batch([pa.array([found[f.name]], f.type) for f in schema], schema=schema)
+
+    quoted = _lines(spark, path).filter(F.contains("value", F.lit('"'))).select(F.col("value").cast("binary"))  # other lines change no state
+    told = sorted(quoted.mapInArrow(task, "split int, end0 int, wraps0 int, closes0 int, end1 int, wraps1 int, closes1 int").collect())  # a row a split
+    state, begun, starts, opened, wrapped = 0, 0, [], [], False
+    for r in told:
+        starts.append(state)
+        opened.append(begun)
+        wrapped = wrapped or bool(r[f"wraps{state}"])
+        if r[f"closes{state}"]:
+            begun = r["split"]
+        state = r[f"end{state}"]
+    return [*starts, state], opened, wrapped
+
+
+def _split_records(spark: SparkSession, path: str, delimiter: str, width: int, starts: list[int], opened: list[int]) -> DataFrame:
+    """(__r, c0, c1, ..) with fields as bytes: records that lie in one split from there; the others put together from the pieces at the splits' ends."""
+    lines = _lines(spark, path).select(F.col("value").cast("binary"))
+    fields = [(ROW, pa.int64()), *[(f"c{k}", pa.binary()) for k in range(width)]]
+    columns = ", ".join([f"{ROW} long", *[f"c{k} binary" for k in range(width)]])
+
+    def table(rows: list[list[str]], places: Sequence[int]) -> pa.RecordBatch:
+        cells = [pa.array([r[k].encode("latin-1") if k < len(r) else None for r in rows], pa.binary()) for k in range(width)]
+        return pa.record_batch([pa.array(places, pa.int64()), *cells], schema=pa.schema(fields))
+
+    def parsed(text: bytes) -> list[list[str]]:
+        return [r for r in csv.reader(io.StringIO(text.decode("latin-1"), newline=""), delimiter=delimiter) if r]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(1 << 30)
+        split = TaskContext.get().partitionId()
+        state, skipping, held, n = starts[split], starts[split] == 1, [], split << 33
+        for batch in batches:
+            ready = []
+            for line in batch.column(0).to_pylist():
+                if b'"' in line:
+                    state = 0 if _closing(delimiter)[state].fullmatch(line) else 1
+                if not skipping:
+                    held.append(line)
+                if state == 0:
+                    ready += held
+                    held.clear()
+                    skipping = False
+            rows = parsed(b"\n".join(ready))
+            yield table(rows, range(n, n + len(rows)))
+            n += len(rows)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = TaskContext.get().partitionId()
+        state, ends_open = starts[split], starts[split + 1] == 1
+        reading = state == 1
+        owner, held, out = opened[split] if reading else split, [], []
+        for batch in batches if reading or ends_open else ():
+            for line in batch.column(0).to_pylist():
+                if b'"' in line:
+                    state = 0 if _closing(delimiter)[state].fullmatch(line) else 1
+                held.append(line)
+                if state == 0:
+                    if reading:
+                        out.append((owner, b"\n".join(held)))
+                    held, reading, owner = [], False, split
+            if not reading and not ends_open:
+                break
+        if held:
+            out.append((owner, b"\n".join(held)))
+        yield pa.record_batch([pa.array([o for o, _ in out], pa.int32()), pa.array([split] * len(out), pa.int32()), pa.array([t for _, t in out], pa.binary())], names=["owner", "split", "text"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(1 << 30)
+        for batch in batches:
+            for owner, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = parsed(b"\n".join(t["text"] for t in texts))
+                last = (owner + 1 << 33) - 1  # after the split's own records
+                yield table(rows, range(last + 1 - len(rows), last + 1))
+
+    over = lines.mapInArrow(pieces, "owner int, split int, text binary").groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("split", "text"))).alias("texts"))  # a record a group
+    return lines.mapInArrow(whole, columns).unionByName(over.mapInArrow(joined, columns))
+
+
+def read(spark: SparkSession, table: SourceTable, *, split_bytes: int | None = None) -> SourceTable:
+    """The table with its rows: text only, ragged rows filled up or cut. Larger files are read in splits, whatever their fields hold; of a quote that never closes the file's last line end is lost."""
+    width, delimiter = len(table.headers), chr(table.kind["Csv"]["delimiter"])
+    small = stores.size(table.path) <= (split_bytes or SPLIT_BYTES)
+    starts, opened, wrapped = ([], [], False) if small else _split_states(spark, table.path, delimiter)
+    skipped = table.header_row + table.header_rows - 1
+    if wrapped:
+        raw = _split_records(spark, table.path, delimiter, width, starts, opened)
+        return replace(table, frame=raw.filter(F.col(ROW) >= skipped).select(*[_decoded(F.col(f"c{k}")).alias(h) for k, h in enumerate(table.headers)], ROW), stable=True)
     legacy = {"spark.sql.legacy.javaCharsets": "true", "spark.sql.legacy.codingErrorAction": "true"}
     before = {k: spark.conf.get(k, None) for k in legacy}
     for k, v in legacy.items():
         spark.conf.set(k, v)
     try:
-        width = len(table.headers)
         schema = ", ".join(f"c{k} string" for k in range(width))
-        raw = spark.read.csv(
-            table.path, schema=schema, sep=chr(table.kind["Csv"]["delimiter"]), encoding="ISO-8859-1", header=False, quote='"', escape='"', multiLine=multiline, inferSchema=False, mode="PERMISSIVE"
-        )
-        frame = raw.withColumn(ROW, F.monotonically_increasing_id()).filter(F.col(ROW) >= table.header_row + table.header_rows - 1)
-        frame = frame.select(*[_decoded(F.col(f"c{k}")).alias(h) for k, h in enumerate(table.headers)], ROW)
+        raw = spark.read.csv(table.path, schema=schema, sep=delimiter, encoding="ISO-8859-1", header=False, quote='"', escape='"', multiLine=small, inferSchema=False, mode="PERMISSIVE")
+        frame = raw.withColumn(ROW, F.monotonically_increasing_id()).filter(F.col(ROW) >= skipped)
+        frame = frame.select(*[_decoded(F.encode(F.col(f"c{k}"), "ISO-8859-1")).alias(h) for k, h in enumerate(table.headers)], ROW)
         frame.schema  # noqa: B018  resolved while the settings hold
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    from dataclasses import replace
-
-    return replace(table, frame=frame)
+    return replace(table, frame=frame, stable=True)
 
 
 def check_widths(table: SourceTable, limit: int = 10_000) -> str | None:
     """A message if the first records do not all have one width."""
-    with open(table.path, newline="", encoding="latin-1") as f:
-        width = None
-        for n, row in enumerate(csv.reader(f, delimiter=chr(table.kind["Csv"]["delimiter"]))):
-            if n >= limit:
-                break
-            if row and width is not None and len(row) != width:
-                return f"record {n + 1} has {len(row)} fields instead of {width}"
-            if row:
-                width = len(row)
+    width = None
+    for n, row in enumerate(itertools.islice(_reader(table.path, chr(table.kind["Csv"]["delimiter"])), limit)):
+        if row and width is not None and len(row) != width:
+            return f"record {n + 1} has {len(row)} fields instead of {width}"
+        if row:
+            width = len(row)
     return None
 
 

@@ -58,12 +58,13 @@ def scan(paths: list[str]) -> tuple[list[SourceTable], list[str]]:
     return sorted(tables, key=lambda t: (t.path.lower(), t.sheet_name.lower())), sorted(warnings)
 
 
-def scan_stored(spark: SparkSession, folder: str, most_bytes: int = 1 << 30) -> tuple[list[SourceTable], list[str]]:
-    """Like scan, of all files below a folder of any store that Spark reads; every file is scanned by a task. A larger file is a warning."""
+def scan_stored(spark: SparkSession, folder: str) -> tuple[list[SourceTable], list[str]]:
+    """Like scan, of all files below a folder of any store that Spark reads. Tasks scan workbooks and small delimited files, whose bytes they need whole;
+    of larger delimited files, whatever their size, only a sample is fetched."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     chosen = files.filter(~name.startswith("~$") & F.lower(F.element_at(F.split(name, r"\."), -1)).isin(*EXTENSIONS) & F.contains(name, F.lit(".")))
-    small = chosen.filter(F.col("length") <= most_bytes)
+    sampled = F.lower(name).rlike(r"\.(csv|tsv)$") & (F.col("length") > delimited.EXACT_COUNT_BYTES)
 
     def task(batches):
         import pyarrow as pa
@@ -81,13 +82,14 @@ def scan_stored(spark: SparkSession, folder: str, most_bytes: int = 1 << 30) ->
                 job = save_scheme("", [replace(t, path=path) for t in tables], MergeOptions())
                 yield pa.record_batch([pa.array([job]), pa.array([[w.replace(local, path) for w in warnings]], pa.list_(pa.string()))], names=["job", "warnings"])
 
-    rows = small.select("path", "content").repartition(max(1, min(chosen.count(), 1000))).mapInArrow(task, "job string, warnings array<string>").collect()  # a line a file
-    large = [f"{r.path}: larger than {most_bytes} bytes" for r in chosen.filter(F.col("length") > most_bytes).select("path").collect()]
-    tables = [t for r in rows for t in load_scheme(r.job)[1]]
-    warnings = sorted([*large, *[w for r in rows for w in r.warnings]])
+    rows = chosen.filter(~sampled).select("path", "content").mapInArrow(task, "job string, warnings array<string>").collect()  # a line a file
+    tables, warnings = [t for r in rows for t in load_scheme(r.job)[1]], [w for r in rows for w in r.warnings]
+    if large := [r.path for r in chosen.filter(sampled).select("path").collect()]:
+        more, said = scan(large)
+        tables, warnings = tables + more, warnings + said
     if not tables:
         raise ValueError("; ".join(warnings) or "no supported file")
-    return sorted(tables, key=lambda t: (t.path.lower(), t.sheet_name.lower())), warnings
+    return sorted(tables, key=lambda t: (t.path.lower(), t.sheet_name.lower())), sorted(warnings)
 
 
 def load(spark: SparkSession, table: SourceTable) -> SourceTable:

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from weft.model import SourceTable
 from weft.operators.merge import ROW
 from weft.plans.headers import combine_header_rows, recommend_header
+from weft.sources import stores
 from weft.sources.binary_workbooks import BinaryWorkbook, LegacyWorkbook
 from weft.sources.cells import date_of, rectangle, shows_date
 from weft.sources.opendocument import OpenDocument
@@ -115,9 +116,12 @@ class Workbook:
 READERS = {"ods": OpenDocument, "xlsb": BinaryWorkbook, "xls": LegacyWorkbook}
 
 
-def opened(path: str, spark: SparkSession | None = None) -> Workbook | OpenDocument | BinaryWorkbook | LegacyWorkbook:
-    """spark: to fetch a file of another store than the local disk."""
-    source = io.BytesIO(spark.read.format("binaryFile").load(path).first().content) if spark and "://" in path or path.startswith("file:") and spark else path
+def opened(path: str) -> Workbook | OpenDocument | BinaryWorkbook | LegacyWorkbook:
+    if not stores.is_stored(path):
+        source = path
+    else:
+        with stores.opened(path) as f:
+            source = io.BytesIO(f.read())
     return READERS.get(path.rpartition(".")[2].lower(), Workbook)(source)
 
 
@@ -165,7 +169,7 @@ def _kind(values: list) -> T.DataType:
 
 def read(spark: SparkSession, table: SourceTable) -> SourceTable:
     """The table with its rows. A column of one cell type keeps it; a mixed one becomes text. A sheet has at most 1,048,576 rows."""
-    rows = opened(table.path, spark).sheet(table.sheet_name)[table.header_row + table.header_rows - 1 :]
+    rows = opened(table.path).sheet(table.sheet_name)[table.header_row + table.header_rows - 1 :]
     width = len(table.headers)
     rows = [(r + [None] * width)[:width] for r in rows]
     kinds = [_kind([r[k] for r in rows]) for k in range(width)]
