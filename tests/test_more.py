@@ -3,6 +3,7 @@
 import csv
 import decimal
 import random
+import re
 import zipfile
 
 import pytest
@@ -178,3 +179,97 @@ def test_run(spark, tmp_path):
     run.wait(2)
     run.cancel()
     assert run.wait(60).state == "cancelled" and not (tmp_path / "b.xlsx").exists()
+
+
+def _fold(values):
+    """Cells added up one by one, by the definition: whole numbers exactly, others as doubles; a whole sum of 1e14 and more is a text."""
+    plain = lambda x: x if isinstance(x, str) else format(decimal.Decimal(repr(x)), "f").removesuffix(".0")
+    whole = lambda x: int(plain(x).strip()) if re.fullmatch(r"[+-]?[0-9]+", plain(x).strip()) else None
+    double = lambda x: float(x.replace(",", "")) if re.fullmatch(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", x.replace(",", "")) else 0.0
+    now = values[0]
+    for v in values[1:]:
+        if whole(now) is not None and whole(v) is not None:
+            total = whole(now) + whole(v)
+            now = float(total) if abs(total) < 1e14 else str(total)
+        else:
+            now = (now if isinstance(now, float) else double(now)) + double(v)
+    return now
+
+
+@pytest.mark.parametrize("bits", [1, 3, 8])
+def test_folds_are_composed_of_blocks(spark, monkeypatch, bits):
+    """Sums and unique texts value by value, with groups over many blocks and a hot key."""
+    monkeypatch.setattr("weft.operators.merge.BLOCK_BITS", bits)
+    rng = random.Random(bits)
+    kinds = [lambda: str(rng.randint(-50, 50)), lambda: f"{rng.uniform(-9, 9):.2f}", lambda: f" {rng.randint(0, 9)}", lambda: "", lambda: "x|y", lambda: "1,250", lambda: str(10**14 + rng.randint(0, 99)), lambda: "1e3", lambda: "0.5", lambda: "a||b"]
+    groups = {"whole": (1, 0, 0, 0, 0, 0, 0, 0, 0, 0), "large": (3, 0, 0, 0, 0, 0, 2, 0, 0, 0), "late": (9, 0, 0, 0, 0, 0, 0, 0, 0, 0), "mixed": (5, 3, 1, 1, 1, 1, 1, 1, 4, 1), "halves": (3, 0, 0, 0, 0, 0, 0, 0, 3, 0), "one": (0, 0, 1, 0, 0, 0, 0, 0, 0, 0), "empty": (0, 0, 0, 1, 0, 0, 0, 0, 0, 0)}
+    values = {k: [f() for f in rng.choices(kinds, w, k=1 if k == "one" else 2 if k == "empty" else 150 if k != "mixed" else 2500)] for k, w in groups.items()}
+    values["late"] += ["0.1", "7", "0.9", "3"]
+    rows = [(k, v) for k, vs in values.items() for v in vs]
+    order = list(range(len(rows)))
+    rng.shuffle(order)  # which rows lie between a group's own
+    queues = {k: iter(vs) for k, vs in values.items()}
+    arrivals = [(i, rows[j][0], next(queues[rows[j][0]])) for i, j in enumerate(order)]
+    first, second = ([(i, k, v, v, v) for i, k, v in arrivals if (i < len(rows) // 2) == half] for half in (True, False))
+    made = []
+    for name, part in (("a.csv", first), ("b.csv", second)):
+        t = from_df(spark.createDataFrame(part, "o long, k string, s string, u string, t string").repartition(7), name, order="o", columns=["k", "s", "u", "t"])
+        made.append(t.with_mapping("s", aggregate="Sum").with_mapping("u", aggregate="UniqueJoin").with_mapping("t", aggregate="TextJoin"))
+    options = MergeOptions("Consolidate", key_columns=("k",), text_join_separator="|")
+    exact = {r.k: r for r in merge(made, options, exact_fold=True, cells=True).collect()}
+    plain = {r.k: r for r in merge(made, options).collect()}
+    for k, vs in values.items():
+        want = _fold(vs)
+        assert (exact[k].s.number, exact[k].s.text) == ((want, None) if isinstance(want, float) else (None, want)), k
+        parts = vs[0]
+        for v in vs[1:]:
+            had = [x for x in parts.split("|") if x]
+            parts = "|".join([*had, v] if v and v not in had else had)
+        assert exact[k].u == parts and plain[k].u == (vs[0] if len(vs) == 1 else "|".join(dict.fromkeys(v for v in vs if v)))
+        assert exact[k].t == plain[k].t == (vs[0] if len(vs) == 1 else "|".join(v for v in vs if v))
+        if k in ("whole", "large", "one"):
+            assert plain[k].s == (want if isinstance(want, str) else str(int(want)))
+
+
+def test_sums_are_numbers_in_a_workbook(spark, tmp_path):
+    rows = [(1, "a", "10", 2**60, 1.5), (2, "a", "20", 2**60, 2.5), (3, "b", "70000000000000", 1, 7e13), (4, "b", "70000000000000", 2, 7e13), (5, "c", "007", 2**53 + 1, 5e15), (6, "d", "x", 2**60, None), (7, "d", "1.5", 0, None)]
+    t = from_df(spark.createDataFrame(rows, "o long, k string, t string, n long, x double"), "x.csv", order="o", columns=["k", "t", "n", "x"])
+    for name in ("t", "n", "x"):
+        t = t.with_mapping(name, aggregate="Sum")
+    options = MergeOptions("Consolidate", key_columns=("k",))
+    for k, exact in enumerate((False, True)):
+        path = str(tmp_path / f"{k}.xlsx")
+        workbook.write(merge([t], options, exact_fold=exact, cells=True), path)
+        book = workbook.Workbook(path)
+        assert book.sheet(next(iter(book.paths)))[1:] == [["a", 30, str(2**61), 4], ["b", "140000000000000", 3, "140000000000000"], ["c", "007", str(2**53 + 1), 5 * 10**15], ["d", 1.5, str(2**60), 0]]
+    workbook.write(merge([t], options), str(tmp_path / "plain.xlsx"))
+    book = workbook.Workbook(str(tmp_path / "plain.xlsx"))
+    assert [r[2] for r in book.sheet(next(iter(book.paths)))[1:]] == [str(2**61), 3, str(2**53 + 1), str(2**60)]
+
+
+def test_joins_of_many_tables(spark):
+    """Against a join table by table; more tables than a word has bits."""
+    rng = random.Random(6)
+    tables = [[(o, rng.choice(["", "k1", "k2", "k3", "k4", f"own{n}"]) if n % 3 else "k1", rng.choice([None, "", f"a{n}"]), rng.choice([None, n])) for o in range(3)] for n in range(70)]
+    for many in (1, 2, 5, 70):
+        made = [from_df(spark.createDataFrame(rows, "o int, k string, a string, b int"), f"{n}.csv", order="o", columns=["k", "a", "b"]) for n, rows in enumerate(tables[:many])]
+        for kind in ("Left", "Inner", "Full"):
+            out = None
+            for rows in tables[:many]:
+                here = {}
+                for _, k, a, b in rows:
+                    had = here.setdefault(k, [a, b])
+                    here[k] = [a if not had[0] else had[0], b if had[1] is None else had[1]]
+                if out is None:
+                    out = here
+                    continue
+                out = {k: [x if x not in (None, "") else here.get(k, v)[i] for i, x in enumerate(v)] for k, v in out.items() if kind != "Inner" or k in here} | ({k: v for k, v in here.items() if k not in out} if kind == "Full" else {})
+            got = merge(made, MergeOptions("Join", key_columns=("k",), join_kind=kind)).collect()
+            assert [(r.k or "", r.a or "", r.b) for r in got] == [(k, v[0] or "", v[1]) for k, v in sorted(out.items())]
+
+
+def test_whole_rows_are_deduplicated_by_their_cells(spark):
+    rows = [(1, "x", -0.0, None), (2, "x", 0.0, None), (3, "x", -0.0, ""), (4, "", float("nan"), "y"), (5, None, float("nan"), "y"), (6, "x", 1e-300, "y"), (7, "x", 2e-300, "y"), (8, "x", 1e-300, "y")]
+    t = from_df(spark.createDataFrame(rows, "o int, a string, d double, b string"), "x.csv", order="o", columns=["a", "d", "b"])
+    got = merge([t], MergeOptions(deduplicate=True)).collect()
+    assert sorted(map(str, ((r.a or "", r.d, r.b or "") for r in got))) == sorted(map(str, [("x", -0.0, ""), ("x", 0.0, ""), ("", float("nan"), "y"), ("x", 1e-300, "y"), ("x", 2e-300, "y")]))

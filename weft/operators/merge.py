@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weft.functions import folding
 from weft.functions.text import SEPARATOR, as_text, integer_of, is_empty, number_of, row_key, transformed
 from weft.model import MergeOptions, SourceTable
 from weft.plans.headers import OutputPlan, aggregates_of, header_key, key_places, output_plan, sources_of
 
 MAX_COLUMNS = 16_384
-TABLE, ROW, KEY = "__t", "__r", "__key"
+TABLE, ROW, KEY, BLOCK, N = "__t", "__r", "__key", "__b", "__n"
+#: Places of a block of arrivals (a power of two), and the bound of sums that stay numbers.
+BLOCK_BITS, EXACT = 8, 1e14
 
 
 class MergeError(ValueError):
@@ -88,69 +94,150 @@ def _key(places: list[int], kinds: list[T.DataType]) -> Column:
     return row_key([F.col(f"c{p}") for p in places], [kinds[p] for p in places])
 
 
-def _first(place: int, kind: T.DataType) -> Column:
-    c = F.col(f"c{place}")
-    return F.min_by(F.when(~is_empty(c, kind), c), F.when(~is_empty(c, kind), F.struct(TABLE, ROW)))
+def _ordered(values: Column, *, of: str = "v") -> Column:
+    """The field of collected (table, place, value) structs, in order."""
+    return F.transform(F.array_sort(F.collect_list(values)), lambda x: x[of])
+
 
+@dataclass(frozen=True)
+class _State:
+    """What a block of a group's rows keeps of a column: one expression to make it and one to put the blocks' states together."""
 
-def _ordered(place: int, kind: T.DataType) -> Column:
-    """Non-empty texts of a group in order of arrival."""
-    text = as_text(F.col(f"c{place}"), kind)
-    return F.transform(F.array_sort(F.collect_list(F.when(F.coalesce(text, F.lit("")) != "", F.struct(TABLE, ROW, text.alias("v"))))), lambda x: x.v)
+    name: str
+    made: Column
+    joined: Callable[[Column], Column]
 
 
-def _arrivals(place: int, kind: T.DataType) -> Column:
-    """All values of a group as text, empty ones too, in order of arrival."""
-    text = F.coalesce(as_text(F.col(f"c{place}"), kind), F.lit(""))
-    return F.transform(F.array_sort(F.collect_list(F.struct(TABLE, ROW, text.alias("v")))), lambda x: x.v)
+def _first(place: int, kind: T.DataType) -> _State:
+    """The first non-empty cell, with its place."""
+    c = F.col(f"c{place}")
+    return _State(f"first{place}", F.min(F.when(~is_empty(c, kind), F.struct(TABLE, ROW, c.alias("v")))), F.min)
 
 
-def _pairwise(place: int, kind: T.DataType, step) -> Column:
-    """The group's first value with each later one put to it by step(value so far, next one)."""
-    values = _arrivals(place, kind)
-    return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.get(values, F.lit(0)), step)
+def _in_order(name: str, made: Column) -> _State:
+    """A value a block, later an array of them in order of the blocks."""
+    return _State(name, made, lambda c: _ordered(F.when(c.isNotNull(), F.struct(TABLE, BLOCK, c.alias("v")))))
 
 
-def _plus(a: Column, b: Column) -> Column:
-    """Whole numbers exactly, others (and text, as 0) as doubles."""
-    whole = integer_of(a), integer_of(b)
-    rounded = as_text(F.coalesce(number_of(a), F.lit(0.0)) + F.coalesce(number_of(b), F.lit(0.0)), T.DoubleType())
-    return F.when(whole[0].isNotNull() & whole[1].isNotNull(), (whole[0] + whole[1]).cast("decimal(38,0)").cast("string")).otherwise(rounded)
+def _states(place: int, kind: T.DataType, operation: str, separator: str, exact_fold: bool, cells: bool) -> tuple[list[_State], Column]:
+    """The states of a column, and the result from them. A group of one row keeps its cell, as text."""
+    c = F.col(f"c{place}")
+    text, single = as_text(c, kind), F.col(N) == 1
+    one = _State(f"one{place}", F.first(text), F.first)
+    if operation == "First":
+        return [_first(place, kind)], F.col(f"first{place}.v")
+    full = F.coalesce(text, F.lit("")) != ""
+    if operation == "TextJoin":
+        held = _ordered(F.when(full, F.struct(TABLE, ROW, text.alias("v"))))
+        state = _in_order(f"texts{place}", F.when(F.count_if(full) > 0, F.array_join(held, separator)))
+        return [one, state], F.when(single, F.col(one.name)).otherwise(F.array_join(state.name, separator))
+    if operation == "UniqueJoin" and not exact_fold:
+        state = _in_order(f"texts{place}", F.array_distinct(_ordered(F.when(full, F.struct(TABLE, ROW, text.alias("v"))))))
+        return [one, state], F.when(single, F.col(one.name)).otherwise(F.array_join(F.array_distinct(F.flatten(state.name)), separator))
+    if operation == "UniqueJoin":  # a value that holds the separator counts wherever it stands, another one once
+        value = F.coalesce(text, F.lit(""))
+        held = F.transform(F.array_sort(F.collect_list(F.struct(TABLE, ROW, value.alias("v")))), lambda x: F.struct(x.v.alias("v"), F.when(F.contains(x.v, F.lit(separator)), F.struct(x[TABLE], x[ROW])).alias("at")))
+        state = _in_order(f"texts{place}", F.array_distinct(held))
+        last = _State(f"last{place}", F.max(F.struct(TABLE, ROW, value.alias("v"))), F.max)
+        step, parts = _and_unique(separator)
+        values = F.transform(F.flatten(state.name), lambda x: x.v)
+        folded = F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.get(values, F.lit(0)), step)
+        whole = F.when(F.contains(F.col(f"{last.name}.v"), F.lit(separator)), folded).otherwise(F.array_join(parts(folded), separator))
+        return [one, state, last], F.when(single, F.col(one.name)).otherwise(whole)
+    count = _State(f"count{place}", F.count(c), F.sum)
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)):
+        exact = T.DecimalType(38, kind.scale if isinstance(kind, T.DecimalType) else 0)  # the column's own scale; null beyond 38 digits
+        total = _State(f"sum{place}", F.try_sum(c.cast(exact)).cast(exact), lambda x: F.try_sum(x).cast(exact))
+        value = F.when(single | (F.col(count.name) > 0), F.col(total.name)).otherwise(F.lit(0).cast(exact))
+        return [count, total], _cell(value.cast("double"), as_text(value, exact), (F.abs(value) < EXACT) | (single & (value.cast("double").cast(exact) == value))) if cells else value
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        total = _State(f"sum{place}", F.sum(c.cast("double")), F.sum)
+        value = F.when(single | (F.col(count.name) > 0), F.col(total.name)).otherwise(F.lit(0.0))
+        return [count, total], _cell(value, as_text(value, T.DoubleType()), single | (F.abs(value) < EXACT) | (F.rint(value) != value) | F.isnan(value)) if cells else value
+    whole = integer_of(text)
+    states = [one, _State(f"whole{place}", F.try_sum(whole), lambda x: F.try_sum(x)), _State(f"wholes{place}", F.count(whole), F.sum), _State(f"sum{place}", F.sum(F.coalesce(number_of(text), F.lit(0.0))), F.sum)]
+    all_whole = (F.col(f"wholes{place}") == F.col(N)) & F.col(f"whole{place}").isNotNull()
+    rounded = F.col(f"sum{place}")
+    if cells:
+        value = F.when(all_whole, F.col(f"whole{place}").cast("double")).otherwise(rounded)
+        exact = F.when(single, F.col(one.name)).otherwise(F.col(f"whole{place}").cast("decimal(38,0)").cast("string"))
+        return states, _cell(value, exact, ~single & (~all_whole | (F.abs(value) < EXACT)))
+    return states, F.when(single, F.col(one.name)).when(all_whole, F.col(f"whole{place}").cast("decimal(38,0)").cast("string")).otherwise(as_text(rounded, T.DoubleType()))
+
+
+def _cell(number: Column, text: Column, is_number: Column) -> Column:
+    """A cell that is a number or a text, for the workbook writer."""
+    return F.struct(F.when(is_number, number).alias("number"), F.when(~is_number, text).alias("text"))
 
 
 def _and_unique(separator: str):
-    """The parts so far, cut at the separator, and the next value unless it is one of them."""
+    """The parts so far, cut at the separator, and the next value unless it is one of them; and the cut."""
     parts = lambda a: F.filter(F.split(a, re.escape(separator)) if separator else F.split(a, ""), lambda x: x != "")
-    return lambda a, b: F.array_join(F.when((b == "") | F.array_contains(parts(a), b), parts(a)).otherwise(F.concat(parts(a), F.array(b))), separator)
+    return lambda a, b: F.array_join(F.when((b == "") | F.array_contains(parts(a), b), parts(a)).otherwise(F.concat(parts(a), F.array(b))), separator), parts
 
 
-def _aggregated(place: int, kind: T.DataType, operation: str, separator: str, exact_fold: bool = False) -> Column:
-    c = F.col(f"c{place}")
-    if exact_fold and operation == "UniqueJoin":
-        return _pairwise(place, kind, _and_unique(separator)).alias(f"c{place}")
-    if exact_fold and operation == "Sum" and isinstance(kind, T.StringType):
-        return _pairwise(place, kind, _plus).alias(f"c{place}")
-    first = _first(place, kind)
-    single = F.count("*") == 1
-    if operation == "First":
-        out = first
-    elif operation == "TextJoin":
-        out = F.when(single, F.first(as_text(c, kind))).otherwise(F.array_join(_ordered(place, kind), separator))
-    elif operation == "UniqueJoin":
-        out = F.when(single, F.first(as_text(c, kind))).otherwise(F.array_join(F.array_distinct(_ordered(place, kind)), separator))
-    elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)):
-        exact = T.DecimalType(38, kind.scale if isinstance(kind, T.DecimalType) else 0)  # the column's own scale; null beyond 38 digits
-        wide = c.cast(exact)
-        out = F.when(single, F.first(wide)).when(F.count(c) == 0, F.lit(0).cast(exact)).otherwise(F.try_sum(wide).cast(exact))
-    elif isinstance(kind, (T.DoubleType, T.FloatType)):
-        out = F.when(single, F.first(c.cast("double"))).otherwise(F.coalesce(F.sum(c.cast("double")), F.lit(0.0)))
+def _block(rows: DataFrame) -> Column:
+    """Neighbours in order of arrival, BLOCK_ROWS places at most, where places are whole numbers; else a table is one block."""
+    kind = rows.schema[ROW].dataType
+    return F.shiftright(F.col(ROW).cast("long"), BLOCK_BITS) if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else F.lit(0).cast("long")
+
+
+def _consolidated(rows: DataFrame, kinds: list[T.DataType], operations: list[str], separator: str, exact_fold: bool, cells: bool) -> DataFrame:
+    """A row a key. Operations that need no order take one aggregation. Texts in order are put together block by block first, so that
+    the rows of a hot key come from many tasks."""
+    folds = [p for p, (k, op) in enumerate(zip(kinds, operations)) if exact_fold and op == "Sum" and isinstance(k, T.StringType)]
+    made = {p: _states(p, k, op, separator, exact_fold, cells) for p, (k, op) in enumerate(zip(kinds, operations)) if p not in folds}
+    states = [_State(N, F.count("*"), F.sum), *[s for found, _ in made.values() for s in found]]
+    if any(op in ("TextJoin", "UniqueJoin") for op in operations):
+        blocks = rows.withColumn(BLOCK, _block(rows)).groupBy(KEY, TABLE, BLOCK).agg(*[s.made.alias(s.name) for s in states])
+        grouped = blocks.groupBy(KEY).agg(*[s.joined(F.col(s.name)).alias(s.name) for s in states])
     else:
-        text = as_text(c, kind)
-        whole = integer_of(text)
-        exact = F.sum(whole).cast("string")
-        rounded = as_text(F.sum(F.coalesce(number_of(text), F.lit(0.0))), T.DoubleType())
-        out = F.when(single, F.first(text)).when(F.bool_and(whole.isNotNull()), exact).otherwise(rounded)
-    return out.alias(f"c{place}")
+        grouped = rows.groupBy(KEY).agg(*[s.made.alias(s.name) for s in states])
+    out = grouped.select(KEY, *[value.alias(f"c{p}") for p, (_, value) in made.items()])
+    return out.join(_folded(rows, folds, cells), KEY) if folds else out
+
+
+def _folded(rows: DataFrame, places: list[int], cells: bool) -> DataFrame:
+    """(key, sums): text added value by value in order of arrival, as spreadsheets are added up by hand.
+
+    Whole numbers add exactly, so a block of them is one number while the sum so far is whole; otherwise doubles are rounded step by step. Blocks stream
+    through a task sorted by key and place: it holds a block at a time, never a group.
+    """
+    text = lambda p: F.coalesce(F.col(f"c{p}"), F.lit(""))
+    held = [
+        x
+        for p in places
+        for x in (
+            F.when(F.bool_and(integer_of(text(p)).isNotNull()), F.try_sum(integer_of(text(p))).cast("decimal(38,0)").cast("string")).alias(f"whole{p}"),
+            _ordered(F.struct(TABLE, ROW, text(p).alias("v"))).alias(f"texts{p}"),
+        )
+    ]
+    blocks = rows.withColumn(BLOCK, _block(rows)).groupBy(KEY, TABLE, BLOCK).agg(*held)
+    kind = "struct<number: double, text: string>" if cells else "string"
+    schema = f"{KEY} string, {', '.join(f'c{p} {kind}' for p in places)}"
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(key: str, sums: list) -> pa.RecordBatch:
+            if cells:
+                made = [pa.array([{"number": x, "text": None} if isinstance(x, float) else {"number": None, "text": x}], pa.struct([("number", pa.float64()), ("text", pa.string())])) for x in sums]
+            else:
+                made = [pa.array([folding.text(x)], pa.string()) for x in sums]
+            return pa.record_batch([pa.array([key], pa.string()), *made], names=[KEY, *[f"c{p}" for p in places]])
+
+        now, sums = None, []
+        for batch in batches:
+            columns = batch.columns
+            for k, key in enumerate(columns[0].to_pylist()):
+                if key != now and now is not None:
+                    yield row(now, sums)
+                if key != now:
+                    now, sums = key, [None] * len(places)
+                for i in range(len(places)):
+                    sums[i] = folding.added(sums[i], columns[1 + 2 * i][k].as_py(), columns[2 + 2 * i][k])
+        if now is not None:
+            yield row(now, sums)
+
+    return blocks.repartition(KEY).sortWithinPartitions(KEY, TABLE, BLOCK).drop(TABLE, BLOCK).mapInArrow(task, schema)
 
 
 def _named(df: DataFrame, plan: OutputPlan) -> DataFrame:
@@ -164,12 +251,13 @@ def by_workbook(tables: list[SourceTable]) -> list[SourceTable]:
     return [t for _, t in sorted(enumerate(tables), key=lambda x: (first.get(x[1].path, x[0]) if x[1].kind == "Workbook" else x[0], x[0]))]
 
 
-def merge(tables: list[SourceTable], options: MergeOptions, *, ordered: bool | None = None, exact_fold: bool = False) -> DataFrame:
+def merge(tables: list[SourceTable], options: MergeOptions, *, ordered: bool | None = None, exact_fold: bool = False, cells: bool = False) -> DataFrame:
     """The merged table.
 
     ordered: appended rows in order of arrival, others sorted by key (None: only the others; False: none, which saves a global sort).
     exact_fold: Sum of text and UniqueJoin value by value in order of arrival, as spreadsheets are added up by hand: doubles are rounded at each step, and a
-    value that holds the separator is cut. A group's values must then fit in a task.
+    value that holds the separator is cut.
+    cells: columns of Sum are structs (number, text), one of them null, so that a workbook gets numbers, and texts where a number would lose digits.
     """
     on = [t for t in tables if t.enabled]
     if options.mode not in ("Consolidate", "Join"):
@@ -193,7 +281,7 @@ def merge(tables: list[SourceTable], options: MergeOptions, *, ordered: bool | N
     if options.mode == "Consolidate":
         rows = _filtered(reduce(DataFrame.unionByName, frames), plan, kinds, options).withColumn(KEY, _key(places, kinds))
         operations = aggregates_of(on, plan)
-        grouped = rows.groupBy(KEY).agg(*[_aggregated(p, k, op, options.text_join_separator, exact_fold) for p, (k, op) in enumerate(zip(kinds, operations))])
+        grouped = _consolidated(rows, kinds, operations, options.text_join_separator, exact_fold, cells)
         return _named(grouped if ordered is False else grouped.orderBy(KEY), plan)
     joined = _joined(frames, plan, kinds, places, options.join_kind)
     joined = _filtered(joined, plan, kinds, options)
@@ -201,22 +289,34 @@ def merge(tables: list[SourceTable], options: MergeOptions, *, ordered: bool | N
 
 
 def _deduplicated(rows: DataFrame, places: list[int], kinds: list[T.DataType]) -> DataFrame:
-    """First arrival of each key. A partial minimum before the shuffle, so that a hot key is one row a task."""
+    """First arrival of each key. A partial minimum before the shuffle, so that a hot key is one row a task.
+
+    Rows that are compared whole need no first one: they are grouped by their cells, in hash tables (empty equals empty). Times, whose text is shorter than
+    their value, are the exception.
+    """
     columns = [c for c in rows.columns if c not in (TABLE, ROW)]
+    if len(places) == len(columns) and not any(isinstance(k, (T.TimestampType, T.TimestampNTZType)) for k in kinds):
+        cells = [F.col(c) for c in columns]
+        shown = [F.coalesce(c, F.lit("")) if isinstance(k, T.StringType) else c.cast("string") if isinstance(k, (T.DoubleType, T.FloatType)) else c for c, k in zip(cells, kinds)]
+        missing = [F.bool_and(c.isNull()).alias(f"no{c_}") for c, c_, k in zip(cells, columns, kinds) if isinstance(k, T.StringType)]
+        once = rows.groupBy(*[x.alias(c) for x, c in zip(shown, columns)]).agg(F.lit(True).alias("__one"), *missing)
+        back = [F.when(~F.col(f"no{c}"), F.col(c)) if isinstance(k, T.StringType) else F.col(c).cast(k) for c, k in zip(columns, kinds)]
+        return once.select(F.lit(0).alias(TABLE), F.lit(0).alias(ROW), *[x.alias(c) for x, c in zip(back, columns)])
     kept = rows.withColumn(KEY, _key(places, kinds)).groupBy(KEY).agg(F.min(F.struct(TABLE, ROW, *columns)).alias("m"))
     return kept.select("m.*")
 
 
 def _joined(frames: list[DataFrame], plan: OutputPlan, kinds: list[T.DataType], places: list[int], kind: str) -> DataFrame:
-    columns = [f"c{p}" for p in range(len(plan.headers))]
-    collapsed = [f.withColumn(KEY, _key(places, kinds)).groupBy(KEY).agg(*[_first(p, k).alias(f"c{p}") for p, k in enumerate(kinds)]) for f in frames]
-    out = collapsed[0]
-    for right in collapsed[1:]:
-        renamed = right.select(KEY, *[F.col(c).alias(f"r_{c}") for c in columns])
-        out = out.join(renamed, KEY, kind.lower()).select(
-            KEY, *[F.coalesce(F.when(~is_empty(F.col(c), k), F.col(c)), F.col(f"r_{c}")).alias(c) for c, k in zip(columns, kinds)]
-        )
-    return out
+    """All tables at once: a row a key with, per column, the first non-empty cell by table and row; which tables have the key tells whether it stays."""
+    rows = reduce(DataFrame.unionByName, frames).withColumn(KEY, _key(places, kinds))
+    bits = [F.bit_or(F.element_at(F.array(*[F.lit(1 << max(0, t - k) if k <= t < k + 63 else 0).cast("long") for t in range(len(frames))]), F.col(TABLE) + 1)).alias(f"has{k}") for k in range(0, len(frames), 63)]
+    firsts = [_first(p, k) for p, k in enumerate(kinds)]
+    grouped = rows.groupBy(KEY).agg(*bits, *[s.made.alias(s.name) for s in firsts])
+    if kind == "Inner":
+        grouped = grouped.filter(reduce(Column.__and__, [F.col(f"has{k}") == (1 << min(63, len(frames) - k)) - 1 for k in range(0, len(frames), 63)]))
+    elif kind == "Left":
+        grouped = grouped.filter(F.col("has0").bitwiseAND(F.lit(1)) == 1)
+    return grouped.select(KEY, *[F.col(f"{s.name}.v").alias(f"c{p}") for p, s in enumerate(firsts)])
 
 
 def preview(tables: list[SourceTable], options: MergeOptions, n: int = 30, *, faithful: bool = True) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 import io
 import os
 import re
@@ -15,6 +16,7 @@ from xml.sax.saxutils import escape
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from weft.functions.folding import EXACT
 from weft.model import SourceTable
 from weft.operators.merge import ROW
 from weft.plans.headers import combine_header_rows, recommend_header
@@ -202,6 +204,10 @@ def _cell(ref: str, value) -> str:
         return f'<c r="{ref}" s="{2 if serial == int(serial) else 3}"><v>{serial!r}</v></c>'
     if isinstance(value, dt.date):
         return _cell(ref, dt.datetime(value.year, value.month, value.day))
+    if isinstance(value, tuple):  # a sum: number or text
+        return _cell(ref, value[1] if value[0] is None else value[0])
+    if isinstance(value, decimal.Decimal) and value == value.to_integral_value() and abs(value) >= EXACT:
+        value = format(value, "f").partition(".")[0]
     if not isinstance(value, str):
         number = float(value)
         if number == number and abs(number) != float("inf") and (isinstance(value, float) or int(number) == value):
