@@ -1,9 +1,11 @@
 """Edge cases of sources, aggregates and runs that the registered queries do not show."""
 
 import csv
+import datetime as dt
 import decimal
 import random
 import re
+import time
 import zipfile
 
 import pytest
@@ -12,9 +14,12 @@ from pyspark.sql import functions as F
 from weft import settings
 from weft.model import MergeOptions, SourceTable
 from weft.operators.merge import by_workbook, from_df, merge
+from weft.operators import similar_names
+from weft.operators.profile import preflight
 from weft.operators.run import Run
+from weft.plans import headers
 from weft.plans.headers import recommend_header
-from weft.sources import catalog, delimited, discovery, workbook
+from weft.sources import catalog, cells, delimited, discovery, workbook
 
 ODS = """<?xml version="1.0" encoding="UTF-8"?><office:document-content xmlns:office="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:table="urn:oasis:names:tc:opendocument:xmlns:table:1.0"
  xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0"><office:body><office:spreadsheet><table:table table:name="One"><table:table-row><table:table-cell office:value-type="string"><text:p>id</text:p></table:table-cell>
@@ -273,3 +278,71 @@ def test_whole_rows_are_deduplicated_by_their_cells(spark):
     t = from_df(spark.createDataFrame(rows, "o int, a string, d double, b string"), "x.csv", order="o", columns=["a", "d", "b"])
     got = merge([t], MergeOptions(deduplicate=True)).collect()
     assert sorted(map(str, ((r.a or "", r.d, r.b or "") for r in got))) == sorted(map(str, [("x", -0.0, ""), ("x", 0.0, ""), ("", float("nan"), "y"), ("x", 1e-300, "y"), ("x", 2e-300, "y")]))
+
+
+def _brute(names, least):
+    out = []
+    for i, a in enumerate(names):
+        for j in range(i + 1, len(names)):
+            score = headers.likeness(a, names[j])
+            if least <= score < 1:
+                out.append((i, j, score))
+    return out
+
+
+def test_names_are_joined_by_segments(spark):
+    rng = random.Random(9)
+    base = ["".join(rng.choices("abcdeé列名_ ", k=rng.randint(1, 24))) for _ in range(120)]
+    names = list(dict.fromkeys([*base, *["".join(rng.choice("xy") if rng.random() < 0.15 else c for c in b) + rng.choice(["", "z"]) for b in base for _ in range(3)]]))
+    rows = spark.createDataFrame(list(enumerate(names)), "id int, name string")
+    for least in (headers.WARN, headers.SUGGEST, 0.9):
+        got = similar_names.alike(rows, least).filter("score < 1").collect()
+        assert sorted((r.a, r.b, round(r.score, 9)) for r in got) == [(a, b, round(s, 9)) for a, b, s in _brute(names, least)]
+    assert similar_names.first_pairs(spark, names, 0.72, 8) == _brute(names, 0.72)[:8]
+    late = ["".join(rng.choices("abcdefghij", k=12)) for _ in range(400)] + ["column name 1", "column name 2"]
+    assert similar_names.first_pairs(spark, late, 0.72, 8) == _brute(late, 0.72)[:8]
+
+
+def test_many_headers(spark):
+    """16,384 names that are all alike, or none: in seconds."""
+    began = time.time()
+    alike = SourceTable("a.csv", "CSV", tuple(f"column {k}" for k in range(16_384)))
+    assert headers.similar_pairs([alike]) == [("column 0", f"column {k}", 1 - 1 / 8) for k in range(1, 9)]
+    rng = random.Random(1)
+    other = tuple("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=10)) for _ in range(16_384))
+    assert len(headers.similar_pairs([SourceTable("b.csv", "CSV", other)])) <= 8
+    assert time.time() - began < 60
+    three = [SourceTable(n, "CSV", h) for n, h in (("a", other[:300]), ("b", other[:300]), ("c", tuple(h[:-1] + "!" for h in other[:150])))]
+    assert headers.suggest_mappings(three) == {h[:-1] + "!": h for h in other[:150]}
+
+
+def test_preflight_reads_what_it_checks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,mixed,empty\n1,2,\n3,x,\n")
+    (tmp_path / "b.csv").write_text("k,mixed\n1,2\n")
+    titles = lambda ts, **o: [r.title for r in preflight(spark, ts, MergeOptions(**o)).collect() if r.level != "Info"]
+    for tables in (discovery.scan([str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])[0], discovery.scan_stored(spark, f"file://{tmp_path}")[0]):
+        assert tables[0].frame is None
+        assert titles(tables) == ["字段不一致", "字段类型混合", "字段全空"] == titles([discovery.load(spark, t) for t in tables])
+        assert titles(tables, filter_column="no such") == titles(tables, filter_column="no such", filter_text=" ") == titles(tables)
+        assert titles(tables, filter_column="  ", filter_text="x")[-1] == "未选择筛选字段" and titles(tables, filter_column="no such", filter_text="x")[0] == "筛选字段不存在"
+        assert preflight(spark, tables, MergeOptions()).filter("title = '数据规模'").first().detail == f"3 rows, {24 + 12} bytes"
+    (tmp_path / "c.xlsx").write_text("no workbook")
+    broken = SourceTable(str(tmp_path / "c.xlsx"), "S", ("k",))
+    gone = SourceTable(str(tmp_path / "gone.csv"), "CSV", ("k",), kind={"Csv": {"delimiter": 44}})
+    assert titles([*tables, broken, gone])[:3] == ["文件不存在", "无法抽样读取", "无法抽样读取"] and titles([gone]) == ["文件不存在", "无法抽样读取", "字段全空"]
+
+
+def test_durations_are_texts():
+    assert [cells.shows_date(n, c) for n, c in ((46, None), (164, "[hh]:mm:ss"), (164, "[h]:mm"), (164, '"[h]" yyyy'), (22, None), (164, "[red]0.00"), (0, None))] == [None, None, None, True, True, False, False]
+    assert cells.number_of(1.5, None, False) == "1.5" and cells.number_of(2.0, None, False) == "2" and cells.number_of(1.5, True, False).hour == 12
+    assert [workbook.cell_text(x) for x in (1e-7, float("nan"), float("inf"), 1e20, 2.5, -3.0)] == ["0.0000001", "NaN", "inf", "100000000000000000000", "2.5", "-3"]
+
+
+def test_duration_cells(tmp_path):
+    path = str(tmp_path / "d.xlsx")
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="S" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><numFmts><numFmt numFmtId="170" formatCode="[hh]:mm:ss"/></numFmts><cellXfs><xf/><xf numFmtId="170"/><xf numFmtId="22"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1" s="1"><v>1.5</v></c><c r="B1" s="2"><v>1.5</v></c></row></sheetData></worksheet>')
+    assert workbook.Workbook(path).sheet("S") == [["1.5", dt.datetime(1899, 12, 31, 12)]]

@@ -10,6 +10,7 @@ from weft.functions.text import INTEGER, NUMBER
 _INTEGER, _NUMBER = re.compile(INTEGER), re.compile(NUMBER)
 #: Sums below it are numbers, larger whole ones are texts.
 EXACT = 1e14
+_WIDEST = 1 << 127
 
 
 def text(value: str | float | None) -> str:
@@ -22,37 +23,55 @@ def text(value: str | float | None) -> str:
     return out.rstrip("0").rstrip(".") if "." in out else out
 
 
-def whole(value: str | float) -> int | None:
-    shown = text(value).strip()
-    return int(shown) if _INTEGER.fullmatch(shown) and -(1 << 127) <= int(shown) < 1 << 127 else None
+def _whole(value: str) -> int | None:
+    if not _INTEGER.fullmatch(value):
+        value = value.strip()
+        if not _INTEGER.fullmatch(value):
+            return None
+    out = int(value)
+    return out if -_WIDEST <= out < _WIDEST else None
 
 
-def number(value: str | float) -> float:
+def _number(value: str) -> float:
     """0 for what is no number."""
-    if isinstance(value, float):
-        return value
     bare = value.replace(",", "")
     return float(bare) if _NUMBER.fullmatch(bare) else 0.0
 
 
-def plus(one: str | float, two: str) -> str | float:
-    a, b = whole(one), whole(two)
-    if a is None or b is None:
-        return number(one) + number(two)
-    return float(a + b) if abs(a + b) < EXACT else str(a + b)
+def _started(value: str) -> int | float:
+    found = _whole(value)
+    return _number(value) if found is None else found
 
 
-def added(so_far: str | float | None, sum_of_wholes: str | None, values) -> str | float:
-    """The sum so far (None: nothing yet) with a block of values (an Arrow list), whose exact sum is known if all are whole."""
-    texts = None
+def plus(one: int | float, two: str) -> int | float:
+    """one: an exact whole sum, or a double, which is a whole number too if its digits are."""
+    b = _whole(two)
+    if b is not None:
+        if isinstance(one, int):
+            return one + b
+        if one.is_integer() and abs(one) < _WIDEST:
+            return int(one) + b
+    return float(one) + _number(two)
+
+
+def added(so_far: str | int | float | None, sum_of_wholes: str | None, values) -> str | int | float:
+    """The sum so far (None: nothing yet; a text: one cell) with a block of values (an Arrow list), whose exact sum is known if all are whole."""
+    texts = values.as_py()
     if so_far is None:
-        texts = values.as_py()
+        if len(texts) == 1:
+            return texts[0]
+        if sum_of_wholes is not None:
+            return int(sum_of_wholes)
         so_far = texts.pop(0)
-        if not texts:
-            return so_far
-    if sum_of_wholes is not None and (a := whole(so_far)) is not None:
-        b = int(sum_of_wholes) - (a if texts is not None else 0)  # the first value is one of the block's
-        return float(a + b) if abs(a + b) < EXACT else str(a + b)
-    for value in values.as_py() if texts is None else texts:
+    if isinstance(so_far, str):
+        so_far = _started(so_far)
+    if sum_of_wholes is not None and len(texts) > 1 and (isinstance(so_far, int) or so_far.is_integer() and abs(so_far) < _WIDEST):
+        return int(so_far) + int(sum_of_wholes)
+    for value in texts:
         so_far = plus(so_far, value)
     return so_far
+
+
+def cell(so_far: str | int | float) -> str | float:
+    """The cell of a sum: a text if it is one cell's, or whole and too long for a number to keep its digits."""
+    return so_far if not isinstance(so_far, int) else float(so_far) if abs(so_far) < EXACT else str(so_far)

@@ -94,4 +94,4 @@ def integer_of(c: Column) -> Column:
 def number_of(c: Column) -> Column:
     """Thousands commas dropped; no trim."""
     text = F.replace(c, F.lit(","), F.lit(""))
-    return F.when(F.regexp_like(text, F.lit(NUMBER)), text.try_cast(T.DoubleType()))
+    return F.when(F.regexp_like(text, F.lit(NUMBER.replace("$", r"\z"))), text.try_cast(T.DoubleType()))

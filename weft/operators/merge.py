@@ -218,6 +218,7 @@ def _folded(rows: DataFrame, places: list[int], cells: bool) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(key: str, sums: list) -> pa.RecordBatch:
+            sums = list(map(folding.cell, sums))
             if cells:
                 made = [pa.array([{"number": x, "text": None} if isinstance(x, float) else {"number": None, "text": x}], pa.struct([("number", pa.float64()), ("text", pa.string())])) for x in sums]
             else:

@@ -1,10 +1,14 @@
-"""Header names: normalising, comparing, planning of output columns. Metadata only, on the driver."""
+"""Header names: normalising, comparing, planning of output columns. Metadata only, on the driver; many names are compared by Spark."""
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
+from pyspark.sql import SparkSession
+
 from weft.model import SOURCE_FILE, SOURCE_SHEET, MergeOptions, SourceTable
+from weft.operators import similar_names
 
 SUGGEST, WARN, WARN_PAIRS = 0.62, 0.72, 8
 
@@ -141,19 +145,22 @@ def suggest_mappings(tables: list[SourceTable]) -> dict[str, str]:
         for h in table.headers:
             shown.setdefault(header_key(h), h)
     shared = [k for k, n in count.items() if n > 1]
-    out: dict[str, str] = {}
-    for table in on:
-        for h in table.headers:
-            key = header_key(h)
-            if key in shared or not shared:
-                continue
-            score, best = max(((likeness(key, s), -i) for i, s in enumerate(shared)))
+    lone = list(dict.fromkeys(header_key(h) for t in on for h in t.headers if shared and header_key(h) not in set(shared)))
+    if len(lone) + len(shared) > similar_names.LOCAL and (spark := SparkSession.getActiveSession()):
+        best = similar_names.best_of(spark, lone, shared, SUGGEST)
+    else:
+        best = {}
+        for key in lone:
+            score, place = max((likeness(key, s), -i) for i, s in enumerate(shared))
             if score >= SUGGEST:
-                out[h] = shown[shared[-best]]
-    return out
+                best[key] = shared[-place]
+    return {h: shown[best[header_key(h)]] for t in on for h in t.headers if header_key(h) in best}
 
 
 def similar_pairs(tables: list[SourceTable]) -> list[tuple[str, str, float]]:
+    """The first WARN_PAIRS pairs of alike names, in order of the names. Many names are joined by Spark."""
     keys = list(dict.fromkeys(header_key(h) for t in tables if t.enabled for h in t.headers))
-    found = [(a, b, likeness(a, b)) for i, a in enumerate(keys) for b in keys[i + 1 :]]
-    return [x for x in found if WARN <= x[2] < 1][:WARN_PAIRS]
+    if len(keys) > similar_names.LOCAL and (spark := SparkSession.getActiveSession()):
+        return [(keys[a], keys[b], score) for a, b, score in similar_names.first_pairs(spark, keys, WARN, WARN_PAIRS)]
+    close = ((a, b, likeness(a, b)) for i, a in enumerate(keys) for b in keys[i + 1 :] if abs(len(a) - len(b)) <= (1 - WARN) * max(len(a), len(b)) + 1e-9)
+    return list(itertools.islice((x for x in close if WARN <= x[2] < 1), WARN_PAIRS))

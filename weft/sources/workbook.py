@@ -16,13 +16,13 @@ from xml.sax.saxutils import escape
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from weft.functions.folding import EXACT
+from weft.functions.folding import EXACT, text
 from weft.model import SourceTable
 from weft.operators.merge import ROW
 from weft.plans.headers import combine_header_rows, recommend_header
 from weft.sources import stores
 from weft.sources.binary_workbooks import BinaryWorkbook, LegacyWorkbook
-from weft.sources.cells import date_of, rectangle, shows_date
+from weft.sources.cells import number_of, rectangle, shows_date
 from weft.sources.opendocument import OpenDocument
 
 MAX_ROWS = 1_048_575
@@ -68,7 +68,7 @@ class Workbook:
         self.late = pr is not None and pr.get("date1904") in ("1", "true")
         names = set(self.zip.namelist())
         self.shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ET.fromstring(self.zip.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-        self.dates: list[bool] = []
+        self.dates: list[bool | None] = []
         if "xl/styles.xml" in names:
             styles = ET.fromstring(self.zip.read("xl/styles.xml"))
             own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in styles.iterfind("m:numFmts/m:numFmt", _NS)}
@@ -89,8 +89,9 @@ class Workbook:
         if kind in ("str", "e", "d"):
             return v.text
         style = int(c.get("s", 0))
-        if style < len(self.dates) and self.dates[style]:
-            return date_of(float(v.text), self.late)
+        date = style < len(self.dates) and self.dates[style]
+        if date or date is None:
+            return number_of(float(v.text), date, self.late)
         return int(v.text) if re.fullmatch(r"-?\d+", v.text) else float(v.text)
 
     def sheet(self, name: str, limit: int | None = None) -> list[list]:
@@ -135,8 +136,7 @@ def cell_text(value) -> str:
     if isinstance(value, dt.datetime):
         return value.strftime("%Y-%m-%d" if value.time() == dt.time(0) else "%Y-%m-%d %H:%M:%S")
     if isinstance(value, float):
-        text = format(value, "f") if value == int(value) else repr(value)
-        return text.rstrip("0").rstrip(".") if "." in text and "e" not in text else text
+        return text(value)
     return str(value)
 
 
@@ -213,8 +213,8 @@ def _cell(ref: str, value) -> str:
         if number == number and abs(number) != float("inf") and (isinstance(value, float) or int(number) == value):
             return f'<c r="{ref}"><v>{int(value) if number == int(number) and abs(number) < 1e15 else repr(number)}</v></c>'
         value = str(value)
-    text = re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]", "", value)
-    return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+    shown = re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]", "", value)
+    return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(shown)}</t></is></c>'
 
 
 def _sheet(headers: list[str], rows: Iterable) -> Iterator[str]:
