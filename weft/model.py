@@ -39,6 +39,8 @@ class SourceTable:
     frame: Any = field(default=None, compare=False, repr=False)
     #: Whether the frame's rows have the same place whenever they are read
     stable: bool = field(default=False, compare=False, repr=False)
+    #: A frame of several tables of one shape, whose rows have this table's number in column __k; and the number
+    family: Any = field(default=None, compare=False, repr=False)
 
     def __post_init__(self):
         object.__setattr__(self, "headers", tuple(self.headers))
@@ -77,7 +79,7 @@ class MergeOptions:
 
 
 def save_scheme(name: str, tables: list[SourceTable], options: MergeOptions) -> str:
-    rows = [{k: v for k, v in asdict(replace(t, frame=None)).items() if k not in ("frame", "stable")} for t in tables]
+    rows = [{k: v for k, v in asdict(replace(t, frame=None, family=None)).items() if k not in ("frame", "stable", "family")} for t in tables]
     return json.dumps({"format_version": FORMAT_VERSION, "name": name, "tables": rows, "options": asdict(options)}, ensure_ascii=False, indent=2)
 
 

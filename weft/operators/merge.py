@@ -19,7 +19,7 @@ from weft.model import MergeOptions, SourceTable
 from weft.plans.headers import OutputPlan, aggregates_of, header_key, key_places, output_plan, sources_of
 
 MAX_COLUMNS = 16_384
-TABLE, ROW, KEY, BLOCK, N = "__t", "__r", "__key", "__b", "__n"
+TABLE, ROW, KEY, BLOCK, N, NUMBER = "__t", "__r", "__key", "__b", "__n", "__k"
 #: Places of a block of arrivals (a power of two), and the bound of sums that stay numbers.
 BLOCK_BITS, EXACT = 8, 1e14
 
@@ -39,14 +39,33 @@ def _common_type(kinds: list[T.DataType]) -> T.DataType:
     return kinds[0] if kinds and all(k == kinds[0] for k in kinds) else T.StringType()
 
 
-def project(table: SourceTable, ordinal: int, plan: OutputPlan, mode: str) -> tuple[DataFrame, list[T.DataType | None]]:
-    """Planned columns c0.. (absent ones missing), lineage and order; of several sources of a column the first non-empty wins."""
-    frame = table.frame
+def _alike(tables: list[SourceTable]) -> list[list[int]]:
+    """Places of the tables that may be read as one: sheets of one shape with the same mappings."""
+    groups: dict[object, list[int]] = {}
+    for k, t in enumerate(tables):
+        groups.setdefault((id(t.family[0]), t.headers, t.mappings) if t.family else k, []).append(k)
+    return list(groups.values())
+
+
+def project(tables: list[SourceTable], places: list[int], plan: OutputPlan, mode: str) -> tuple[DataFrame, list[T.DataType | None]]:
+    """Planned columns c0.. (absent ones missing), lineage and order, of one table or of some alike; of several sources of a column the first non-empty wins."""
+    table = tables[places[0]]
+    if len(places) == 1:
+        frame, told = table.frame, lambda values: F.lit(values[0])
+    else:
+        numbers = [tables[k].family[1] for k in places]
+        frame = table.family[0].filter(F.col(NUMBER).isin(numbers))
+        at = dict(zip(numbers, range(len(numbers))))
+
+        def told(values: list) -> Column:
+            """A table's own value, by its number."""
+            return F.lit(values[0]) if len(set(values)) == 1 else F.get(F.array(*[F.lit(values[at.get(n, 0)]) for n in range(max(numbers) + 1)]), F.col(NUMBER))
+
     kinds = {f.name: f.dataType for f in frame.schema.fields}
     change = {}
     for m in table.mappings:
         change.setdefault(m.source_index, m.transform)
-    columns: list[Column] = [F.lit(ordinal).alias(TABLE), F.col(ROW)]
+    columns: list[Column] = [told(places).alias(TABLE), F.col(ROW)]
     types: list[T.DataType | None] = [None] * len(plan.headers)
     for place, sources in sources_of(table, plan, mode).items():
         parts = []
@@ -62,21 +81,22 @@ def project(table: SourceTable, ordinal: int, plan: OutputPlan, mode: str) -> tu
             value = parts[0][0]
         types[place] = kind
         columns.append((place, value))
-    for place, value in ((plan.file_at, table.file_name), (plan.sheet_at, table.sheet_name)):
+    for place, values in ((plan.file_at, [tables[k].file_name for k in places]), (plan.sheet_at, [tables[k].sheet_name for k in places])):
         if place is not None:
             columns = [c for c in columns if not (isinstance(c, tuple) and c[0] == place)]
-            columns.append((place, F.lit(value)))
+            columns.append((place, told(values)))
             types[place] = T.StringType()
     return frame.select(*[c[1].alias(f"c{c[0]}") if isinstance(c, tuple) else c for c in columns]), types
 
 
 def _aligned(tables: list[SourceTable], plan: OutputPlan, mode: str) -> tuple[list[DataFrame], list[T.DataType]]:
-    projected = [project(t, k, plan, mode) for k, t in enumerate(tables)]
-    kinds = [_common_type([types[p] for _, types in projected if types[p] is not None]) for p in range(len(plan.headers))]
+    projected = [project(tables, places, plan, mode) for places in _alike(tables)]
+    known = lambda kind: kind is not None and not isinstance(kind, T.NullType)  # noqa: E731  an empty column of a sheet takes any type
+    kinds = [_common_type([types[p] for _, types in projected if known(types[p])]) for p in range(len(plan.headers))]
     frames = []
     for frame, types in projected:
         cells = [
-            (F.lit(None).cast(kind) if own is None else F.col(f"c{p}") if own == kind else as_text(F.col(f"c{p}"), own)).alias(f"c{p}") for p, (own, kind) in enumerate(zip(types, kinds))
+            (F.lit(None).cast(kind) if not known(own) else F.col(f"c{p}") if own == kind else as_text(F.col(f"c{p}"), own)).alias(f"c{p}") for p, (own, kind) in enumerate(zip(types, kinds))
         ]
         frames.append(frame.select(TABLE, ROW, *cells))
     return frames, kinds
@@ -284,7 +304,7 @@ def merge(tables: list[SourceTable], options: MergeOptions, *, ordered: bool | N
         operations = aggregates_of(on, plan)
         grouped = _consolidated(rows, kinds, operations, options.text_join_separator, exact_fold, cells)
         return _named(grouped if ordered is False else grouped.orderBy(KEY), plan)
-    joined = _joined(frames, plan, kinds, places, options.join_kind)
+    joined = _joined(frames, len(on), plan, kinds, places, options.join_kind)
     joined = _filtered(joined, plan, kinds, options)
     return _named(joined if ordered is False else joined.orderBy(KEY), plan)
 
@@ -307,14 +327,14 @@ def _deduplicated(rows: DataFrame, places: list[int], kinds: list[T.DataType]) -
     return kept.select("m.*")
 
 
-def _joined(frames: list[DataFrame], plan: OutputPlan, kinds: list[T.DataType], places: list[int], kind: str) -> DataFrame:
+def _joined(frames: list[DataFrame], many: int, plan: OutputPlan, kinds: list[T.DataType], places: list[int], kind: str) -> DataFrame:
     """All tables at once: a row a key with, per column, the first non-empty cell by table and row; which tables have the key tells whether it stays."""
     rows = reduce(DataFrame.unionByName, frames).withColumn(KEY, _key(places, kinds))
-    bits = [F.bit_or(F.element_at(F.array(*[F.lit(1 << max(0, t - k) if k <= t < k + 63 else 0).cast("long") for t in range(len(frames))]), F.col(TABLE) + 1)).alias(f"has{k}") for k in range(0, len(frames), 63)]
+    bits = [F.bit_or(F.element_at(F.array(*[F.lit(1 << max(0, t - k) if k <= t < k + 63 else 0).cast("long") for t in range(many)]), F.col(TABLE) + 1)).alias(f"has{k}") for k in range(0, many, 63)]
     firsts = [_first(p, k) for p, k in enumerate(kinds)]
     grouped = rows.groupBy(KEY).agg(*bits, *[s.made.alias(s.name) for s in firsts])
     if kind == "Inner":
-        grouped = grouped.filter(reduce(Column.__and__, [F.col(f"has{k}") == (1 << min(63, len(frames) - k)) - 1 for k in range(0, len(frames), 63)]))
+        grouped = grouped.filter(reduce(Column.__and__, [F.col(f"has{k}") == (1 << min(63, many - k)) - 1 for k in range(0, many, 63)]))
     elif kind == "Left":
         grouped = grouped.filter(F.col("has0").bitwiseAND(F.lit(1)) == 1)
     return grouped.select(KEY, *[F.col(f"{s.name}.v").alias(f"c{p}") for p, s in enumerate(firsts)])

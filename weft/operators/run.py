@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import threading
 import uuid
 from collections.abc import Callable
@@ -21,17 +22,19 @@ class Outcome:
 
 
 class Run:
-    """A merge in the background. sink(df) writes it whole or not at all (as workbook.write does)."""
+    """A merge, or any work on a frame such as its checks, in the background. sink(df) writes it whole or not at all (as workbook.write does); a sink of two
+    parameters gets a function to tell (rows written, rows in all), which rows() then gives."""
 
-    def __init__(self, df: DataFrame, sink: Callable[[DataFrame], object], done: Callable[[Outcome], None] | None = None):
+    def __init__(self, df: DataFrame, sink: Callable[..., object], done: Callable[[Outcome], None] | None = None):
         self.spark, self.tag = df.sparkSession, f"weft-{uuid.uuid4().hex}"
-        self._cancelled, self._outcome = threading.Event(), None
+        self._cancelled, self._outcome, self._rows = threading.Event(), None, (0, None)
+        tells = len(inspect.signature(sink).parameters) > 1
 
         def work() -> None:
             self.spark.addTag(self.tag)
             self.spark.sparkContext.setJobGroup(self.tag, "merge")
             try:
-                result = sink(df)
+                result = sink(df, self._told) if tells else sink(df)
                 out = Outcome("cancelled") if self._cancelled.is_set() else Outcome("finished", result)
             except Exception as e:  # reported, not raised in a thread that nobody watches
                 out = Outcome("cancelled") if self._cancelled.is_set() else Outcome("failed", error=str(e))
@@ -54,6 +57,15 @@ class Run:
                     done, total = done + stage.numCompletedTasks, total + stage.numTasks
         return done, total
 
+    def _told(self, written: int, total: int) -> None:
+        if self._cancelled.is_set():
+            raise InterruptedError("cancelled")
+        self._rows = (written, total)
+
+    def rows(self) -> tuple[int, int | None]:
+        """(rows written, rows in all); the second is None until the rows have been computed."""
+        return self._rows
+
     def cancel(self) -> None:
         self._cancelled.set()
         self.spark.interruptTag(self.tag)

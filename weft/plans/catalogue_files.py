@@ -231,10 +231,10 @@ def csv_quoted_lines(spark, sf_dir):
 
 @query("SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part")
 def xlsx_roundtrip(spark, sf_dir):
-    path = f"{tempfile.mkdtemp()}/part.xlsx"
+    path = f"{stores.shared(spark, 'part')}.xlsx"
     workbook.write(table(spark, sf_dir, "part").orderBy("p_partkey"), path, max_rows=150)
     tables, _ = discovery.scan([path])
-    return merge([discovery.load(spark, t) for t in tables], MergeOptions())
+    return merge(discovery.load_all(spark, tables), MergeOptions())
 
 
 def _folder(spark, sf_dir) -> str:

@@ -92,10 +92,15 @@ def scan_stored(spark: SparkSession, folder: str) -> tuple[list[SourceTable], li
     return sorted(tables, key=lambda t: (t.path.lower(), t.sheet_name.lower())), sorted(warnings)
 
 
+def load_all(spark: SparkSession, tables: list[SourceTable]) -> list[SourceTable]:
+    """The tables with their rows; workbooks are read together, each once."""
+    books = [t for t in tables if t.frame is None and not isinstance(t.kind, dict)]
+    read = iter(workbook.read_all(spark, books) if books else ())
+    return [t if t.frame is not None else delimited.read(spark, t) if isinstance(t.kind, dict) else next(read) for t in tables]
+
+
 def load(spark: SparkSession, table: SourceTable) -> SourceTable:
-    if table.frame is not None:
-        return table
-    return (delimited if isinstance(table.kind, dict) else workbook).read(spark, table)
+    return load_all(spark, [table])[0]
 
 
 def with_header(table: SourceTable, header_row: int, header_rows: int = 1) -> SourceTable:

@@ -71,10 +71,55 @@ def size(path: str) -> int:
     return files.getFileStatus(where).getLen()
 
 
-def part(path: str, start: int, length: int) -> bytes:
-    with opened(path) as f:
-        f.seek(start)
-        return f.read(length)
+class _Created(io.RawIOBase):
+    """A new file that is written from its start to its end."""
+
+    def __init__(self, path: str):
+        files, where = _hadoop(path)
+        self.stream, self.place = files.create(where, True), 0
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self.stream.write(bytearray(data))
+        self.place += len(data)
+        return len(data)
+
+    def tell(self) -> int:
+        return self.place
+
+    def close(self) -> None:
+        if not self.closed:
+            super().close()
+            self.stream.close()
+
+
+def created(path: str) -> io.BufferedIOBase:
+    return io.BufferedWriter(_Created(path), BLOCK) if is_stored(path) else open(path, "wb")
+
+
+def moved(path: str, to: str) -> None:
+    """Rename a file over another one, if there is one."""
+    if not is_stored(path):
+        os.replace(path, to)
+        return
+    files, where = _hadoop(path)
+    target = _hadoop(to)[1]
+    if files.exists(target):
+        files.delete(target, False)
+    if not files.rename(where, target):
+        raise OSError(f"{path} could not be renamed to {to}")
+
+
+def deleted(path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    if not is_stored(path):
+        if os.path.exists(path):
+            os.remove(path)
+        return
+    files, where = _hadoop(path)
+    files.delete(where, True)
 
 
 def shared(spark: SparkSession, name: str) -> str:
@@ -85,4 +130,6 @@ def shared(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weft-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found}/weft-{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(found)
+    whole = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()  # with its store
+    return f"{whole}/weft-{name}-{uuid.uuid4().hex}"

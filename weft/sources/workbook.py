@@ -1,24 +1,31 @@
-"""Workbooks with the standard library: a reader of cached values (XLSX here, ODS, XLSB and XLS by modules of their own) and a streaming writer of XLSX."""
+"""Workbooks: read by tasks (cached values; XLSX here, ODS, XLSB and XLS by modules of their own), and XLSX written from pieces that tasks make."""
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 import decimal
 import io
+import itertools
 import os
 import re
 import zipfile
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import replace
+from urllib.parse import unquote
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.functions.folding import EXACT, text
 from weft.model import SourceTable
-from weft.operators.merge import ROW
+from weft.operators.merge import NUMBER, ROW
 from weft.plans.headers import combine_header_rows, recommend_header
 from weft.sources import stores
 from weft.sources.binary_workbooks import BinaryWorkbook, LegacyWorkbook
@@ -26,8 +33,11 @@ from weft.sources.cells import number_of, rectangle, shows_date
 from weft.sources.opendocument import OpenDocument
 
 MAX_ROWS = 1_048_575
+#: Rows among which the header is looked for.
+HEADER_ROWS = 20
 SHEET_NAME = "合并结果_{:03d}"
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+_TEXT, _V, _C, _ROW = (f"{{{_NS['m']}}}{x}" for x in ("t", "v", "c", "row"))
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
@@ -44,15 +54,6 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def _letters(k: int) -> str:
-    out = ""
-    k += 1
-    while k:
-        k, r = divmod(k - 1, 26)
-        out = chr(65 + r) + out
-    return out
-
-
 class Workbook:
     """sheet(name) gives the used rows of a sheet as lists of None, str, int, float, bool or datetime."""
 
@@ -77,42 +78,50 @@ class Workbook:
                 self.dates.append(shows_date(k, own.get(k)))
 
     def _value(self, c: ET.Element):
-        kind, v = c.get("t", "n"), c.find("m:v", _NS)
+        kind = c.get("t", "n")
         if kind == "inlineStr":
-            return "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
-        if v is None or v.text is None:
+            return "".join([t.text or "" for t in c.iter(_TEXT)])
+        text = c.findtext(_V)
+        if not text:
             return None
-        if kind == "s":
-            return self.shared[int(v.text)]
-        if kind == "b":
-            return v.text == "1"
-        if kind in ("str", "e", "d"):
-            return v.text
-        style = int(c.get("s", 0))
-        date = style < len(self.dates) and self.dates[style]
-        if date or date is None:
-            return number_of(float(v.text), date, self.late)
-        return int(v.text) if re.fullmatch(r"-?\d+", v.text) else float(v.text)
-
-    def sheet(self, name: str, limit: int | None = None) -> list[list]:
-        rows: dict[int, dict[int, object]] = {}
+        if kind == "n":
+            style = int(c.get("s", 0))
+            date = style < len(self.dates) and self.dates[style]
+            if date or date is None:
+                return number_of(float(text), date, self.late)
+            try:
+                return int(text)
+            except ValueError:
+                return float(text)
+        return self.shared[int(text)] if kind == "s" else text == "1" if kind == "b" else text
+
+    def rows(self, name: str) -> Iterator[tuple[int, dict[int, object]]]:
+        """(row, {column: value}) of each row that has values, as they are read."""
         with self.zip.open(self.paths[name]) as f:
             at = 0
             for _, row in ET.iterparse(f):
-                if row.tag != f"{{{_NS['m']}}}row":
+                if row.tag != _ROW:
                     continue
                 at = int(row.get("r", at + 1))
-                cells = {}
-                for k, c in enumerate(row.iterfind("m:c", _NS)):
+                cells, column = {}, -1
+                for c in row.iterfind(_C):
+                    column = _column(c.get("r")) if c.get("r") else column + 1
                     value = self._value(c)
                     if value is not None:
-                        cells[_column(c.get("r")) if c.get("r") else k] = value
-                if cells:
-                    rows[at] = cells
+                        cells[column] = value
                 row.clear()
-                if limit and len(rows) >= limit:
-                    break
-        return rectangle(rows)
+                if cells:
+                    yield at, cells
+
+    def sheet(self, name: str, limit: int | None = None) -> list[list]:
+        return rectangle(dict(itertools.islice(self.rows(name), limit)))
+
+
+def sheet_rows(book, name: str) -> Iterator[tuple[int, dict[int, object]]]:
+    """Rows of any of the workbooks."""
+    if isinstance(book, Workbook):
+        return book.rows(name)
+    return ((k, {i: v for i, v in enumerate(r) if v is not None}) for k, r in enumerate(book.sheet(name)))
 
 
 #: Readers by extension.
@@ -141,44 +150,107 @@ def cell_text(value) -> str:
 
 
 def scan(path: str, *, sheet: str | None = None, header_row: int | None = None, header_rows: int = 1) -> list[SourceTable]:
-    """A table of each sheet that is not empty."""
+    """A table of each sheet that is not empty. Rows are read one by one; only those that may be the header are held."""
     book, out = opened(path), []
     for name in [sheet] if sheet else book.paths:
-        rows = book.sheet(name)
-        if not rows:
+        held, last = {}, None
+        left, right, deepest = 1 << 30, -1, max(HEADER_ROWS, (header_row or 1) + 2)
+        for at, cells in sheet_rows(book, name):
+            if not cells:
+                continue
+            left, right, last = min(left, *cells), max(right, *cells), at
+            if at < next(iter(held), at) + deepest:
+                held[at] = cells
+        if last is None:
             continue
-        suggested = recommend_header([[cell_text(c) for c in r] for r in rows[:20]]) + 1
+        top = next(iter(held))
+        total = last - top + 1
+        rows = [[cell_text(held.get(top + r, {}).get(k)) for k in range(left, right + 1)] for r in range(min(total, deepest))]
+        suggested = recommend_header(rows[:HEADER_ROWS]) + 1
         first, n = max(1, header_row or suggested), min(3, max(1, header_rows))
-        if len(rows) < first + n - 1:
+        if total < first + n - 1:
             raise WorkbookError(f"{path} {name}: too few rows for its header")
-        headers = combine_header_rows([[cell_text(c) for c in r] for r in rows[first - 1 : first + n - 1]])
-        out.append(SourceTable(path, name, tuple(headers), header_row=first, header_rows=n, suggested_header_row=suggested, estimated_rows=max(0, len(rows) - first - n + 1)))
+        headers = combine_header_rows(rows[first - 1 : first + n - 1])
+        out.append(SourceTable(path, name, tuple(headers), header_row=first, header_rows=n, suggested_header_row=suggested, estimated_rows=max(0, total - first - n + 1)))
     return out
 
 
-def _kind(values: list) -> T.DataType:
-    kinds = {type(v) for v in values if v is not None}
-    if kinds == {bool}:
-        return T.BooleanType()
-    if kinds == {int}:
-        return T.LongType()
-    if kinds and kinds <= {int, float}:
-        return T.DoubleType()
-    if kinds == {dt.datetime}:
-        return T.TimestampNTZType()
-    return T.StringType()
+#: Kinds of cells in the files between, and the column types of the sets of them that keep a type; other sets become text.
+_KINDS = {bool: "b", int: "i", float: "f", dt.datetime: "d", str: "s"}
+_TYPES = {"b": T.BooleanType(), "i": T.LongType(), "f": T.DoubleType(), "fi": T.DoubleType(), "d": T.TimestampNTZType()}
+
+
+def _coded(value) -> str | None:
+    """A cell's kind and text."""
+    if isinstance(value, int) and not isinstance(value, bool) and not -(1 << 63) <= value < 1 << 63:
+        value = float(value)
+    return None if value is None else _KINDS.get(type(value), "s") + cell_text(value)
+
+
+def read_all(spark: SparkSession, tables: list[SourceTable]) -> list[SourceTable]:
+    """The tables with their rows. A column of one cell type keeps it; a mixed one becomes text, an empty one has no type.
+
+    Every workbook is read once, by a task, row by row, into a table of coded cells in the shared folder; at the end of a sheet comes a row that tells where it begins and which kinds its
+    columns hold. The tables are that table's rows.
+    """
+    wanted: dict[str, list[tuple[int, str, int]]] = {}
+    place = lambda path: path if stores.is_stored(path) else "file:" + os.path.abspath(path)
+    for k, t in enumerate(tables):
+        wanted.setdefault(place(t.path), []).append((k, t.sheet_name, t.header_row + t.header_rows - 1))
+    plain = lambda uri: re.sub("^([A-Za-z][A-Za-z0-9+.-]+):/+", r"\1:/", unquote(uri))  # noqa: E731  file:///x is file:/x
+    by_file = {plain(p): v for p, v in wanted.items()}
+    schema = pa.schema([("table", pa.int32()), ("r", pa.int64()), ("left", pa.int32()), ("cells", pa.list_(pa.string()))])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(list(x), f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                book = READERS.get(path.rpartition(".")[2].lower(), Workbook)(io.BytesIO(content.as_py()))
+                for k, sheet, skipped in by_file[plain(path)]:
+                    out, top, at, left, kinds = [], None, None, 1 << 30, {}
+                    for row, cells in sheet_rows(book, sheet):
+                        if not cells:
+                            continue
+                        top = row if top is None else top
+                        out += [(k, r, None, []) for r in range(row if at is None else at + 1, row) if r >= top + skipped]
+                        at, left = row, min(left, *cells)
+                        if row >= top + skipped:
+                            coded = [_coded(cells.get(c)) for c in range(max(cells) + 1)]
+                            for c, value in enumerate(coded):
+                                if value is not None:
+                                    kinds.setdefault(c, set()).add(value[0])
+                            out.append((k, row, None, coded))
+                        if len(out) >= 5000:
+                            yield batch_of(out)
+                            out = []
+                    out.append((k, None, 0 if top is None else left, [str(0 if top is None else top + skipped), *[f"{c}:{''.join(sorted(x))}" for c, x in kinds.items()]]))
+                    yield batch_of(out)
+
+    files = spark.read.format("binaryFile").load([place(p) for p in wanted]).select("path", "content")
+    columns = "table int, r long, left int, cells array<string>"
+    held = stores.shared(spark, "cells")
+    files.mapInArrow(task, columns).write.parquet(held)
+    coded = spark.read.schema(columns).parquet(held)
+    told = {r.table: r for r in coded.filter("r is null").collect()}  # a row a sheet
+    out, families = [], {}
+    for k, t in enumerate(tables):
+        left, (first, *kinds) = told[k].left, told[k].cells
+        known = {int(c): x for c, _, x in (v.partition(":") for v in kinds)}
+        types = tuple(known.get(left + c, "") for c in range(len(t.headers)))
+        shape = (t.headers, left, int(first), types)
+        if shape not in families:
+            text = lambda c: F.substring(F.get("cells", F.lit(left + c)), 2, 1 << 30)  # noqa: B023, E731  used at once
+            values = [(text(c).cast(_TYPES.get(kind, T.StringType())) if kind else F.lit(None)).alias(h) for c, (h, kind) in enumerate(zip(t.headers, types))]
+            families[shape] = coded.filter(F.col("r").isNotNull()).select(*values, (F.col("r") - int(first)).alias(ROW), F.col("table").alias(NUMBER))
+        family = families[shape]
+        out.append(replace(t, frame=family.filter(F.col(NUMBER) == k).drop(NUMBER), stable=True, family=(family, k)))
+    return out
 
 
 def read(spark: SparkSession, table: SourceTable) -> SourceTable:
-    """The table with its rows. A column of one cell type keeps it; a mixed one becomes text. A sheet has at most 1,048,576 rows."""
-    rows = opened(table.path).sheet(table.sheet_name)[table.header_row + table.header_rows - 1 :]
-    width = len(table.headers)
-    rows = [(r + [None] * width)[:width] for r in rows]
-    kinds = [_kind([r[k] for r in rows]) for k in range(width)]
-    cast = [cell_text if isinstance(k, T.StringType) else float if isinstance(k, T.DoubleType) else lambda v: v for k in kinds]
-    schema = T.StructType([*[T.StructField(h, k) for h, k in zip(table.headers, kinds)], T.StructField(ROW, T.LongType())])
-    data = [(*[None if v is None else f(v) for v, f in zip(r, cast)], n) for n, r in enumerate(rows)]
-    return replace(table, frame=spark.createDataFrame(data, schema))
+    return read_all(spark, [table])[0]
 
 
 _STYLES = (
@@ -194,70 +266,113 @@ def width_of(header: str) -> int:
     return min(32, max(12, sum(1 if ord(c) < 128 else 2 for c in header) + 4))
 
 
-def _cell(ref: str, value) -> str:
+def _cell(value, style: int = 0) -> str:
+    """A cell without its place: cells follow each other."""
+    if isinstance(value, dict):  # a sum: number or text
+        value = value["text"] if value["number"] is None else value["number"]
     if value is None or value == "":
-        return ""
+        return "<c/>"
     if isinstance(value, bool):
-        return f'<c r="{ref}" t="b"><v>{int(value)}</v></c>'
+        return f'<c t="b"><v>{int(value)}</v></c>'
     if isinstance(value, dt.datetime):
         serial = (value.replace(microsecond=0) - dt.datetime(1899, 12, 30)).total_seconds() / 86400
-        return f'<c r="{ref}" s="{2 if serial == int(serial) else 3}"><v>{serial!r}</v></c>'
+        return f'<c s="{2 if serial == int(serial) else 3}"><v>{serial!r}</v></c>'
     if isinstance(value, dt.date):
-        return _cell(ref, dt.datetime(value.year, value.month, value.day))
-    if isinstance(value, tuple):  # a sum: number or text
-        return _cell(ref, value[1] if value[0] is None else value[0])
+        return _cell(dt.datetime(value.year, value.month, value.day))
     if isinstance(value, decimal.Decimal) and value == value.to_integral_value() and abs(value) >= EXACT:
         value = format(value, "f").partition(".")[0]
     if not isinstance(value, str):
-        number = float(value)
-        if number == number and abs(number) != float("inf") and (isinstance(value, float) or int(number) == value):
-            return f'<c r="{ref}"><v>{int(value) if number == int(number) and abs(number) < 1e15 else repr(number)}</v></c>'
+        with contextlib.suppress(TypeError, ValueError):  # of other types, such as lists, the text
+            number = float(value)
+            if number == number and abs(number) != float("inf") and (isinstance(value, float) or int(number) == value):
+                return f"<c><v>{int(value) if number == int(number) and abs(number) < 1e15 else repr(number)}</v></c>"
         value = str(value)
-    shown = re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]", "", value)
-    return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(shown)}</t></is></c>'
+    shown = re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", "", value)
+    return f'<c{f' s="{style}"' if style else ""} t="inlineStr"><is><t xml:space="preserve">{escape(shown)}</t></is></c>'
+
+
+def _row(values: Iterable, style: int = 0) -> str:
+    return f"<row>{''.join(_cell(v, style) for v in values)}</row>"
 
 
-def _sheet(headers: list[str], rows: Iterable) -> Iterator[str]:
+def _top(headers: list[str]) -> str:
     cols = "".join(f'<col min="{k}" max="{k}" width="{width_of(h)}" customWidth="1"/>' for k, h in enumerate(headers, 1))
-    yield '<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
-    yield f"<cols>{cols}</cols><sheetData><row r=\"1\">"
-    yield "".join(f'<c r="{_letters(k)}1" s="1" t="inlineStr"><is><t xml:space="preserve">{escape(h)}</t></is></c>' for k, h in enumerate(headers)) + "</row>"
-    for n, row in enumerate(rows, 2):
-        yield f'<row r="{n}">' + "".join(_cell(f"{_letters(k)}{n}", v) for k, v in enumerate(row)) + "</row>"
-    yield "</sheetData></worksheet>"
+    return (
+        '<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
+        f"<cols>{cols}</cols><sheetData>{_row(headers, 1)}"
+    )
 
 
-def write(df: DataFrame, path: str, *, max_rows: int = MAX_ROWS, overwrite: bool = False) -> tuple[int, int]:
+#: Rows that a task turns into XML and compresses at a time.
+CHUNK_ROWS = 2000
+
+
+def _chunks(df: DataFrame, most: int) -> DataFrame:
+    """(part, seq, n, xml): rows of df as compressed XML, `most` rows a piece; pieces do not depend on where they come to stand."""
+    plain = [F.col(f"`{f.name}`").cast("timestamp_ntz").alias(f.name) if isinstance(f.dataType, T.TimestampType) else F.col(f"`{f.name}`").cast("string").alias(f.name) if isinstance(f.dataType, T.NullType) else F.col(f"`{f.name}`") for f in df.schema.fields]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                piece = batch.slice(at, most)
+                text = "".join(map(_row, zip(*[c.to_pylist() for c in piece.columns])))
+                yield pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([piece.num_rows], pa.int32()), pa.array([zlib.compress(text.encode(), 6)], pa.binary())], names=["part", "seq", "n", "xml"])
+                seq += 1
+
+    return df.select(*plain).mapInArrow(task, "part int, seq int, n int, xml binary")
+
+
+def write(df: DataFrame, path: str, *, max_rows: int = MAX_ROWS, overwrite: bool = False, told: Callable[[int, int], None] | None = None) -> tuple[int, int]:
     """Write df's rows in order as one workbook, a new sheet after max_rows rows; (rows, sheets).
 
-    Rows stream through the driver a partition at a time, since a workbook is one file. It appears under its name only when it is whole.
+    Tasks turn rows into pieces of XML, which are kept in the shared folder; when all are there, the driver puts them into the one file that a workbook is, piece by piece. It appears
+    under its name only when it is whole, on any store. told(rows written, rows in all) is called after each piece.
     """
     if not path.lower().endswith(".xlsx"):
         raise WorkbookError("the output must end in .xlsx")
-    if os.path.exists(path) and not overwrite:
+    if stores.exists(path) and not overwrite:
         raise WorkbookError(f"{path} exists")
     if len(df.columns) > 16_384:
         raise WorkbookError("more than 16384 columns")
-    temporary, rows, n, sheets, more = f"{path}.part", iter(df.toLocalIterator(prefetchPartitions=True)), 0, 0, True
-    kept = next(rows, None)
-
-    def part() -> Iterator:
-        nonlocal kept, n, more
-        for _ in range(max_rows):
-            if kept is None:
-                break
-            n += 1
-            yield kept
-            kept = next(rows, None)
-        more = kept is not None
-
+    spark, temporary = df.sparkSession, f"{path}.part"
+    held = stores.shared(spark, "sheets")
+    n = sheets = in_sheet = 0
     try:
-        with zipfile.ZipFile(temporary, "w", zipfile.ZIP_DEFLATED) as z:
-            while more:
-                sheets += 1
-                with z.open(f"xl/worksheets/sheet{sheets}.xml", "w", force_zip64=True) as f:
-                    for text in _sheet(df.columns, part()):
-                        f.write(text.encode())
+        _chunks(df, min(CHUNK_ROWS, max_rows)).write.parquet(held)
+        chunks = spark.read.schema("part int, seq int, n int, xml binary").parquet(held)
+        total = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        top, end = _top(df.columns).encode(), b"</sheetData></worksheet>"
+        with stores.created(temporary) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            f = None
+
+            def begin() -> None:
+                nonlocal f, sheets, in_sheet
+                if f is not None:
+                    f.write(end)
+                    f.close()
+                sheets, in_sheet = sheets + 1, 0
+                f = z.open(f"xl/worksheets/sheet{sheets}.xml", "w", force_zip64=True)
+                f.write(top)
+
+            begin()
+            for chunk in chunks.orderBy("part", "seq").toLocalIterator():
+                xml, left = zlib.decompress(chunk.xml), chunk.n
+                while left:
+                    if in_sheet == max_rows:
+                        begin()
+                    if left <= max_rows - in_sheet:
+                        here, some, xml = xml, left, b""
+                    else:  # the piece goes on in the next sheet
+                        some = max_rows - in_sheet
+                        cut = [m.end() for m in itertools.islice(re.finditer(b"</row>", xml), some)][-1]
+                        here, xml = xml[:cut], xml[cut:]
+                    f.write(here)
+                    left, n, in_sheet = left - some, n + some, in_sheet + some
+                if told:
+                    told(n, total)
+            f.write(end)
+            f.close()
             every = range(1, sheets + 1)
             head = '<?xml version="1.0" encoding="UTF-8"?>'
             rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -268,8 +383,8 @@ def write(df: DataFrame, path: str, *, max_rows: int = MAX_ROWS, overwrite: bool
             z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{pack}/relationships">' + "".join(f'<Relationship Id="rId{k}" Type="{rel}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in every) + f'<Relationship Id="rId{sheets + 1}" Type="{rel}/styles" Target="styles.xml"/></Relationships>')
             z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{pack}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
             z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{pack}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="{kind}.worksheet+xml"/>' for k in every) + "</Types>")
-        os.replace(temporary, path)
+        stores.moved(temporary, path)
     finally:
-        if os.path.exists(temporary):
-            os.remove(temporary)
+        stores.deleted(temporary)
+        stores.deleted(held)
     return n, sheets
