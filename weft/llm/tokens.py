@@ -12,7 +12,7 @@ import re
 from array import array
 
 #: Entries of each of a table's two generations (about 200 bytes an entry, two tables in a worker).
-CACHE_ENTRIES = 260_000
+CACHE_ENTRIES = 450_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SIMPLE = re.compile(rf"(\n?)([{_LETTERS}]+)([!-/:-@\[-`{{-~]*)")
@@ -65,7 +65,10 @@ class PieceEncoder:
 
     def _run(self, run: str) -> bytes:
         """Ids of what the tokenizer's own splitter would leave in one part."""
-        written = run.encode().decode("latin-1").translate(self.letters)
+        if run.isascii() and run.isprintable():
+            written = run.replace(" ", self.letters[32])
+        else:
+            written = run.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
 
     def _piece(self, piece: str) -> bytes | None:
