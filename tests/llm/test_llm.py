@@ -457,7 +457,7 @@ def test_repeats(spark):
     passage = ". ".join(make(15) for _ in range(5)) + "."
     rows = [(1, f"{make(30)}.\n{passage}\n{make(30)}."), (2, f"{make(20)}. {passage} {make(9)}."), (3, f"{make(40)}.\nShort line.\n{make(12)}."), (4, "Short line.\nShort line."), (5, None), (6, ""), (7, passage.upper()), (7, passage.upper())]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("x"))
-    got = repeats.repeated_units(df)
+    got = repeats.repeated_units(df, line_words=3)
     spans = collections.defaultdict(list)
     for r in got.collect():
         assert r.kept_doc_id == 1
@@ -862,3 +862,53 @@ def test_pipeline(spark, tmp_path):
         before = after
     packed = p.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == before
+
+
+def test_columns_with_the_names_of_helpers(spark):
+    """No operator that hands on its rows' columns loses or reads one of the user's."""
+    from corpus_pipeline import STAGES
+
+    taken = {n: F.lit(f"mine {n}") for n in ("__key", "__kinds", "__s0", "__S1", "__p", "__leaks", "__id", "__spans", "__text", "__held", "__stays", "extra")}
+    line = "the same line of some words stands here again\n"
+    texts = [line + "password: abcdefgh1234 and more words in this text", line + "other words of a text", "a text alone with enough words to be seen", None]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").withColumns(taken)
+    same = lambda out: [{n: r[n] for n in taken} for r in out.collect()] == [{n: f"mine {n}" for n in taken}] * out.count()
+    found = secrets.scan(df)
+    assert same(found) and {*found.columns} == {*df.columns, "secrets"} and found.filter("size(secrets) > 0").count() == 1
+    found = language.identify(df, language.fit(df))
+    assert same(found) and {*found.columns} == {*df.columns, "lang_pred", "lang_score"}
+    index = decontaminate.build(df, spark.createDataFrame([(1, "a text alone with enough words to be seen")], "item_id long, text string"))
+    found = decontaminate.clean(df, index)
+    assert same(found) and found.columns == df.columns and found.count() == 3
+    found = repeats.remove(df, repeats.repeated_units(df))
+    assert same(found) and {*found.columns} == {*df.columns} and found.filter(F.contains("text", F.lit(line.strip()))).count() == 1
+    for _, stage in STAGES[:2] + STAGES[3:4]:
+        out = stage(spark, df, "")
+        assert same(out) and out.columns == df.columns
+
+
+def test_scratch_of_threads(spark):
+    """A scope deletes what its own thread made."""
+    import threading
+
+    from weft.llm.common import scratch, written
+
+    inside, done, made = threading.Event(), threading.Event(), []
+
+    def other():
+        with scratch():
+            made.append(written(spark.range(3), "a"))
+            inside.set()
+            done.wait(60)
+            made.append(made[0].count())
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    inside.wait(60)
+    with scratch() as keep:
+        kept, gone = keep(written(spark.range(5), "b")), written(spark.range(7), "c")
+    done.set()
+    thread.join()
+    assert made[1] == 3 and kept.count() == 5
+    with pytest.raises(Exception):
+        spark.read.parquet(gone.written_to)

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,12 +47,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(schema).parquet(path)
     back.written_to = path
-    if _SCOPES:
-        _SCOPES[-1].append(back)
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(back)
     return back
 
 
-_SCOPES: list[list[DataFrame]] = []
+#: What the innermost scratch() of this thread has made.
+_SCOPE: ContextVar[list[DataFrame] | None] = ContextVar("scope", default=None)
 
 
 @contextmanager
@@ -64,11 +66,11 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.add(id(df))
         return df
 
-    _SCOPES.append(made)
+    token = _SCOPE.set(made)
     try:
         yield keep
     finally:
-        _SCOPES.pop()
+        _SCOPE.reset(token)
         for df in made:
             if id(df) not in kept:
                 discard(df)
@@ -86,6 +88,12 @@ def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def free(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Names for helper columns that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    return tuple(next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n.lower() not in taken) for name in names)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import discard, partitions, prepare, written
+from weft.llm.common import discard, free, partitions, prepare, written
 from weft.llm.hashing import M3, PIECE, odd_values, runs
 
 BUCKETS = 1 << 14
@@ -489,4 +489,5 @@ def clean(docs: DataFrame, index: Index, *, text_col: str = "text") -> DataFrame
             out[k] = True
         return pd.Series(out, dtype=bool)
 
-    return docs.withColumn("__leaks", leaks(F.col(text_col))).filter("not __leaks").drop("__leaks")
+    (told,) = free(docs, "__leaks")
+    return docs.withColumn(told, leaks(F.col(text_col))).filter(~F.col(told)).drop(told)

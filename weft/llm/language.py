@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import prepare
+from weft.llm.common import free, prepare
 
 DIMENSIONS = 1024
 SEED = 20240607
@@ -196,5 +196,6 @@ def identify(df: DataFrame, profiles: Profiles, *, text_col: str = "text") -> Da
         names, scores = profiles.predict([x if isinstance(x, str) else None for x in texts])
         return pd.DataFrame({"lang": pd.Series(names, dtype=object), "score": scores})
 
-    found = df.withColumn("__p", predict(F.col(text_col)))
-    return found.withColumns({"lang_pred": F.col("__p.lang"), "lang_score": F.col("__p.score")}).drop("__p")
+    (told,) = free(df, "__p")
+    found = df.withColumn(told, predict(F.col(text_col)))
+    return found.withColumns({"lang_pred": F.col(f"{told}.lang"), "lang_score": F.col(f"{told}.score")}).drop(told)

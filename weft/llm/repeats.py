@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weft.llm.common import prepare, written
+from weft.llm.common import free, prepare, written
 
 #: Words that a run of neighbouring repeats must have in all to be removed where they are not whole lines.
 MIN_WORDS = 25
-#: Words that a whole line must have to be removed, if a caller does not choose; op4_repeats has no such floor.
-LINE_WORDS = 3
+#: Words that a whole line must have to be removed: every repeated line goes unless a caller chooses a floor.
+LINE_WORDS = 1
 #: Digests that occur so often that their first place is broadcast instead of dealt, the most frequent, and how many at most (40 bytes each).
 HOT, HOT_DIGESTS = 1000, 100_000
 _STOP = re.compile(r"(?<![.!?])[.!?]++(?=\s|\Z)")
@@ -118,8 +118,8 @@ def repeated_units(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """One row a removed unit: doc_id, unit, start_char, end_char, n_words, run_words, kept_doc_id, kept_start, text_key, kept_key (xxhash64 of the texts).
 
     A unit is removed in a repeated line of line_words words or more, or in a run of min_words.
-    Null, empty and wordless texts have no units. Ranks: lowest id first (null first), then the text's key, then place. Rows of one id and text that
-    repeat are one document; rows of one id with different texts, or of null ids, are documents of their own. Other columns are ignored; an empty table gives no rows.
+    Null, empty and wordless texts have no units. Ranks: lowest id first (null first), then the text's key, then place. Rows that
+    repeat, of one id or of null ids, with one text, are one document and keep or lose the same; rows of one id, or of null ids, with different texts are documents of their own. Other columns are ignored; an empty table gives no rows.
     """
     again = repeats(df, id_col=id_col, text_col=text_col).repartition("doc_id", "key").dropDuplicates(["doc_id", "key", "unit", "units"])
     # the end of the last repeated line that begins at or before a unit; lines come before their units
@@ -135,13 +135,14 @@ def repeated_units(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def remove(df: DataFrame, removed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with the removed spans cut from its texts; a null text stays null."""
-    spans = removed.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.array_sort(F.collect_list(F.struct(F.col("start_char").alias("s"), F.col("end_char").alias("e")))).alias("__spans"))
+    own_id, own_key, cuts = free(df, "__id", "__key", "__spans")
+    spans = removed.groupBy(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)).agg(F.array_sort(F.collect_list(F.struct(F.col("start_char").alias("s"), F.col("end_char").alias("e")))).alias(cuts))
     text = F.col(text_col)
     cut = F.aggregate(
-        "__spans",
+        cuts,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, s: F.struct(s.e.alias("at"), F.concat(a.out, F.substring(text, a.at + 1, s.s - a.at)).alias("out")),
         lambda a: F.concat(a.out, F.substring(text, a.at + 1, F.char_length(text))),
     )
-    found = df.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__key")), "left")
-    return found.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(cut)).drop("__spans", "__id", "__key")
+    found = df.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_key)), "left")
+    return found.withColumn(text_col, F.when(F.col(cuts).isNull(), text).otherwise(cut)).drop(cuts, own_id, own_key)

@@ -17,7 +17,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import few, written
+from weft.llm.common import few, free, written
 
 
 @dataclass(frozen=True)
@@ -158,7 +158,7 @@ def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "tex
     Null texts have none. Rows keep all their columns (a column called secrets is replaced). The index goes by the hash of the text, so that equal
     texts share an entry and no id, null or not, matters; every row is verified by itself. An empty table stays empty.
     """
-    key, found = "__key", "__kinds"
+    key, found, *spans = free(df, "__key", "__kinds", *[f"__s{k}" for k in range(len(rules))])
     keyed = df.withColumn(key, F.xxhash64(text_col))
     met = written(candidates(index(keyed.select(key, text_col), rules, key=key, text_col=text_col), rules, key=key), "candidates")
     joined = keyed.join(few(met.withColumnRenamed("kinds", found)), key, "left")
@@ -166,12 +166,12 @@ def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "tex
     none = F.array().cast("array<struct<start:int,end:int>>")
     for k, rule in enumerate(rules):
         got = spans_of(text, rule)
-        joined = joined.withColumn(f"__s{k}", got if not trigrams(rule) else F.when(F.array_contains(found, rule.kind), got).otherwise(none))
-    numbered = lambda k: F.transform(F.col(f"__s{k}"), lambda s: F.struct(s.start.alias("start"), F.lit(k).alias("rule"), s.end.alias("end")))
+        joined = joined.withColumn(spans[k], got if not trigrams(rule) else F.when(F.array_contains(found, rule.kind), got).otherwise(none))
+    numbered = lambda k: F.transform(F.col(spans[k]), lambda s: F.struct(s.start.alias("start"), F.lit(k).alias("rule"), s.end.alias("end")))
     every = F.concat(*[numbered(k) for k in range(len(rules))])
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     out = F.transform(F.array_sort(every), lambda s: F.struct(F.get(kinds, s.rule).alias("kind"), s.start.alias("start"), s.end.alias("end")))
-    return joined.withColumn("secrets", out).drop(key, found, *[f"__s{k}" for k in range(len(rules))])
+    return joined.withColumn("secrets", out).drop(key, found, *spans)
 
 
 def listed(spans: Column) -> Column:
