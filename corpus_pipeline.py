@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import decontaminate, language, near_join, packing, secrets
-from weft.llm.common import documents, few, written
+from weft.llm.common import discard, documents, few, free, written
 from weft.llm.queries import vocabulary
 
 
@@ -29,11 +29,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     kept = written(rows.filter("root is not null").groupBy("root").agg(F.min(place).alias("kept")), "kept")
     linked = written(rows.filter("root is not null").groupBy("root", "doc_id", "key").agg(F.count("*").alias("n")), "linked").join(kept, "root")
     marked = written(linked.select("doc_id", "key", "n", (F.col("key").eqNullSafe(F.col("kept.key")) & F.col("doc_id").eqNullSafe(F.col("kept.doc_id"))).alias("stays")).filter("n > 1 or not stays"), "marked")
-    named = few(marked).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("stays").alias("__stays"))
-    found = docs.withColumn("__text", F.xxhash64("text")).join(named, (F.col("__text") == F.col("__key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
-    once = found.filter("__stays is null").select(*docs.columns)
-    again = found.filter("__stays").select(*docs.columns, F.col("__key"))
-    return once.unionByName(again.dropDuplicates(["doc_id", "__key"]).select(*docs.columns)) if not marked.filter("stays").isEmpty() else once
+    own_id, own_key, stays, text = free(docs, "__id", "__key", "__stays", "__text")
+    named = few(marked).select(F.col("doc_id").alias(own_id), F.col("key").alias(own_key), F.col("stays").alias(stays))
+    found = docs.withColumn(text, F.xxhash64("text")).join(named, (F.col(text) == F.col(own_key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)), "left")
+    once = found.filter(F.col(stays).isNull()).select(*docs.columns)
+    again = found.filter(F.col(stays)).select(*docs.columns, own_key)
+    return once.unionByName(again.dropDuplicates(["doc_id", own_key]).select(*docs.columns)) if not marked.filter("stays").isEmpty() else once
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +44,9 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the texts, and n_chars follows; every document stays."""
-    found = secrets.scan(docs)
-    held = F.size("secrets") > 0
-    masked = secrets.redact(found.withColumn("__held", held))
-    return masked.withColumn("n_chars", F.when(F.col("__held"), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    (held,) = free(docs, "__held")
+    masked = secrets.redact(secrets.scan(docs).withColumn(held, F.size("secrets") > 0))
+    return masked.withColumn("n_chars", F.when(F.col(held), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,9 +66,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, f"stage{k}")
+            if before is not None:  # no later plan reads it
+                discard(before)
+            before = docs
     return docs
