@@ -4,7 +4,7 @@ One warm-up query, then each query RUNS times, the median counts. value: the sum
 files, and, if they are there, the training-data operators (once each).
 """
 
-import importlib.util
+import contextlib
 import json
 import os
 import time
@@ -23,7 +23,7 @@ def main() -> None:
     from weft.plans.catalogue import QUERIES
 
     queries, names = dict(QUERIES), [*HEADLINE, *FILES]
-    if importlib.util.find_spec("weft.llm"):
+    with contextlib.suppress(ModuleNotFoundError):
         from weft.llm.queries import QUERIES as LLM
 
         queries |= LLM
