@@ -146,7 +146,7 @@ def test_unique_join_cuts_at_the_separator(spark):
     df = spark.createDataFrame([(1, k, v) for k, v in enumerate(["a|b", "b", "", "c|a", "c"])], "k int, o long, v string")
     t = from_df(df, "x.csv", order="o", columns=["k", "v"]).with_mapping("v", aggregate="UniqueJoin")
     options = MergeOptions("Consolidate", key_columns=("k",), text_join_separator="|")
-    assert merge([t], options, exact_fold=True).first().v == "a|b|c|a|c".replace("|a|c", "|a")  # c is a part of the value put in before
+    assert merge([t], options, exact_fold=True).first().v == "a|b|c|a"  # the last c is a part of the value put in before
     assert merge([t], options).first().v == "a|b|b|c|a|c"
 
 

@@ -154,7 +154,7 @@ def consolidate_text_join(spark, sf_dir):
     return merge([c], MergeOptions("Consolidate", key_columns=("conv_id",)))
 
 
-@query(f"""SELECT "Nation", "Segment", count(*) > 0 AS _x, CAST(sum("Key") AS DECIMAL(38,0)) AS "Key" FROM {_BOTH} GROUP BY "Nation", "Segment" """.replace("count(*) > 0 AS _x, ", ""))
+@query(f"""SELECT "Nation", "Segment", CAST(sum("Key") AS DECIMAL(38,0)) AS "Key" FROM {_BOTH} GROUP BY "Nation", "Segment" """)
 def consolidate_multi_key_multi_table(spark, sf_dir):
     tables = [t.with_mapping(t.headers[0], aggregate="Sum", target_name="Key") for t in (_customer(spark, sf_dir), _supplier(spark, sf_dir))]
     return merge(tables, MergeOptions("Consolidate", key_columns=("Segment", "Nation"))).select("Nation", "Segment", "Key")

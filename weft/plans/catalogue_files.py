@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import tempfile
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weft import settings
@@ -15,6 +14,7 @@ from weft.functions.text import double_text, integer_of, number_of
 from weft.model import SOURCE_FILE, MergeOptions, SourceTable, load_scheme, save_scheme
 from weft.operators import profile
 from weft.operators.merge import by_workbook, from_df, merge, preview
+from weft.operators.similar_names import alike
 from weft.plans.catalogue import _BOTH, _customer, _events, _orders, _supplier, query, table
 from weft.plans.headers import combine_header_rows, common_keys, normalize_headers, output_plan, recommend_header, similar_pairs, suggest_mappings
 from weft.sources import catalog, delimited, discovery, stores, workbook
@@ -32,7 +32,9 @@ def _values(rows: list[tuple], *names: str) -> str:
 def _csv(df: DataFrame, path: str, sep: str = ",") -> str:
     """df as one CSV file with a header."""
     df.coalesce(1).write.csv(f"{path}.parts", sep=sep, header=True, escape='"')
-    os.replace(glob.glob(f"{path}.parts/part-*.csv")[0], path)
+    (part,) = (p for p in stores.files(f"{path}.parts") if p.endswith(".csv"))
+    stores.moved(part, path)
+    stores.deleted(f"{path}.parts")
     return path
 
 
@@ -165,23 +167,58 @@ def number_parsing(spark, sf_dir):
 
 # headers and plans
 
-_NAMES = [" A", "a", "", "﻿B", "A_2", None, "b "]
+def _cut(rows: DataFrame, key: str, names: str) -> DataFrame:
+    """(table, k, name): the rows' names as the header of a table for each 500 keys, in order of key."""
+    place = F.row_number().over(W.partitionBy("table").orderBy(key))
+    return rows.withColumn("table", F.floor(F.col(key) / 500)).withColumn("k", place).select("table", "k", F.col(names).alias("name"))
 
 
-@query(_values([(k, n) for k, n in enumerate(["A", "a_2", "未命名列3", "B", "A_2_2", "未命名列6", "b_2"])], "place", "name"))
+def _by_table(names: DataFrame, made) -> DataFrame:
+    """(table, k, name) of what made(rows of names, in order) gives for each table; a table has as many columns as a sheet at most."""
+
+    def headers(rows):
+        rows = rows.sort_values("k")
+        found = made(rows)
+        return pd.DataFrame({"table": rows["table"].iloc[0] if len(rows) else 0, "k": range(1, len(found) + 1), "name": found})
+
+    return names.groupBy("table").applyInPandas(headers, "table long, k int, name string")
+
+
+_SEGMENTS = """(SELECT c_custkey // 500 AS t, row_number() OVER (PARTITION BY c_custkey // 500 ORDER BY c_custkey) AS k,
+CASE WHEN c_custkey % 9 = 0 THEN '' WHEN c_custkey % 5 = 0 THEN '  ' || lower(c_mktsegment) ELSE c_mktsegment END AS raw FROM customer)"""
+
+
+def _segments(spark, sf_dir) -> DataFrame:
+    key = F.col("c_custkey")
+    raw = F.when(key % 9 == 0, "").when(key % 5 == 0, F.concat(F.lit("  "), F.lower("c_mktsegment"))).otherwise(F.col("c_mktsegment"))
+    return _cut(table(spark, sf_dir, "customer").withColumn("raw", raw), "c_custkey", "raw")
+
+
+@query(f"""SELECT t AS "table", k, CASE WHEN n = 1 THEN base ELSE base || '_' || n END AS name FROM
+(SELECT *, row_number() OVER (PARTITION BY t, lower(base) ORDER BY k) AS n FROM (SELECT *, CASE WHEN trim(raw) = '' THEN '未命名列' || k ELSE trim(raw) END AS base FROM {_SEGMENTS}))""")
 def header_normalising(spark, sf_dir):
-    return _rows(spark, list(enumerate(normalize_headers(_NAMES))), "place int, name string")
+    """Names of 500 columns a table, many alike, some blank."""
+    return _by_table(_segments(spark, sf_dir), lambda rows: normalize_headers(list(rows["name"])))
 
 
-@query(_values([(0, "2024 / Q1"), (1, "2024 / Q2"), (2, "Note"), (3, "未命名列4")], "place", "name"))
+@query(f"""SELECT t AS "table", k, CASE WHEN n = 1 THEN base ELSE base || '_' || n END AS name FROM
+(SELECT *, row_number() OVER (PARTITION BY t, lower(base) ORDER BY k) AS n FROM (SELECT *, CASE WHEN trim(raw) = '' THEN 'Q' || (k % 4) WHEN trim(raw) = 'Q' || (k % 4) THEN trim(raw) ELSE trim(raw) || ' / Q' || (k % 4) END AS base FROM {_SEGMENTS}))""")
 def header_of_two_rows(spark, sf_dir):
-    return _rows(spark, list(enumerate(combine_header_rows([["2024", " 2024", "Note"], ["Q1", "Q2", "Note ", " "]]))), "place int, name string")
+    """Headers of two rows, put together."""
+    return _by_table(_segments(spark, sf_dir), lambda rows: combine_header_rows([list(rows["name"]), [f" Q{k % 4}" for k in rows["k"]]]))
 
 
-@query(_values([(0, 1), (1, 0), (2, 0), (3, 2)], "sample", "place"))
+@query("""SELECT t AS "table", 1 AS k, CAST(CASE WHEN t % 3 = 0 THEN 1 WHEN t % 3 = 1 THEN 0 ELSE 2 END AS VARCHAR) AS name FROM (SELECT DISTINCT s_suppkey // 500 AS t FROM supplier UNION SELECT DISTINCT c_custkey // 500 FROM customer)""")
 def header_recommending(spark, sf_dir):
-    samples = [[["Report"], ["id", "name"], ["1", "x"]], [["a", "a2", ""], ["2024-01-01", "10:00", "x-1"]], [], [["", ""], ["1", "2"], ["key", "value"], ["3", "4"]]]
-    return _rows(spark, [(k, recommend_header(s)) for k, s in enumerate(samples)], "sample int, place int")
+    """Where a header stands, below no, one or two title rows, over rows of a table."""
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    both = c.select(F.col("c_custkey").alias("key"), F.concat_ws("|", "c_custkey", "c_acctbal", "c_nationkey").alias("line")).unionByName(s.select(F.col("s_suppkey").alias("key"), F.concat_ws("|", "s_suppkey", "s_acctbal", "s_nationkey").alias("line")))
+
+    def place(rows) -> list[str]:
+        titles = {0: [["Report"]], 1: [], 2: [["Report"], ["2024", ""]]}[int(rows["table"].iloc[0]) % 3]
+        return [str(recommend_header([*titles, ["key", "balance", "nation"], *[x.split("|") for x in rows["name"][:18]]]))]
+
+    return _by_table(_cut(both, "key", "line"), place)
 
 
 def _three(spark, sf_dir) -> list[SourceTable]:
@@ -208,6 +245,14 @@ def plan_headers(spark, sf_dir):
     return _rows(spark, list(enumerate(plan.headers)), "place int, name string")
 
 
+@query("""SELECT a.page_id AS a, b.page_id AS b, 1 - levenshtein(a.url, b.url) / greatest(length(a.url), length(b.url)) AS score FROM pages a JOIN pages b ON a.page_id < b.page_id
+WHERE 1 - levenshtein(a.url, b.url) / greatest(length(a.url), length(b.url)) >= 0.8""")
+def similar_names(spark, sf_dir):
+    """Pairs of alike names, by segments."""
+    found = alike(table(spark, sf_dir, "pages").select(F.col("page_id").cast("int").alias("id"), F.col("url").alias("name")), 0.8)
+    return found.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "score")
+
+
 # files
 
 
@@ -238,13 +283,13 @@ def xlsx_roundtrip(spark, sf_dir):
 
 
 def _folder(spark, sf_dir) -> str:
-    folder = tempfile.mkdtemp()
+    folder = stores.shared(spark, "folder")
     _csv(table(spark, sf_dir, "nation").orderBy("n_nationkey"), f"{folder}/Nation.csv")
     _csv(table(spark, sf_dir, "region").orderBy("r_regionkey"), f"{folder}/region.tsv", sep="\t")
     workbook.write(table(spark, sf_dir, "supplier").orderBy("s_suppkey"), f"{folder}/supplier.xlsx")
     for name, text in (("~$region.csv", "x"), ("notes.txt", "x"), ("broken.xlsx", "not a workbook")):
-        with open(f"{folder}/{name}", "w") as f:
-            f.write(text)
+        with stores.created(f"{folder}/{name}") as f:
+            f.write(text.encode())
     return folder
 
 
@@ -264,33 +309,48 @@ def files_to_manual_merge(spark, sf_dir):
     return merge([discovery.load(spark, t) for t in tables], MergeOptions("Manual", include_source_file=True))
 
 
-_CSVS = {"a.csv": "title\nid,name\n1,x\n2,y\n", "b.csv": "id;v\n1;2\n3;4\n5;6\n", "c.csv": "p|q\n1|2\n3\n", "d.tsv": "k,x\tv\n1\t2\n", "e.csv": "".join(f"line {k}\n" for k in range(40))}
+def _written(spark, sf_dir, name: str, key: str, sep: str, titles: tuple[str, ...] = (), ragged: bool = False) -> list[str]:
+    """Three files of a table's rows, each with title rows, a header and its part of the rows."""
+    rows = table(spark, sf_dir, name)
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]
+    line = F.concat_ws(sep, *cells, *([F.when(F.col(key) % 10 == 9, "more")] if ragged else []))
+    top = spark.createDataFrame([(p, -10 + k, t) for p in range(3) for k, t in enumerate((*titles, sep.join(rows.columns)))], "part int, place long, line string")
+    every = rows.select((F.col(key) % 3).cast("int").alias("part"), F.col(key).cast("long").alias("place"), line.alias("line")).unionByName(top)
+    path = stores.shared(spark, name)
+    for p in range(3):
+        every.filter(F.col("part") == p).repartition(1).sortWithinPartitions("place").select("line").write.option("compression", "none").text(f"{path}/{p}")
+    return sorted(r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").collect())  # three files
 
 
-def _small_files() -> dict[str, str]:
-    folder = tempfile.mkdtemp()
-    for name, text in _CSVS.items():
-        with open(f"{folder}/{name}", "w") as f:
-            f.write(text)
-    return {name: f"{folder}/{name}" for name in _CSVS}
+def _scanned(spark, sf_dir) -> list[tuple[str, SourceTable]]:
+    """Files of three tables: after a title with commas, with semicolons, with bars and rows that are too long."""
+    out = []
+    for name, key, sep, titles, ragged in (("supplier", "s_suppkey", ",", ("suppliers",), False), ("customer", "c_custkey", ";", (), False), ("part", "p_partkey", "|", (), True)):
+        for path in _written(spark, sf_dir, name, key, sep, titles, ragged):
+            out.append((name, delimited.scan(path)[0]))
+    return out
 
 
-@query(_values([("a.csv", ",", 2, "id|name", 2, 1), ("b.csv", ";", 1, "id|v", 3, 0), ("c.csv", "|", 1, "p|q", 2, 1), ("d.tsv", "\t", 1, "k,x|v", 1, 0), ("e.csv", ",", 1, "line 0", 39, 0)], "file", "delimiter", "header_row", "headers", "n", "ragged"))
+@query("""SELECT 'supplier' AS name, ',' AS delimiter, 2 AS header_row, 's_suppkey|s_name|s_nationkey|s_acctbal' AS headers, count(*) AS n, 3 AS ragged FROM supplier
+UNION ALL SELECT 'customer', ';', 1, 'c_custkey|c_name|c_nationkey|c_acctbal|c_mktsegment', count(*), 0 FROM customer
+UNION ALL SELECT 'part', '|', 1, 'p_partkey|p_name|p_brand|p_type|p_size|p_retailprice', count(*), 3 FROM part""")
 def csv_inference(spark, sf_dir):
-    found = [delimited.scan(p)[0] for p in _small_files().values()]
-    rows = [(t.file_name, chr(t.kind["Csv"]["delimiter"]), t.header_row, "|".join(t.headers), t.estimated_rows, int(delimited.check_widths(t) is not None)) for t in found]
-    return _rows(spark, rows, "file string, delimiter string, header_row int, headers string, n int, ragged int")
+    rows = [(n, chr(t.kind["Csv"]["delimiter"]), t.header_row, "|".join(t.headers), t.estimated_rows, int(delimited.check_widths(t) is not None)) for n, t in _scanned(spark, sf_dir)]
+    found = _rows(spark, rows, "name string, delimiter string, header_row int, headers string, n long, ragged int")
+    return found.groupBy("name", "delimiter", "header_row", "headers").agg(F.sum("n").alias("n"), F.sum("ragged").cast("int").alias("ragged"))
 
 
-@query(_values([("a.csv", "title", 3), ("b.csv", "id / 1|v / 2", 2), ("e.csv", "line 29 / line 30", 9), ("failed", "1", 0)], "file", "headers", "n"))
+@query("""SELECT 'supplier' AS name, 'suppliers / s_suppkey' AS first, count(*) AS n, CAST(sum(s_acctbal) AS DECIMAL(38,2)) AS total FROM supplier UNION ALL
+SELECT 'failed', '3', 0, NULL""")
 def reload_headers(spark, sf_dir):
-    files = _small_files()
-    one, two, far = (delimited.scan(files[n])[0] for n in ("a.csv", "b.csv", "e.csv"))
-    again, warnings = catalog.reload_all([two, delimited.scan(files["d.tsv"])[0]], 3, 2)
-    again, said = catalog.reload_all([two], 1, 2)
-    far, _ = catalog.reload_all([far], 30, 2)
-    rows = [(t.file_name, "|".join(t.headers), t.estimated_rows) for t in (discovery.with_header(one, 1), *again, *far)]
-    return _rows(spark, [*rows, ("failed", str(len(warnings) + len(said)), 0)], "file string, headers string, n int")
+    """Another header for the files of a table, and their rows under it."""
+    files = _written(spark, sf_dir, "supplier", "s_suppkey", ",", ("suppliers",))
+    tables = [delimited.scan(f)[0] for f in files]
+    two, said = catalog.reload_all(tables, 1, 2)
+    _, failed = catalog.reload_all(tables, 1 << 40)
+    merged = merge([discovery.load(spark, t) for t in two], MergeOptions())
+    total = merged.select(F.lit("supplier").alias("name"), F.lit(two[0].headers[0]).alias("first"), F.col(f"`{two[0].headers[3]}`").cast("decimal(38,2)").alias("v")).groupBy("name", "first").agg(F.count("*").alias("n"), F.sum("v").cast("decimal(38,2)").alias("total"))
+    return total.unionByName(_rows(spark, [("failed", str(len(failed) + len(said)), 0, None)], "name string, first string, n long, total decimal(38,2)"))
 
 
 # checks
@@ -313,7 +373,7 @@ def preflight_report(spark, sf_dir):
     return profile.preflight(spark, tables, MergeOptions("Join", filter_column="nowhere", filter_text="x"))
 
 
-@query(_values([("customer.csv  /  CSV: 0",), ("supplier.csv  /  CSV: 1",), ("x.csv  /  CSV: 4",)], "detail").replace("('customer.csv  /  CSV: 0'), ", "('customer.csv  /  CSV: 3'), ").replace("CSV: 1')", "CSV: 4')"))
+@query(_values([("customer.csv  /  CSV: 3",), ("supplier.csv  /  CSV: 4",), ("x.csv  /  CSV: 4",)], "detail"))
 def missing_columns(spark, sf_dir):
     tables = [replace(t, kind="DataFrame", frame=None) for t in _three(spark, sf_dir)]
     return profile.preflight(spark, tables, MergeOptions()).filter("title = '字段不一致'").select("detail")
@@ -322,10 +382,10 @@ def missing_columns(spark, sf_dir):
 @query("SELECT 'text' AS key, '文本' AS kind, count(*) AS n FROM (SELECT text FROM documents ORDER BY doc_id LIMIT 100) WHERE trim(coalesce(text, '')) <> '' UNION ALL SELECT 'lang', '文本', count(*) FROM (SELECT lang FROM documents ORDER BY doc_id LIMIT 100) WHERE trim(coalesce(lang, '')) <> ''")
 def null_profile(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return profile.cell_kinds(from_df(d, "d.csv", order="doc_id", columns=["text", "lang"])).groupBy("key", F.lit("文本").alias("kind")).agg(F.sum("n").alias("n"))
+    return profile.cell_kinds(from_df(d, "d.csv", order="doc_id", columns=["text", "lang"])).groupBy("key", "kind").agg(F.sum("n").alias("n"))
 
 
-@query(_values([("key", 2, "key", 1), ("Name", 1, "Name", 1), ("NAME", 1, "NAME", 1), ("Key", 1, "Key", 1), ("nation", 1, "nation", 1), ("Nation", 1, "Nation", 1), ("Segment", 1, "Segment", 1), ("Balance", 1, "Balance", 1), ("balance", 1, "balance", 1), ("Nane", 1, "Nane", 1), ("Natoin", 1, "Natoin", 1), ("Other", 1, "Other", 0)], "name", "n", "target", "enabled").replace("('key', 2, 'key', 1)", "('key', 2, NULL, 1)"))
+@query(_values([("key", 2, None, 1), ("Name", 1, "Name", 1), ("NAME", 1, "NAME", 1), ("Key", 1, "Key", 1), ("nation", 1, "nation", 1), ("Nation", 1, "Nation", 1), ("Segment", 1, "Segment", 1), ("Balance", 1, "Balance", 1), ("balance", 1, "balance", 1), ("Nane", 1, "Nane", 1), ("Natoin", 1, "Natoin", 1), ("Other", 1, "Other", 0)], "name", "n", "target", "enabled"))
 def field_groups(spark, sf_dir):
     groups = discovery.field_groups(discovery.set_field(_three(spark, sf_dir), "Other", enabled=False))
     return _rows(spark, [(g["name"], g["count"], g["target_name"], int(g["enabled"])) for g in groups], "name string, n int, target string, enabled int")
@@ -353,7 +413,7 @@ def catalog_edits(spark, sf_dir):
     sources = lambda rows: ",".join(r.mapping.source_name for r in rows)
     issue = _rows(spark, [("Error", "t", "d")], "level string, title string, detail string")
     name, tables, _ = load_scheme(save_scheme("job", three, MergeOptions()))
-    kept = discovery.with_header(delimited.scan(_small_files()["b.csv"])[0].with_mapping("v", transform="Trim"), 1)
+    kept = discovery.with_header(delimited.scan(_written(spark, sf_dir, "region", "r_regionkey", ";")[0])[0].with_mapping("r_name", transform="Trim"), 1)
     results = [
         shown(discovery.appended([c, b], [a, replace(c, enabled=False)])), shown(discovery.search(every, "B a")), on(catalog.set_enabled(every, False, path="a")), on(catalog.toggle(every, "a", "A")),
         shown(catalog.removed(every, "a")), shown(catalog.removed(every, "a", "A")), ",".join(f"{k}:{len(v)}" for k, v in catalog.grouped(every).items()), shown(by_workbook([a, c, b])),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weft.functions.text import as_text
 from weft.model import MergeOptions, SourceTable, load_scheme, save_scheme
 from weft.operators.merge import ROW
-from weft.sources import delimited, workbook
+from weft.sources import delimited, stores, workbook
 
 EXTENSIONS = ("csv", "tsv", "xlsx", "xlsm", "xls", "xlsb", "ods")
 #: Files scanned at a time.
@@ -26,8 +26,8 @@ def supported(path: str) -> bool:
 
 
 def collect(folder: str) -> list[str]:
-    found = [os.path.join(d, n) for d, _, names in os.walk(folder, followlinks=False, onerror=lambda e: None) for n in names]
-    return sorted(filter(supported, found), key=str.lower)
+    """The supported files below a local folder or one of a store."""
+    return sorted(filter(supported, stores.files(folder)), key=str.lower)
 
 
 def scan_file(path: str, **header) -> tuple[list[SourceTable], list[str]]:
@@ -105,10 +105,10 @@ def load(spark: SparkSession, table: SourceTable) -> SourceTable:
 
 def with_header(table: SourceTable, header_row: int, header_rows: int = 1) -> SourceTable:
     """The table with another header; mappings of columns whose names remain are kept."""
-    more = {} if isinstance(table.kind, dict) else {"sheet": table.sheet_name}
     if isinstance(table.kind, dict):
-        more["delimiter"] = chr(table.kind["Csv"]["delimiter"])
-    new = scan_file(table.path, header_row=header_row, header_rows=header_rows, **more)[0][0]
+        new = delimited.scan(table.path, delimiter=chr(table.kind["Csv"]["delimiter"]), header_row=header_row, header_rows=header_rows)[0]
+    else:
+        new = workbook.scan(table.path, sheet=table.sheet_name, header_row=header_row, header_rows=header_rows)[0]
     old = {m.source_name: m for m in table.mappings}
     mappings = tuple(replace(old[m.source_name], source_index=m.source_index) if m.source_name in old else m for m in new.mappings)
     return replace(new, enabled=table.enabled, suggested_header_row=table.suggested_header_row, mappings=mappings)

@@ -27,8 +27,8 @@ def _hadoop(path: str):
 
 class _Stored(io.RawIOBase):
     def __init__(self, path: str):
-        files, where = _hadoop(path)
-        self.stream = files.open(where)
+        store, where = _hadoop(path)
+        self.stream = store.open(where)
 
     def readable(self) -> bool:
         return True
@@ -60,23 +60,34 @@ def opened(path: str) -> io.BufferedIOBase:
 def exists(path: str) -> bool:
     if not is_stored(path):
         return os.path.exists(path)
-    files, where = _hadoop(path)
-    return files.exists(where)
+    store, where = _hadoop(path)
+    return store.exists(where)
 
 
 def size(path: str) -> int:
     if not is_stored(path):
         return os.path.getsize(path)
-    files, where = _hadoop(path)
-    return files.getFileStatus(where).getLen()
+    store, where = _hadoop(path)
+    return store.getFileStatus(where).getLen()
+
+
+def files(folder: str) -> list[str]:
+    """All files below a folder; of local ones no links to folders are followed, and folders that cannot be read have none."""
+    if not is_stored(folder):
+        return [os.path.join(d, n) for d, _, names in os.walk(folder, followlinks=False, onerror=lambda e: None) for n in names]
+    store, where = _hadoop(folder)
+    found, out = store.listFiles(where, True), []
+    while found.hasNext():
+        out.append(found.next().getPath().toString())
+    return out
 
 
 class _Created(io.RawIOBase):
     """A new file that is written from its start to its end."""
 
     def __init__(self, path: str):
-        files, where = _hadoop(path)
-        self.stream, self.place = files.create(where, True), 0
+        store, where = _hadoop(path)
+        self.stream, self.place = store.create(where, True), 0
 
     def writable(self) -> bool:
         return True
@@ -104,11 +115,11 @@ def moved(path: str, to: str) -> None:
     if not is_stored(path):
         os.replace(path, to)
         return
-    files, where = _hadoop(path)
+    store, where = _hadoop(path)
     target = _hadoop(to)[1]
-    if files.exists(target):
-        files.delete(target, False)
-    if not files.rename(where, target):
+    if store.exists(target):
+        store.delete(target, False)
+    if not store.rename(where, target):
         raise OSError(f"{path} could not be renamed to {to}")
 
 
@@ -118,8 +129,8 @@ def deleted(path: str) -> None:
         if os.path.exists(path):
             os.remove(path)
         return
-    files, where = _hadoop(path)
-    files.delete(where, True)
+    store, where = _hadoop(path)
+    store.delete(where, True)
 
 
 def shared(spark: SparkSession, name: str) -> str:
