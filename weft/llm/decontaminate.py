@@ -25,13 +25,16 @@ from weft.llm.common import discard, free, partitions, prepare, written
 from weft.llm.hashing import M3, PIECE, odd_values, runs
 
 BUCKETS = 1 << 14
-RANK = 32
+#: Rank of the latent space; columns more that the random start has, and products with the Gram matrix after the first.
+RANK, OVERSAMPLING, POWERS = 64, 8, 1
 PASSAGE = 64
 #: Windows begin at each block of STEP words; an item is looked for in windows of the first size that holds it wherever in the first block it starts.
 STEP = 16
 COSINE = 0.3
 #: Share of an item's words in the longest common subsequence; for paraphrases, and of the answer's words then.
 SAME, PARAPHRASE, ANSWER = 0.75, 0.6, 0.9
+#: The share for a window whose cosine is at least CLOSE: a paraphrase in other words, of an item whose answer has so many words.
+LOOSE, CLOSE, LOOSE_ANSWER = 0.4, 0.65, 5
 #: Cells of a matrix that a search holds at a time, and characters of texts that are searched together.
 CELLS = 1_000_000
 CHARACTERS_AT_ONCE = 500_000
@@ -193,17 +196,35 @@ def _gram(ids: np.ndarray, first: np.ndarray, weights: np.ndarray, weighted: np.
 
 
 def singular_vectors(tokens: DataFrame, items: list[list[str]], weights: np.ndarray, passages: int, *, rank: int = RANK, seed: int = SEED) -> np.ndarray:
-    """Leading right singular vectors (buckets x rank) of all passages, documents and benchmark weighing alike in sum."""
-    random = np.random.default_rng(seed).standard_normal((BUCKETS, rank)).astype(np.float32)
+    """Leading right singular vectors (buckets x rank) of all passages, documents and benchmark weighing alike in sum.
+
+    Randomised subspace iteration: the Gram matrix of the passages times a random matrix of some columns more than the rank, the result made orthonormal and multiplied again,
+    each time by one pass over all passages; a Nystroem step on the last product gives the vectors.
+    """
+    start = np.random.default_rng(seed).standard_normal((BUCKETS, rank + OVERSAMPLING)).astype(np.float32)
+    for _ in range(POWERS):
+        start = np.linalg.qr(_gram_times(tokens, items, weights, passages, start))[0].astype(np.float32)
+    product = _gram_times(tokens, items, weights, passages, start)
+    shift = 1e-7 * np.linalg.norm(product) + 1e-12
+    shifted = product + shift * start
+    core = start.T.astype(np.float64) @ shifted
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    factor = shifted @ (vectors / np.sqrt(np.maximum(values, 1e-9 * max(values.max(), 1e-12))))
+    return np.linalg.svd(factor, full_matrices=False)[0][:, :rank].astype(np.float32)
+
+
+def _gram_times(tokens: DataFrame, items: list[list[str]], weights: np.ndarray, passages: int, matrix: np.ndarray) -> np.ndarray:
+    """The passages' Gram matrix times a matrix; tasks add up their passages, parts of rows are added up by tasks again."""
     schema = pa.schema([("part", pa.int32()), ("data", pa.binary())])
-    size = 512
-    weighted = _with_none(random * weights[:, None])
+    size, columns = 512, matrix.shape[1]
+    weighted = _with_none(matrix * weights[:, None])
+    held = tokens.sparkSession.sparkContext.broadcast((weights, weighted))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((BUCKETS, rank), np.float32)
+        out = np.zeros((BUCKETS, columns), np.float32)
         for batch in batches:
             for ids, first in zip(*batch.columns):
-                _gram(np.frombuffer(ids.as_buffer(), "<u2"), np.frombuffer(first.as_buffer(), "<i4"), weights, weighted, out)
+                _gram(np.frombuffer(ids.as_buffer(), "<u2"), np.frombuffer(first.as_buffer(), "<i4"), *held.value, out)
         parts = range(BUCKETS // size)
         yield pa.record_batch([pa.array(list(parts), pa.int32()), pa.array([out[p * size : (p + 1) * size].tobytes() for p in parts], pa.binary())], schema=schema)
 
@@ -215,23 +236,17 @@ def singular_vectors(tokens: DataFrame, items: list[list[str]], weights: np.ndar
         if sums:
             yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], schema=schema)
 
-    product = np.zeros((BUCKETS, rank))
+    product = np.zeros((BUCKETS, columns))
     chunks = tokens.filter("bucket is null").select("ids", "first")
     summed = chunks.mapInArrow(task, "part int, data binary").repartition(min(32, partitions(tokens.sparkSession)), "part").mapInArrow(add, "part int, data binary")
     for row in summed.collect():  # the fixed size of one matrix
-        product[row.part * size : (row.part + 1) * size] = np.frombuffer(row.data).reshape(size, rank)
+        product[row.part * size : (row.part + 1) * size] = np.frombuffer(row.data).reshape(size, columns)
     product /= max(1, passages)
-    own = np.zeros((BUCKETS, rank), np.float32)
+    own = np.zeros((BUCKETS, columns), np.float32)
     for words in items:
         if words:
             _gram(_ids(words), np.array([0]), weights, weighted, own)
-    product += own / max(1, len(items))
-    shift = 1e-7 * np.linalg.norm(product) + 1e-12
-    shifted = product + shift * random
-    core = random.T.astype(np.float64) @ shifted
-    values, vectors = np.linalg.eigh((core + core.T) / 2)
-    factor = shifted @ (vectors / np.sqrt(np.maximum(values, 1e-9 * max(values.max(), 1e-12))))
-    return np.linalg.svd(factor, full_matrices=False)[0].astype(np.float32)
+    return product + own / max(1, len(items))
 
 
 def common(one: Sequence, two: Sequence) -> int:
@@ -260,10 +275,13 @@ class Item:
     id: int | None
     words: tuple[str, ...]
     answer: tuple[str, ...]
-    #: Buckets of the words, the distinct ones, and how many of these a candidate must show: as few as hold PARAPHRASE of the words
+    #: Buckets of the words, the distinct ones, and how many of these a candidate must show, by the share of the words that it must hold
     buckets: tuple[int, ...]
     distinct: frozenset[int]
-    fewest: int
+    fewest: dict[float, int]
+    #: Distinct buckets of the answer's words, and how many of them hold ANSWER of these
+    ending: frozenset[int]
+    fewest_ending: int
 
     @property
     def size(self) -> int:
@@ -280,9 +298,11 @@ class Index:
     vectors: np.ndarray
     #: (blocks of a window, blocks that hold a match which begins in the first of them, places of the items for which this holds)
     sizes: tuple[tuple[int, int, np.ndarray], ...]
-    #: For each bucket the range of its entries in holders (places of items that count it), and how many counted words a match and a copy hold at least
+    #: For each bucket the range of its entries in holders (places of items that count it), and how many counted words a loose match (none, if the answer is too
+    #: short for one), a paraphrase and a copy hold at least
     ranges: np.ndarray
     holders: np.ndarray
+    loose: np.ndarray
     least: np.ndarray
     copies: np.ndarray
     #: Items of fewer than LEAST_WORDS words, by their words, and the buckets of their first ones
@@ -342,7 +362,8 @@ class Index:
             item, at = self.items[k], int(start[d])
             high = min(at + int(lengths[d]), low + STEP + item.size)
             shown = ids[low:high].tolist()
-            if len(item.distinct.intersection(shown)) < item.fewest or common(item.buckets, shown) < PARAPHRASE * len(item.words):
+            share = self._share(item, near, shown)
+            if len(item.distinct.intersection(shown)) < item.fewest[share] or common(item.buckets, shown) < share * len(item.words):
                 continue
             if of != d:
                 text_words, of = words_of(texts[places[d]]), d
@@ -350,20 +371,28 @@ class Index:
             for place in range(low - at, max(low - at + 1, high - at - item.size + step), step):
                 part = text_words[place : min(high - at, place + item.size)]
                 same = common(item.words, part)
-                if same >= SAME * len(item.words) or same >= PARAPHRASE * len(item.words) and len(item.answer) >= 3 and common(item.answer, part) >= ANSWER * len(item.answer):
+                if same >= SAME * len(item.words) or same >= share * len(item.words) and common(item.answer, part) >= ANSWER * len(item.answer):
                     found = (same, near, -place, place + len(part))
                     if (d, k) not in best or found > best[d, k]:
                         best[d, k] = found
         return [(places[d], self.items[k].id, c, same, -lo, hi, len(self.items[k].words)) for (d, k), (same, c, lo, hi) in sorted(best.items())]
 
+    @staticmethod
+    def _share(item: Item, cosine: float, shown: list[int]) -> float:
+        """Share of an item's words that a window must hold in order: less with the item's answer than without, and least if it is close."""
+        if len(item.answer) < 3 or len(item.ending.intersection(shown)) < item.fewest_ending:
+            return SAME
+        return LOOSE if cosine >= CLOSE and len(item.answer) >= LOOSE_ANSWER else PARAPHRASE
+
     def _candidates(self, ids: np.ndarray, first: np.ndarray, end: np.ndarray, doc: np.ndarray, least: float) -> tuple[np.ndarray, ...]:
         """(item, text, first word, cosine) of windows near an item. end, doc: of each block, the end of its text's blocks and the text.
 
-        A match keeps PARAPHRASE of an item's words, so a window must hold as many words that are the item's; of its commonest words, which are not
-        counted, all may be among them. That is told by counts, for all windows and items. Only windows that do are projected. They are candidates if close enough to the item, or if they hold so many of its words that
-        they may be a copy.
+        All windows are projected and compared with all items; those close enough to an item are its candidates. Windows that hold so many of an item's words that they may be a copy are
+        candidates whatever their cosine. What could not pass the comparison word by word is left out of the candidates by exact counts: a match keeps a share of an item's words, and
+        of its commonest words, which are not counted, all may be among them.
         """
-        total = None
+        sums = _sums(self.projection, ids, np.diff(np.append(first, len(ids))), STEP)
+        total = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
         every = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         reach, rows, n = max(x[1] for x in self.sizes), max(64, min(4096, CELLS // len(self.items))), len(self.items)
         for at in range(0, len(first), rows):
@@ -380,19 +409,12 @@ class Index:
             np.cumsum(cells, axis=0, out=cells)
             starts = np.arange(min(rows, len(first) - at))
             for blocks, held, members in self.sizes:
-                shown = cells[np.minimum(starts + held, end[at + starts] - at)][:, members] - cells[starts][:, members]
-                w, m = np.nonzero(shown >= self.least[members])
-                if not len(w):
-                    continue
-                item, block = members[m], at + w
-                if total is None:
-                    sums = _sums(self.projection, ids, np.diff(np.append(first, len(ids))), STEP)
-                    total = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
-                windows = total[np.minimum(block + blocks, end[block])] - total[block]
+                windows = (total[np.minimum(at + starts + blocks, end[at + starts])] - total[at + starts]).astype(np.float32)
                 windows /= np.maximum(np.sqrt(np.einsum("ij,ij->i", windows, windows)), 1e-9)[:, None]
-                cosine = np.einsum("ij,ij->i", windows, self.vectors[item])
-                use = (cosine >= least) | (shown[w, m] >= self.copies[item])
-                every.append((item[use], block[use], cosine[use]))
+                cosine = windows @ self.vectors[members].T
+                shown = cells[np.minimum(starts + held, end[at + starts] - at)][:, members] - cells[starts][:, members]
+                w, m = np.nonzero((cosine >= least) & (shown >= self.least[members]) | (cosine >= CLOSE) & (shown >= self.loose[members]) | (shown >= self.copies[members]))
+                every.append((members[m], at + w, cosine[w, m]))
         item, block, cosine = (np.concatenate(x) for x in zip(*every))
         order = np.argsort(block, kind="stable")
         return item[order], doc[block[order]], first[block[order]], cosine[order]
@@ -409,7 +431,11 @@ def make_index(items: list[tuple[int | None, list[str], list[str]]], projection:
     ids = [_ids(words) for _, words, _ in items]
     of = np.array([projection[x].sum(axis=0) for x in ids], np.float32).reshape(len(items), projection.shape[1])
     of /= np.maximum(np.linalg.norm(of, axis=1, keepdims=True), 1e-9)
-    held = tuple(Item(i, tuple(w), tuple(a), tuple(x.tolist()), frozenset(x.tolist()), _fewest(x, PARAPHRASE * len(w))) for (i, w, a), x in zip(items, ids))
+    ends = [_ids(answer) for _, _, answer in items]
+    held = tuple(
+        Item(i, tuple(w), tuple(a), tuple(x.tolist()), frozenset(x.tolist()), {share: _fewest(x, share * len(w)) for share in (LOOSE, PARAPHRASE, SAME)}, frozenset(y.tolist()), _fewest(y, ANSWER * len(a)))
+        for (i, w, a), x, y in zip(items, ids, ends)
+    )
     sizes: dict[tuple[int, int], list[int]] = {}
     for k, item in enumerate(held):
         sizes.setdefault((-(-len(item.words) // STEP) + 1, -(-item.size // STEP) + 1), []).append(k)
@@ -417,7 +443,7 @@ def make_index(items: list[tuple[int | None, list[str], list[str]]], projection:
     for x in ids:
         distinct, times = np.unique(x, return_counts=True)
         common_first = np.argsort(-(times if counts is None else counts[distinct]), kind="stable")
-        most = 2 * int(np.ceil(PARAPHRASE * len(x) - 1e-9)) // 3  # so that a third of what a match must hold is counted
+        most = 2 * int(np.ceil(LOOSE * len(x) - 1e-9)) // 3  # so that a third of what a match must hold is counted
         gone = int(np.searchsorted(np.cumsum(times[common_first]), most, "right"))
         counted.append(distinct[common_first[gone:]].astype(np.int64))
         left.append(int(times[common_first[:gone]].sum()))
@@ -425,13 +451,14 @@ def make_index(items: list[tuple[int | None, list[str], list[str]]], projection:
     order = np.argsort(bucket, kind="stable")
     holders = np.repeat(np.arange(len(held)), [len(x) for x in counted])[order]
     lengths = np.array([len(x) for x in ids], np.int64)
-    least, copies = (np.maximum(1, np.ceil(share * lengths - 1e-9).astype(np.int64) - np.array(left, np.int64)) for share in (PARAPHRASE, SAME))
+    loose, least, copies = (np.maximum(1, np.ceil(share * lengths - 1e-9).astype(np.int64) - np.array(left, np.int64)) for share in (LOOSE, PARAPHRASE, SAME))
+    loose[[len(x.answer) < LOOSE_ANSWER for x in held]] = 1 << 40
     few: dict[tuple[str, ...], tuple[int | None, ...]] = {}
     for item, words in short:
         few[tuple(words)] = (*few.get(tuple(words), ()), item)
     short_slots = np.zeros(BUCKETS, bool)
     short_slots[[int(_ids(list(w[:1]))[0]) for w in few]] = True
-    return Index(_with_none(projection), held, of, tuple((*k, np.array(m)) for k, m in sorted(sizes.items())), np.searchsorted(bucket[order], np.arange(BUCKETS + 1)), holders, least, copies, few, short_slots)
+    return Index(_with_none(projection), held, of, tuple((*k, np.array(m)) for k, m in sorted(sizes.items())), np.searchsorted(bucket[order], np.arange(BUCKETS + 1)), holders, loose, least, copies, few, short_slots)
 
 
 def build(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> Index:
