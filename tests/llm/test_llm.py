@@ -625,6 +625,39 @@ def test_paraphrases_against_all_pairs(spark):
     assert found <= every and len(found) >= 0.97 * len(every) and len(every) >= 0.9 * len(texts)
 
 
+def test_paraphrases_in_other_words(spark, monkeypatch):
+    """Items whose words are replaced, all but the answer and half of the text, by their nearest words in the latent space: found by it, not without it."""
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    index = decontaminate.build(docs, bench)
+    random.seed(2)
+    texts = [r.text for r in docs.collect()]
+    vocabulary = sorted({w for t in texts for w in decontaminate.words_of(t)})
+    own = index.projection[:-1] / np.maximum(np.linalg.norm(index.projection[:-1], axis=1, keepdims=True), 1e-9)
+    places = [int(decontaminate._ids([w])[0]) for w in vocabulary]
+
+    def synonym(word):
+        near = own[places] @ own[int(decontaminate._ids([word])[0])]
+        return next(vocabulary[k] for k in np.argsort(-near) if vocabulary[k] != word)
+
+    hosts = [w for w in map(decontaminate.words_of, texts) if 40 <= len(w) <= 200]
+    items = [i for i in index.items if decontaminate.LOOSE_ANSWER <= len(i.answer) <= 0.45 * len(i.words)]
+    planted, made = [], []
+    for item in items:
+        body, end = list(item.words[: len(item.words) - len(item.answer)]), list(item.words[len(item.words) - len(item.answer) :])
+        gone = set(random.sample(range(len(body)), len(item.words) // 2))
+        host = random.choice(hosts)
+        at = random.randrange(len(host))
+        made.append(" ".join(host[:at] + [synonym(w) if k in gone else w for k, w in enumerate(body)] + end + host[at:]))
+        planted.append((len(planted), item.id))
+    found = {x[:2] for x in index.search_all(made)}
+    monkeypatch.setattr(decontaminate, "CLOSE", -2.0)
+    exhaustive = {x[:2] for x in index.search_all(made, -2.0)}
+    monkeypatch.undo()
+    assert len(items) > 8 and len(exhaustive & set(planted)) >= 0.9 * len(planted) and found <= exhaustive and len(found) >= 0.9 * len(exhaustive)
+    none = decontaminate.make_index([(i.id, list(i.words), list(i.answer)) for i in index.items], np.zeros_like(index.projection[:-1]))
+    assert len({x[:2] for x in none.search_all(made)} & set(planted)) < 0.2 * len(planted)
+
+
 def test_short_and_wordy_items():
     none = np.zeros((decontaminate.BUCKETS, decontaminate.RANK), np.float32)
     index = decontaminate.make_index([], none, None, ((1, ["blue", "whale"]), (2, ["seven"]), (3, ["blue", "whale"])))
@@ -912,3 +945,75 @@ def test_scratch_of_threads(spark):
     assert made[1] == 3 and kept.count() == 5
     with pytest.raises(Exception):
         spark.read.parquet(gone.written_to)
+
+
+@pytest.mark.parametrize("limits", [packing.Limits(64, 9, 40), packing.Limits(100, 6, 100), packing.Limits(128, 12, 50)])
+def test_packing_takes_the_largest_dot_product(limits):
+    """The next piece is, of those that fit whole (or, if none does, of all), the one whose demand has the largest dot product with what is left."""
+    rng = random.Random(limits.tokens)
+    cap = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)
+    waiting = {k: (0, rng.randint(1, limits.tokens - 1), rng.randint(0, 30)) for k in range(packing.POOL - 8)}  # all of them are seen at once
+    packer = packing.Packer(limits)
+    for k, (_, length, loss_from) in waiting.items():
+        packer.add(k, length, loss_from)
+    sequences = collections.defaultdict(list)
+    for item, start, length, sequence, offset, loss in packer.flush(True):
+        sequences[sequence].append((offset, item, start, length, loss))
+    bears = lambda start, length, loss_from: max(0, start + length - max(start, loss_from))
+    checked = 0
+    for n in sorted(sequences):
+        pieces = sorted(sequences[n])
+        if sum(x[3] for x in pieces) < limits.tokens:
+            break  # from here on pieces have been given back
+        left = cap.copy()
+        for _, item, start, length, loss in pieces:
+            demand = {k: np.array([size, 1, bears(at, size, loss_from)]) for k, (at, size, loss_from) in waiting.items()}
+            score = {k: float((d / cap) @ (left / cap)) for k, d in demand.items()}
+            fitting = [k for k, d in demand.items() if d[0] <= left[0] and d[2] <= left[2]] or list(demand)
+            assert item in fitting and score[item] >= max(score[k] for k in fitting) - 1e-9
+            at, size, loss_from = waiting.pop(item)
+            assert at == start and loss == bears(start, length, loss_from)
+            if length < size:
+                waiting[item] = (at + length, size - length, loss_from)
+            left -= [length, 1, loss]
+            checked += 1
+        assert (left >= 0).all()
+    assert checked > 20
+
+
+def test_packing_fills_its_sequences(spark):
+    """Of the sequences that one task packs nearly all are full."""
+    rng = random.Random(1)
+    df = spark.createDataFrame([(k, " ".join(rng.choices(["word", "other", "thing"], k=rng.randint(1, 900)))) for k in range(600)], "doc_id long, text string").coalesce(1)
+    sizes = collections.Counter()
+    for r in packing.pack_documents(df, vocabulary("word_bpe_49k.json")).collect():
+        sizes[r.sequence_id] += r.length
+    full = sum(n == 2048 for n in sizes.values())
+    assert len(sizes) - full <= 11 and full >= 0.9 * len(sizes) and full * 2048 >= 0.99 * sum(sizes.values())
+
+
+def test_what_projects_say_of_their_licence():
+    table = licences.known(licences.SENTENCES)
+    said = lambda text: [m[0] for m in licences.matches(text, table, licences.RULES, licences.GAP)]
+    assert said("# SPDX-License-Identifier: MIT OR Apache-2.0\ncode") == ["MIT OR Apache-2.0"] and said("// SPDX-License-Identifier: GPL-2.0-only AND MIT") == ["GPL-2.0-only AND MIT"]
+    assert said("Intro.\n\nThis project is licensed under the MIT License - see the [LICENSE](LICENSE) file for details.\n") == [] and said("This project is licensed under the MIT License - see the LICENSE file for details.") == ["MIT"]
+    assert said("We say: This software is licensed under the GNU GPLv3 license.\nMore.") == ["GPL-3.0"] and said("Released under the Apache License 2.0") == ["Apache-2.0"]
+    asf = """/*
+ * Licensed to the Apache Software Foundation (ASF) under one or more
+ * contributor license agreements.  See the NOTICE file distributed with
+ * this work for additional information regarding copyright ownership.
+ * The ASF licenses this file to You under the Apache License, Version 2.0
+ * (the "License"); you may not use this file except in compliance with
+ * the License.  You may obtain a copy of the License at
+ *
+ *    http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */"""
+    (found,) = licences.matches(asf, table, licences.RULES, licences.GAP)
+    assert found[0] == "Apache-2.0" and found[4].startswith("asf-to,asf-notice,asf-you,apache-copy") and found[4].endswith("apache-see")
+    assert len(licences.SENTENCES) > 700 and said("This project is licensed under terms that nobody knows.") == []

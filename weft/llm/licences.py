@@ -154,6 +154,50 @@ SPDX = (
 SENTENCES |= {f"spdx-{x}": f"SPDX-License-Identifier: {x}" for x in SPDX}
 RULES += tuple((x, (f"spdx-{x}",)) for x in SPDX)
 
+#: The header of files of the Apache Software Foundation.
+SENTENCES |= {
+    "asf-to": "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements.",
+    "asf-notice": "See the NOTICE file distributed with this work for additional information regarding copyright ownership.",
+    "asf-you": 'The ASF licenses this file to you under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+}
+RULES += (
+    ("Apache-2.0", ("asf-you",)),
+    ("Apache-2.0", ("asf-you", "apache-copy", "apache-url", "apache-asis", "apache-see")),
+    ("Apache-2.0", ("asf-to", "asf-notice", "asf-you", "apache-copy", "apache-url", "apache-asis", "apache-see")),
+)
+
+#: Licences often named together in one tag, and the names by which projects say theirs (fixed values).
+JOINED = "MIT Apache-2.0 BSD-2-Clause BSD-3-Clause GPL-2.0-only GPL-2.0-or-later GPL-3.0-or-later LGPL-2.1-or-later MPL-2.0 CC0-1.0".split()
+NAMES = {
+    "MIT": ("MIT",), "Apache-2.0": ("Apache 2.0", "Apache-2.0", "Apache License 2.0", "Apache License, Version 2.0"), "BSD-2-Clause": ("BSD 2-Clause",), "BSD-3-Clause": ("BSD 3-Clause",), "ISC": ("ISC",),
+    "GPL-2.0": ("GPLv2", "GNU GPLv2", "GNU General Public License v2.0"), "GPL-3.0": ("GPLv3", "GNU GPLv3", "GPL-3.0", "GNU General Public License v3.0"), "LGPL-3.0": ("LGPLv3", "GNU LGPLv3"), "AGPL-3.0": ("AGPLv3", "GNU AGPLv3"),
+    "MPL-2.0": ("MPL 2.0", "Mozilla Public License 2.0"), "EPL-2.0": ("EPL 2.0", "Eclipse Public License 2.0"), "BSL-1.0": ("Boost Software License 1.0",), "Unlicense": ("Unlicense",), "Zlib": ("zlib",), "WTFPL": ("WTFPL",),
+}
+_SAID = ("This project is licensed under the {}", "This software is licensed under the {}", "Licensed under the {}", "Released under the {}", "Distributed under the {}")
+_MORE = ("", " - see the LICENSE file for details", " - see the LICENSE.md file for details")
+
+
+def _said() -> dict[str, tuple[str, str]]:
+    """Further sentences, each with its id and licence: two licences in a tag, and what projects say of theirs."""
+    out = {f"SPDX-License-Identifier: {a} {word} {b}": (f"spdx-{a}-{word.lower()}-{b}", f"{a} {word} {b}") for a in JOINED for b in JOINED if a != b for word in ("OR", "AND")}
+    for licence, names in NAMES.items():
+        for k, name in enumerate(names):
+            for i, text in enumerate(_SAID):
+                for j, more in enumerate(_MORE):
+                    for n, kind in enumerate(("", " license") if "icense" not in name else ("",)):
+                        out[text.format(name) + kind + more] = (f"said-{licence}-{k}{i}{j}{n}", licence)
+    return out
+
+
+def _add_said() -> None:
+    global RULES
+    taken = {normalised(x) for x in SENTENCES.values()}
+    for sentence, (name, licence) in _said().items():
+        if (plain := normalised(sentence)) not in taken:
+            taken.add(plain)
+            SENTENCES[name] = sentence
+            RULES += ((licence, (name,)),)
+
 _PLAIN = re.compile(r"[^a-z0-9.]+")
 _LINE = re.compile(r"[^\n]+")
 _STOP = re.compile(r"(?<=[.!?:])\s++|\n[^\S\n]*+(?:[#*/;-]++[^\S\n]*+)?\n")
@@ -163,6 +207,9 @@ def normalised(sentence: str) -> str:
     return " ".join(w for w in (x.strip(".") for x in _PLAIN.sub(" ", sentence.lower()).split()) if w)
 
 
+_add_said()
+
+
 def known(sentences: dict[str, str]) -> dict[str, str]:
     out = {normalised(s): k for k, s in sentences.items()}
     if len(out) < len(sentences) or "" in out:
@@ -250,6 +297,15 @@ def sentence_ids(text: str, table: dict[str, str]) -> list[tuple[int, int, str |
     return out
 
 
+@functools.lru_cache(8)
+def _by_first_id(rules: tuple[tuple[str, tuple[str, ...]], ...]) -> dict[str, list[tuple[int, str, tuple[str, ...]]]]:
+    """(number, licence, ids) of the rules that begin with an id."""
+    out: dict[str, list[tuple[int, str, tuple[str, ...]]]] = {}
+    for number, (licence, sequence) in enumerate(rules):
+        out.setdefault(sequence[0], []).append((number, licence, sequence))
+    return out
+
+
 def matches(text: str | None, table: dict[str, str], rules: tuple[tuple[str, tuple[str, ...]], ...], gap: int) -> list[tuple[str, int, int, int, str]]:
     """(licence, rule number, start, end, sentence ids) in order; the longest rule from a sentence wins and its sentences are used up."""
     ids = sentence_ids(text or "", table)
@@ -259,7 +315,7 @@ def matches(text: str | None, table: dict[str, str], rules: tuple[tuple[str, tup
         if k <= after:
             continue
         best = None
-        for number, (licence, sequence) in enumerate(rules):
+        for number, licence, sequence in _by_first_id(rules).get(ids[k][2], ()):
             at, last = k, k
             for want, name in enumerate(sequence):
                 at = next((j for j in range(last if want == 0 else last + 1, min(len(ids), last + (1 if want == 0 else gap + 2))) if ids[j][2] == name), None)
