@@ -26,7 +26,7 @@ from weft.llm.hashing import M3, PIECE, odd_values, runs
 
 BUCKETS = 1 << 14
 #: Rank of the latent space; columns more that the random start has, and products with the Gram matrix after the first.
-RANK, OVERSAMPLING, POWERS = 64, 8, 1
+RANK, OVERSAMPLING, POWERS = 32, 8, 1
 PASSAGE = 64
 #: Windows begin at each block of STEP words; an item is looked for in windows of the first size that holds it wherever in the first block it starts.
 STEP = 16
