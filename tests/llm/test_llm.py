@@ -791,7 +791,8 @@ def test_registered_queries_equal_their_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    for table in ("documents", "labels", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
     want = con.execute(ORACLES[name])
     names = [d[0] for d in want.description]
     got = QUERIES[name](spark, "/root/testdata/sf0.001")

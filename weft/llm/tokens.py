@@ -11,8 +11,8 @@ import os
 import re
 from array import array
 
-#: Entries of each of a table's two generations (about 200 bytes an entry, two tables in a worker).
-CACHE_ENTRIES = 450_000
+#: Entries of each of a table's two generations (about 200 bytes an entry, two tables in a worker), for vocabularies that drop white space and those that keep it.
+CACHE_ENTRIES = (260_000, 350_000)
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SIMPLE = re.compile(rf"(\n?)([{_LETTERS}]+)([!-/:-@\[-`{{-~]*)")
@@ -29,16 +29,16 @@ def _byte_letters() -> dict[int, str]:
 class _Table(dict):
     """Key to the key's ids as little-endian unsigned 32-bit bytes; a full generation becomes the old one."""
 
-    def __init__(self, make, longest: int = 64):
+    def __init__(self, make, entries: int, longest: int = 64):
         super().__init__()
-        self.make, self.longest, self.old = make, longest, {}
+        self.make, self.entries, self.longest, self.old = make, entries, longest, {}
 
     def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
         if len(key) <= self.longest:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 self.old = dict(self)
                 self.clear()
             self[key] = value
@@ -57,8 +57,8 @@ class PieceEncoder:
         self.marks = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.blanks, self.model = blanks, self.tokenizer.model
         self.letters = _byte_letters()
-        self.runs = _Table(self._run)
-        self.pieces = _Table(self._piece)
+        self.runs = _Table(self._run, CACHE_ENTRIES[blanks])
+        self.pieces = _Table(self._piece, CACHE_ENTRIES[blanks])
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
