@@ -113,6 +113,24 @@ def test_records_over_line_ends_are_read_in_splits(spark, tmp_path, small_splits
         assert [tuple(r)[:3] for r in rows] == [tuple((r + [None] * 3)[:3]) for r in want]
 
 
+def test_split_records_over_batches_and_in_unions(spark, tmp_path, small_splits):
+    """A record that lies over two batches of a split is not taken for one over two splits; in a union a file's splits keep their numbers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    paths = []
+    for name in "ab":
+        paths.append(tmp_path / f"{name}.csv")
+        paths[-1].write_text("k,v\n" + "".join(f'{name}{k},"one\ntwo {k}\nthree"\n' for k in range(3000)))
+    small_splits("20k")
+    spark.conf.set(key, "50")
+    try:
+        tables = [delimited.read(spark, delimited.scan(str(p))[0]) for p in paths]
+        both = tables[0].frame.unionByName(tables[1].frame).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted((r.k, r.v) for r in both) == sorted((f"{n}{k}", f"one\ntwo {k}\nthree") for n in "ab" for k in range(3000))
+
+
 def test_estimate_of_rows(spark, tmp_path, monkeypatch):
     """Rows whose length changes half-way, some over line ends, on a local path and a stored one."""
     path = tmp_path / "big.csv"

@@ -203,7 +203,7 @@ def _split_states(spark: SparkSession, path: str, delimiter: str) -> tuple[list[
 
 def _split_records(spark: SparkSession, path: str, delimiter: str, width: int, starts: list[int], opened: list[int]) -> DataFrame:
     """(__r, c0, c1, ..) with fields as bytes: records that lie in one split from there; the others put together from the pieces at the splits' ends."""
-    lines = _lines(spark, path).select(F.col("value").cast("binary"))
+    lines = _lines(spark, path).select(F.col("value").cast("binary"), F.spark_partition_id().alias("split"))  # of this file, whatever the task's number (in a union the task's is another)
     fields = [(ROW, pa.int64()), *[(f"c{k}", pa.binary()) for k in range(width)]]
     columns = ", ".join([f"{ROW} long", *[f"c{k} binary" for k in range(width)]])
 
@@ -216,10 +216,12 @@ def _split_records(spark: SparkSession, path: str, delimiter: str, width: int, s
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(1 << 30)
-        split = TaskContext.get().partitionId()
-        state, skipping, held, n = starts[split], starts[split] == 1, [], split << 33
-        for batch in batches:
+        state = None
+        for batch in filter(len, batches):
             ready = []
+            if state is None:
+                split = batch.column(1)[0].as_py()
+                state, skipping, held, n = starts[split], starts[split] == 1, [], split << 33
             for line in batch.column(0).to_pylist():
                 if b'"' in line:
                     state = 0 if _closing(delimiter)[state].fullmatch(line) else 1
@@ -234,11 +236,16 @@ def _split_records(spark: SparkSession, path: str, delimiter: str, width: int, s
             n += len(rows)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = TaskContext.get().partitionId()
-        state, ends_open = starts[split], starts[split + 1] == 1
-        reading = state == 1
-        owner, held, out = opened[split] if reading else split, [], []
-        for batch in batches if reading or ends_open else ():
+        state, held, out = None, [], []
+        for batch in filter(len, batches):
+            if state is None:
+                split = batch.column(1)[0].as_py()
+                state, ends_open = starts[split], starts[split + 1] == 1
+                reading = state == 1
+                owner = opened[split] if reading else split
+            if not reading and not ends_open:  # the rest has whole records only, one of which may lie over two batches
+                held = []
+                continue
             for line in batch.column(0).to_pylist():
                 if b'"' in line:
                     state = 0 if _closing(delimiter)[state].fullmatch(line) else 1
@@ -247,10 +254,10 @@ def _split_records(spark: SparkSession, path: str, delimiter: str, width: int, s
                     if reading:
                         out.append((owner, b"\n".join(held)))
                     held, reading, owner = [], False, split
-            if not reading and not ends_open:
-                break
         if held:
             out.append((owner, b"\n".join(held)))
+        if not out:
+            return
         yield pa.record_batch([pa.array([o for o, _ in out], pa.int32()), pa.array([split] * len(out), pa.int32()), pa.array([t for _, t in out], pa.binary())], names=["owner", "split", "text"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
