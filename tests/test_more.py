@@ -3,6 +3,7 @@
 import csv
 import datetime as dt
 import decimal
+import io
 import random
 import re
 import time
@@ -19,7 +20,7 @@ from weft.operators.profile import preflight
 from weft.operators.run import Run
 from weft.plans import headers
 from weft.plans.headers import recommend_header
-from weft.sources import catalog, cells, delimited, discovery, workbook
+from weft.sources import catalog, cells, delimited, discovery, stores, workbook
 
 ODS = """<?xml version="1.0" encoding="UTF-8"?><office:document-content xmlns:office="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:table="urn:oasis:names:tc:opendocument:xmlns:table:1.0"
  xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0"><office:body><office:spreadsheet><table:table table:name="One"><table:table-row><table:table-cell office:value-type="string"><text:p>id</text:p></table:table-cell>
@@ -131,6 +132,25 @@ def test_split_records_over_batches_and_in_unions(spark, tmp_path, small_splits)
     assert sorted((r.k, r.v) for r in both) == sorted((f"{n}{k}", f"one\ntwo {k}\nthree") for n in "ab" for k in range(3000))
 
 
+def test_rows_are_counted_by_tasks(spark, tmp_path, monkeypatch):
+    """Exact where an estimate would not be; text of a store is fetched by blocks, not by a reader's few KB."""
+    path = tmp_path / "long.csv"
+    path.write_text("k,v\n" + "".join(f'{k},"{"x" * (k % 977)}\n"\n' if k % 3 else f"{k},\n\n" for k in range(20_000)))
+    monkeypatch.setattr(delimited, "EXACT_COUNT_BYTES", 1000)
+    monkeypatch.setattr(delimited, "RANGES", 8)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300k")
+    try:
+        assert delimited.scan(f"file:{path}", spark=spark)[0].estimated_rows == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    fetched = []
+    with stores.opened(f"file:{path}") as f:
+        stream, f.raw.stream = f.raw.stream, type("Counted", (), {"readNBytes": lambda _, n: fetched.append(n) or stream.readNBytes(n), "close": lambda _: stream.close()})()
+        assert len(io.TextIOWrapper(f, encoding="latin-1", newline="").readlines()) > 20_000
+    assert len(fetched) <= path.stat().st_size // stores.BLOCK + 2
+
+
 def test_estimate_of_rows(spark, tmp_path, monkeypatch):
     """Rows whose length changes half-way, some over line ends, on a local path and a stored one."""
     path = tmp_path / "big.csv"

@@ -86,8 +86,8 @@ def detect_delimiter(path: str, data: bytes) -> str:
     return best
 
 
-def scan(path: str, *, delimiter: str | None = None, header_row: int | None = None, header_rows: int = 1) -> tuple[SourceTable, list[str]]:
-    """One table with its header, and warnings."""
+def scan(path: str, *, delimiter: str | None = None, header_row: int | None = None, header_rows: int = 1, spark: SparkSession | None = None) -> tuple[SourceTable, list[str]]:
+    """One table with its header, and warnings. With a session, tasks count the rows, exactly for any size."""
     data = head(path)
     delimiter = delimiter or detect_delimiter(path, data)
     rows = [[decode(c)[0] for c in r] for r in records(data, delimiter, HEADER_RECORDS)]
@@ -103,7 +103,7 @@ def scan(path: str, *, delimiter: str | None = None, header_row: int | None = No
     return (
         SourceTable(
             path, "CSV", tuple(combine_header_rows(rows[header_row - 1 : last])), kind={"Csv": {"delimiter": ord(delimiter)}}, header_row=header_row,
-            header_rows=header_rows, suggested_header_row=suggested, estimated_rows=estimate_rows(path, delimiter, last)[0],
+            header_rows=header_rows, suggested_header_row=suggested, estimated_rows=count_rows(spark, path, delimiter, last) if spark else estimate_rows(path, delimiter, last)[0],
         ),
         warnings,
     )
@@ -272,6 +272,12 @@ def _split_records(spark: SparkSession, path: str, delimiter: str, width: int, s
     return lines.mapInArrow(whole, columns).unionByName(over.mapInArrow(joined, columns))
 
 
+def count_rows(spark: SparkSession, path: str, delimiter: str, skipped: int) -> int:
+    """Records of a file of any size, counted in its splits."""
+    starts, opened, _ = _split_states(spark, path, delimiter)
+    return max(0, _split_records(spark, path, delimiter, 0, starts, opened).count() - skipped)
+
+
 def read(spark: SparkSession, table: SourceTable, *, split_bytes: int | None = None) -> SourceTable:
     """The table with its rows: text only, ragged rows filled up or cut. Larger files are read in splits, whatever their fields hold; of a quote that never closes the file's last line end is lost."""
     width, delimiter = len(table.headers), chr(table.kind["Csv"]["delimiter"])

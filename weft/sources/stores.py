@@ -28,7 +28,7 @@ def _hadoop(path: str):
 class _Stored(io.RawIOBase):
     def __init__(self, path: str):
         store, where = _hadoop(path)
-        self.stream = store.open(where)
+        self.stream, self.block = store.open(where), memoryview(b"")
 
     def readable(self) -> bool:
         return True
@@ -40,10 +40,13 @@ class _Stored(io.RawIOBase):
         if whence != 0:
             raise OSError("only places from the start")
         self.stream.seek(place)
+        self.block = memoryview(b"")
         return place
 
     def readinto(self, into) -> int:
-        data = bytes(self.stream.readNBytes(min(len(into), BLOCK)))
+        if not self.block:  # readers of text ask for a few KB at a time, a call to the JVM each
+            self.block = memoryview(bytes(self.stream.readNBytes(BLOCK)))
+        data, self.block = self.block[: len(into)], self.block[len(into) :]
         into[: len(data)] = data
         return len(data)
 
