@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from weft.model import SOURCE_FILE, SOURCE_SHEET, MergeOptions, SourceTable, load_scheme, save_scheme
 from weft.operators.merge import MergeError, from_df, merge, preview
@@ -179,3 +180,17 @@ def test_discovery(spark, tmp_path):
     assert len(tables) == 3 and len(warnings) == 1
     assert len(discovery.appended(tables, tables)) == 3 and len(discovery.search(tables, "SUB")) == 1
     assert discovery.with_header(tables[0], 1).headers == ("h",)
+
+
+def test_sheets_of_a_workbook_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Bundles of sheets, still packed: the same tables as a scan of the whole workbook gives, rows from several tasks, and no list of the sheets' numbers in the plan."""
+    monkeypatch.setattr(workbook, "BUNDLE", 100)
+    path = str(tmp_path / "many.xlsx")
+    workbook.write(spark.range(600).select("id", F.concat(F.lit("name "), "id").alias("name")).coalesce(1), path, max_rows=10)
+    tables = workbook.scan_all(spark, [path])
+    assert tables == sorted(workbook.scan(path), key=lambda t: t.sheet_name) and len(tables) == 60
+    assert workbook._bundles(spark, [f"file:{path}"]).count() > 3
+    loaded = workbook.read_all(spark, tables)
+    assert [tuple(r) for r in loaded[7].frame.orderBy("__r").select("id", "name").collect()] == [(k, f"name {k}") for k in range(70, 80)]
+    merged = merge(loaded, MergeOptions(), ordered=True)
+    assert [r.id for r in merged.collect()] == list(range(600)) and len(merged._jdf.queryExecution().optimizedPlan().toString()) < 20_000

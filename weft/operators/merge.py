@@ -54,11 +54,14 @@ def project(tables: list[SourceTable], places: list[int], plan: OutputPlan, mode
         frame, told = table.frame, lambda values: F.lit(values[0])
     else:
         numbers = [tables[k].family[1] for k in places]
-        frame = table.family[0].filter(F.col(NUMBER).isin(numbers))
+        row = numbers == list(range(numbers[0], numbers[0] + len(numbers)))  # as of a whole workbook: no list of thousands of numbers in the plan
+        frame = table.family[0].filter(F.col(NUMBER).between(numbers[0], numbers[-1]) if row else F.col(NUMBER).isin(numbers))
         at = dict(zip(numbers, range(len(numbers))))
 
         def told(values: list) -> Column:
             """A table's own value, by its number."""
+            if row and isinstance(values[0], int) and values == list(range(values[0], values[0] + len(values))):
+                return F.col(NUMBER) + F.lit(values[0] - numbers[0])
             return F.lit(values[0]) if len(set(values)) == 1 else F.get(F.array(*[F.lit(values[at.get(n, 0)]) for n in range(max(numbers) + 1)]), F.col(NUMBER))
 
     kinds = {f.name: f.dataType for f in frame.schema.fields}

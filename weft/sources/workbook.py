@@ -5,10 +5,12 @@ from __future__ import annotations
 import contextlib
 import datetime as dt
 import decimal
+import functools
 import io
 import itertools
 import os
 import re
+import struct
 import zipfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -54,12 +56,47 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+class _Inflated:
+    """A packed member, unpacked as it is read."""
+
+    def __init__(self, packed: bytes):
+        self.packed, self.at, self.unpack = memoryview(packed), 1, zlib.decompressobj(-15).decompress if packed[:1] == b"d" else bytes
+
+    def __enter__(self) -> _Inflated:
+        return self
+
+    def __exit__(self, *_) -> None:
+        pass
+
+    def read(self, size: int = 1 << 16) -> bytes:
+        out = b""
+        while not out and self.at < len(self.packed):
+            out, self.at = self.unpack(self.packed[self.at : self.at + size]), self.at + size
+        return out
+
+
+class _Parts:
+    """Some members of a workbook, each packed, after a letter that tells how; read like a ZipFile."""
+
+    def __init__(self, members: dict[str, bytes]):
+        self.members = members
+
+    def namelist(self) -> list[str]:
+        return list(self.members)
+
+    def read(self, name: str) -> bytes:
+        return b"".join(iter(self.open(name).read, b""))
+
+    def open(self, name: str) -> _Inflated:
+        return _Inflated(self.members[name])
+
+
 class Workbook:
     """sheet(name) gives the used rows of a sheet as lists of None, str, int, float, bool or datetime."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str | _Parts):
         try:
-            self.zip = zipfile.ZipFile(path)
+            self.zip = path if isinstance(path, _Parts) else zipfile.ZipFile(path)
         except zipfile.BadZipFile as e:
             raise WorkbookError(f"{path}: not an XLSX workbook") from e
         book = ET.fromstring(self.zip.read("xl/workbook.xml"))
@@ -149,30 +186,115 @@ def cell_text(value) -> str:
     return str(value)
 
 
-def scan(path: str, *, sheet: str | None = None, header_row: int | None = None, header_rows: int = 1) -> list[SourceTable]:
-    """A table of each sheet that is not empty. Rows are read one by one; only those that may be the header are held."""
-    book, out = opened(path), []
-    for name in [sheet] if sheet else book.paths:
-        held, last = {}, None
-        left, right, deepest = 1 << 30, -1, max(HEADER_ROWS, (header_row or 1) + 2)
-        for at, cells in sheet_rows(book, name):
-            if not cells:
-                continue
-            left, right, last = min(left, *cells), max(right, *cells), at
-            if at < next(iter(held), at) + deepest:
-                held[at] = cells
-        if last is None:
+def _described(book, path: str, name: str, header_row: int | None = None, header_rows: int = 1) -> SourceTable | None:
+    """A sheet's table, if it is not empty. Rows are read one by one; only those that may be the header are held."""
+    held, last = {}, None
+    left, right, deepest = 1 << 30, -1, max(HEADER_ROWS, (header_row or 1) + 2)
+    for at, cells in sheet_rows(book, name):
+        if not cells:
             continue
-        top = next(iter(held))
-        total = last - top + 1
-        rows = [[cell_text(held.get(top + r, {}).get(k)) for k in range(left, right + 1)] for r in range(min(total, deepest))]
-        suggested = recommend_header(rows[:HEADER_ROWS]) + 1
-        first, n = max(1, header_row or suggested), min(3, max(1, header_rows))
-        if total < first + n - 1:
-            raise WorkbookError(f"{path} {name}: too few rows for its header")
-        headers = combine_header_rows(rows[first - 1 : first + n - 1])
-        out.append(SourceTable(path, name, tuple(headers), header_row=first, header_rows=n, suggested_header_row=suggested, estimated_rows=max(0, total - first - n + 1)))
-    return out
+        left, right, last = min(left, *cells), max(right, *cells), at
+        if at < next(iter(held), at) + deepest:
+            held[at] = cells
+    if last is None:
+        return None
+    top = next(iter(held))
+    total = last - top + 1
+    rows = [[cell_text(held.get(top + r, {}).get(k)) for k in range(left, right + 1)] for r in range(min(total, deepest))]
+    suggested = recommend_header(rows[:HEADER_ROWS]) + 1
+    first, n = max(1, header_row or suggested), min(3, max(1, header_rows))
+    if total < first + n - 1:
+        raise WorkbookError(f"{path} {name}: too few rows for its header")
+    headers = combine_header_rows(rows[first - 1 : first + n - 1])
+    return SourceTable(path, name, tuple(headers), header_row=first, header_rows=n, suggested_header_row=suggested, estimated_rows=max(0, total - first - n + 1))
+
+
+def scan(path: str, *, sheet: str | None = None, header_row: int | None = None, header_rows: int = 1) -> list[SourceTable]:
+    """A table of each sheet that is not empty."""
+    book = opened(path)
+    found = (_described(book, path, name, header_row, header_rows) for name in ([sheet] if sheet else book.paths))
+    return [t for t in found if t is not None]
+
+
+#: Bytes of packed sheets that a task reads at a time; all else that they need comes with them.
+BUNDLE = 1 << 18
+_COMMON = ("xl/workbook.xml", "xl/_rels/workbook.xml.rels", "xl/sharedStrings.xml", "xl/styles.xml")
+
+
+def _place(path: str) -> str:
+    return path if stores.is_stored(path) else "file:" + os.path.abspath(path)
+
+
+def _members(content: bytes, least: int) -> Iterator[dict[str, bytes]]:
+    """An XLSX workbook as bundles of some sheets each, still packed, with the members that all need."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        infos = {i.filename: i for i in z.infolist()}
+
+        def packed(name: str) -> bytes:
+            i = infos[name]
+            if i.compress_type != zipfile.ZIP_DEFLATED or i.flag_bits & 1:
+                return b"s" + z.read(name)
+            start = i.header_offset + 30 + sum(struct.unpack_from("<HH", content, i.header_offset + 26))
+            return b"d" + content[start : start + i.compress_size]
+
+        common = {n: packed(n) for n in _COMMON if n in infos}
+        most, bundle, size = max(least, 2 * sum(map(len, common.values()))), {}, 0
+        for name in [n for n in infos if n.startswith("xl/") and n.endswith(".xml") and n not in _COMMON]:
+            bundle[name] = packed(name)
+            size += len(bundle[name])
+            if size >= most:
+                yield common | bundle
+                bundle, size = {}, 0
+        yield common | bundle
+
+
+def _bundles(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, part, names, members): the workbooks in pieces that tasks read side by side; one of another format than XLSX is one piece without names."""
+    least = BUNDLE
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                whole = content.as_py()
+                xlsx = path.rpartition(".")[2].lower() not in READERS and zipfile.is_zipfile(io.BytesIO(whole))
+                for k, members in enumerate(_members(whole, least) if xlsx else [{"": whole}]):
+                    yield pa.record_batch([pa.array([path]), pa.array([k], pa.int32()), pa.array([list(members)], pa.list_(pa.string())), pa.array([list(members.values())], pa.list_(pa.binary()))], names=["path", "part", "names", "members"])
+
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return files.mapInArrow(task, "path string, part int, names array<string>, members array<binary>").repartition(many, "path", "part")
+
+
+def _books(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, object, list[str]]]:
+    """(path, workbook, names of its sheets that are here) of each bundle."""
+    for batch in batches:
+        for n in range(batch.num_rows):
+            path, _, names, members = (c[n].as_py() for c in batch.columns)
+            if names == [""]:
+                book = READERS.get(path.rpartition(".")[2].lower(), Workbook)(io.BytesIO(members[0]))
+                yield path, book, list(book.paths)
+            else:
+                book = Workbook(_Parts(dict(zip(names, members))))
+                yield path, book, [s for s, p in book.paths.items() if p in book.zip.members]
+
+
+def scan_all(spark: SparkSession, paths: list[str]) -> list[SourceTable]:
+    """Tables of all sheets, in order of path and sheet, found by tasks; a workbook that fails is an error."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, book, sheets in _books(batches):
+            found = [t for t in (_described(book, path, name) for name in sheets) if t is not None]
+            rows = [(path, t.sheet_name, list(t.headers), t.header_row, t.suggested_header_row, t.estimated_rows) for t in found]
+            yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64()))], names=["path", "sheet", "headers", "first", "suggested", "n"])
+
+    own = {_plain(_place(p)): p for p in paths}
+    rows = _bundles(spark, [_place(p) for p in paths]).mapInArrow(task, "path string, sheet string, headers array<string>, first long, suggested long, n long").collect()  # a row a sheet
+    tables = [SourceTable(own[_plain(r.path)], r.sheet, tuple(r.headers), header_row=r.first, suggested_header_row=r.suggested, estimated_rows=r.n) for r in rows]
+    return sorted(tables, key=lambda t: (t.path.lower(), t.sheet_name.lower()))
+
+
+def _plain(uri: str) -> str:
+    return re.sub("^([A-Za-z][A-Za-z0-9+.-]+):/+", r"\1:/", unquote(uri))  # file:///x is file:/x
 
 
 #: Kinds of cells in the files between, and the column types of the sets of them that keep a type; other sets become text.
@@ -187,28 +309,41 @@ def _coded(value) -> str | None:
     return None if value is None else _KINDS.get(type(value), "s") + cell_text(value)
 
 
+class _Sheet:
+    """A sheet's rows of a table of many sheets: a DataFrame that is made when it is asked for."""
+
+    def __init__(self, family: DataFrame, number: int):
+        self.family, self.number = family, number
+
+    @functools.cached_property
+    def frame(self) -> DataFrame:
+        return self.family.filter(F.col(NUMBER) == self.number).drop(NUMBER)
+
+    def __getattr__(self, name: str):
+        if name.startswith("__"):
+            raise AttributeError(name)
+        return getattr(self.frame, name)
+
+
 def read_all(spark: SparkSession, tables: list[SourceTable]) -> list[SourceTable]:
     """The tables with their rows. A column of one cell type keeps it; a mixed one becomes text, an empty one has no type.
 
-    Every workbook is read once, by a task, row by row, into a table of coded cells in the shared folder; at the end of a sheet comes a row that tells where it begins and which kinds its
+    Every workbook is read once, its sheets by many tasks, row by row, into a table of coded cells in the shared folder; at the end of a sheet comes a row that tells where it begins and which kinds its
     columns hold. The tables are that table's rows.
     """
-    wanted: dict[str, list[tuple[int, str, int]]] = {}
-    place = lambda path: path if stores.is_stored(path) else "file:" + os.path.abspath(path)
+    wanted: dict[str, dict[str, list[tuple[int, int]]]] = {}
     for k, t in enumerate(tables):
-        wanted.setdefault(place(t.path), []).append((k, t.sheet_name, t.header_row + t.header_rows - 1))
-    plain = lambda uri: re.sub("^([A-Za-z][A-Za-z0-9+.-]+):/+", r"\1:/", unquote(uri))  # noqa: E731  file:///x is file:/x
-    by_file = {plain(p): v for p, v in wanted.items()}
+        wanted.setdefault(_place(t.path), {}).setdefault(t.sheet_name, []).append((k, t.header_row + t.header_rows - 1))
+    by_file = {_plain(p): v for p, v in wanted.items()}
     schema = pa.schema([("table", pa.int32()), ("r", pa.int64()), ("left", pa.int32()), ("cells", pa.list_(pa.string()))])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.record_batch([pa.array(list(x), f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                book = READERS.get(path.rpartition(".")[2].lower(), Workbook)(io.BytesIO(content.as_py()))
-                for k, sheet, skipped in by_file[plain(path)]:
+        for path, book, sheets in _books(batches):
+            for sheet in sheets:
+                for k, skipped in by_file[_plain(path)].get(sheet, ()):
                     out, top, at, left, kinds = [], None, None, 1 << 30, {}
                     for row, cells in sheet_rows(book, sheet):
                         if not cells:
@@ -228,10 +363,9 @@ def read_all(spark: SparkSession, tables: list[SourceTable]) -> list[SourceTable
                     out.append((k, None, 0 if top is None else left, [str(0 if top is None else top + skipped), *[f"{c}:{''.join(sorted(x))}" for c, x in kinds.items()]]))
                     yield batch_of(out)
 
-    files = spark.read.format("binaryFile").load([place(p) for p in wanted]).select("path", "content")
     columns = "table int, r long, left int, cells array<string>"
     held = stores.shared(spark, "cells")
-    files.mapInArrow(task, columns).write.parquet(held)
+    _bundles(spark, list(wanted)).mapInArrow(task, columns).write.parquet(held)
     coded = spark.read.schema(columns).parquet(held)
     told = {r.table: r for r in coded.filter("r is null").collect()}  # a row a sheet
     out, families = [], {}
@@ -245,7 +379,7 @@ def read_all(spark: SparkSession, tables: list[SourceTable]) -> list[SourceTable
             values = [(text(c).cast(_TYPES.get(kind, T.StringType())) if kind else F.lit(None)).alias(h) for c, (h, kind) in enumerate(zip(t.headers, types))]
             families[shape] = coded.filter(F.col("r").isNotNull()).select(*values, (F.col("r") - int(first)).alias(ROW), F.col("table").alias(NUMBER))
         family = families[shape]
-        out.append(replace(t, frame=family.filter(F.col(NUMBER) == k).drop(NUMBER), stable=True, family=(family, k)))
+        out.append(replace(t, frame=_Sheet(family, k), stable=True, family=(family, k)))
     return out
 
 
