@@ -133,6 +133,34 @@ def test_split_records_over_batches_and_in_unions(spark, tmp_path, small_splits)
     assert sorted((r.k, r.v) for r in both) == sorted((f"{n}{k}", f"one\ntwo {k}\nthree") for n in "ab" for k in range(3000))
 
 
+def test_splits_stay_when_settings_change(spark, tmp_path, small_splits):
+    """Rows are those of the splits whose states were found, though Spark would cut the file otherwise by the time they are read."""
+    path = tmp_path / "a.csv"
+    path.write_text("k,v\n" + "".join(f'{k},"one\ntwo {k}\nthree"\n' for k in range(3000)))
+    for before, after in (("20k", "50k"), ("50k", "20k")):
+        small_splits(before)
+        frame = delimited.read(spark, delimited.scan(str(path))[0]).frame
+        small_splits(after)
+        assert [(r.k, r.v) for r in frame.orderBy("__r").collect()] == [(str(k), f"one\ntwo {k}\nthree") for k in range(3000)]
+        assert frame.sparkSession is spark
+
+
+@pytest.mark.parametrize("n, filler", [(300, 20), (9000, 300)])
+def test_quoted_lines_of_odd_texts(spark, tmp_path, n, filler):
+    """Null, empty and marked texts, in small files and in splits: equal to the query's SQL."""
+    import duckdb
+    from weft.plans.catalogue import ORACLES, QUERIES
+
+    odd = [None, "", "\r", "\ufeff", "\ufeff\ufeffx", '"', '""', "\n", " ", "\t a ", ",", "\\", "a\n\nb", '\ufeff"a\n"', "NULL", "\x00", "\x85"]
+    rows = [(k, odd[k % len(odd)] if k % 3 else f"line {k}\n" + "x" * filler, [None, "", "src", "\ufeffs"][k % 4]) for k in range(n)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["csv_quoted_lines"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(ORACLES["csv_quoted_lines"]).fetchall()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_rows_are_counted_by_tasks(spark, tmp_path, monkeypatch):
     """Exact where an estimate would not be; text of a store is fetched by blocks, not by a reader's few KB."""
     path = tmp_path / "long.csv"

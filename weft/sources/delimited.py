@@ -12,7 +12,6 @@ from collections.abc import Iterator, Sequence
 from dataclasses import replace
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,53 +165,80 @@ def _closing(delimiter: str) -> tuple[re.Pattern, re.Pattern]:
     return re.compile((field + more).encode("latin-1")), re.compile(rf'(?:[^"]++|"")*+"[^{ends}]*+{more}'.encode("latin-1"))
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("lineSep", "\n").text(path)
+def _bytes_of(text: str) -> int:
+    """Of a size in Spark's settings, as 128MB or 134217728b."""
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)i?b?", text.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
 
 
-def _split_states(spark: SparkSession, path: str, delimiter: str) -> tuple[list[int], list[int], bool]:
-    """For each split the state at its start (and at last the one at the file's end) and the split in which the record open there began; and whether any record goes over a line's end.
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, split): a file's lines, in the same splits whenever they are read. By itself Spark cuts a file for each pass anew, by the settings and the executors that there are then;
+    so its scan is of a session of its own, whose settings stay."""
+    most, least = (_bytes_of(spark.conf.get(f"spark.sql.files.{k}")) for k in ("maxPartitionBytes", "openCostInBytes"))
+    tasks = int(spark.conf.get("spark.sql.files.minPartitionNum", None) or spark.sparkContext.defaultParallelism)
+    own = spark.newSession()
+    known = own.conf.getAll
+    for k, v in spark.conf.getAll.items():
+        if known.get(k) != v and own.conf.isModifiable(k):
+            own.conf.set(k, v)
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(min(most, max(least, -(-stores.size(path) // tasks)))))
+    own.conf.set("spark.sql.files.minPartitionNum", "1")
+    lines = own.read.option("lineSep", "\n").text(path).select("value", F.spark_partition_id().alias("split"))  # of this file, whatever the task's number (in a union the task's is another)
+    none = spark.range(1).filter("false").select(F.lit("").alias("value"), F.lit(0).alias("split"))  # goes when the plan is optimized; what follows is of the caller's session
+    return none.unionByName(lines)
+
+
+def _split_states(lines: DataFrame, delimiter: str) -> tuple[list[int], list[int], bool]:
+    """For each split the state at its start and the split in which the record open there began; and whether any record goes over a line's end. The last values hold for all splits that follow.
 
     Every split is read for both states at once; one small row a split comes to the driver, which puts the functions together in order.
     """
     schema = pa.schema([("split", pa.int32()), *[(f"{c}{k}", pa.int32()) for k in (0, 1) for c in ("end", "wraps", "closes")]])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, wraps, closes = [0, 1], [0, 1], [1, 0]
-        for batch in batches:
+        state, wraps, closes, split = [0, 1], [0, 1], [1, 0], None
+        for batch in filter(len, batches):
+            split = batch.column(1)[0].as_py()
             for line in batch.column(0).to_pylist():
                 for k in (0, 1):
                     state[k] = 0 if _closing(delimiter)[state[k]].fullmatch(line) else 1
                     wraps[k] |= state[k]
                     closes[k] |= 1 - state[k]
-        found = {"split": TaskContext.get().partitionId()} | {f"{c}{k}": x[k] for k in (0, 1) for c, x in (("end", state), ("wraps", wraps), ("closes", closes))}
+        if split is None:
+            return
+        found = {"split": split} | {f"{c}{k}": x[k] for k in (0, 1) for c, x in (("end", state), ("wraps", wraps), ("closes", closes))}
         yield pa.record_batch([pa.array([found[f.name]], f.type) for f in schema], schema=schema)
 
-    quoted = _lines(spark, path).filter(F.contains("value", F.lit('"'))).select(F.col("value").cast("binary"))  # other lines change no state
-    told = sorted(quoted.mapInArrow(task, "split int, end0 int, wraps0 int, closes0 int, end1 int, wraps1 int, closes1 int").collect())  # a row a split
+    quoted = lines.filter(F.contains("value", F.lit('"'))).select(F.col("value").cast("binary"), "split")  # other lines change no state
+    found = quoted.mapInArrow(task, "split int, end0 int, wraps0 int, closes0 int, end1 int, wraps1 int, closes1 int").collect()  # a row a split
+    told = {r["split"]: r for r in found}
     state, begun, starts, opened, wrapped = 0, 0, [], [], False
-    for r in told:
+    for split in range(max(told, default=-1) + 1):
         starts.append(state)
         opened.append(begun)
+        if (r := told.get(split)) is None:
+            continue
         wrapped = wrapped or bool(r[f"wraps{state}"])
         if r[f"closes{state}"]:
-            begun = r["split"]
+            begun = split
         state = r[f"end{state}"]
-    return [*starts, state], opened, wrapped
+    return [*starts, state], [*opened, begun], wrapped
 
 
-def _split_records(spark: SparkSession, path: str, delimiter: str, width: int, starts: list[int], opened: list[int]) -> DataFrame:
-    """(__r, c0, c1, ..) with fields as bytes: records that lie in one split from there; the others put together from the pieces at the splits' ends."""
-    lines = _lines(spark, path).select(F.col("value").cast("binary"), F.spark_partition_id().alias("split"))  # of this file, whatever the task's number (in a union the task's is another)
+def _split_records(lines: DataFrame, delimiter: str, width: int, starts: list[int], opened: list[int], nulls: bool = False) -> DataFrame:
+    """(__r, c0, c1, ..) with fields as bytes: records that lie in one split from there; the others put together from the pieces at the splits' ends. nulls: empty fields without quotes are null."""
+    lines = lines.select(F.col("value").cast("binary"), "split")
+    quoting = csv.QUOTE_NOTNULL if nulls else csv.QUOTE_MINIMAL
+    end = len(starts) - 1
     fields = [(ROW, pa.int64()), *[(f"c{k}", pa.binary()) for k in range(width)]]
     columns = ", ".join([f"{ROW} long", *[f"c{k} binary" for k in range(width)]])
 
-    def table(rows: list[list[str]], places: Sequence[int]) -> pa.RecordBatch:
-        cells = [pa.array([r[k].encode("latin-1") if k < len(r) else None for r in rows], pa.binary()) for k in range(width)]
+    def table(rows: list[list[str | None]], places: Sequence[int]) -> pa.RecordBatch:
+        cells = [pa.array([r[k].encode("latin-1") if k < len(r) and r[k] is not None else None for r in rows], pa.binary()) for k in range(width)]
         return pa.record_batch([pa.array(places, pa.int64()), *cells], schema=pa.schema(fields))
 
-    def parsed(text: bytes) -> list[list[str]]:
-        return [r for r in csv.reader(io.StringIO(text.decode("latin-1"), newline=""), delimiter=delimiter) if r]
+    def parsed(text: bytes) -> list[list[str | None]]:
+        return [r for r in csv.reader(io.StringIO(text.decode("latin-1"), newline=""), delimiter=delimiter, quoting=quoting) if r]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(1 << 30)
@@ -221,7 +247,8 @@ def _split_records(spark: SparkSession, path: str, delimiter: str, width: int, s
             ready = []
             if state is None:
                 split = batch.column(1)[0].as_py()
-                state, skipping, held, n = starts[split], starts[split] == 1, [], split << 33
+                state = starts[min(split, end)]
+                skipping, held, n = state == 1, [], split << 33
             for line in batch.column(0).to_pylist():
                 if b'"' in line:
                     state = 0 if _closing(delimiter)[state].fullmatch(line) else 1
@@ -240,9 +267,9 @@ def _split_records(spark: SparkSession, path: str, delimiter: str, width: int, s
         for batch in filter(len, batches):
             if state is None:
                 split = batch.column(1)[0].as_py()
-                state, ends_open = starts[split], starts[split + 1] == 1
+                state, ends_open = starts[min(split, end)], starts[min(split + 1, end)] == 1
                 reading = state == 1
-                owner = opened[split] if reading else split
+                owner = opened[min(split, end)] if reading else split
             if not reading and not ends_open:  # the rest has whole records only, one of which may lie over two batches
                 held = []
                 continue
@@ -274,18 +301,21 @@ def _split_records(spark: SparkSession, path: str, delimiter: str, width: int, s
 
 def count_rows(spark: SparkSession, path: str, delimiter: str, skipped: int) -> int:
     """Records of a file of any size, counted in its splits."""
-    starts, opened, _ = _split_states(spark, path, delimiter)
-    return max(0, _split_records(spark, path, delimiter, 0, starts, opened).count() - skipped)
+    lines = _lines(spark, path)
+    starts, opened, _ = _split_states(lines, delimiter)
+    return max(0, _split_records(lines, delimiter, 0, starts, opened).count() - skipped)
 
 
-def read(spark: SparkSession, table: SourceTable, *, split_bytes: int | None = None) -> SourceTable:
-    """The table with its rows: text only, ragged rows filled up or cut. Larger files are read in splits, whatever their fields hold; of a quote that never closes the file's last line end is lost."""
+def read(spark: SparkSession, table: SourceTable, *, split_bytes: int | None = None, nulls: bool = False) -> SourceTable:
+    """The table with its rows: text only, ragged rows filled up or cut. Larger files are read in splits, whatever their fields hold; of a quote that never closes the file's last line end is lost.
+    nulls: empty fields are null without quotes and empty texts within quotes. Else all are null where Spark reads the file, and empty texts where records go over lines' ends in splits."""
     width, delimiter = len(table.headers), chr(table.kind["Csv"]["delimiter"])
     small = stores.size(table.path) <= (split_bytes or SPLIT_BYTES)
-    starts, opened, wrapped = ([], [], False) if small else _split_states(spark, table.path, delimiter)
+    lines = None if small else _lines(spark, table.path)
+    starts, opened, wrapped = ([], [], False) if small else _split_states(lines, delimiter)
     skipped = table.header_row + table.header_rows - 1
     if wrapped:
-        raw = _split_records(spark, table.path, delimiter, width, starts, opened)
+        raw = _split_records(lines, delimiter, width, starts, opened, nulls)
         return replace(table, frame=raw.filter(F.col(ROW) >= skipped).select(*[_decoded(F.col(f"c{k}")).alias(h) for k, h in enumerate(table.headers)], ROW), stable=True)
     legacy = {"spark.sql.legacy.javaCharsets": "true", "spark.sql.legacy.codingErrorAction": "true"}
     before = {k: spark.conf.get(k, None) for k in legacy}
@@ -293,7 +323,7 @@ def read(spark: SparkSession, table: SourceTable, *, split_bytes: int | None = N
         spark.conf.set(k, v)
     try:
         schema = ", ".join(f"c{k} string" for k in range(width))
-        raw = spark.read.csv(table.path, schema=schema, sep=delimiter, encoding="ISO-8859-1", header=False, quote='"', escape='"', multiLine=small, inferSchema=False, mode="PERMISSIVE")
+        raw = spark.read.csv(table.path, schema=schema, sep=delimiter, encoding="ISO-8859-1", header=False, quote='"', escape='"', multiLine=small, inferSchema=False, mode="PERMISSIVE", nullValue="\u0100" if nulls else None)  # no letter of Latin-1
         frame = raw.withColumn(ROW, F.monotonically_increasing_id()).filter(F.col(ROW) >= skipped)
         frame = frame.select(*[_decoded(F.encode(F.col(f"c{k}"), "ISO-8859-1")).alias(h) for k, h in enumerate(table.headers)], ROW)
         frame.schema  # noqa: B018  resolved while the settings hold
